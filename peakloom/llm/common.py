@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peakloom.session import ship
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 _FALLBACK: dict[str, str] = {}
@@ -20,7 +22,7 @@ _FALLBACK: dict[str, str] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark whatever store holds it."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
