@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOMES = {
+    "op7_quality_classifier": "quality_classifier",
     "op4_packing": "packing",
     "op10_byte_bpe": "bpe",
     "op1_warc": "warc",
