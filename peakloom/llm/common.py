@@ -17,6 +17,7 @@ from peakloom.session import ship
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FALLBACK: dict[str, str] = {}
 
 
@@ -34,10 +35,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends here.
+
+    The write's own shuffle files go as soon as it is over, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/peakloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 
