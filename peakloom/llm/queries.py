@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOMES = {
+    "op5_ngram_join": "ngram_join",
     "op8_substring_dedup": "substring_dedup",
     "op7_quality_classifier": "quality_classifier",
     "op4_packing": "packing",

@@ -15,8 +15,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Longest word hashed as a polynomial; bytes of text worked on at once.
-LONGEST, CHUNK = 64, 2_000_000
+#: Longest word hashed as a polynomial; bytes and number of texts worked on at once.
+LONGEST, CHUNK, TEXTS = 64, 2_000_000, 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACES = np.zeros(256, bool)
@@ -96,6 +96,6 @@ def chunks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndar
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, side="right")) - 1)
-        to = min(to, len(column))
+        to = min(to, at + TEXTS, len(column))
         yield at, *hashed(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at], lower)
         at = to
