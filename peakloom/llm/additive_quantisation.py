@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm.common import materialize, table
 
-BOOKS, WORDS, BEAM, RERANK, SAMPLE = 12, 256, 8, 96, 8192
+BOOKS, WORDS, BEAM, RERANK, SAMPLE = 16, 256, 8, 256, 16_384
 QUERIES, CANDIDATES = 512, 16_384
 
 
@@ -87,17 +87,17 @@ def fit(x: np.ndarray, seed: int = 7) -> np.ndarray:
         books.append(_kmeans(rest, k, rng))
         rest = rest - books[-1][_nearest(rest, books[-1])]
     books = np.stack(books)
-    for _ in range(2):  # all codebooks at once, given the codes
-        codes = beam_encode(x, books.astype(np.float32), 4)
-        columns = codes + np.arange(BOOKS) * k
-        used = np.zeros((BOOKS * k, BOOKS * k))
-        target = np.zeros((BOOKS * k, x.shape[1]))
-        for i in range(BOOKS):
-            np.add.at(target, columns[:, i], x)
-            for j in range(BOOKS):
-                np.add.at(used, (columns[:, i], columns[:, j]), 1.0)
-        used += 1e-2 * np.eye(BOOKS * k)
-        books = np.linalg.solve(used, target + 1e-2 * books.reshape(BOOKS * k, -1)).reshape(BOOKS, k, -1)
+    # All codebooks at once, given the codes.
+    codes = beam_encode(x, books.astype(np.float32), 4)
+    columns = codes + np.arange(BOOKS) * k
+    used = np.zeros((BOOKS * k, BOOKS * k))
+    target = np.zeros((BOOKS * k, x.shape[1]))
+    for i in range(BOOKS):
+        np.add.at(target, columns[:, i], x)
+        for j in range(BOOKS):
+            np.add.at(used, (columns[:, i], columns[:, j]), 1.0)
+    used += 1e-2 * np.eye(BOOKS * k)
+    books = np.linalg.solve(used, target + 1e-2 * books.reshape(BOOKS * k, -1)).reshape(BOOKS, k, -1)
     return books.astype(np.float32)
 
 
