@@ -237,12 +237,15 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the linked ones but the least doc_id of each component; documents without words stay."""
-    found = linked(docs, n, percent).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.col("text")), "text")
-    left = docs.join(found, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-    return named.unionByName(left.where("doc_id is null")).select(*docs.columns)
+    """``docs`` with one row of each component: that of its least doc_id. Texts without words stay.
+
+    Rows that share a doc_id go or stay together; of rows with equal doc_id and text one stays.
+    """
+    gone = linked(docs, n, percent).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_h", F.xxhash64("text"))
+    again = Window.partitionBy("doc_id", "_h").orderBy("text")
+    known = left.where("doc_id is not null").withColumn("_k", F.row_number().over(again)).where("_k = 1").drop("_k")
+    return known.unionByName(left.where("doc_id is null")).select(*docs.columns)
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:

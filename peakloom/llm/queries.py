@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _HOMES = {
+    "op3_html_extraction": "html_extraction",
     "op2_additive_quantisation": "additive_quantisation",
     "op5_ngram_join": "ngram_join",
     "op8_substring_dedup": "substring_dedup",
