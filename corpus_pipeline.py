@@ -1,11 +1,72 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: five stages, each a DataFrame in and out.
 
-STAGES: list = []
+Rejected documents go (quality rules), one document of each group of near copies
+stays (five-word shingles, Jaccard similarity of 0.8 or more), passages that repeat are cut out,
+secrets are replaced by their kind, and what is left is packed into sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peakloom.llm import ngram_join, packing, quality_rules, secret_scan, substring_dedup
+from peakloom.llm.common import materialize, table
+from peakloom.session import ship
+
+SHINGLE, PERCENT = 5, 80
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    ship(spark)
+    return ngram_join.keep_one(docs, SHINGLE, PERCENT)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur elsewhere too."""
+    ship(spark)
+    return _sized(substring_dedup.dedup(docs)).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets replaced by their kind."""
+    ship(spark)
+    return _sized(secret_scan.redact(secret_scan.scan(docs))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 tokens."""
+    ship(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("substring dedup", repeats),
+    ("secret scan", secrets),
+    ("packing", packed),
+]
+#: SQL can't express the tokenizer's ids; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written before the next reads it."""
+    docs = table(ship(spark), sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = docs if k + 1 == len(STAGES) else materialize(docs, f"stage-{k}")
     return docs
