@@ -4,9 +4,10 @@ A document's set holds the hashes of its distinct shingles of ``n`` words. Equal
 sets are one class from the start. All sets are ordered by one order, tokens of
 lightly loaded hash buckets first; the loads count the shingles of all documents in a
 table of fixed size. If two sets overlap in ``t`` tokens, their prefixes of size - t + l
-tokens share at least l: a class whose prefix looks costly (loads well above the mean)
-gets a larger l, hence a longer prefix, and a pair is verified only if it shares as
-many prefix tokens as the smaller of its two l.
+tokens share at least l: l grows with the size and once more where a prefix looks
+costly (loads well above the mean), the prefix grows with l, and a pair is verified only
+if it shares as many prefix tokens as the smaller of its two l. A class that shares
+fewer prefix tokens with all others together than any partner would ask for is out at once.
 
 Pairs of large groups aren't listed. Rounds of leaders come first: in each token's
 group one class is compared with the others, each class verifies its most
@@ -37,8 +38,10 @@ from peakloom.llm.graphs import components
 from peakloom.llm.word_hash import chunks, mix, window_hashes
 
 SHINGLE, PERCENT = 3, 90
-#: Buckets of the table of loads (fixed: 8 MB), sketch words of 64 bits, rounds of leaders, largest l.
-BUCKET_BITS, SKETCH, ROUNDS, MOST = 20, 8, 2, 8
+#: Buckets of the table of loads (fixed: 8 MB), sketch words of 64 bits, rounds of leaders.
+BUCKET_BITS, SKETCH, ROUNDS = 20, 8, 2
+#: Plain prefix tokens per match asked for beyond the first, and the most matches added for estimated cost.
+PER_MATCH, MOST = 8, 8
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +126,11 @@ def described(docs: DataFrame, loads: np.ndarray, n: int, percent: int) -> DataF
                 place = np.arange(len(s)) - start[text]
                 over = np.where(place < base[text], np.maximum(own - mean - 4 * np.sqrt(mean + 1), 0), 0)
                 cost = np.bincount(text, weights=over, minlength=len(counts)) / np.maximum(base, 1)
-                least = np.clip(1 + np.log2(1 + cost).astype(np.int64), 1, np.minimum(MOST, np.maximum(need, 1)))
-                keep = place < (base + least - 1)[text]
+                least = np.minimum(1 + base // PER_MATCH + np.minimum(np.log2(1 + cost).astype(np.int64), MOST), np.maximum(need, 1))
+                # Of equal texts in a batch only the first brings its prefix along.
+                fresh = np.zeros(len(counts), bool)
+                fresh[np.unique(name, return_index=True)[1]] = True
+                keep = (place < (base + least - 1)[text]) & fresh[text]
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(text[keep], minlength=len(counts)))])
                 prefix = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(s[keep].view(np.int64)))
                 columns = [b.column("doc_id").slice(at, len(counts)), pa.array(name.view(np.int64)), pa.array(size, pa.int64()), pa.array(least, pa.int64())]
@@ -188,6 +194,21 @@ def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return materialize(found.dropDuplicates(["cls"]), "sets")
 
 
+def _several(posts: DataFrame) -> DataFrame:
+    """Distinct postings of the tokens that more than one class has; a row looks only at its neighbours."""
+    w = Window.partitionBy("token").orderBy("cls")
+    other = F.coalesce(F.lag("cls").over(w) != F.col("cls"), F.lit(False)) | F.coalesce(F.lead("cls").over(w) != F.col("cls"), F.lit(False))
+    return posts.select("token", "cls", other.alias("_other")).where("_other").select("token", "cls").dropDuplicates()
+
+
+def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Postings of the classes that have as many as their least demanding partner would ask for."""
+    least = f"(({percent} * size + 99) div 100)"  # the size of the smallest partner
+    asked = F.expr(f"1 + ({least} - ({percent} * {least} + 99) div 100 + 1) div {PER_MATCH}")
+    n = F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    return posts.join(classes.select("cls", asked.alias("_asked")), "cls").withColumn("_n", n).where("_n >= _asked").select("token", "cls")
+
+
 def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id) of every document."""
     known = described(docs, bucket_loads(docs, n), n, percent)
@@ -195,8 +216,10 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     classes = known.where("size > 0").groupBy(*info).agg(F.min("doc_id").alias("doc_id"))
     classes = materialize(classes, "classes")
     tokens = known.where("size > 0").select("cls", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-    thin = materialize(tokens.join(often, "token").groupBy("token", "cls").agg(F.count(F.lit(1)).alias("_n")).drop("_n"), "postings")
+    thin = materialize(_several(tokens), "postings")
+    for _ in range(2):
+        thin = materialize(_enough(thin, classes, percent), "postings")
+        thin = materialize(_several(thin), "postings")
     posts = materialize(thin.join(classes.drop("doc_id"), "cls"), "postings-described")
     near = posts.alias("l").join(posts.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") != F.col("r.cls")) & _may_link(percent), "left_semi")
     live = materialize(near.select("cls").distinct(), "near")
@@ -242,9 +265,9 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataF
     Rows that share a doc_id go or stay together; of rows with equal doc_id and text one stays.
     """
     gone = linked(docs, n, percent).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_h", F.xxhash64("text"))
-    again = Window.partitionBy("doc_id", "_h").orderBy("text")
-    known = left.where("doc_id is not null").withColumn("_k", F.row_number().over(again)).where("_k = 1").drop("_k")
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("_text_hash", F.xxhash64("text"))
+    again = Window.partitionBy("doc_id", "_text_hash").orderBy("text")
+    known = left.where("doc_id is not null").withColumn("_same", F.row_number().over(again)).where("_same = 1").drop("_same")
     return known.unionByName(left.where("doc_id is null")).select(*docs.columns)
 
 
