@@ -82,17 +82,17 @@ def prefix_sums(df: DataFrame, key: str, value: str, out: str, fan: int = 4096)
     """
     from pyspark.sql import Window
 
-    blocks = df.groupBy(F.expr(f"`{key}` div {fan}").alias("_block")).agg(F.sum(value).alias("_sum"))
-    blocks = materialize(blocks, "blocks")
+    block, total, base = f"_{key}_block", f"_{key}_sum", f"_{key}_base"
+    blocks = materialize(df.groupBy(F.expr(f"`{key}` div {fan}").alias(block)).agg(F.sum(value).alias(total)), "blocks")
     if blocks.count() > fan:
-        blocks = prefix_sums(blocks, "_block", "_sum", "_base", fan)
+        blocks = prefix_sums(blocks, block, total, base, fan)
     else:
-        w = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.withColumn("_base", F.coalesce(F.sum("_sum").over(w), F.lit(0)))
-    inner = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy(F.lit(0)).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn(base, F.coalesce(F.sum(total).over(w), F.lit(0)))
+    inner = Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.withColumn("_block", F.expr(f"`{key}` div {fan}"))
-        .join(blocks.select("_block", "_base"), "_block")
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .drop("_block", "_base", "_sum")
+        df.withColumn(block, F.expr(f"`{key}` div {fan}"))
+        .join(blocks.select(block, base), block)
+        .withColumn(out, F.col(base) + F.coalesce(F.sum(value).over(inner), F.lit(0)))
+        .drop(block, base)
     )
