@@ -40,8 +40,9 @@ from peakloom.llm.word_hash import chunks, mix, window_hashes
 SHINGLE, PERCENT = 3, 90
 #: Buckets of the table of loads (fixed: 8 MB), sketch words of 64 bits, rounds of leaders.
 BUCKET_BITS, SKETCH, ROUNDS = 20, 8, 2
-#: Plain prefix tokens per match asked for beyond the first, and the most matches added for estimated cost.
-PER_MATCH, MOST = 8, 8
+#: Plain prefix tokens per match asked for beyond the first, and the most matches added for estimated cost. Beyond
+#: ``LONG`` prefix tokens, where sketches no longer tell sets apart, every second one adds another match.
+PER_MATCH, MOST, LONG = 8, 8, 96
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +127,8 @@ def described(docs: DataFrame, loads: np.ndarray, n: int, percent: int) -> DataF
                 place = np.arange(len(s)) - start[text]
                 over = np.where(place < base[text], np.maximum(own - mean - 4 * np.sqrt(mean + 1), 0), 0)
                 cost = np.bincount(text, weights=over, minlength=len(counts)) / np.maximum(base, 1)
-                least = np.minimum(1 + base // PER_MATCH + np.minimum(np.log2(1 + cost).astype(np.int64), MOST), np.maximum(need, 1))
+                least = 1 + base // PER_MATCH + np.maximum(base - LONG, 0) // 2
+                least = np.minimum(least + np.minimum(np.log2(1 + cost).astype(np.int64), MOST), np.maximum(need, 1))
                 # Of equal texts in a batch only the first brings its prefix along.
                 fresh = np.zeros(len(counts), bool)
                 fresh[np.unique(name, return_index=True)[1]] = True
@@ -204,7 +206,8 @@ def _several(posts: DataFrame) -> DataFrame:
 def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Postings of the classes that have as many as their least demanding partner would ask for."""
     least = f"(({percent} * size + 99) div 100)"  # the size of the smallest partner
-    asked = F.expr(f"1 + ({least} - ({percent} * {least} + 99) div 100 + 1) div {PER_MATCH}")
+    base = f"({least} - ({percent} * {least} + 99) div 100 + 1)"
+    asked = F.expr(f"1 + {base} div {PER_MATCH} + greatest({base} - {LONG}, 0) div 2")
     n = F.count(F.lit(1)).over(Window.partitionBy("cls"))
     return posts.join(classes.select("cls", asked.alias("_asked")), "cls").withColumn("_n", n).where("_n >= _asked").select("token", "cls")
 
