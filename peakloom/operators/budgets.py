@@ -6,17 +6,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import kernels
+from peakloom.operators import scoring, stats
 
 DRAWS, SEED = 25, 42
 
 
-def residuals(tracks: DataFrame) -> DataFrame:
-    """Null template: each track less the positive part of the samples' mean at the locus."""
-    means = tracks.groupBy("chrom", "start").agg(F.greatest(F.avg("value"), F.lit(0.0)).alias("_m"))
+def residuals(tracks: DataFrame, means: DataFrame | None = None) -> DataFrame:
+    """Null template: each track less the positive part of the samples' mean at the locus, plain or (``mean`` of ``means``) weighted."""
+    means = tracks.groupBy("chrom", "start").agg(F.avg("value").alias("mean")) if means is None else means
+    means = means.select("chrom", "start", F.greatest("mean", F.lit(0.0)).alias("_m"))
     return tracks.join(means, ["chrom", "start"]).withColumn("value", F.col("value") - F.col("_m")).drop("_m")
 
 
@@ -65,6 +68,55 @@ def bootstrap_budget(scores: DataFrame, draws: int = DRAWS, seed: int = SEED, la
     return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max(F.when(F.col("draw") == 0, F.col("ess"))).alias("ess"), own.alias("observed"), null.alias("null"), F.least(F.greatest(own - null, F.lit(0.0)), F.lit(1.0)).alias("fraction"))
 
 
+def matrix_budget(
+    tracks: DataFrame, scores: DataFrame, draws: int = DRAWS, seed: int = SEED, lag: int = 101, threshold_z: float = 2.0,
+    lower_z: float = 1.0, prior_df: float = scoring.PRIOR_DF, min_effect: float | None = None,
+) -> DataFrame:
+    """``bootstrap_budget`` for scores that are weighted means: every draw bends the samples' residual tracks and scores them anew.
+
+    ``tracks`` are centred and without baseline (as of ``scoring.moderated``), ``scores`` has their mean and score per locus. (contig, draw,
+    sample) is the unit of work. A draw's generator is walked through its samples in order, so a group passes over the noise of those before its own.
+    All draws count; there is no early stop.
+    """
+    template = residuals(tracks.select("chrom", "sample_id", "start", "value"), scores)
+    template = template.select("chrom", "sample_id", "start", "value").persist(StorageLevel.DISK_ONLY)
+    score = lambda t, by=(): stats.combine(scoring.moderated(t, prior_df, background=None, by=by), lower_z, min_effect, by)
+    fitted = score(template)
+    off = fitted.join(fitted.groupBy("chrom").agg(F.median("score").alias("centre")), "chrom").withColumn("_d", F.col("score") - F.col("centre"))
+    # The mirrored values' median is 0, so their MAD is the median of the absolute ones.
+    scale = F.greatest(1.4826 * F.median(F.when(F.col("_d") <= 0, -F.col("_d"))), F.lit(1e-6))
+    limits = off.groupBy("chrom").agg(F.first("centre").alias("centre"), scale.alias("scale"))
+    limits = limits.withColumn("threshold", F.col("centre") + threshold_z * F.col("scale")).persist(StorageLevel.DISK_ONLY)
+
+    def bend(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("start", ignore_index=True)
+        n = len(own)
+        b = int(max(1, min(n - 1, max(8, lag))))
+        rng = np.random.default_rng(seed + 104729 * int(own["draw"].iloc[0]))
+        for _ in range(int(own["place"].iloc[0])):
+            rng.standard_normal(n + 2 * b)
+        weights = kernels.wild_weights(n, b, rng) if n > 1 else np.ones(n)
+        return own.assign(value=own["value"] * weights)[["chrom", "draw", "sample_id", "start", "value"]]
+
+    def independent(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("start", ignore_index=True)
+        n = len(own)
+        soft = np.maximum(own["score"].to_numpy(float) - own["centre"].iloc[0], 0.0) / own["scale"].iloc[0]
+        ess, _, _ = kernels.effective_size(soft, min(n - 1, max(16, 4 * min(n, lag))))
+        return pd.DataFrame({"chrom": own["chrom"].iloc[:1], "ess": [ess], "n_loci": [n], "observed": [float((own["score"] > own["threshold"]).mean())]})
+
+    samples = template.select("chrom", "sample_id").distinct()
+    samples = samples.withColumn("place", F.row_number().over(Window.partitionBy("chrom").orderBy("sample_id")) - 1)
+    each = template.join(samples, ["chrom", "sample_id"]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    bent = each.groupBy("chrom", "draw", "sample_id").applyInPandas(bend, "chrom string, draw int, sample_id string, start long, value double")
+    drawn = score(bent, ("draw",)).join(limits, "chrom")
+    null = drawn.groupBy("chrom", "draw").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("share")).groupBy("chrom").agg(F.avg("share").alias("null"))
+    seen = scores.select("chrom", "start", "score").join(limits, "chrom")
+    own = seen.groupBy("chrom").applyInPandas(independent, "chrom string, ess double, n_loci long, observed double")
+    beyond = F.least(F.greatest(F.col("observed") - F.col("null"), F.lit(0.0)), F.lit(1.0))
+    return own.join(null, "chrom").select("chrom", "n_loci", "ess", "observed", "null", beyond.alias("fraction"))
+
+
 def fit_beta_prior(successes: np.ndarray, totals: np.ndarray, centre: float = 0.05, strength: float = 10.0) -> tuple[float, float]:
     """Beta-binomial prior by Newton steps on the logs of its parameters; a near-certain one where rates vary no more than chance would."""
     if not len(successes):

@@ -12,10 +12,10 @@ from peakloom.operators import stats
 PRIOR_DF, WINDOW, BACKGROUND = 5.0, 31, 101
 
 
-def moderated(tracks: DataFrame, prior_df: float = PRIOR_DF, window: int = WINDOW, background: int | None = BACKGROUND) -> DataFrame:
+def moderated(tracks: DataFrame, prior_df: float = PRIOR_DF, window: int = WINDOW, background: int | None = BACKGROUND, by: tuple[str, ...] = ()) -> DataFrame:
     """Per track: value less its baseline, its local variance, the variance's trend, and both moderated into one.
 
-    A track (one sample on one contig) is a group; samples and contigs spread over tasks.
+    A track (one sample on one contig, and one value of each of the whole numbers ``by``) is a group; they spread over tasks.
     """
 
     def track(own: pd.DataFrame) -> pd.DataFrame:
@@ -27,10 +27,10 @@ def moderated(tracks: DataFrame, prior_df: float = PRIOR_DF, window: int = WINDO
             y = y - kernels.baseline(y, background)
         raw = kernels.local_variance(y, window)
         prior = raw.copy() if len(y) < 5 else kernels.variance_trend(y, raw)
-        return own.assign(value=y, raw=raw, prior=prior, moderated=kernels.shrunk(raw, prior, prior_df, window))[["chrom", "sample_id", "start", "value", "raw", "prior", "moderated"]]
+        return own.assign(value=y, raw=raw, prior=prior, moderated=kernels.shrunk(raw, prior, prior_df, window))[["chrom", *by, "sample_id", "start", "value", "raw", "prior", "moderated"]]
 
-    schema = "chrom string, sample_id string, start long, value double, raw double, prior double, moderated double"
-    return tracks.select("chrom", "sample_id", "start", "value").groupBy("chrom", "sample_id").applyInPandas(track, schema)
+    schema = f"chrom string, {''.join(f'{k} int, ' for k in by)}sample_id string, start long, value double, raw double, prior double, moderated double"
+    return tracks.select("chrom", *by, "sample_id", "start", "value").groupBy("chrom", *by, "sample_id").applyInPandas(track, schema)
 
 
 def score_loci(matrix: DataFrame, lower_z: float = 1.0, prior_df: float = PRIOR_DF, min_effect: float | None = None) -> DataFrame:

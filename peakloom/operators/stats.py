@@ -114,14 +114,14 @@ def isotonic_trend(bins: DataFrame) -> DataFrame:
     return bins.join(fit, [*key, "bin"])
 
 
-def combine(tracks: DataFrame, lower_z: float = 1.0, min_effect: float | None = None) -> DataFrame:
-    """Inverse-variance weighted mean over samples per locus, its error, and the score.
+def combine(tracks: DataFrame, lower_z: float = 1.0, min_effect: float | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Inverse-variance weighted mean over samples per locus (and per value of ``by``), its error, and the score.
 
     ``tracks`` has value, raw, prior and moderated variances; sums are taken before and after the shuffle.
     """
     inverse = lambda c: F.count(F.lit(1)) / F.sum(1 / F.col(c))
     weight = F.sum(1 / F.col("moderated"))
-    out = tracks.groupBy("chrom", "start").agg(
+    out = tracks.groupBy("chrom", *by, "start").agg(
         (F.sum(F.col("value") / F.col("moderated")) / weight).alias("mean"), F.sqrt(1 / weight).alias("standard_error"),
         inverse("raw").alias("raw_variance"), inverse("prior").alias("prior_variance"), inverse("moderated").alias("moderated_variance"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,31 +69,37 @@ def sample_signal(reads: DataFrame, s: Settings) -> DataFrame:
     return coverage.trimmed(coverage.scaled(counts, found.select("sample_id", factor.alias("factor")), s.round_digits))
 
 
-def scores(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
-    """(chrom, start, score): weighted means of BAM samples, or the median of given tracks."""
+def scores(spark: SparkSession, paths: list[str], s: Settings) -> tuple[DataFrame, DataFrame | None]:
+    """(chrom, start, score) and the tracks behind it: weighted means of BAM samples, or the median of given tracks, which needs none."""
     kind = input_kind(paths)
     if kind == "bam":
         spark.dataSource.register(bam.BamSource)
         reads = spark.read.format("bam").load(",".join(paths))
-        return scoring.score_loci(coverage.matrix(sample_signal(reads, s), s.step), s.lower_bound_z, s.prior_df, s.min_effect).select("chrom", "start", "score")
+        tracks = scoring.moderated(stats.centred_log(coverage.matrix(sample_signal(reads, s), s.step)), s.prior_df).persist(StorageLevel.DISK_ONLY)
+        return stats.combine(tracks, s.lower_bound_z, s.min_effect), tracks
     if kind == "bigwig":
         spark.dataSource.register(bigwig.BigWigSource)
         both = spark.read.format("bigwig").load(",".join(paths))
     else:
         both = reduce(DataFrame.unionByName, [text.read_signal(spark, p, str(i)) for i, p in enumerate(paths)])
     both = read_ops.on_chromosomes(both, s.chroms, s.skip_chroms)
-    return stats.central(coverage.matrix(both.drop("end")), "median").select("chrom", "start", F.col("value").alias("score"))
+    return stats.central(coverage.matrix(both.drop("end")), "median").select("chrom", "start", F.col("value").alias("score")), None
 
 
 def call(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
     """Selected regions, merged."""
-    found = coverage.check_finite(scores(spark, paths, s), "score")
+    found, tracks = scores(spark, paths, s)
+    found = coverage.check_finite(found, "score")
     gamma = s.gamma
     if gamma is None:
         gamma = float(chain.gamma(found).agg(F.avg("gamma")).first()[0] or 1.0)
     if s.penalty is not None:
         return intervals.selected_regions(chain.select(found, gamma, penalty=s.penalty), s.step, s.min_length)
-    raw = budgets.shrunk_budgets(budgets.bootstrap_budget(found, s.null_draws, s.seed), s.posterior_quantile)
+    if tracks is None:
+        shares = budgets.bootstrap_budget(found, s.null_draws, s.seed)
+    else:
+        shares = budgets.matrix_budget(tracks, found, s.null_draws, s.seed, lower_z=s.lower_bound_z, prior_df=s.prior_df, min_effect=s.min_effect)
+    raw = budgets.shrunk_budgets(shares, s.posterior_quantile)
     wide = None
     if s.budget is not None:
         n = found.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,7 @@ Doubles are rounded to six digits on both sides, as sums may associate different
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -509,8 +510,9 @@ def eb_budgets(spark, sf_dir):
 @query()
 def consensus_peaks(spark, sf_dir):
     """Reads to regions with estimated budgets: scoring, bootstrap, shrinkage, calibrated chain."""
-    s = scoring.score_loci(_matrix(spark, sf_dir)).select("chrom", "start", "score")
-    found = budgets.shrunk_budgets(budgets.bootstrap_budget(s))
+    tracks = scoring.moderated(_centred(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
+    s = stats.combine(tracks)
+    found = budgets.shrunk_budgets(budgets.matrix_budget(tracks, s))
     found = found.withColumn("budget", clip(F.col("budget"), 0.005, 0.1))
     return intervals.selected_regions(chain.select(s, 1.0, budgets=found), STEP)
 
