@@ -53,19 +53,19 @@ def bootstrap_budget(scores: DataFrame, draws: int = DRAWS, seed: int = SEED, la
         b = int(min(max(8, lag), max(1, len(s) - 1)))
         k = int(key[1])
         n = len(s)
-        ess, _, _ = kernels.effective_size(np.clip((s - threshold) / scale, 0, 1), min(n - 1, max(16, 4 * min(n, lag))))
+        ess, tau, _ = kernels.effective_size(np.clip((s - threshold) / scale, 0, 1), min(n - 1, max(16, 4 * min(n, lag))))
         if k == 0:
             share = float((s > threshold).mean())
         else:
             rng = np.random.default_rng([seed, k])
             null = centre + np.minimum(s - centre, 0.0) * kernels.wild_weights(n, b, rng)
             share = float((null > threshold).mean())
-        return pd.DataFrame({"chrom": [key[0]], "draw": [k], "share": [share], "ess": [ess], "n": [n]})
+        return pd.DataFrame({"chrom": [key[0]], "draw": [k], "share": [share], "ess": [ess], "tau": [tau], "n": [n]})
 
     each = scores.select("chrom", "start", "score").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    out = each.groupBy("chrom", "draw").applyInPandas(draw, "chrom string, draw int, share double, ess double, n long")
+    out = each.groupBy("chrom", "draw").applyInPandas(draw, "chrom string, draw int, share double, ess double, tau double, n long")
     null, own = F.avg(F.when(F.col("draw") > 0, F.col("share"))), F.max(F.when(F.col("draw") == 0, F.col("share")))
-    return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max(F.when(F.col("draw") == 0, F.col("ess"))).alias("ess"), own.alias("observed"), null.alias("null"), F.least(F.greatest(own - null, F.lit(0.0)), F.lit(1.0)).alias("fraction"))
+    return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max(F.when(F.col("draw") == 0, F.col("ess"))).alias("ess"), F.max(F.when(F.col("draw") == 0, F.col("tau"))).alias("tau"), own.alias("observed"), null.alias("null"), F.least(F.greatest(own - null, F.lit(0.0)), F.lit(1.0)).alias("fraction"))
 
 
 def matrix_budget(
@@ -102,8 +102,8 @@ def matrix_budget(
         own = own.sort_values("start", ignore_index=True)
         n = len(own)
         soft = np.maximum(own["score"].to_numpy(float) - own["centre"].iloc[0], 0.0) / own["scale"].iloc[0]
-        ess, _, _ = kernels.effective_size(soft, min(n - 1, max(16, 4 * min(n, lag))))
-        return pd.DataFrame({"chrom": own["chrom"].iloc[:1], "ess": [ess], "n_loci": [n], "observed": [float((own["score"] > own["threshold"]).mean())]})
+        ess, tau, _ = kernels.effective_size(soft, min(n - 1, max(16, 4 * min(n, lag))))
+        return pd.DataFrame({"chrom": own["chrom"].iloc[:1], "ess": [ess], "tau": [tau], "n_loci": [n], "observed": [float((own["score"] > own["threshold"]).mean())]})
 
     samples = template.select("chrom", "sample_id").distinct()
     samples = samples.withColumn("place", F.row_number().over(Window.partitionBy("chrom").orderBy("sample_id")) - 1)
@@ -112,9 +112,9 @@ def matrix_budget(
     drawn = score(bent, ("draw",)).join(limits, "chrom")
     null = drawn.groupBy("chrom", "draw").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("share")).groupBy("chrom").agg(F.avg("share").alias("null"))
     seen = scores.select("chrom", "start", "score").join(limits, "chrom")
-    own = seen.groupBy("chrom").applyInPandas(independent, "chrom string, ess double, n_loci long, observed double")
+    own = seen.groupBy("chrom").applyInPandas(independent, "chrom string, ess double, tau double, n_loci long, observed double")
     beyond = F.least(F.greatest(F.col("observed") - F.col("null"), F.lit(0.0)), F.lit(1.0))
-    return own.join(null, "chrom").select("chrom", "n_loci", "ess", "observed", "null", beyond.alias("fraction"))
+    return own.join(null, "chrom").select("chrom", "n_loci", "ess", "tau", "observed", "null", beyond.alias("fraction"))
 
 
 def fit_beta_prior(successes: np.ndarray, totals: np.ndarray, centre: float = 0.05, strength: float = 10.0) -> tuple[float, float]:

@@ -8,33 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions import kernels
+from peakloom.functions.columns import clip
 
 
-def gamma(scores: DataFrame, window: int = 101, floor: float = 1.0) -> DataFrame:
-    """Per contig: half the window's root times the median positive score, at least ``floor``; and the count behind it."""
-    positive = F.col("score") > 0
-    median = F.median(F.when(positive, F.col("score")))
-    n = F.count_if(positive)
-    return scores.groupBy("chrom").agg(F.greatest(F.coalesce(median, F.lit(0.0)), F.lit(floor)).alias("gamma"), n.alias("n_positive"))
+def gamma(scores: DataFrame, times: DataFrame) -> DataFrame:
+    """Per contig: half its autocorrelation time (``tau`` of ``times``), in whole loci, times its median positive score (1 without any), within 0.5 and 10."""
+    median = F.coalesce(F.median(F.when(F.col("score") > 0, F.col("score"))), F.lit(1.0))
+    found = scores.groupBy("chrom").agg(median.alias("_scale"), F.count_if(F.col("score") > 0).alias("n_positive"))
+    raw = 0.5 * F.ceil(F.greatest(F.coalesce("tau", F.lit(1.0)), F.lit(1.0))) * F.col("_scale")
+    return found.join(times.select("chrom", "tau"), "chrom", "left").select("chrom", clip(raw, 0.5, 10.0).alias("gamma"), "n_positive")
 
 
-def select(scores: DataFrame, gamma: float = 1.0, penalty: float | None = None, budgets: DataFrame | None = None) -> DataFrame:
+def select(scores: DataFrame, gamma: float | DataFrame = 1.0, penalty: float | None = None, budgets: DataFrame | None = None) -> DataFrame:
     """(chrom, start, score, z, penalty): the best selection at a fixed penalty, or at the least one that meets the contig's budget.
 
-    ``budgets`` has chrom and the share of loci that may be selected. A contig is one group: a genome's
+    ``gamma``, what a switch costs, is one number or has chrom and gamma. ``budgets`` has chrom and the share of loci that may be selected. A contig is one group: a genome's
     largest has some millions of loci, a few hundred MB here.
     """
     if (penalty is None) == (budgets is None):
         raise ValueError("give a penalty or budgets")
     rows = scores.select("chrom", "start", "score")
     rows = rows.withColumn("budget", F.lit(None).cast("double")) if budgets is None else rows.join(budgets.select("chrom", "budget"), "chrom")
+    rows = rows.join(gamma.select("chrom", "gamma"), "chrom") if isinstance(gamma, DataFrame) else rows.withColumn("gamma", F.lit(float(gamma)))
 
     def solve(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("start", ignore_index=True)
         s = own["score"].to_numpy(float)
         if not np.isfinite(s).all():
             raise ValueError("scores must be finite")
-        costs = np.full(max(len(s) - 1, 0), gamma)
+        costs = np.full(max(len(s) - 1, 0), own["gamma"].iloc[0])
         p = penalty
         if p is None:
             p = kernels.calibrate(s, costs, int(np.floor(len(s) * own["budget"].iloc[0])))

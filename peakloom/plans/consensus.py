@@ -90,15 +90,16 @@ def call(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
     """Selected regions, merged."""
     found, tracks = scores(spark, paths, s)
     found = coverage.check_finite(found, "score")
-    gamma = s.gamma
-    if gamma is None:
-        gamma = float(chain.gamma(found).agg(F.avg("gamma")).first()[0] or 1.0)
+    shares = None
+    if s.gamma is None or s.penalty is None:
+        if tracks is None:
+            shares = budgets.bootstrap_budget(found, s.null_draws, s.seed)
+        else:
+            shares = budgets.matrix_budget(tracks, found, s.null_draws, s.seed, lower_z=s.lower_bound_z, prior_df=s.prior_df, min_effect=s.min_effect)
+        shares = shares.persist(StorageLevel.DISK_ONLY)
+    gamma = chain.gamma(found, shares) if s.gamma is None else s.gamma
     if s.penalty is not None:
         return intervals.selected_regions(chain.select(found, gamma, penalty=s.penalty), s.step, s.min_length)
-    if tracks is None:
-        shares = budgets.bootstrap_budget(found, s.null_draws, s.seed)
-    else:
-        shares = budgets.matrix_budget(tracks, found, s.null_draws, s.seed, lower_z=s.lower_bound_z, prior_df=s.prior_df, min_effect=s.min_effect)
     raw = budgets.shrunk_budgets(shares, s.posterior_quantile)
     wide = None
     if s.budget is not None:

@@ -370,7 +370,10 @@ def autocov_lags(spark, sf_dir):
 
 @query("""SELECT chrom, round(greatest(coalesce(median(score) FILTER (WHERE score>0),0),1),6) AS gamma, count(*) FILTER (WHERE score>0) AS n_positive FROM scores GROUP BY 1""", "scores")
 def gamma_auto(spark, sf_dir):
-    return chain.gamma(_scores(spark, sf_dir)).select("chrom", _r("gamma", "gamma"), "n_positive")
+    """The short form that its SQL has (median positive score, at least 1); the plans use ``chain.gamma``."""
+    positive = F.when(F.col("score") > 0, F.col("score"))
+    found = _scores(spark, sf_dir).groupBy("chrom").agg(F.greatest(F.coalesce(F.median(positive), F.lit(0.0)), F.lit(1.0)).alias("gamma"), F.count(positive).alias("n_positive"))
+    return found.select("chrom", _r("gamma", "gamma"), "n_positive")
 
 
 @query("""SELECT chrom, round(least(greatest((count(*) FILTER (WHERE score>1))/count(*)::DOUBLE*2,0.005::DOUBLE),0.1::DOUBLE),6) AS budget FROM scores GROUP BY 1""", "scores")
@@ -512,9 +515,10 @@ def consensus_peaks(spark, sf_dir):
     """Reads to regions with estimated budgets: scoring, bootstrap, shrinkage, calibrated chain."""
     tracks = scoring.moderated(_centred(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
     s = stats.combine(tracks)
-    found = budgets.shrunk_budgets(budgets.matrix_budget(tracks, s))
+    shares = budgets.matrix_budget(tracks, s).persist(StorageLevel.DISK_ONLY)
+    found = budgets.shrunk_budgets(shares)
     found = found.withColumn("budget", clip(F.col("budget"), 0.005, 0.1))
-    return intervals.selected_regions(chain.select(s, 1.0, budgets=found), STEP)
+    return intervals.selected_regions(chain.select(s, chain.gamma(s, shares), budgets=found), STEP)
 
 
 @query()
