@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.operators import intervals, stats
+from peakloom.operators import intervals, reads as reads_of, stats
+
+#: Contigs whose reads don't tell a sample's depth.
+SKIP = ("chrX", "chrY", "chrM")
 
 
 def length_bins(lengths: list[int], most: int = 24, least_width: int = 100) -> dict[int, int]:
@@ -44,21 +47,33 @@ def counted(regions: DataFrame, reads: DataFrame, samples: DataFrame) -> DataFra
     return cells.join(found, ["chrom", "start", "end", "sample_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def narrow_peaks(regions: DataFrame, reads: DataFrame, sizes: DataFrame, draws: int = 250, seed: int = 42, bins: int = 24) -> DataFrame:
+def sample_scales(aligned: DataFrame, genome: float, skip: tuple[str, ...] = SKIP) -> DataFrame:
+    """(sample_id, scale): what brings each sample's reads outside ``skip`` to one cover of the genome."""
+    used = F.count_if(~reads_of.has(4) & ~F.coalesce(F.col("chrom").isin(*skip), F.lit(False)))
+    found = aligned.groupBy("sample_id").agg(used.alias("mapped")).join(reads_of.mapped_lengths(aligned), "sample_id", "left")
+    return found.select("sample_id", (F.lit(float(genome)) / F.greatest(F.col("mapped") * F.coalesce("length", F.lit(1)), F.lit(1))).alias("scale"))
+
+
+def narrow_peaks(
+    regions: DataFrame, reads: DataFrame, sizes: DataFrame, draws: int = 250, seed: int = 42, bins: int = 24,
+    aligned: DataFrame | None = None, genome: float | None = None, skip: tuple[str, ...] = SKIP,
+) -> DataFrame:
     """Regions with signal, p, q and display score, against random regions of about their length.
 
-    All lengths' random regions and all regions are counted by one tiled join.
+    Counts of regions and random regions are scaled by each sample's depth: that of ``aligned`` (all alignments; by default ``reads``)
+    outside the contigs ``skip``, against ``genome`` (by default the other contigs' sizes). Each kind is counted by one tiled join.
     """
     spark = regions.sparkSession
     regions = regions.select("chrom", "start", "end").distinct()
-    samples = reads.select("sample_id").distinct()
     known = {r["chrom"]: r["size"] for r in sizes.orderBy("ord").collect()}
+    genome = sum(x for c, x in known.items() if c not in skip) if genome is None else genome
+    scales = sample_scales(reads if aligned is None else aligned, genome, skip)
     lengths = [r[0] for r in regions.select(F.col("end") - F.col("start")).distinct().collect()]
     stands = length_bins(lengths, bins)
     null = [(c, s, e, k) for k in sorted(set(stands.values())) for c, s, e in random_regions(known, k, draws, seed)]
     null = spark.createDataFrame(null, "chrom string, start long, end long, bin long")
     own = spark.createDataFrame(list(stands.items()), "length long, bin long")
-    stat = lambda x: stats.peak_signal(counted(x, reads, samples))
+    stat = lambda x: stats.peak_signal(counted(x, reads, scales).withColumn("n", F.col("n") * F.col("scale")))
     null_stat = stat(null.select("chrom", "start", "end").distinct()).join(null, ["chrom", "start", "end"]).select("bin", "value")
     seen = stat(regions).withColumn("length", F.col("end") - F.col("start")).join(F.broadcast(own), "length")
     scored = stats.q_values(stats.survival(seen, null_stat, "bin"))

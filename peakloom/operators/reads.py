@@ -93,3 +93,14 @@ def integer_median(values: DataFrame, column: str, by: list[str], order: list[st
     w = Window.partitionBy(*by).orderBy(*order)
     head = values.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
     return head.groupBy(*by).agg(F.floor(F.median(column)).cast("long").alias("length"))
+
+
+def mapped_lengths(reads: DataFrame, first: int = 1000) -> DataFrame:
+    """(sample_id, length): 75th percentile of the lengths of each sample's first fine reads by ``rec_no``, as a whole number."""
+    from pyspark.sql import Window
+
+    size = F.col("qlen") if "qlen" in reads.columns else F.col("end") - F.col("start")
+    fine = reads.where(~has(2308) & (F.col("mapq") >= MIN_MAPQ)).select("sample_id", "rec_no", "start", "end", size.alias("_size"))
+    w = Window.partitionBy("sample_id").orderBy("rec_no", "start", "end")
+    head = fine.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
+    return head.groupBy("sample_id").agg(F.floor(F.percentile("_size", F.lit(0.75))).alias("length"))

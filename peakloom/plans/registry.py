@@ -467,6 +467,7 @@ _STAT = """c AS (SELECT p.chrom, p."start", p."end", r.sample_id, count(*) AS n
 
 
 def _stat(spark, sf_dir) -> DataFrame:
+    """Raw counts of the samples that overlap, as the SQL has it; ``peaks.narrow_peaks`` scales counts and has zeros."""
     return stats.peak_signal(intervals.overlap_counts(views.regions(spark, sf_dir), read_ops.keep(views.reads(spark, sf_dir))))
 
 
@@ -523,8 +524,8 @@ def consensus_peaks(spark, sf_dir):
 
 @query()
 def narrowpeak_full(spark, sf_dir):
-    kept = read_ops.keep(views.reads(spark, sf_dir))
-    return peaks.narrow_peaks(_peaks(spark, sf_dir), kept, views.chrom_sizes(spark, sf_dir))
+    reads = views.reads(spark, sf_dir)
+    return peaks.narrow_peaks(_peaks(spark, sf_dir), read_ops.keep(reads), views.chrom_sizes(spark, sf_dir), aligned=reads)
 
 
 def queries() -> dict:
