@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template svg math iframe object canvas head title textarea select button audio video map datalist".split())
+#: What an open head may hold; anything else, and text, ends it, as does <body> wherever in it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these, unless an element of the second set lies between.
@@ -45,6 +48,8 @@ class Page(HTMLParser):
 
     ``flow`` holds (node, text) and, between blocks, None. Inline elements are part
     of their block, but for those whose attributes name something to leave out.
+    ``unseen`` has what is open from the outermost unseen element on: the end tag of any of
+    it closes what lies within, that of an element around it closes all of it.
     """
 
     def __init__(self, html: str):
@@ -52,7 +57,9 @@ class Page(HTMLParser):
         self.tag, self.parent, self.depth, self.tokens, self.truth = ["#page"], [-1], [0], [()], [None]
         self.flow: list = []
         self.stack: list[tuple[str, int]] = [("#page", 0)]
-        self.unseen, self.links, self.n_tags = 0, 0, [0]
+        self.unseen: list[str] = []
+        self.inline: Counter = Counter()
+        self.links, self.n_tags = 0, [0]
         self.own, self.own_links = [0], [0]
         self.feed(html)
         self.close()
@@ -82,12 +89,11 @@ class Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
-        if self.unseen:
-            if tag in UNSEEN and tag not in VOID:
-                self.unseen += 1
-            return
-        if tag in UNSEEN:
-            self.unseen = 1
+        if self.unseen and self.unseen[0] == "head" and (tag == "body" or len(self.unseen) == 1 and tag not in IN_HEAD):
+            self.unseen.clear()
+        if self.unseen or tag in UNSEEN:
+            if tag not in VOID:
+                self.unseen.append(tag)
             return
         self.n_tags[self.stack[-1][1]] += 1
         if tag in VOID:
@@ -105,6 +111,7 @@ class Page(HTMLParser):
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 tokens += ("notice",)
         if tag in INLINE:
+            self.inline[tag] += 1
             if any(k != "main" for k in tokens) or truth is not None:
                 self._open(tag, tokens, truth)
             return
@@ -117,20 +124,26 @@ class Page(HTMLParser):
         self._open(tag, tokens, truth)
 
     def handle_startendtag(self, tag, attrs):
+        before = len(self.unseen)
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in UNSEEN:
+        if len(self.unseen) > before:
+            self.unseen.pop()
+        elif tag not in VOID and tag not in UNSEEN:
             self.handle_endtag(tag)
-        elif tag in UNSEEN and self.unseen:
-            self.unseen -= 1
 
     def handle_endtag(self, tag):
         if self.unseen:
-            if tag in UNSEEN:
-                self.unseen -= 1
-            return
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+                return
+            if not self.inline[tag] and all(t != tag for t, _ in self.stack):
+                return
+            self.unseen.clear()
         if tag == "a":
             self.links = 0
         if tag in INLINE:
+            self.inline[tag] = max(self.inline[tag] - 1, 0)
             if self.stack[-1][0] == tag:
                 self.stack.pop()
             return
@@ -141,6 +154,8 @@ class Page(HTMLParser):
             self.flow.append(None)
 
     def handle_data(self, data):
+        if self.unseen == ["head"] and data.strip():
+            self.unseen.clear()
         if self.unseen:
             return
         node = self.stack[-1][1]
