@@ -43,6 +43,15 @@ def extended(reads: DataFrame, length: int, shift_forward: int = 0, shift_revers
     return reads.withColumns({"start": F.greatest(first, F.lit(0)), "end": first + length})
 
 
+def paired_samples(reads: DataFrame, first: int = 1000) -> DataFrame:
+    """(sample_id, paired): whether any of each sample's first reads by ``rec_no`` is of a pair."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sample_id").orderBy("rec_no")
+    head = reads.select("sample_id", "rec_no", "flag").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
+    return head.groupBy("sample_id").agg(F.bool_or(has(PAIRED)).alias("paired"))
+
+
 def fragment_spans(pairs: DataFrame) -> DataFrame:
     """Whole templates: rightwards of the start for lengths above 0, leftwards of the end below."""
     size = F.abs("tlen")

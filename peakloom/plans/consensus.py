@@ -57,10 +57,20 @@ def input_kind(paths: list[str]) -> str:
 
 
 def sample_signal(reads: DataFrame, s: Settings) -> DataFrame:
-    """Scaled coverage per sample; the mapped reads that scale it leave out some contigs and no flags."""
+    """Scaled coverage per sample; the mapped reads that scale it leave out some contigs and no flags.
+
+    An ``extend`` of 0 counts the whole fragments of paired ends; single ends, whose length isn't inferred yet, are refused.
+    """
+    if s.extend == 0:
+        single = [r["sample_id"] for r in read_ops.paired_samples(reads).where("not paired").collect()]  # one row per input file
+        if single:
+            raise ValueError(f"extend 0 needs paired ends; give a length for {', '.join(sorted(single))}")
     reads = read_ops.on_chromosomes(reads, s.chroms, s.skip_chroms)
     kept = read_ops.keep(reads, max(s.flag_include, 0), s.flag_exclude, s.min_mapq)
-    spans = read_ops.extended(kept, s.extend) if s.extend > 0 else kept
+    if s.extend == 0:
+        spans = read_ops.fragment_spans(read_ops.proper_fragments(kept))
+    else:
+        spans = read_ops.extended(kept, s.extend) if s.extend > 0 else kept
     spans = read_ops.centres(spans) if s.center_reads else spans
     counts = coverage.binned(spans, s.step).select("chrom", "sample_id", "start", F.col("n").cast("double").alias("value"))
     used = read_ops.on_chromosomes(reads, skip=s.ignore_for_norm).where(~read_ops.has(4))
