@@ -1,6 +1,6 @@
 """DuckDB SQL for the registered corpus queries that SQL can express."""
 
-from peakloom.llm.quality_rules import ALPHA, DELTA, GRID, MAX_REPEAT_PERCENT, MIN_WORDS
+from peakloom.llm.quality_rules import ALPHA, DELTA, GRID, LEVELS, MAX_REPEAT_PERCENT, MIN_WORDS
 from peakloom.llm.secret_scan import RULES
 
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -11,7 +11,7 @@ SELECT page_id, b::BIGINT AS payload_bytes, list_reduce(list_transform(range(32)
  + (strpos('0123456789abcdef', substr(x, 5*(i//4)+3, 1))-1)*256 + (strpos('0123456789abcdef', substr(x, 5*(i//4)+4, 1))-1)*16 + (strpos('0123456789abcdef', substr(x, 5*(i//4)+5, 1))-1)) // (32768 >> (5*(i%4))::INT)) % 32, 1)), lambda a, c: a || c) AS payload_digest,
 CASE WHEN k=1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k>1 THEN top END AS refers_to FROM d"""
 
-_GRID = ", ".join(f"('{f}', {i}, {c}::DOUBLE)" for f, grid in GRID.items() for i, c in enumerate(grid))
+_GRID = ", ".join(f"({i}, {', '.join(f'{grid[i]}::DOUBLE' for grid in GRID.values())})" for i in range(LEVELS))
 _OP6 = rf"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text,'') AS t, {_WORDS.format("coalesce(text,'')")} AS w FROM documents),
 win AS (SELECT r, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w)-3)) AS i FROM w WHERE len(w)>=5)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c>1),
@@ -20,14 +20,15 @@ f AS (SELECT w.r, doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(lis
  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, len(string_split(t, chr(10))) AS n_lines, coalesce(rep.n,0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep ON w.r=rep.r),
 g AS (SELECT *, (len(l)-len(list_distinct(l)))::BIGINT AS n_dup_lines, n_words<{MIN_WORDS} OR 100*n_repeat_words>{MAX_REPEAT_PERCENT}*n_words AS base_failed FROM f),
 h AS (SELECT *, {{'symbol_share': n_symbols/greatest(word_chars,1)::DOUBLE, 'dup_line_share': n_dup_lines/n_lines::DOUBLE, 'repeat_share': n_repeat_words/greatest(n_words,1)::DOUBLE, 'mean_word_chars': word_chars/greatest(n_words,1)::DOUBLE}} AS x FROM g),
-v AS (SELECT r, lang, base_failed, doc_id, unnest(['symbol_share','dup_line_share','repeat_share','mean_word_chars']) AS feature, unnest([x.symbol_share,x.dup_line_share,x.repeat_share,x.mean_word_chars]) AS value FROM h),
-grid(feature, ord, cut) AS (VALUES {_GRID}),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING min(quality)=1),
-c AS (SELECT v.lang, v.feature, grid.ord, grid.cut, count(*) AS n, count(*) FILTER (WHERE value>cut) AS k FROM v JOIN good USING (doc_id) JOIN grid ON v.feature=grid.feature WHERE NOT base_failed GROUP BY ALL),
-tails AS (SELECT *, CASE WHEN k>=n*{ALPHA / len(GRID)!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(k+1), lambda i: exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1)+i*ln({ALPHA / len(GRID)!r}::DOUBLE)+(n-i)*ln(1-{ALPHA / len(GRID)!r}::DOUBLE)))) END AS p FROM c),
-cuts AS (SELECT lang, feature, arg_min(cut, ord) AS cut FROM tails WHERE p<={DELTA!r}::DOUBLE/((SELECT count(*) FROM (SELECT DISTINCT coalesce(lang,'') FROM c))*{sum(map(len, GRID.values()))}) GROUP BY 1,2),
-bad AS (SELECT DISTINCT v.r FROM v JOIN cuts ON v.lang IS NOT DISTINCT FROM cuts.lang AND v.feature=cuts.feature WHERE v.value>cuts.cut)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM h"""
+trials AS (SELECT lang, h.doc_id, max(x.symbol_share) AS s, max(x.dup_line_share) AS d, max(x.repeat_share) AS p, max(x.mean_word_chars) AS m FROM h JOIN good ON h.doc_id=good.doc_id WHERE NOT base_failed GROUP BY 1,2),
+grid(level, s, d, p, m) AS (VALUES {_GRID}),
+c AS (SELECT t.lang, grid.level, count(*) AS n, count(*) FILTER (WHERE t.s>grid.s OR t.d>grid.d OR t.p>grid.p OR t.m>grid.m) AS k FROM trials t, grid GROUP BY ALL),
+tails AS (SELECT *, CASE WHEN k>=n*{ALPHA!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(k+1), lambda i: exp(lgamma(n+1)-lgamma(i+1)-lgamma(n-i+1)+i*ln({ALPHA!r}::DOUBLE)+(n-i)*ln(1-{ALPHA!r}::DOUBLE)))) END AS q FROM c),
+proven AS (SELECT lang, level, bool_and(q<={DELTA!r}::DOUBLE/(SELECT count(DISTINCT coalesce(lang,'')) FROM c)) OVER (PARTITION BY lang ORDER BY level DESC) AS ok FROM tails),
+cuts AS (SELECT lang, min(level) AS level FROM proven WHERE ok GROUP BY 1)
+SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(x.symbol_share>grid.s OR x.dup_line_share>grid.d OR x.repeat_share>grid.p OR x.mean_word_chars>grid.m, false) AS kept
+FROM h LEFT JOIN cuts ON h.lang IS NOT DISTINCT FROM cuts.lang LEFT JOIN grid ON grid.level=cuts.level"""
 
 
 def _spans(rule, rank: int) -> str:

@@ -1,23 +1,29 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions alone.
 
 Every text gets counts over its whole length. A fixed base rule rejects the
-obviously broken. Beyond it, each feature may reject through a cutoff, and a
-cutoff counts only if labelled documents prove it harmless: over the good
-labelled documents of a stratum, the exact binomial test of "this cutoff
-rejects more than ``alpha`` of the good ones" must have a p-value of at most
-``delta`` divided by the number of all hypotheses (features, grid steps and
-strata: Bonferroni). The strictest cutoff that is proven is used; a stratum
-without enough labels keeps everything that the base rule keeps.
+obviously broken. Beyond it, a ladder of levels tightens a cutoff of every feature
+step by step, and a level counts only if labelled documents prove it harmless: over the
+good labelled documents of a stratum, the exact binomial test of "this level's
+cutoffs together reject more than ``alpha`` of the good ones" must have a p-value of at
+most ``delta`` over the number of strata. A stratum's levels are tested in a fixed order, loosest
+first, up to the first that is not proven, so they need no further correction, and strata are
+corrected for by Bonferroni: the chance that any stratum loses more than ``alpha``
+of its good documents is at most ``delta``. The strictest proven level is used; a stratum
+with too few labels (fewer than ln(delta / strata) / ln(1 - alpha), 144 for four strata) keeps
+everything that the base rule keeps.
 
 Defined results: a null text counts as empty (no words, so the base rule
 rejects it); a null or unlabelled stratum is a stratum of its own; a doc_id
-labelled twice counts as good only if every label says so; repeated rows are
+labelled twice counts as good only if every label says so, and is one trial of a stratum however often
+its rows are repeated there (rejected if any of them is); repeated rows are
 judged each on its own; an empty table gives an empty result. Columns of the
 input are kept as they are unless they clash with the result's names, which win.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +32,9 @@ from peakloom.llm.common import let, materialize, plain_text, table, words
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-#: Share of good documents that all cutoffs together may reject, and the chance of any false proof.
-ALPHA, DELTA = 0.01, 0.05
-#: Feature -> grid of cutoffs, strictest first; a document is rejected above a cutoff.
+#: Share of a stratum's good documents that all cutoffs together may reject, and the chance that any stratum's is exceeded.
+ALPHA, DELTA = 0.03, 0.05
+#: Feature -> its cutoff at each level, strictest first; a document is rejected above a cutoff.
 GRID: dict[str, list[float]] = {
     "symbol_share": [0.02, 0.04, 0.06, 0.08, 0.10, 0.15, 0.20, 0.30, 0.50],
     "dup_line_share": [0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.70],
@@ -137,32 +143,40 @@ def binomial_tail(n: Column, k: Column, p: float, terms: int = 4000) -> Column:
     return F.when(kd >= nd * p, F.lit(1.0)).otherwise(value)
 
 
+LEVELS = len(GRID["symbol_share"])
+
+
+def _over(level: int) -> Column:
+    """Whether any feature is above its cutoff of a level."""
+    return reduce(lambda a, b: a | b, [F.col(f) > grid[level] for f, grid in GRID.items()])
+
+
 def risk_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Per stratum the strictest proven cutoff of each feature (null: none is proven)."""
+    """Per stratum its strictest proven level and that level's cutoffs (null: none is proven), with the labels (n) and those rejected (k) behind it."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_good")).where("_good = 1")
     held = stats.where(~F.col("base_failed")).join(good.select("doc_id"), "doc_id")
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(f) > c).alias(f"{f}_{i}") for f, grid in GRID.items() for i, c in enumerate(grid)],
-    )
+    trials = held.groupBy(F.col(stratum).alias("stratum"), "doc_id").agg(*[F.max(f).alias(f) for f in GRID])
+    counts = trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(_over(i)).alias(f"k_{i}") for i in range(LEVELS)])
     counts = materialize(counts, "rule-counts")
-    strata = counts.count()
-    level = delta / max(1, strata * sum(map(len, GRID.values())))
-    share = alpha / len(GRID)
-    cutoffs = {
-        f: F.coalesce(*[F.when(binomial_tail(F.col("n"), F.col(f"{f}_{i}"), share) <= level, F.lit(c)) for i, c in enumerate(grid)])
-        for f, grid in GRID.items()
-    }
-    return materialize(counts.select("stratum", *[x.alias(f"cut_{f}") for f, x in cutoffs.items()]), "rule-cutoffs")
+    least = delta / max(1, counts.count())
+    loosest_first = [binomial_tail(F.col("n"), F.col(f"k_{i}"), alpha) <= least for i in reversed(range(LEVELS))]
+    tested = counts.select("stratum", "n", F.array(*[f"k_{i}" for i in range(LEVELS)]).alias("ks"), F.array_position(F.array(*loosest_first), False).alias("failed"))
+    # The first level that fails ends the sequence; written, so that each test runs once.
+    tested = materialize(tested, "rule-tests")
+    level = F.when(F.col("failed") == 0, 0).when(F.col("failed") > 1, LEVELS + 1 - F.col("failed")).cast("int")
+    chosen = tested.withColumn("level", level)
+    cutoffs = [F.get(F.array(*map(F.lit, grid)), F.col("level")).alias(f"cut_{f}") for f, grid in GRID.items()]
+    return materialize(chosen.select("stratum", "n", "level", F.get("ks", F.col("level")).alias("k"), *cutoffs), "rule-cutoffs")
 
 
 def apply_rules(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """Adds ``kept``: not failed by the base rule and at or under every proven cutoff of its stratum."""
-    joined = stats.join(cutoffs, stats[stratum].eqNullSafe(cutoffs["stratum"]), "left")
+    cuts = cutoffs.select(F.col("stratum").alias("_stratum"), *[f"cut_{f}" for f in GRID])
+    joined = stats.join(cuts, stats[stratum].eqNullSafe(cuts["_stratum"]), "left")
     over = F.lit(False)
     for f in GRID:
         over = over | F.coalesce(F.col(f) > F.col(f"cut_{f}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("stratum", *[f"cut_{f}" for f in GRID])
+    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_stratum", *[f"cut_{f}" for f in GRID])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -13,11 +13,15 @@ depends on its words alone, and stretches of windows with one symbol are segment
    segment with that symbol, are counted by their words, which decides them exactly.
 
 Texts are known by two hashes of their content, so equal texts share all findings, and
-no row ids are needed. Hashes: 64 bits of a window's words beside 64 of its symbol.
+no row ids are needed. A window is known by 64 bits of its words beside 64 of its symbol, and two windows
+count as equal only if both agree; the words themselves aren't compared again.
+
+Rounds name runs and pairs by hashes of what they stand for, so a name means the same in every task and
+round, and the exchange that a table of names would need in each round falls away.
 
 Defined results: a null text has no words; texts shorter than a window keep all words;
 repeated rows are texts that repeat each other; null and clashing other columns are no
-matter; an empty table gives an empty result. A task holds a batch of texts; counts are
+matter; an empty table gives an empty result; windows of fewer than 1 or more than ``WIDEST`` words are refused. A task holds a batch of texts; counts are
 summed before they are shuffled, and only joins, which Spark splits, bring a hot passage's places together.
 """
 
@@ -35,11 +39,12 @@ from pyspark.sql import types as T
 
 from peakloom.llm.common import materialize, plain_text, table
 from peakloom.llm.recompression import segments
-from peakloom.llm.word_hash import chunks, mix, window_hashes
+from peakloom.llm.word_hash import chunks, window_hashes
 
-WINDOW = 35
-#: A place is 24 bits of a text's CRC, 34 bits of a word's number, 6 bits of a count of windows less one.
-_N, _P = 6, 40
+WINDOW, WIDEST = 35, 1024
+#: A place is 24 bits of a text's CRC, 30 bits of a word's number, 10 bits of a count of windows less one: a text
+#: has fewer than 2**30 words, and a segment's windows all hold one symbol, so they are at most as many as a window's words.
+_N, _P = 10, 40
 _FLUSH = 1_000_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,7 +94,7 @@ def _occurrences(texts: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """(words, k1, k2, first, open) of every window of the segments asked for."""
+    """(symbol, words, k1, k2, first, open) of every window of the segments asked for."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,17 +110,19 @@ def _windows(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                 reach = np.repeat(np.arange(len(text)), n)
                 p = first[reach] + np.arange(len(reach)) - np.repeat(np.cumsum(n) - n, n)
                 g = start[text[reach]] + p
-                key = mix(window_hashes(h, g, g + window) ^ symbol[lo:hi][reach].view(np.uint64))
                 who = at + text[reach]
-                columns = [_long(key), _long(k1[who]), _long(k2[who]), _long(p), pa.array(own[lo:hi][reach].astype(bool))]
-                yield pa.RecordBatch.from_arrays(columns, names=["words", "k1", "k2", "first", "open"])
+                columns = [_long(symbol[lo:hi][reach]), _long(window_hashes(h, g, g + window)), _long(k1[who]), _long(k2[who]), _long(p)]
+                columns.append(pa.array(own[lo:hi][reach].astype(bool)))
+                yield pa.RecordBatch.from_arrays(columns, names=["symbol", "words", "k1", "k2", "first", "open"])
 
     joined = texts.select("k1", "k2", "text").join(asked, ["k1", "k2"])
-    return joined.mapInArrow(each, "words long, k1 long, k2 long, first long, open boolean")
+    return joined.mapInArrow(each, "symbol long, words long, k1 long, k2 long, first long, open boolean")
 
 
 def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(k1, k2, spans): for each text that loses words, the spans [from, to) of words that go."""
+    if not 1 <= window <= WIDEST:
+        raise ValueError(f"a window has 1 to {WIDEST} words")
     texts = _keyed(docs)
     shared = materialize(_symbol_counts(texts, window).where("total > 1"), "symbols")
     places = materialize(_occurrences(texts, window).join(shared, "symbol"), "places")
@@ -130,8 +137,8 @@ def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     asked = counted.where("total > n").select("symbol", "one.k1", "one.place", (F.col("n") == 1).alias("open"))
     asked = asked.groupBy("k1", F.shiftrightunsigned("place", _P).alias("k2")).agg(F.collect_list(F.struct("symbol", "place", "open")).alias("asked"))
     tried = materialize(_windows(texts, asked, window), "windows")
-    twice = tried.groupBy("words").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("words")
-    found = tried.where("open").join(twice, "words").select("k1", "k2", F.col("first").alias("a"), (F.col("first") + window).alias("b"))
+    twice = tried.groupBy("symbol", "words").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol", "words")
+    found = tried.where("open").join(twice, ["symbol", "words"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + window).alias("b"))
     spans = proven.unionByName(found).groupBy("k1", "k2", "a").agg(F.max("b").alias("b"))
     return materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,13 +95,50 @@ def test_binomial_tail_is_exact(spark):
         assert got == pytest.approx(want, rel=1e-6)
 
 
+def _stats(spark, n):
+    return spark.range(n).selectExpr(
+        "id as doc_id", "if(id % 2 = 0, 'en', null) as lang", "false as base_failed", "if(id % 1000 < 2, 0.9, 0.01) as symbol_share", "0.0 as dup_line_share",
+        "if(id % 100 < 8, 0.11, 0.0) as repeat_share", "5.0 as mean_word_chars",
+    )
+
+
 def test_cutoffs_are_proven_by_enough_labels(spark):
-    stats = spark.range(40_000).selectExpr("id as doc_id", "'en' as lang", "false as base_failed", "if(id % 1000 = 0, 0.9, 0.01) as symbol_share", "0.0 as dup_line_share", "0.0 as repeat_share", "5.0 as mean_word_chars")
+    stats = _stats(spark, 40_000)
     good = stats.select("doc_id", F.lit(1).alias("quality"))
-    cut = quality_rules.risk_cutoffs(stats, good).first()
-    assert cut["cut_symbol_share"] == 0.02 and cut["cut_mean_word_chars"] == 7.0
-    few = quality_rules.risk_cutoffs(stats, good.limit(200)).first()
-    assert few["cut_symbol_share"] is None
+    # 8 % repeat a share of 0.11, which is more than alpha: levels below 0.12 are never proven.
+    for r in quality_rules.risk_cutoffs(stats, good).collect():
+        assert r["cut_repeat_share"] == 0.12 and r["cut_symbol_share"] == 0.15 and r["n"] == 20_000 and r["k"] == 40
+    assert all(r["level"] is None for r in quality_rules.risk_cutoffs(stats, good.limit(100)).collect())
+    # Repeated rows and repeated labels are one trial each.
+    some = stats.where("doc_id between 8 and 99")
+    many = reduce(lambda a, b: a.unionAll(b), [some] * 8)
+    assert all(r["level"] is None and r["n"] == 46 for r in quality_rules.risk_cutoffs(many, good.unionAll(good)).collect())
+
+
+def test_cutoffs_hold_on_unseen_labels(spark):
+    stats = spark.range(6000).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', 'b') as lang", "false as base_failed", "abs(randn(1)) / 8 as symbol_share", "abs(randn(2)) / 8 as dup_line_share", "abs(randn(3)) / 16 as repeat_share", "5 + 2 * abs(randn(4)) as mean_word_chars")
+    stats = spark.createDataFrame(stats.collect(), stats.schema)
+    seen = stats.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("quality"))
+    cut = quality_rules.risk_cutoffs(stats, seen)
+    assert all(r["level"] is not None for r in cut.collect())
+    unseen = quality_rules.apply_rules(stats.where("doc_id % 2 = 1"), cut)
+    for r in unseen.groupBy("lang").agg(F.avg((~F.col("kept")).cast("int")).alias("lost")).collect():
+        assert 0 < r["lost"] <= quality_rules.ALPHA + 0.01
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_cutoffs_act_on_the_given_tables(size):
+    import duckdb
+
+    from peakloom.llm.oracles import ORACLES
+
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"create view {t} as select * from '/root/testdata/{size}/{t}.parquet'")
+    c.execute("create table judged as " + ORACLES["op6_quality_rules"])
+    assert c.execute("select count(*) from judged where not base_failed and not kept").fetchone()[0] > 0
+    lost, n = c.execute("select count(*) filter (where not kept), count(*) from judged join labels using (doc_id) where quality = 1 and not base_failed").fetchone()
+    assert lost <= quality_rules.ALPHA * n
 
 
 def test_secrets(spark, docs, rows, none):
@@ -241,7 +279,7 @@ def test_prefix_sums(spark):
 
 
 def test_substring_dedup(spark, docs, rows, none):
-    for window in (35, 10):
+    for window in (35, 10, 100, 200):
         words = [WORD.findall(t or "") for _, t, *_ in rows]
         seen = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
         want = Counter()
@@ -251,10 +289,25 @@ def test_substring_dedup(spark, docs, rows, none):
             want[(i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())] += 1
         assert counted(substring_dedup.digests(docs, window)) == want
     assert substring_dedup.digests(none).count() == 0
+    for window in (0, 1025):
+        with pytest.raises(ValueError, match="window"):
+            substring_dedup.digests(docs, window)
     left = substring_dedup.dedup(docs)
     assert left.columns == docs.columns and left.where("doc_id = 4").first()["text"] == "one"
 
 
+def test_long_windows(spark):
+    """A passage of 400 words, repeated with different surroundings and cut at different places."""
+    r = random.Random(8)
+    words = lambda n: [f"v{r.randrange(10_000)}" for _ in range(n)]
+    passage = words(400)
+    texts = [words(30) + passage + words(20), words(11) + passage, passage[:260] + words(90), ["z"] * 700]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for window in (64, 65, 100, 200, 300):
+        got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.digests(df, window).collect()}
+        assert got == {0: 400, 1: 400, 2: 260 if window <= 260 else 0, 3: 700}
+
+
 def jaccard_components(rows, n, percent):
     items = []
     for i, t, *_ in rows:
