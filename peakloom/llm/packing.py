@@ -12,8 +12,10 @@ windows of ``window`` tokens: all are full but the last, whose padding is at mos
 window less a token.
 
 By default a source's share is its share of all tokens, so all queues end together and each
-window holds each source to within a slot of that share. Given ``weights``, shares are
-theirs (sources not named weigh 1), and once a queue is empty the others go on.
+window holds each source to within a slot of that share. Given ``weights``, a source's share is its weight over
+the weights of all sources there are (those not named weigh 1), until the first queue is empty; the others
+then go on in rounds that hold less than a window. Weights must be finite and above 0, as every
+document is packed.
 
 Defined results: a null text is an empty document (its end token alone); a null
 source is a queue of its own; documents repeated with the same doc_id are packed each
@@ -61,6 +63,8 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 def plan(sizes: DataFrame, window: int = WINDOW, slot: int = SLOT, weights: dict[str, float] | None = None) -> DataFrame:
     """Pieces (row, start, length, sequence_id, offset) of documents given as (row, source, n)."""
+    if weights and not all(math.isfinite(v) and v > 0 for v in weights.values()):
+        raise ValueError("weights must be finite and above 0")
     queue = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     known = sizes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     buckets = max(1, math.isqrt(known["rows"]))
@@ -81,7 +85,9 @@ def plan(sizes: DataFrame, window: int = WINDOW, slot: int = SLOT, weights: dict
     if weights:
         named = F.create_map(*[F.lit(x) for k, v in weights.items() for x in ("s" + k, float(v))])
         share = F.coalesce(F.try_element_at(named, F.col("queue")), F.lit(1.0))
-        credit = share * window / (sum(weights.values()) or 1.0)
+        # One number, however many sources there are.
+        whole = sums.select("queue").distinct().agg(F.sum(share)).first()[0] or 1.0
+        credit = share * window / whole
     else:
         credit = F.col("total") * (window / max(1, known["n"]))
     slots = placed.withColumn("slot", F.explode(F.sequence(F.expr(f"at div {slot}"), F.expr(f"(at + n - 1) div {slot}"))))

@@ -159,14 +159,14 @@ def risk_cutoffs(stats: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     counts = trials.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(_over(i)).alias(f"k_{i}") for i in range(LEVELS)])
     counts = materialize(counts, "rule-counts")
     least = delta / max(1, counts.count())
-    loosest_first = [binomial_tail(F.col("n"), F.col(f"k_{i}"), alpha) <= least for i in reversed(range(LEVELS))]
-    tested = counts.select("stratum", "n", F.array(*[f"k_{i}" for i in range(LEVELS)]).alias("ks"), F.array_position(F.array(*loosest_first), False).alias("failed"))
-    # The first level that fails ends the sequence; written, so that each test runs once.
-    tested = materialize(tested, "rule-tests")
-    level = F.when(F.col("failed") == 0, 0).when(F.col("failed") > 1, LEVELS + 1 - F.col("failed")).cast("int")
-    chosen = tested.withColumn("level", level)
+    steps = counts.select("stratum", "n", F.posexplode(F.array(*[f"k_{i}" for i in reversed(range(LEVELS))])).alias("step", "k"))
+    passed = binomial_tail(F.col("n"), F.col("k"), alpha) <= least
+    # The first step that fails, from the loosest on, ends the sequence.
+    run = F.coalesce(F.min(F.when(~passed, F.col("step"))), F.lit(LEVELS))
+    tested = steps.groupBy("stratum", "n").agg(run.alias("run"), F.array_sort(F.collect_list(F.struct("step", "k"))).alias("ks"))
+    chosen = tested.withColumn("level", F.when(F.col("run") > 0, LEVELS - F.col("run")))
     cutoffs = [F.get(F.array(*map(F.lit, grid)), F.col("level")).alias(f"cut_{f}") for f, grid in GRID.items()]
-    return materialize(chosen.select("stratum", "n", "level", F.get("ks", F.col("level")).alias("k"), *cutoffs), "rule-cutoffs")
+    return materialize(chosen.select("stratum", "n", "level", F.get("ks", F.col("run") - 1)["k"].alias("k"), *cutoffs), "rule-cutoffs")
 
 
 def apply_rules(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:

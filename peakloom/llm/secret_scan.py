@@ -159,24 +159,49 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("_kinds"))
 
 
+def _blocks(x: Column, each) -> Column:
+    """``each`` of successive slices of an array, about as many as each has elements.
+
+    Appending to an array copies it, and a substring is sought from a text's begin: blocks keep both to n * sqrt(n) steps.
+    """
+    width = F.ceil(F.sqrt(F.size(x))).cast("int")
+    cut = lambda v: F.transform(F.sequence(F.lit(1), F.size(v), width), lambda i: each(F.slice(v, i, width)))
+    return F.when(F.size(x) > 0, cut(x)).otherwise(F.array())
+
+
+def _before(numbers: Column, join) -> Column:
+    """For each number of an array, 0 and those before it, joined (added up, or the greatest of them)."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    run = lambda x: F.aggregate(x, start, lambda a, n: F.struct(join(a["at"], n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def offset(blocks: Column) -> Column:
+        first = run(F.transform(blocks, lambda b: b["at"]))["out"]
+        return F.flatten(F.zip_with(blocks, first, lambda b, o: F.transform(b["out"], lambda v: join(v, o))))
+
+    return let(numbers, lambda x: let(_blocks(x, run), offset))
+
+
 def _spans(text: Column, rule: Rule) -> Column:
     """Array of (start, end, rank, kind) of a rule's matches: lengths of gaps and matches, added up."""
     rank = [r.kind for r in RULES].index(rule.kind)
     pattern = F.lit(rule.pattern)
+    sizes = lambda group: F.transform(F.regexp_extract_all(text, pattern, F.lit(group)), lambda x: F.length(x))
     gaps = F.transform(F.split(text, rule.pattern), lambda x: F.length(x))
-    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x))
-    inner = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)) if rule.group else sizes
-    rows = F.arrays_zip(sizes.alias("n"), inner.alias("k"), F.slice(gaps, F.lit(1), F.size(sizes)).alias("g"))
-    empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["g"]
-        e = s + x["n"]
-        span = F.array(F.struct(s.alias("start"), e.alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind")))
-        return F.struct(e.alias("at"), F.when(x["k"] >= rule.least, F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
+    def placed(rows: Column) -> Column:
+        steps = F.transform(rows, lambda x: x["g"] + x["n"])
+        return let(_before(steps, lambda a, b: a + b), lambda before: F.zip_with(rows, before, span))
+
+    def span(x: Column, at: Column) -> Column:
+        s = at + x["g"]
+        return F.when(x["k"] >= rule.least, F.struct(s.alias("start"), (s + x["n"]).alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind")))
+
+    def rows(n: Column) -> Column:
+        inner = sizes(rule.group) if rule.group else n
+        return F.arrays_zip(n.alias("n"), inner.alias("k"), F.slice(gaps, F.lit(1), F.size(n)).alias("g"))
 
-    return F.aggregate(rows, start, step, lambda a: a["out"])
+    found = let(let(sizes(0), rows), placed)
+    return F.filter(found, lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -198,16 +223,25 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def redact(scanned: DataFrame) -> DataFrame:
     """Replaces every span of ``secrets`` (overlapping ones as one) in ``text`` by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = plain_text("text")
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["start"] >= a["at"]
-        put = F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, put).otherwise(a["out"]).alias("out"))
+    def clean(spans: Column) -> Column:
+        reached = _before(F.transform(spans, lambda x: x["end"]), F.greatest)
+        fresh = lambda x, m: F.when(x["start"] >= m, F.struct(m.alias("a"), x["start"].alias("b"), x["kind"].alias("kind")))
+        marked = F.filter(F.zip_with(spans, reached, fresh), lambda x: x.isNotNull())
+        tail = F.substring(text, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(text))
+        return let(marked, lambda m: F.concat(F.array_join(F.flatten(_blocks(m, pieces)), ""), tail))
+
+    def pieces(own: Column) -> Column:
+        """What lies before each span of a block, with the span's kind."""
+
+        def of(part: Column, first: Column) -> Column:
+            return F.transform(own, lambda x: F.concat(F.substring(part, x["a"] - first + 1, x["b"] - x["a"]), F.lit("["), x["kind"], F.lit("]")))
+
+        first, last = F.get(own, F.lit(0))["a"], F.element_at(own, -1)["b"]
+        return let(F.struct(F.substring(text, first + 1, last - first).alias("part"), first.alias("first")), lambda x: of(x["part"], x["first"]))
 
-    clean = F.aggregate("secrets", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return scanned.withColumn("text", F.when(F.size("secrets") > 0, clean).otherwise(F.col("text")))
+    return scanned.withColumn("text", F.when(F.size("secrets") > 0, let(F.col("secrets"), clean)).otherwise(F.col("text")))
 
 
 def _joined(spans: Column) -> Column:

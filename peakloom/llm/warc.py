@@ -4,12 +4,12 @@ Writing a record stores its payload under the SHA-256 of its bytes, once however
 records carry it, and its header bytes as a row of their own with that address.
 Among records with equal payloads of at least ``least`` bytes the one with the
 largest page_id is a ``response``; the others are ``revisit`` records that refer
-to it. Reading joins headers with payloads on the address, recomputes the digests
-and rebuilds every original record; a payload whose bytes don't match its address
-or its header's SHA-1 digest is an error, not a row.
+to it. Reading joins headers with payloads on the address, rebuilds every original record's bytes
+and takes what it returns from those bytes; a payload whose bytes don't match its address or its record's SHA-1
+digest, or a block of another length than its record says, is an error, not a row.
 
-Defined results: a null html is an empty payload; a null page_id counts as the
-smallest; rows repeated with the same page_id and payload stay apart (one of them is
+Defined results: a null html is an empty payload; a null url has no line of its own; line ends in a url are percent-encoded; record
+ids differ between archives; a null page_id counts as the smallest; rows repeated with the same page_id and payload stay apart (one of them is
 the response); an empty table gives an empty archive; other columns of the input
 play no part. Equal payloads meet only in joins on their address, which Spark can
 split, and in maxima, which are taken before the shuffle as well.
@@ -17,6 +17,7 @@ split, and in maxima, which are taken before the shuffle as well.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -46,18 +47,19 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*out)
 
 
-def _record_id(row: Column) -> Column:
-    """A urn:uuid from the row's number."""
-    h = F.md5(row.cast("string"))
+def _record_id(row: Column, archive: str) -> Column:
+    """A urn:uuid from the row's number and its archive's name."""
+    h = F.md5(F.concat_ws("/", F.lit(archive), row.cast("string")))
     part = lambda a, n: F.substring(h, a, n)
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
 
 
-def write_archive(pages: DataFrame, least: int = 0) -> Archive:
-    """Archives (page_id, url, html) rows."""
+def write_archive(pages: DataFrame, least: int = 0, name: str | None = None) -> Archive:
+    """Archives (page_id, url, html) rows; record ids follow from ``name``, by default one drawn at random."""
+    name = name or uuid.uuid4().hex
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), "page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")
+        F.monotonically_increasing_id().alias("row"), "page_id", "url", payload.alias("payload")
     ).withColumns({"address": F.sha2("payload", 256), "digest": base32_sha1(F.col("payload")), "size": F.length("payload").cast("long")})
     named = materialize(rows.drop("payload"), "warc-rows")
     payloads = materialize(
@@ -71,10 +73,10 @@ def write_archive(pages: DataFrame, least: int = 0) -> Archive:
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("row"))),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "")),
+        F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("row"), name)),
+        F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
-        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("top.row")))),
+        F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("top.row"), name))),
         F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("X-Page: "), F.col("page_id").cast("string")),
         F.when(F.col("revisit"), F.concat(F.lit("X-Refers-To-Page: "), F.col("top.page_id").cast("string"))),
@@ -92,35 +94,40 @@ def _field(header: Column, name: str) -> Column:
 
 
 def verified(payloads: DataFrame) -> DataFrame:
-    """(address, digest, size) of each payload, after checking that its bytes give its address."""
-    sound = F.sha2("payload", 256) == F.col("address")
-    size = F.when(sound, F.length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload does not match its address")).cast("long"))
-    return payloads.select("address", base32_sha1(F.col("payload")).alias("digest"), size.alias("size"))
+    """Payloads, after checking that their bytes give their address."""
+    sound = F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload"))
+    return payloads.select("address", F.coalesce(sound, F.raise_error(F.lit("a payload does not match its address")).cast("binary")).alias("payload"))
+
+
+def records(archive: Archive) -> DataFrame:
+    """(record_id, head, record, payload): the original records' bytes, how many of them are the header, and the payload meant.
+
+    A revisit has no block of its own; its payload is that of the record it refers to.
+    """
+    block = F.when(F.contains(F.decode("header", "UTF-8"), F.lit("WARC-Type: revisit\r\n")), F.lit(b"")).otherwise(F.col("payload"))
+    return archive.headers.join(verified(archive.payloads), "address").select(
+        "record_id", F.length("header").alias("head"), F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload"
+    )
 
 
 def read_archive(archive: Archive) -> DataFrame:
-    """One row per record, from its header's bytes and its payload's verified bytes."""
-    text = F.decode("header", "UTF-8")
-    heads = archive.headers.select(
+    """One row per record, read from its rebuilt bytes."""
+    text = F.decode(F.substring("record", F.lit(1), F.col("head")), "UTF-8")
+    read = records(archive).select(
         "record_id",
-        "address",
         _field(text, "X-Page").cast("long").alias("page_id"),
         _field(text, "WARC-Target-URI").alias("url"),
         _field(text, "WARC-Type").alias("record_type"),
         F.regexp_replace(_field(text, "WARC-Payload-Digest"), "^sha1:", "").alias("said"),
         _field(text, "X-Refers-To-Page").cast("long").alias("refers_to"),
+        _field(text, "Content-Length").cast("long").alias("length"),
+        (F.length("record") - F.col("head") - 4).alias("held"),
+        F.length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("digest"),
     )
-    both = heads.join(verified(archive.payloads), "address")
-    digest = F.when(F.col("said") == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.lit("a record's digest does not match its payload")))
-    return both.select("page_id", "url", F.col("size").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "record_id")
-
-
-def records(archive: Archive) -> DataFrame:
-    """(record_id, record): the original records' bytes; a revisit has no block of its own."""
-    block = F.when(F.contains(F.decode("header", "UTF-8"), F.lit("WARC-Type: revisit\r\n")), F.lit(b"")).otherwise(F.col("payload"))
-    return archive.headers.join(archive.payloads, "address").select(
-        "record_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record")
-    )
+    wrong = F.when(F.col("said") != F.col("digest"), "a record's digest does not match its payload").when(F.col("length") != F.col("held"), "a record's block is of another length than it says")
+    digest = F.when(wrong.isNull(), F.col("digest")).otherwise(F.raise_error(wrong).cast("string"))
+    return read.select("page_id", "url", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "record_id")
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,10 @@ def test_archive(spark, pages):
     for r in records:
         head, _, block = r.partition(b"\r\n\r\n")
         assert len(block) - 4 == int(head.rpartition(b"Content-Length: ")[2])
+    urls = {r["page_id"]: r["url"] for r in warc.read_archive(kept).collect()}
+    assert urls[1] == "http://a" and urls[2] is None and urls[3] == "http://c%0D%0AEvil: 1"
+    ids = lambda archive: {bytes(r["header"]).split(b"WARC-Record-ID: ")[1][:45] for r in archive.headers.collect()}
+    assert len(ids(kept)) == 8 and not ids(kept) & ids(warc.write_archive(pages))
     small = warc.read_archive(warc.write_archive(pages, least=50))
     assert small.where("record_type = 'revisit'").count() == 1
     assert warc.read_archive(warc.write_archive(pages.limit(0))).count() == 0
@@ -49,6 +53,9 @@ def test_damaged_payloads_are_errors(spark, pages):
     broken = warc.Archive(kept.headers, kept.payloads.withColumn("payload", F.concat("payload", F.lit(b"!"))))
     with pytest.raises(Exception, match="does not match"):
         warc.read_archive(broken).collect()
+    shifted = kept.headers.withColumn("header", F.encode(F.regexp_replace(F.decode("header", "UTF-8"), "Content-Length: ", "Content-Length: 1"), "UTF-8"))
+    with pytest.raises(Exception, match="another length"):
+        warc.read_archive(warc.Archive(shifted, kept.payloads)).collect()
 
 
 def text_of(html):
