@@ -27,17 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is set and all tasks run on this machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="spark-peakloom-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if "dir" not in _FALLBACK:
+        _FALLBACK["dir"] = tempfile.mkdtemp(prefix="spark-peakloom-")
+    return _FALLBACK["dir"]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here.
 
-    The write's own shuffle files go as soon as it is over, since nothing reads them again.
+    The write's own shuffle files go as soon as it is over, since nothing reads them again. What only
+    leads to another table can be given to ``discard`` once that is written.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/peakloom/{tag}-{uuid.uuid4().hex}"
@@ -47,7 +52,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
+    out = spark.read.schema(_nullable(df.schema)).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

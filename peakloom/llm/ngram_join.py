@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import materialize, table
+from peakloom.llm.common import discard, materialize, table
 from peakloom.llm.graphs import components
 from peakloom.llm.word_hash import chunks, mix, window_hashes
 
@@ -197,10 +197,15 @@ def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
 
 def _several(posts: DataFrame) -> DataFrame:
-    """Distinct postings of the tokens that more than one class has; a row looks only at its neighbours."""
-    w = Window.partitionBy("token").orderBy("cls")
-    other = F.coalesce(F.lag("cls").over(w) != F.col("cls"), F.lit(False)) | F.coalesce(F.lead("cls").over(w) != F.col("cls"), F.lit(False))
-    return posts.select("token", "cls", other.alias("_other")).where("_other").select("token", "cls").dropDuplicates()
+    """Distinct postings of the tokens that more than one class has, written.
+
+    A token's least and greatest class are taken before the shuffle, and the join's side of postings is one that Spark can split.
+    """
+    ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    shared = materialize(ends.where("lo <> hi").select("token"), "tokens")
+    out = materialize(posts.join(shared, "token", "left_semi").dropDuplicates(), "postings")
+    discard(shared)
+    return out
 
 
 def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -219,15 +224,19 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     classes = known.where("size > 0").groupBy(*info).agg(F.min("doc_id").alias("doc_id"))
     classes = materialize(classes, "classes")
     tokens = known.where("size > 0").select("cls", F.explode("prefix").alias("token"))
-    thin = materialize(_several(tokens), "postings")
+    thin = _several(tokens)
     for _ in range(2):
-        thin = materialize(_enough(thin, classes, percent), "postings")
-        thin = materialize(_several(thin), "postings")
+        enough = materialize(_enough(thin, classes, percent), "postings")
+        discard(thin)
+        thin = _several(enough)
+        discard(enough)
     posts = materialize(thin.join(classes.drop("doc_id"), "cls"), "postings-described")
+    discard(thin)
     near = posts.alias("l").join(posts.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") != F.col("r.cls")) & _may_link(percent), "left_semi")
     live = materialize(near.select("cls").distinct(), "near")
-    posts = materialize(posts.join(live, "cls"), "postings-near")
+    before, posts = posts, materialize(posts.join(live, "cls"), "postings-near")
     wanted = materialize(live.join(classes.select("cls", "doc_id"), "cls"), "wanted")
+    discard(before, live)
     of = _sets_of(docs, wanted, n)
     links = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
     label = None
@@ -240,7 +249,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     def active(p: DataFrame) -> DataFrame:
         """Postings of tokens that more than one component has."""
         mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return materialize(p.join(mixed, "token"), "postings-active")
+        return materialize(p.join(mixed, "token", "left_semi"), "postings-active")
 
     for k in range(ROUNDS):
         p = active(labelled())
@@ -250,11 +259,13 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
         best = pairs.groupBy(F.col("l.cls").alias("a")).agg(F.min(F.struct(_distance().alias("d"), F.col("r.cls").alias("b"))).alias("one"))
         links = materialize(links.union(_verified(best.select("a", "one.b"), of, percent)), "links")
         label = materialize(components(links), "labels")
+        discard(p)
     p = active(labelled())
     rest = p.alias("l").join(p.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp")) & _may_link(percent))
     pairs = rest.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("l.least", "r.least")).alias("least"))
     links = materialize(links.union(_verified(pairs.where("n >= least"), of, percent)), "links")
     label = materialize(components(links), "labels")
+    discard(p, posts, of, wanted)
     joined = classes.join(label, classes["cls"] == label["node"], "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp"))
     least = materialize(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "components")
     named = joined.join(least, "comp").select("cls", "component_id")
