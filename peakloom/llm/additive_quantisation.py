@@ -4,24 +4,31 @@ A vector's direction is approximated by a sum of codewords, one from each of
 ``BOOKS`` codebooks of full-dimensional words; its norm is stored beside the codes. Codebooks
 are fitted to residuals one after another, then refitted together by least squares. A
 beam search picks the codes: after each codebook the ``BEAM`` best partial sums go on. A
-query's inner products with all codewords make a lookup table, a candidate's score is
-its norm times the sum of its table entries, and the best ``RERANK`` of each block of
-candidates are scored again on the original vectors, in double precision.
+query's inner products with all codewords make a lookup table, and a candidate's estimate is
+its norm times the sum of its table entries. The share ``RERANK`` of a query's candidates with the best estimates, counted
+block by block and at least ``LEAST`` of a block, are scored again on the original vectors, in double precision.
 
-Codebooks are fitted on at most ``SAMPLE`` vectors (least hashes of vec_id); every vector
-is encoded and every candidate scored. Blocks of queries meet blocks of candidates, so the
-work is queries times candidates and no task holds more than a block of each.
+Vectors also fall into coarse lists by their direction, and a query visits only the lists nearest to its own. How many is
+measured: the fewest that hold ``COVER`` of the true neighbours within the sample. Where directions
+have no clusters that means nearly all lists, and the work is queries times candidates.
+
+Codebooks and lists are fitted on about ``SAMPLE`` vectors at most (those below a threshold of the hash of vec_id, so that
+no task sends more than its share of them to the driver); every vector is encoded. Vectors are laid
+out list by list in blocks of about ``BLOCK``, however the input is partitioned, and a large list spreads over several
+blocks. A task holds one block and up to about ``QUERIES`` queries.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor
 do those of another length than the most common one; rows with the query's vec_id, or without any, are
-no candidates; of more than ``k`` + 1 equal vectors in a block only those with the least
+no candidates; of query rows that share a vec_id the one with the least vector asks, while candidates that
+share one each count as a row of their own; of more than ``k`` + 1 equal vectors in a block only those with the least
 vec_ids can rank and are scored; ties go to the smaller vec_id; no queries or candidates give no rows.
 """
 
 from __future__ import annotations
 
-import pickle
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -29,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import materialize, table
+from peakloom.llm.common import discard, materialize, table
 
-BOOKS, WORDS, BEAM, RERANK, SAMPLE = 16, 256, 8, 256, 16_384
-QUERIES, CANDIDATES = 512, 16_384
+BOOKS, WORDS, BEAM, RERANK, LEAST, SAMPLE = 16, 256, 8, 0.03, 64, 16_384
+QUERIES, BLOCK, LISTS, COVER = 16_384, 16_384, 1024, 0.99
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -118,92 +125,171 @@ def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x / scale / np.linalg.norm(x / scale, axis=1, keepdims=True)).astype(np.float32), norm
 
 
-def index(vectors: DataFrame, books: np.ndarray, k: int) -> DataFrame:
-    """Blocks of encoded vectors: ids, codes, norms and originals as one value each, ordered by vec_id."""
-    width = books.shape[2]
+@dataclass(frozen=True)
+class Index:
+    """What is learnt from the sample: codebooks, the lists' centres, and how many lists a query visits."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, held = [], [], 0
+    books: np.ndarray
+    centres: np.ndarray
+    probes: int
+
+    def order(self, unit: np.ndarray) -> np.ndarray:
+        """Lists by nearness to each direction."""
+        return np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")
+
+
+def learn(x: np.ndarray, rows: int, k: int, seed: int = 7) -> Index:
+    """Fits an index for ``rows`` vectors on some of them; lists to visit are counted on a few hundred that ask for their ``k`` nearest."""
+    unit, _ = _units(x)
+    rng = np.random.default_rng(seed)
+    n_lists = max(1, min(LISTS, math.isqrt(rows) // 2, len(x) // 16))
+    centres = _kmeans(unit.astype(np.float64), n_lists, rng).astype(np.float32)
+    found = Index(fit(unit, seed), centres, n_lists)
+    if n_lists == 1 or len(x) <= k:
+        return found
+    asked = rng.choice(len(x), min(256, len(x)), replace=False)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    place = np.argsort(found.order(unit[asked]), axis=1)
+    seen = np.sort(np.take_along_axis(place, _nearest(unit, centres)[near], axis=1).ravel())
+    return Index(found.books, centres, int(seen[math.ceil(COVER * len(seen)) - 1]) + 1)
+
+
+def _bytes(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
 
-        def block() -> pa.RecordBatch:
-            i, x = np.concatenate(ids), np.concatenate(rows)
-            order = np.argsort(i, kind="stable")
-            i, x = i[order], x[order]
+
+def encoded(vectors: DataFrame, index: Index) -> DataFrame:
+    """(vec_id, list, code, norm, vector) of every vector, and a row number. Written once."""
+    width = index.books.shape[2]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            x = _matrix(b.column("embedding"), width)
             unit, norm = _units(x)
-            same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * width))).ravel(), return_inverse=True)[1]
-            by = np.argsort(same, kind="stable")
-            first = np.searchsorted(same[by], same[by])
-            rank = np.empty(len(i), np.int64)
-            rank[by] = np.arange(len(i)) - first
-            data = pickle.dumps((i, beam_encode(unit, books), norm, x, np.flatnonzero(rank <= k)))
-            return pa.RecordBatch.from_arrays([pa.array([len(i)], pa.int64()), pa.array([data], pa.binary())], names=["n", "block"])
+            own = _nearest(unit, index.centres)
+            code, raw = beam_encode(unit, index.books), x.astype("<f8")
+            columns = [b.column("vec_id"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm)]
+            columns.append(pa.array([v.tobytes() for v in raw], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "list", "code", "norm", "vector"])
+
+    found = vectors.mapInArrow(each, "vec_id long, list int, code binary, norm double, vector binary")
+    return materialize(found.withColumn("row", F.monotonically_increasing_id()), "codes")
+
+
+def blocks(codes: DataFrame, spans: list[tuple[int, int, int]], width: int, k: int, block: int) -> DataFrame:
+    """One row per block: its vectors' lists, ids, codes, norms and originals as one value each, ordered by list and vec_id.
+
+    ``spans`` has each list's number, first place and size in the layout.
+    """
+    first = F.create_map(*[F.lit(v) for l, at, _ in spans for v in (l, at)])
+    size = F.create_map(*[F.lit(v) for l, _, n in spans for v in (l, n)])
+    inside = F.pmod(F.xxhash64("row"), F.element_at(size, F.col("list")))
+    placed = codes.withColumn("block", ((F.element_at(first, F.col("list")) + inside) / block).cast("int"))
+
+    def build(t: pa.Table) -> pa.Table:
+        ids, own = t["vec_id"].to_numpy(), t["list"].to_numpy()
+        order = np.lexsort((ids, own))
+        join = lambda name, kind, n: np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(-1, n)[order]
+        ids, own, norm, x = ids[order], own[order], t["norm"].to_numpy()[order], join("vector", "<f8", width)
+        same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * width))).ravel(), return_inverse=True)[1].ravel()
+        by = np.lexsort((ids, same))
+        rank = np.empty(len(ids), np.int64)
+        rank[by] = np.arange(len(ids)) - np.searchsorted(same[by], same[by])
+        live = rank <= k
+        parts = [own[live].astype("<i4"), ids[live].astype("<i8"), join("code", np.uint8, len(t["code"][0].as_py()))[live], norm[live].astype("<f4"), x[live]]
+        return pa.table([pa.array([t["block"][0].as_py()], pa.int32()), *map(_bytes, parts)], names=["block", "lists", "ids", "codes", "norms", "vectors"])
+
+    schema = "block int, lists binary, ids binary, codes binary, norms binary, vectors binary"
+    return materialize(placed.drop("row").groupBy("block").applyInArrow(build, schema), "blocks")
+
+
+def visits(asked: DataFrame, index: Index, spans: list[tuple[int, int, int]], block: int) -> DataFrame:
+    """(query_id, embedding, lists, block): each query with the lists that it visits, once per block that holds any of them."""
+    width = index.books.shape[2]
+    reach = {l: (at // block, (at + n - 1) // block) for l, at, n in spans}
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids.append(b.column("vec_id").to_numpy())
-            rows.append(_matrix(b.column("embedding"), width))
-            held += len(b)
-            if held >= CANDIDATES:
-                yield block()
-                ids, rows, held = [], [], 0
-        if held:
-            yield block()
+            if not len(b):
+                continue
+            chosen = index.order(_units(_matrix(b.column("embedding"), width))[0])[:, : index.probes]
+            wanted = [sorted({x for l in own if l in reach for x in range(reach[l][0], reach[l][1] + 1)}) for own in chosen.tolist()]
+            columns = [b.column("query_id"), b.column("embedding"), pa.array(chosen.tolist(), pa.list_(pa.int32())), pa.array(wanted, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "lists", "blocks"])
 
-    return materialize(vectors.mapInArrow(each, "n long, block binary").withColumn("at", F.monotonically_increasing_id()), "index")
+    kind = asked.schema["embedding"].dataType.simpleString()
+    found = asked.mapInArrow(each, f"query_id long, embedding {kind}, lists array<int>, blocks array<int>")
+    return found.select("query_id", "embedding", "lists", F.explode("blocks").alias("block"))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, rerank: int = RERANK) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, rerank: float = RERANK, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` best, over (vec_id, embedding) rows."""
     spark = vectors.sparkSession
     valid = vectors.where(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long"), "embedding")
-    schema = "query_id long, rank int, vec_id long, score double"
     lengths = valid.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if lengths is None:
-        return spark.createDataFrame([], schema)
-    width = lengths["d"]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width, rows = lengths["d"], lengths["count"]
     valid = valid.where(F.size("embedding") == width)
-    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    books = fit(_units(np.array([r["embedding"] for r in sample], np.float64))[0])
-    blocks = index(valid, books, k)
-    asked = valid.where(queries)
-    n_queries = asked.count()
-    groups = max(1, -(-n_queries // QUERIES))
-    packed = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("group")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("own"))
-    numbered = blocks.select("at", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1).alias("number"))
-    n_blocks = blocks.count()
-    pairs = packed.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(max(1, groups * n_blocks), "group", "number")
-    joined = pairs.join(numbered, "number").join(blocks.select("at", "block"), "at").select("own", "block")
+    # A little under SAMPLE are expected, so that the limit hardly ever cuts.
+    below = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.95 * SAMPLE / rows))
+    some = valid.where(below) if rows > SAMPLE else valid
+    sample = some.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).limit(SAMPLE).collect()
+    if not sample:  # all rows share a few ids
+        sample = valid.limit(SAMPLE).collect()
+    sample = sorted(sample, key=lambda r: r["vec_id"])
+    index = learn(np.array([r["embedding"] for r in sample], np.float64), rows, k)
+    codes = encoded(valid, index)
+    spans, at = [], 0
+    for r in codes.groupBy("list").count().orderBy("list").collect():  # at most LISTS rows
+        spans.append((r["list"], at, r["count"]))
+        at += r["count"]
+    laid = blocks(codes, spans, width, k, block)
+    discard(codes)
+    asked = valid.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
+    copies = max(1, -(-asked.count() // QUERIES))
+    pairs = visits(asked, index, spans, block).withColumn("copy", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
+    spread = laid.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    books = index.books
     m, words, _ = books.shape
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = books.reshape(m * words, width)
-        for b in batches:
-            for own, block in zip(b.column("own"), b.column("block")):
-                q_ids = own.values.field("vec_id").to_numpy()
-                q = _matrix(own.values.field("embedding"), width)
-                ids, codes, norm, x, live = pickle.loads(block.as_py())
-                ids, codes, norm, x = ids[live], codes[live], norm[live].astype(np.float32), x[live]
-                unit = _units(q)[0]
-                tables = (unit @ flat.T).reshape(len(q), m, words)
-                found: list[list[np.ndarray]] = [[], [], []]
-                for i in range(len(q)):
-                    near = reduce(np.add, (tables[i, j][codes[:, j]] for j in range(m))) * norm
-                    near[ids == q_ids[i]] = -np.inf
-                    some = np.arange(len(ids))
-                    if len(ids) > rerank:
-                        least = np.partition(near, len(near) - rerank)[len(near) - rerank]
-                        above = np.flatnonzero(near > least)
-                        some = np.concatenate([above, np.flatnonzero(near == least)[: rerank - len(above)]])
-                    some = some[ids[some] != q_ids[i]]
-                    exact = np.einsum("ij,j->i", x[some], q[i])
-                    best = np.lexsort((ids[some], -exact))[:k]
-                    found[0].append(np.full(len(best), q_ids[i]))
-                    found[1].append(ids[some][best])
-                    found[2].append(exact[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["query_id", "vec_id", "score"])
-
-    hits = joined.mapInArrow(each, "query_id long, vec_id long, score double")
+    def scored(own: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(own) and len(held):
+            lists, ids, codes, norm, x = (np.frombuffer(held[c][0].as_py(), t) for c, t in (("lists", "<i4"), ("ids", "<i8"), ("codes", np.uint8), ("norms", "<f4"), ("vectors", "<f8")))
+            codes, x = codes.reshape(-1, m).T.copy(), x.reshape(-1, width)
+            q = _matrix(own["embedding"].combine_chunks(), width)
+            unit = _units(q)[0]
+            probes = np.zeros((len(index.centres),), bool)
+            for i, (query, visited) in enumerate(zip(own["query_id"].to_pylist(), own["lists"])):
+                tables = books.reshape(m * words, width) @ unit[i]
+                probes[:] = False
+                probes[visited.values.to_numpy()] = True
+                rows = np.flatnonzero(probes[lists] & (ids != query))
+                part = codes if len(rows) > 0.7 * len(ids) else codes[:, rows]
+                near = reduce(np.add, (tables[j * words : (j + 1) * words][part[j]] for j in range(m)))
+                near = (near[rows] if part is codes else near) * norm[rows]
+                depth = max(LEAST, k, math.ceil(rerank * len(rows)))
+                if len(rows) > depth:
+                    # By estimate, then by vec_id, so that equal estimates are cut alike everywhere.
+                    least = np.partition(near, len(near) - depth)[len(near) - depth]
+                    above, ties = np.flatnonzero(near > least), np.flatnonzero(near == least)
+                    ties = ties[np.argsort(ids[rows[ties]], kind="stable")][: depth - len(above)]
+                    rows = rows[np.concatenate([above, ties])]
+                exact = np.einsum("ij,j->i", x[rows], q[i])
+                best = np.lexsort((ids[rows], -exact))[:k]
+                for column, v in zip(out, (np.full(len(best), query), ids[rows][best], exact[best])):
+                    column.append(v)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+
+    met = pairs.groupBy("block", "copy").cogroup(spread.groupBy("block", "copy"))
+    hits = met.applyInArrow(scored, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_additive_quantisation(spark, sf_dir: str) -> DataFrame:
