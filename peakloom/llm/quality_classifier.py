@@ -1,10 +1,9 @@
 """Compression classifier: does a text compress better with good or with bad examples at hand?
 
 Two zstandard dictionaries are built, one from texts labelled good and one from
-texts labelled bad. Every whole text is compressed piece by piece with each of them
-and with none; the difference of the two sizes over the larger one, with the sizes
-over the text's own, goes through a logistic curve fitted on labelled texts that
-built no dictionary, weighted to the labels' true shares. That is the score.
+texts labelled bad. Every whole text is compressed piece by piece with each of them, and the
+difference of the two sizes over the text's own size goes through a logistic curve fitted on
+labelled texts that built no dictionary, weighted to the labels' true shares. That is the score: nothing but the difference enters it.
 
 Fitting uses a bounded sample: per label the ``SAMPLE`` documents with the least
 hashes among those labelled outside the held-out fifth, texts of more than
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import table
 
 #: Labelled texts per label; the longest one used in fitting; bytes of a dictionary, of a piece; level.
-SAMPLE, LONGEST, DICTIONARY, PIECE, LEVEL = 2000, 65_536, 32_768, 4096, 1
+SAMPLE, LONGEST, DICTIONARY, PIECE, LEVEL = 2000, 65_536, 65_536, 256, 3
 THRESHOLD = 0.3
 
 
@@ -45,8 +44,8 @@ class Model:
 
     good: bytes = b""
     bad: bytes = b""
-    centre: tuple = ()
-    scale: tuple = ()
+    centre: float = 0.0
+    scale: float = 1.0
     weights: tuple = ()
     constant: float | None = None
 
@@ -54,13 +53,13 @@ class Model:
         kinds = [zstandard.ZstdCompressionDict(x) for x in (self.good, self.bad)]
         for k in kinds:
             k.precompute_compress(level=LEVEL)
-        return [*(zstandard.ZstdCompressor(level=LEVEL, dict_data=k) for k in kinds), zstandard.ZstdCompressor(level=LEVEL)]
+        return [zstandard.ZstdCompressor(level=LEVEL, dict_data=k) for k in kinds]
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
+    def scores(self, differences: np.ndarray) -> np.ndarray:
         if self.constant is not None:
-            return np.full(len(features), self.constant)
-        z = (_shape(features) - np.array(self.centre)) / np.array(self.scale)
-        return 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(z)), z] @ np.array(self.weights), -30, 30)))
+            return np.full(len(differences), self.constant)
+        z = (differences - self.centre) / self.scale
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * z, -30, 30)))
 
 
 def _pieces(text: str) -> list[bytes]:
@@ -68,22 +67,17 @@ def _pieces(text: str) -> list[bytes]:
     return [data[i : i + PIECE] for i in range(0, len(data), PIECE)] or [b""]
 
 
-def features(texts, compressors) -> np.ndarray:
-    """Per text: normalised difference of the sizes, each size over the text's, log of the text's size."""
-    good, bad, none = compressors
-    out = np.zeros((len(texts), 5))
+def differences(texts, compressors) -> np.ndarray:
+    """Per text: how many bytes fewer it takes with the good dictionary than with the bad one, over its own bytes; 0 if empty."""
+    good, bad = compressors
+    out = np.zeros(len(texts))
     for i, text in enumerate(texts):
-        pieces = _pieces(text or "")
-        n = sum(map(len, pieces)) + 1
-        g, b, p = (sum(len(c.compress(x)) for x in pieces) for c in (good, bad, none))
-        out[i] = (g - b) / max(g, b), p / n, g / n, b / n, np.log(n)
+        if text:
+            pieces = _pieces(text)
+            out[i] = sum(len(bad.compress(x)) - len(good.compress(x)) for x in pieces) / sum(map(len, pieces))
     return out
 
 
-def _shape(x: np.ndarray) -> np.ndarray:
-    return np.c_[x, x**2]
-
-
 def _dictionary(texts: list[str]) -> bytes:
     samples = [p for t in texts for p in _pieces(t)]
     try:
@@ -111,9 +105,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     cut = {y: max(1, len(t) // 2) for y, t in half.items()}
     model = Model(_dictionary(half[1][: cut[1]]), _dictionary(half[0][: cut[0]]))
     rest = [(t, y) for y in (0, 1) for t in half[y][cut[y] :]]
-    x = _shape(features([t for t, _ in rest], model.compressors()))
+    x = differences([t for t, _ in rest], model.compressors())
     y = np.array([y for _, y in rest], float)
-    centre, scale = x.mean(0), x.std(0) + 1e-9
+    centre, scale = float(x.mean()), float(x.std()) + 1e-9
     z = np.c_[np.ones(len(x)), (x - centre) / scale]
     weight = np.where(y == 1, shares[1] / total / y.mean(), shares[0] / total / (1 - y.mean()))
     beta = np.zeros(z.shape[1])
@@ -126,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    model.centre, model.scale, model.weights = tuple(centre), tuple(scale), tuple(beta)
+    model.centre, model.scale, model.weights = centre, scale, tuple(map(float, beta))
     return model
 
 
@@ -137,7 +131,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         tools = model.compressors() if model.constant is None else None
         for b in batches:
             texts = b.column("text").to_pylist()
-            x = features(texts, tools) if tools else np.zeros((len(texts), 5))
+            x = differences(texts, tools) if tools else np.zeros(len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(x), pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "doc_id long, score double")

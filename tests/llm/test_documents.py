@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on small fixtures with every odd case."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -392,8 +393,24 @@ def test_quality_classifier(spark, docs, none, labels):
     found = {x["doc_id"]: x["score"] for x in quality_classifier.score(df, model).collect()}
     held = [i for i in found if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((found[i] >= 0.5) == (i < 150) for i in held) >= 0.95 * len(held)
+    # Brute force: each text compressed with each dictionary, piece by piece.
+    good_tool, bad_tool = model.compressors()
+    for i, t in rows[::37]:
+        cut = [t.encode()[a : a + quality_classifier.PIECE] for a in range(0, len(t.encode()), quality_classifier.PIECE)]
+        off = sum(len(bad_tool.compress(x)) for x in cut) - sum(len(good_tool.compress(x)) for x in cut)
+        z = (off / len(t.encode()) - model.centre) / model.scale
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, model.weights[0] + model.weights[1] * z)))))
     odd = quality_classifier.score(docs, model).collect()
     assert len(odd) == docs.count() and all(0 <= x["score"] <= 1 for x in odd)
     assert quality_classifier.score(none, model).count() == 0
     assert quality_classifier.fit(docs, labels.limit(0)).constant == 0.5
     assert quality_classifier.fit(docs, labels.where("quality = 1")).constant == 1.0
+
+
+def test_quality_classifier_on_held_out_labels(spark):
+    """Accuracy at the threshold, and ranking, on labels that learning never sees."""
+    rows = quality_classifier.op7_quality_classifier(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    pairs = [(r["score"], r["predicted"], r["quality"]) for r in rows.where("quality is not null").collect()]
+    assert sum(p == q for _, p, q in pairs) >= 0.95 * len(pairs)
+    good, bad = [s for s, _, q in pairs if q], [s for s, _, q in pairs if not q]
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.98 * len(good) * len(bad)
