@@ -181,6 +181,7 @@ class Page(HTMLParser):
 FEATURES = [
     "depth", "siblings", "place", "like", "children", "chars", "own", "density", "own_density", "per_tag", "share", "of_parent", "start", "words", "word_size", "marks",
     "before", "after", "text_depth", *(f"is_{g}" for g in GROUPS), *(f"own_{k}" for k in KINDS), *(f"in_{k}" for k in KINDS), *(f"in_{g}" for g in ("article", "nav", "head", "foot", "aside", "form")),
+    *(f"{who}_{x}" for who in ("parent", "above") for x in ("chars", "density", "share", "per_tag", "of_parent", "children")),
 ]
 
 
@@ -223,6 +224,7 @@ def features(page: Page) -> list[list[float]]:
             like[i] = count[page.tag[i]]
     within_tokens: list[list[float]] = [[0.0] * len(KINDS)] * n
     within_tags: list[list[float]] = [[0.0] * 6] * n
+    around: list[list[float]] = []
     of_tag = {"article": 0, "nav": 1, "head": 2, "foot": 3, "aside": 4, "form": 5}
     out = []
     for i in range(n):
@@ -243,8 +245,10 @@ def features(page: Page) -> list[list[float]]:
             page.own_links[i] / (page.own[i] + 1), chars[i] / tags[i], chars[i] / total, chars[i] / ((chars[p] if p >= 0 else chars[i]) + 1), max(start[i], 0) / seen,
             log(words[i]), page.own[i] / (words[i] + 1), marks[i] / (words[i] + 1), log(before[i]), log(after[i]), log(chars[i]) / (page.depth[i] + 1),
         ]
+        around.append([row[5], row[7], row[10], row[9], row[11], len(children[i])])
         row += [1.0 if g == group else 0.0 for g in GROUPS]
-        out.append(row + kinds + within_tokens[i] + within_tags[i])
+        up = p if p >= 0 else i
+        out.append(row + kinds + within_tokens[i] + within_tags[i] + around[up] + around[parent[up] if parent[up] >= 0 else up])
     return out
 
 

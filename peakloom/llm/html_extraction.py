@@ -6,14 +6,19 @@ siblings. Boosted trees turn them into the probability that it holds main text,
 hierarchical decoding picks the most likely set in which nothing is kept inside
 something dropped. The kept elements' text, in page order, is the result.
 
-Pages carry no labels, so the trees learn from labels made here: of a bounded sample (the
-``SAMPLE`` pages of least hashes) the paragraphs of the semantic main element are
-known main text, and each page is also laid out anew, several times, in layouts drawn by a
-seeded generator: other elements and attributes around the same paragraphs, with menus,
+Pages carry no labels, so the trees learn from labels made here: of a bounded sample (``SAMPLE``
+distinct pages at most, picked by a threshold of their hashes, so that no task sends more than its share of
+them to the driver) the paragraphs of the semantic main element are known main text. Where a page has no such
+element, its long paragraphs with few links, outside of elements that say they are something else, stand in;
+they serve for new layouts alone. Each page is laid out anew, several times, in layouts drawn by a
+seeded generator: other elements around the same paragraphs, with menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments filled from
-other sampled pages. Spark ML trains the trees on that sample; every page is extracted whole.
+other sampled pages. Attributes there come from lists of their own and partly from no list, are often absent and
+sometimes mislead, so that trees lean on structure where names say nothing. Spark ML trains the trees on that
+sample; every page is extracted whole.
 
-Defined results: a null or empty html gives an empty text; what isn't HTML is text of the page
+Defined results: where no sampled page has a paragraph to learn from, all is kept but elements whose tag or
+attributes say that they are something else; a null or empty html gives an empty text; what isn't HTML is text of the page
 itself; broken markup is read as browsers mend it where that matters for text; repeated rows give equal
 results; an empty table gives an empty result; clashing columns of the input play no part.
 """
@@ -32,25 +37,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import table
-from peakloom.llm.dom import FEATURES, TOKENS, Page, decode, features
+from peakloom.llm.dom import FEATURES, Page, decode, features
 
 #: Pages learnt from, the longest of them in characters, layouts made of each, trees and their depth.
-SAMPLE, LONGEST, LAYOUTS, TREES, DEPTH = 160, 100_000, 3, 24, 5
+SAMPLE, LONGEST, LAYOUTS, TREES, DEPTH = 160, 100_000, 4, 40, 5
 _DROPPED = {"nav", "header", "footer", "aside", "form"}
+#: Words and links of a paragraph that stands in for semantic markup.
+LEAST_WORDS, MOST_LINKED = 12, 0.25
+#: Names that layouts give to elements, whether or not features know them.
+NAMES = {
+    "main": "article post-body entry-content story lede copy reading-pane blog-text page-body prose chapter rich-text editor-output field-body".split(),
+    "menu": "navbar main-menu topnav breadcrumbs pager tabs crumb-trail hamburger drawer site-links jump-list toc quick-access".split(),
+    "frame": "site-header page-footer masthead colophon top-strip brandbar legal imprint hero-title bottom-strip wordmark".split(),
+    "side": "sidebar related-posts widget trending rail see-also more-stories aside-col share-tools tagcloud recirculation".split(),
+    "advert": "ad-slot sponsored banner-ad promo-unit mpu leaderboard partner-offer dfp-box native-unit".split(),
+    "notice": "cookie-bar consent alert-box modal gdpr paywall-note announcement interstitial toast".split(),
+    "reader": "comments comment-list discussion replies feedback user-posts responses talkback".split(),
+    "form": "newsletter-form signup login search-box contact subscribe-panel optin poll".split(),
+}
 Trees = list[tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _paragraphs(page: Page) -> list[tuple[str, str]]:
-    """(tag, text) of what semantic markup says is main text."""
+def _inside(page: Page) -> list[bool]:
+    """Which elements lie in the semantic main element."""
     inside = [False] * len(page.tag)
     for i in range(1, len(page.tag)):
         inside[i] = (inside[page.parent[i]] or page.tag[i] in ("article", "main")) and page.tag[i] not in _DROPPED
+    return inside
+
+
+def _elsewhere(page: Page) -> list[bool]:
+    """Which elements lie in one whose tag or attributes say that it holds something else than main text."""
+    out = [False] * len(page.tag)
+    for i in range(1, len(page.tag)):
+        out[i] = out[page.parent[i]] or page.tag[i] in _DROPPED or any(k != "main" for k in page.tokens[i])
+    return out
+
+
+def _paragraphs(page: Page, inside: list[bool]) -> list[tuple[str, str]]:
+    """(tag, text) of what lies inside, or of what looks like main text where nothing does."""
     parts: dict[int, list[str]] = {}
     for x in page.flow:
-        if x is not None and inside[x[0]]:
+        if x is not None:
             parts.setdefault(x[0], []).append(x[1])
-    found = [(page.tag[i], " ".join("".join(t).split())) for i, t in sorted(parts.items())]
-    return [(t, s) for t, s in found if s]
+    found = [(i, " ".join("".join(t).split())) for i, t in sorted(parts.items())]
+    if any(inside):
+        return [(page.tag[i], t) for i, t in found if t and inside[i]]
+    away = _elsewhere(page)
+    fine = lambda i, t: not away[i] and len(t.split()) >= LEAST_WORDS and page.own_links[i] <= MOST_LINKED * page.own[i]
+    return [(page.tag[i], t) for i, t in found if fine(i, t)]
 
 
 def _escape(text: str) -> str:
@@ -60,6 +95,8 @@ def _escape(text: str) -> str:
 def _layout(main: list[tuple[str, str]], other: list[str], r: random.Random) -> str:
     """A page with ``main`` as its main text, marked by data-main, and ``other`` around it."""
 
+    nameless, plain = r.random() < 0.2, "div" if r.random() < 0.2 else "p"
+
     def some(least: int, most: int) -> str:
         words = r.choice(other).split() or ["-"]
         at = r.randrange(len(words))
@@ -68,15 +105,23 @@ def _layout(main: list[tuple[str, str]], other: list[str], r: random.Random) ->
     def link(least: int = 1, most: int = 3) -> str:
         return f'<a href="/{r.randrange(999)}">{some(least, most)}</a>'
 
+    def named(kind: str) -> str:
+        """A name that fits, one that says nothing, or, rarely, one of another kind; none at all on some pages."""
+        if nameless:
+            return ""
+        luck = r.random()
+        if luck < 0.35:
+            return r.choice("bcfgmqrsx") + "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(2, 7)))
+        return r.choice(NAMES[kind if luck < 0.96 else r.choice(list(NAMES))])
+
     def box(kind: str, inner: str, tags: tuple[str, ...]) -> str:
         tag = r.choice(tags) if tags and r.random() < 0.45 else r.choice(("div", "div", "section", "div", "ul" if inner.startswith("<li") else "div"))
-        name = r.choice(TOKENS[kind])
-        how = r.random()
-        attribute = "" if tag != "div" and how < 0.5 else f' class="{name}{r.choice(("", "-wrap", " box", "-1", "_inner"))}"' if how < 0.75 else f' id="{name}"' if how < 0.95 else ""
+        name, how = named(kind), r.random()
+        attribute = "" if not name or tag != "div" and how < 0.5 else f' class="{name}{r.choice(("", "-wrap", " box", "-1", "_inner"))}"' if how < 0.75 else f' id="{name}"' if how < 0.95 else ""
         return f"<{tag}{attribute}>{inner}</{tag}>"
 
     menu = lambda: "".join(f"<li>{link()}</li>" for _ in range(r.randint(3, 12)))
-    prose = lambda a, b: "".join(f"<p>{some(5, 60)}</p>" for _ in range(r.randint(a, b)))
+    prose = lambda a, b: "".join(f"<{plain}>{some(5, 60)}</{plain}>" for _ in range(r.randint(a, b)))
     parts = {
         "menu": lambda: box("menu", f"<ul>{menu()}</ul>" if r.random() < 0.7 else menu(), ("nav",)),
         "frame": lambda: box("frame", r.choice((f"<p>{some(2, 12)}</p>", some(3, 25), f"<h2>{link()}</h2>" + some(1, 6), f"&copy; {some(3, 15)}")), ("header", "footer")),
@@ -92,8 +137,8 @@ def _layout(main: list[tuple[str, str]], other: list[str], r: random.Random) ->
         if len(words) > 8 and r.random() < 0.3:
             k = r.randrange(len(words) - 4)
             words[k] = r.choice(('<a href="/x">{}</a>', "<b>{}</b>", "<em>{}</em>", "<span>{}</span>")).format(words[k])
-        own = tag if tag in ("h1", "h2", "h3", "p", "li", "blockquote") else "p"
-        own = r.choice(("p", "p", "p", "p", "p", "blockquote", "div")) if own == "p" and i else own
+        own = tag if tag in ("h1", "h2", "h3", "li", "blockquote") else plain
+        own = r.choice(("blockquote", "div", "p")) if own == plain and i and r.random() < 0.2 else own
         body.append(f'<{own} data-main="1">{" ".join(words)}</{own}>')
         if r.random() < 0.06:
             body.append(f'<ul data-main="1">{"".join(f"<li data-main=1>{some(3, 20)}</li>" for _ in range(r.randint(2, 5)))}</ul>')
@@ -102,12 +147,15 @@ def _layout(main: list[tuple[str, str]], other: list[str], r: random.Random) ->
     article = "".join(body)
     for depth in range(r.randint(1, 3)):
         tag = r.choice(("article", "main", "div", "div", "section"))
-        name = r.choice(TOKENS["main"])
-        article = f'<{tag}{"" if r.random() < 0.4 else r.choice((" class", " id")) + f"={chr(34)}{name}{chr(34)}"} data-main="1">{article}</{tag}>'
+        name = named("main")
+        article = f'<{tag}{"" if not name or r.random() < 0.4 else r.choice((" class", " id")) + f"={chr(34)}{name}{chr(34)}"} data-main="1">{article}</{tag}>'
     before = [parts[k]() for k in ("frame", "menu", "notice", "advert", "form", "side") if r.random() < 0.5]
     after = [parts[k]() for k in ("reader", "side", "advert", "menu", "form", "frame", "notice") if r.random() < 0.5]
     r.shuffle(after)
     inner = "".join(before) + article + "".join(after)
+    if r.random() < 0.12:  # laid out as a table
+        cells = [f"<td>{x}</td>" for x in before] + [f"<td data-main=1>{article}</td>"] + [f"<td>{x}</td>" for x in after]
+        inner = f"<table data-main=1><tr data-main=1>{''.join(cells)}</tr></table>"
     if r.random() < 0.4:
         inner = f'<div{r.choice(("", " class=wrapper", " id=container"))} data-main="1">{inner}</div>'
     return f"<html><head><title>{some(1, 6)}</title></head><body data-main=1>{inner}</body></html>"
@@ -125,16 +173,15 @@ def training_rows(pages: list[str], seed: int = 11) -> list[tuple[list[float], f
     """Labelled elements of the sampled pages and of their new layouts."""
     r = random.Random(seed)
     read = [Page(h) for h in pages]
-    mains = [_paragraphs(p) for p in read]
+    within = [_inside(p) for p in read]
+    mains = [_paragraphs(p, w) for p, w in zip(read, within)]
     other = [s for m in mains for _, s in m] or ["text"]
     out = []
-    for page, main in zip(read, mains):
+    for page, inside, main in zip(read, within, mains):
         if not main:
             continue
-        inside = [False] * len(page.tag)
-        for i in range(1, len(page.tag)):
-            inside[i] = (inside[page.parent[i]] or page.tag[i] in ("article", "main")) and page.tag[i] not in _DROPPED
-        out += _rows(page, inside)
+        if any(inside):
+            out += LAYOUTS * _rows(page, inside)  # as much weight as the layouts made of it
         for _ in range(LAYOUTS):
             new = Page(_layout(main[: r.randint(1, max(1, len(main)))], other, r))
             out += _rows(new, [t is not None for t in new.truth])
@@ -144,7 +191,11 @@ def training_rows(pages: list[str], seed: int = 11) -> list[tuple[list[float], f
 def fit(pages: DataFrame) -> Trees:
     """Boosted trees learnt from a bounded sample of pages."""
     spark = pages.sparkSession
-    some = pages.where(F.length("html") <= LONGEST).select("html", F.xxhash64("html").alias("h")).distinct().orderBy("h", "html").limit(SAMPLE)
+    short = pages.where(F.length("html") <= LONGEST).select("html", F.xxhash64("html").alias("h"))
+    # Half as many more than needed are expected below the threshold, whatever the number of pages or of their copies.
+    n = short.agg(F.approx_count_distinct("h")).first()[0]
+    below = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * SAMPLE / max(n, 1)))
+    some = short.where(below).distinct().orderBy("h", "html").limit(SAMPLE)
     rows = training_rows([x["html"] for x in some.collect()])
     if len({y for _, y in rows}) < 2:
         return []
@@ -215,7 +266,7 @@ def extract(pages: DataFrame, trees: Trees) -> DataFrame:
                 read = [Page(h or "") for h in html[a : a + 128]]
                 rows = [features(p) for p in read]
                 x = np.array([r for f in rows for r in f]).reshape(-1, len(FEATURES))
-                p = probabilities(x, trees).tolist() if trees else [0.6] * len(x)
+                p = probabilities(x, trees).tolist() if trees else [0.1 if away else 0.6 for q in read for away in _elsewhere(q)]
                 at = 0
                 for page in read:
                     texts.append(page.text(decode(page.parent, p[at : at + len(page.tag)])))
