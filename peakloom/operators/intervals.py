@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TILE = 1024
+TILE, WIDE = 1024, 1 << 17
 
 
-def merged(regions: DataFrame) -> DataFrame:
-    """Overlapping or touching regions of a contig as one."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = regions.select("chrom", "start", "end", F.when(F.col("start") <= reach, 0).otherwise(1).alias("new"))
-    island = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def merged(regions: DataFrame, tile: int = WIDE) -> DataFrame:
+    """Overlapping or touching regions of a contig as one.
+
+    Regions are merged within the wide tile of the contig that they begin in; what is left meets its neighbours through
+    each tile's furthest end and last first region, so a contig spreads over many tasks and only tiles are ordered as a whole.
+    """
+    near = Window.partitionBy("chrom", "_tile").orderBy("start", "end")
+    earlier = near.rowsBetween(Window.unboundedPreceding, -1)
+    upto = near.rowsBetween(Window.unboundedPreceding, 0)
+    tiles = Window.partitionBy("chrom").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    own = regions.select("chrom", "start", "end", F.expr(f"start div {tile}").alias("_tile"))
+    first = F.when(F.col("start") <= F.max("end").over(earlier), None).otherwise(F.col("start"))
+    local = own.withColumn("_first", first).withColumn("_first", F.max("_first").over(upto))
+    local = local.groupBy("chrom", "_tile", F.col("_first").alias("start")).agg(F.max("end").alias("end"))
+    ends = local.groupBy("chrom", "_tile").agg(F.max("end").alias("_end"))
+    reached = ends.select("chrom", "_tile", F.max("_end").over(tiles).alias("_reach"))
+    marked = local.join(reached, ["chrom", "_tile"]).withColumn("_first", F.when(F.col("start") <= F.col("_reach"), None).otherwise(F.col("start")))
+    firsts = marked.groupBy("chrom", "_tile").agg(F.max("_first").alias("_last"))
+    before = firsts.select("chrom", "_tile", F.max("_last").over(tiles).alias("_before"))
+    island = F.coalesce(F.max("_first").over(upto), F.col("_before"))
+    joined = marked.join(before, ["chrom", "_tile"]).select("chrom", "end", island.alias("start"))
+    return joined.groupBy("chrom", "start").agg(F.max("end").alias("end"))
 
 
 def long_enough(regions: DataFrame, least: int) -> DataFrame:
@@ -53,10 +68,35 @@ def overlapping(left: DataFrame, right: DataFrame, tile: int = TILE) -> DataFram
     return joined.where(meet & first).drop("_tile", "r__tile")
 
 
-def overlap_counts(regions: DataFrame, spans: DataFrame, tile: int = TILE) -> DataFrame:
-    """How many spans of each sample overlap each region."""
-    pairs = overlapping(regions, spans, tile)
-    return pairs.groupBy("chrom", "start", "end", F.col("r_sample_id").alias("sample_id")).agg(F.count(F.lit(1)).alias("n"))
+def overlap_counts(regions: DataFrame, spans: DataFrame, tile: int = WIDE) -> DataFrame:
+    """How many spans of each sample overlap each region, where any do; a repeated region counts as often as it is there.
+
+    No pairs are listed. Of spans that begin before the region's end, those that end at its start or before don't overlap it;
+    both numbers are running sums over a sample's positions, taken within wide tiles of the contig to which the tiles before
+    are added. Positions are counted before they are shuffled.
+    """
+    at = ["chrom", "sample_id", "_tile"]
+    ends = F.expr("inline(array(struct(start as pos, 1L as begun, 0L as over), struct(`end` as pos, 0L as begun, 1L as over)))")
+    events = spans.select("chrom", "sample_id", ends).groupBy("chrom", "sample_id", "pos").agg(F.sum("begun").alias("begun"), F.sum("over").alias("over"))
+    events = events.withColumn("_tile", F.expr(f"pos div {tile}"))
+    tiles = events.groupBy(*at).agg(F.sum("begun").alias("begun"), F.sum("over").alias("over"))
+    asked = F.expr("inline(array(struct(`end` as pos, true as last), struct(start as pos, false as last)))")
+    points = regions.groupBy("chrom", "start", "end").agg(F.count(F.lit(1)).alias("times")).select("*", asked).withColumn("_tile", F.expr(f"pos div {tile}"))
+    # Samples are few: one per input file.
+    points = points.join(F.broadcast(tiles.select("chrom", "sample_id").distinct()), "chrom")
+    # Tiles that only a region touches need what lies before them too.
+    order = Window.partitionBy("chrom", "sample_id").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    every = tiles.unionByName(points.select(*at).distinct().withColumns({"begun": F.lit(0).cast("long"), "over": F.lit(0).cast("long")}))
+    every = every.groupBy(*at).agg(F.sum("begun").alias("begun"), F.sum("over").alias("over"))
+    base = every.select(*at, F.coalesce(F.sum("begun").over(order), F.lit(0)).alias("_begun"), F.coalesce(F.sum("over").over(order), F.lit(0)).alias("_over"))
+    both = events.unionByName(points, allowMissingColumns=True)
+    within = Window.partitionBy(*at).orderBy("pos")
+    begun = F.coalesce(F.sum("begun").over(within.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    over = F.coalesce(F.sum("over").over(within.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    seen = both.withColumns({"_b": begun, "_o": over}).where("last is not null").join(base, at)
+    part = F.when(F.col("last"), F.col("_b") + F.col("_begun")).otherwise(-F.col("_o") - F.col("_over"))
+    counts = seen.groupBy("chrom", "start", "end", "sample_id").agg((F.sum(part) * F.max("times")).alias("n"))
+    return counts.where("n > 0")
 
 
 def jaccard(a: DataFrame, b: DataFrame, tile: int = TILE) -> DataFrame:
