@@ -6,9 +6,6 @@ import math
 
 import numpy as np
 
-HALO = 1200
-
-
 def _bands(n: int, lam: float, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Diagonal and two off-diagonals of W + lam D'D, D being second differences."""
     d = np.full(n, 6.0)
@@ -44,11 +41,18 @@ def solve_whittaker(y: np.ndarray, weight: np.ndarray, lam: float) -> np.ndarray
     return out
 
 
+def halo(lam: float) -> int:
+    """Loci beyond which one has no say worth 1e-11 in a fit.
+
+    A fit of half the loci answers like 1/2 + lam d^4, whose response falls off as exp(-x / (sqrt 2 * (2 lam)^(1/4))).
+    """
+    return max(64, math.ceil(26 * math.sqrt(2) * (2 * lam) ** 0.25))
+
+
 def baseline(y: np.ndarray, window: int = 101, tile: int = 4096) -> np.ndarray:
     """Smooth baseline: mean of two Whittaker fits, each of which sees every other locus.
 
-    Long tracks are cut into tiles with a halo on both sides, beyond which a locus has no
-    say worth 1e-11, and all tiles are solved at once.
+    Long tracks are cut into tiles with a halo on both sides that grows with the window, and all tiles are solved at once.
     """
     n = len(y)
     if n < 25:
@@ -56,10 +60,12 @@ def baseline(y: np.ndarray, window: int = 101, tile: int = 4096) -> np.ndarray:
     window = min(window, n)
     window -= 1 - window % 2
     lam = 7.0 * (window * 0.15915494) ** 4
-    if n <= 2 * tile:
+    edge = halo(lam)
+    tile = max(tile, edge)
+    if n <= tile + 2 * edge:
         starts, size = np.array([0]), n
     else:
-        size = tile + 2 * HALO
+        size = tile + 2 * edge
         starts = np.append(np.arange(0, n - size, tile), n - size)
     at = starts[None, :] + np.arange(size)[:, None]
     fit = sum(solve_whittaker(y[at], (at % 2 == parity).astype(float), lam) for parity in (0, 1)) / 2
@@ -67,8 +73,8 @@ def baseline(y: np.ndarray, window: int = 101, tile: int = 4096) -> np.ndarray:
         return fit[:, 0]
     out = np.empty(n)
     for k, s in enumerate(starts):
-        a = 0 if k == 0 else HALO
-        b = size if k == len(starts) - 1 else size - HALO
+        a = 0 if k == 0 else edge
+        b = size if k == len(starts) - 1 else size - edge
         out[s + a : s + b] = fit[a:b, k]
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import kernels
 from peakloom.operators import scoring, stats
 
-DRAWS, SEED = 25, 42
+DRAWS, SEED, SHARDS = 25, 42, 5
 
 
 def residuals(tracks: DataFrame, means: DataFrame | None = None) -> DataFrame:
@@ -37,35 +38,32 @@ def bootstrap_budget(scores: DataFrame, draws: int = DRAWS, seed: int = SEED, la
     """Per contig: the share of loci above a threshold beyond what dependent wild-bootstrap draws of the null reach.
 
     The null's template is the score's non-positive part about its centre, mirrored by signed dependent
-    weights. (contig, draw) is the unit of work, so draws spread over tasks; each has a generator of its own.
+    weights. A contig's track goes to ``SHARDS`` tasks at most, each of which makes its share of the draws; each draw has a generator of its
+    own. Without draws only sizes and autocorrelation times mean something.
     """
+    shards = max(1, min(SHARDS, draws))
 
-    def observed(own: pd.DataFrame) -> tuple[np.ndarray, float, float]:
+    def own_draws(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         s = own.sort_values("start")["score"].to_numpy(float)
-        centre = float(np.median(s))
+        n, centre = len(s), float(np.median(s))
         low = np.minimum(s - centre, 0.0)
         scale = kernels.robust_scale(np.concatenate([low[low < 0], -low[low < 0]]))
-        return s, centre, scale
-
-    def draw(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        s, centre, scale = observed(own)
         threshold = centre + threshold_z * scale
-        b = int(min(max(8, lag), max(1, len(s) - 1)))
-        k = int(key[1])
-        n = len(s)
-        ess, tau, _ = kernels.effective_size(np.clip((s - threshold) / scale, 0, 1), min(n - 1, max(16, 4 * min(n, lag))))
-        if k == 0:
-            share = float((s > threshold).mean())
-        else:
-            rng = np.random.default_rng([seed, k])
-            null = centre + np.minimum(s - centre, 0.0) * kernels.wild_weights(n, b, rng)
-            share = float((null > threshold).mean())
-        return pd.DataFrame({"chrom": [key[0]], "draw": [k], "share": [share], "ess": [ess], "tau": [tau], "n": [n]})
-
-    each = scores.select("chrom", "start", "score").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    out = each.groupBy("chrom", "draw").applyInPandas(draw, "chrom string, draw int, share double, ess double, tau double, n long")
+        b = int(min(max(8, lag), max(1, n - 1)))
+        out = []
+        if key[1] == 0:
+            ess, tau, _ = kernels.effective_size(np.clip((s - threshold) / scale, 0, 1), min(n - 1, max(16, 4 * min(n, lag))))
+            out.append((key[0], 0, float((s > threshold).mean()), ess, tau, n))
+        for k in range(1 + int(key[1]), draws + 1, shards):
+            null = centre + low * kernels.wild_weights(n, b, np.random.default_rng([seed, k]))
+            out.append((key[0], k, float((null > threshold).mean()), None, None, n))
+        return pd.DataFrame(out, columns=["chrom", "draw", "share", "ess", "tau", "n"])
+
+    each = scores.select("chrom", "start", "score").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    out = each.groupBy("chrom", "shard").applyInPandas(own_draws, "chrom string, draw int, share double, ess double, tau double, n long")
     null, own = F.avg(F.when(F.col("draw") > 0, F.col("share"))), F.max(F.when(F.col("draw") == 0, F.col("share")))
-    return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max(F.when(F.col("draw") == 0, F.col("ess"))).alias("ess"), F.max(F.when(F.col("draw") == 0, F.col("tau"))).alias("tau"), own.alias("observed"), null.alias("null"), F.least(F.greatest(own - null, F.lit(0.0)), F.lit(1.0)).alias("fraction"))
+    fraction = F.least(F.greatest(own - null, F.lit(0.0)), F.lit(1.0))
+    return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max("ess").alias("ess"), F.max("tau").alias("tau"), own.alias("observed"), null.alias("null"), fraction.alias("fraction"))
 
 
 def matrix_budget(
@@ -74,29 +72,33 @@ def matrix_budget(
 ) -> DataFrame:
     """``bootstrap_budget`` for scores that are weighted means: every draw bends the samples' residual tracks and scores them anew.
 
-    ``tracks`` are centred and without baseline (as of ``scoring.moderated``), ``scores`` has their mean and score per locus. (contig, draw,
-    sample) is the unit of work. A draw's generator is walked through its samples in order, so a group passes over the noise of those before its own.
+    ``tracks`` are centred and without baseline (as of ``scoring.moderated``), ``scores`` has their mean and score per locus. (contig, sample,
+    shard of the draws) is the unit of work. A draw's generator is walked through its samples in order, so a group passes over the noise of those before its own.
     All draws count; there is no early stop.
     """
     template = residuals(tracks.select("chrom", "sample_id", "start", "value"), scores)
     template = template.select("chrom", "sample_id", "start", "value").persist(StorageLevel.DISK_ONLY)
-    score = lambda t, by=(): stats.combine(scoring.moderated(t, prior_df, background=None, by=by), lower_z, min_effect, by)
-    fitted = score(template)
+    fitted = stats.combine(scoring.moderated(template, prior_df, background=None), lower_z, min_effect)
     off = fitted.join(fitted.groupBy("chrom").agg(F.median("score").alias("centre")), "chrom").withColumn("_d", F.col("score") - F.col("centre"))
     # The mirrored values' median is 0, so their MAD is the median of the absolute ones.
     scale = F.greatest(1.4826 * F.median(F.when(F.col("_d") <= 0, -F.col("_d"))), F.lit(1e-6))
     limits = off.groupBy("chrom").agg(F.first("centre").alias("centre"), scale.alias("scale"))
     limits = limits.withColumn("threshold", F.col("centre") + threshold_z * F.col("scale")).persist(StorageLevel.DISK_ONLY)
+    shards = max(1, min(SHARDS, draws))
 
-    def bend(own: pd.DataFrame) -> pd.DataFrame:
+    def bent(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """A track's value over its moderated variance, and that variance's inverse, in each of a shard's draws."""
         own = own.sort_values("start", ignore_index=True)
-        n = len(own)
+        y, start, place = own["value"].to_numpy(float), own["start"].to_numpy(), int(own["place"].iloc[0])
+        n = len(y)
         b = int(max(1, min(n - 1, max(8, lag))))
-        rng = np.random.default_rng(seed + 104729 * int(own["draw"].iloc[0]))
-        for _ in range(int(own["place"].iloc[0])):
-            rng.standard_normal(n + 2 * b)
-        weights = kernels.wild_weights(n, b, rng) if n > 1 else np.ones(n)
-        return own.assign(value=own["value"] * weights)[["chrom", "draw", "sample_id", "start", "value"]]
+        for k in range(1 + int(own["shard"].iloc[0]), draws + 1, shards):
+            rng = np.random.default_rng(seed + 104729 * k)
+            for _ in range(place):
+                rng.standard_normal(n + 2 * b)
+            x = y * (kernels.wild_weights(n, b, rng) if n > 1 else 1.0)
+            weight = 1 / scoring.track_variances(x, prior_df)[2]
+            yield pd.DataFrame({"chrom": own["chrom"], "draw": np.int32(k), "start": start, "weighted": x * weight, "weight": weight})
 
     def independent(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("start", ignore_index=True)
@@ -107,9 +109,14 @@ def matrix_budget(
 
     samples = template.select("chrom", "sample_id").distinct()
     samples = samples.withColumn("place", F.row_number().over(Window.partitionBy("chrom").orderBy("sample_id")) - 1)
-    each = template.join(samples, ["chrom", "sample_id"]).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    bent = each.groupBy("chrom", "draw", "sample_id").applyInPandas(bend, "chrom string, draw int, sample_id string, start long, value double")
-    drawn = score(bent, ("draw",)).join(limits, "chrom")
+    each = template.join(samples, ["chrom", "sample_id"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = each.groupBy("chrom", "shard", "sample_id").applyInPandas(
+        lambda own: pd.concat(list(bent(own)), ignore_index=True), "chrom string, draw int, start long, weighted double, weight double"
+    )
+    sums = rows.groupBy("chrom", "draw", "start").agg(F.sum("weighted").alias("a"), F.sum("weight").alias("w"))
+    mean, error = F.col("a") / F.col("w"), F.sqrt(1 / F.col("w"))
+    drawn_score = mean / error - lower_z if min_effect is None else (mean - min_effect) / error
+    drawn = sums.select("chrom", "draw", drawn_score.alias("score")).join(limits, "chrom")
     null = drawn.groupBy("chrom", "draw").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("share")).groupBy("chrom").agg(F.avg("share").alias("null"))
     seen = scores.select("chrom", "start", "score").join(limits, "chrom")
     own = seen.groupBy("chrom").applyInPandas(independent, "chrom string, ess double, tau double, n_loci long, observed double")

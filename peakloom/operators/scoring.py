@@ -12,6 +12,13 @@ from peakloom.operators import stats
 PRIOR_DF, WINDOW, BACKGROUND = 5.0, 31, 101
 
 
+def track_variances(y: np.ndarray, prior_df: float = PRIOR_DF, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A track's local variance, the variance's trend, and both moderated into one."""
+    raw = kernels.local_variance(y, window)
+    prior = raw.copy() if len(y) < 5 else kernels.variance_trend(y, raw)
+    return raw, prior, kernels.shrunk(raw, prior, prior_df, window)
+
+
 def moderated(tracks: DataFrame, prior_df: float = PRIOR_DF, window: int = WINDOW, background: int | None = BACKGROUND, by: tuple[str, ...] = ()) -> DataFrame:
     """Per track: value less its baseline, its local variance, the variance's trend, and both moderated into one.
 
@@ -25,9 +32,8 @@ def moderated(tracks: DataFrame, prior_df: float = PRIOR_DF, window: int = WINDO
             raise ValueError("tracks must be finite")
         if background:
             y = y - kernels.baseline(y, background)
-        raw = kernels.local_variance(y, window)
-        prior = raw.copy() if len(y) < 5 else kernels.variance_trend(y, raw)
-        return own.assign(value=y, raw=raw, prior=prior, moderated=kernels.shrunk(raw, prior, prior_df, window))[["chrom", *by, "sample_id", "start", "value", "raw", "prior", "moderated"]]
+        raw, prior, both = track_variances(y, prior_df, window)
+        return own.assign(value=y, raw=raw, prior=prior, moderated=both)[["chrom", *by, "sample_id", "start", "value", "raw", "prior", "moderated"]]
 
     schema = f"chrom string, {''.join(f'{k} int, ' for k in by)}sample_id string, start long, value double, raw double, prior double, moderated double"
     return tracks.select("chrom", *by, "sample_id", "start", "value").groupBy("chrom", *by, "sample_id").applyInPandas(track, schema)

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.columns import log2_plus, rank_quantile
+from peakloom.operators import ranks
 
 
 def central(matrix: DataFrame, method: str = "quantile", q: float = 0.5, trim: float = 0.05, power: float = 1.0) -> DataFrame:
-    """One value per locus over its samples (a number that doesn't grow): median, nearest quantile, trimmed mean or mean."""
+    """One value per locus over its samples (a number that doesn't grow): median, nearest quantile (at 0.5 the median), trimmed mean or mean."""
     v = F.collect_list("value")
-    if method == "median":
+    if method == "median" or (method == "quantile" and abs(q - 0.5) < 1e-12):
         x = F.median("value")
     elif method == "quantile":
         x = rank_quantile(v, q, "nearest")
@@ -52,7 +53,7 @@ def higher_quantiles(scores: DataFrame, quantiles: list[float], column: str = "v
     Ranks come from counts per distinct value, so equal values cost one row.
     """
     counts = scores.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
+    upto = ranks.sums_upto(counts, "v", "n", "upto")
     total = counts.agg(F.sum("n").alias("total"))
     asked = scores.sparkSession.createDataFrame([(q,) for q in quantiles], "q double")
     place = upto.join(F.broadcast(total), how="cross").join(F.broadcast(asked), F.col("upto") > F.ceil((F.col("total") - 1) * F.col("q")))
@@ -145,20 +146,22 @@ def q_values(rows: DataFrame, p: str = "p") -> DataFrame:
     A value's rank follows from counts per distinct p; the running minimum is over distinct p alone.
     """
     counts = rows.groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.orderBy(p)
-    upto = counts.withColumn("_upto", F.sum("_n").over(up))
-    total = F.sum("_n").over(Window.partitionBy(F.lit(1)))
-    q = F.least(F.lit(1.0), F.min(F.col(p) * total / F.col("_upto")).over(Window.orderBy(F.desc(p))))
-    return rows.join(upto.withColumn("q", q).select(p, "q"), p)
+    total = counts.agg(F.sum("_n").alias("_total"))
+    upto = ranks.sums_upto(counts, p, "_n", "_upto").join(F.broadcast(total), how="cross")  # a single row
+    raw = upto.withColumn("_raw", F.col(p) * F.col("_total") / F.col("_upto"))
+    found = ranks.least_from(raw, p, "_raw", "_least").select(p, F.least(F.lit(1.0), "_least").alias("q"))
+    return rows.join(found, p)
 
 
 def survival(observed: DataFrame, null: DataFrame, by: str) -> DataFrame:
     """p = (N - #{null < x} + 1) / (N + 1) in each null group: ranks from one ordered pass over distinct values of both."""
     both = observed.groupBy(by, F.col("value").alias("x")).agg(F.lit(0).cast("long").alias("c")).unionByName(null.groupBy(by, F.col("value").alias("x")).agg(F.count(F.lit(1)).alias("c")))
     points = both.groupBy(by, "x").agg(F.sum("c").alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("c").over(Window.partitionBy(by))
-    p = points.select(by, F.col("x").alias("value"), ((total - below + 1) / (total + 1)).alias("p"))
+    upto = ranks.sums_upto(points, "x", "c", "upto", (by,))
+    total = null.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
+    below = F.col("upto") - F.col("c")
+    every = F.coalesce("total", F.lit(0))
+    p = upto.join(total, by, "left").select(by, F.col("x").alias("value"), ((every - below + 1) / (every + 1)).alias("p"))
     return observed.join(p, [by, "value"])
 
 

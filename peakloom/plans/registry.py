@@ -368,12 +368,24 @@ def autocov_lags(spark, sf_dir):
     return stats.autocovariance(_scores(spark, sf_dir), 5, "score").select("chrom", "lag", _r("autocovariance", "autocovariance"))
 
 
-@query("""SELECT chrom, round(greatest(coalesce(median(score) FILTER (WHERE score>0),0),1),6) AS gamma, count(*) FILTER (WHERE score>0) AS n_positive FROM scores GROUP BY 1""", "scores")
+#: Autocorrelation time of the scores' soft exceedance: pairs of lags are added up as long as they are positive.
+_GAMMA = """+s AS (SELECT chrom, score, row_number() OVER (PARTITION BY chrom ORDER BY "start") AS i, count(*) OVER (PARTITION BY chrom) AS n, median(score) OVER (PARTITION BY chrom) AS m FROM scores),
+sc AS (SELECT chrom, greatest(1.4826::DOUBLE*median(m-score),1e-6::DOUBLE) AS sc FROM s WHERE score<m GROUP BY 1),
+x AS (SELECT s.chrom, i, n, least(greatest((score-m)/coalesce(sc,1e-6::DOUBLE)-2,0),1) AS x FROM s LEFT JOIN sc ON s.chrom=sc.chrom),
+y AS (SELECT *, x-avg(x) OVER (PARTITION BY chrom) AS y FROM x),
+wide AS (SELECT chrom, i, n, y, unnest(range(0, 1+least(n-1,greatest(16,4*least(n,101))))) AS k FROM y),
+cov AS (SELECT a.chrom, a.k, sum(a.y*b.y)/(max(a.n)-a.k) AS c FROM wide a JOIN y b ON b.chrom=a.chrom AND b.i=a.i+a.k GROUP BY 1,2),
+rho AS (SELECT a.chrom, a.k, least(greatest(a.c/b.c,-1),1) AS r FROM cov a JOIN cov b ON b.chrom=a.chrom AND b.k=0 WHERE a.k>=1 AND b.c>1e-12::DOUBLE),
+pairs AS (SELECT chrom, (k-1)//2 AS j, sum(r) AS p FROM rho GROUP BY 1,2 HAVING count(*)=2),
+taus AS (SELECT chrom, 1+2*sum(p) AS tau FROM pairs WHERE j<coalesce((SELECT min(j) FROM pairs q WHERE q.chrom=pairs.chrom AND q.p<=0),1000000) GROUP BY 1)
+SELECT s.chrom, round(least(greatest(0.5::DOUBLE*ceil(greatest(coalesce(max(tau),1),1))*coalesce(median(score) FILTER (WHERE score>0),1),0.5::DOUBLE),10),6) AS gamma,
+count(*) FILTER (WHERE score>0) AS n_positive FROM s LEFT JOIN taus ON s.chrom=taus.chrom GROUP BY 1"""
+
+
+@query(_GAMMA, "scores")
 def gamma_auto(spark, sf_dir):
-    """The short form that its SQL has (median positive score, at least 1); the plans use ``chain.gamma``."""
-    positive = F.when(F.col("score") > 0, F.col("score"))
-    found = _scores(spark, sf_dir).groupBy("chrom").agg(F.greatest(F.coalesce(F.median(positive), F.lit(0.0)), F.lit(1.0)).alias("gamma"), F.count(positive).alias("n_positive"))
-    return found.select("chrom", _r("gamma", "gamma"), "n_positive")
+    s = _scores(spark, sf_dir)
+    return chain.gamma(s, budgets.bootstrap_budget(s, draws=0)).select("chrom", _r("gamma", "gamma"), "n_positive")
 
 
 @query("""SELECT chrom, round(least(greatest((count(*) FILTER (WHERE score>1))/count(*)::DOUBLE*2,0.005::DOUBLE),0.1::DOUBLE),6) AS budget FROM scores GROUP BY 1""", "scores")
