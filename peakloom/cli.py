@@ -6,7 +6,7 @@ import argparse
 import sys
 from dataclasses import fields
 
-from peakloom.plans.consensus import GENOMES, Settings, call
+from peakloom.plans.consensus import GENOMES, Settings, call, call_narrow, input_paths
 from peakloom.session import ship
 from peakloom.sources import text
 
@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output", default="regions.bed")
     p.add_argument("-g", "--genome", choices=sorted(GENOMES))
     p.add_argument("--effective_genome_size", type=float)
+    p.add_argument("--narrowPeak", action="store_true", help="also score the regions and write them, with summits, to OUTPUT.narrowPeak")
     p.add_argument("--config", help="JSON file; its settings replace those of the command line")
     known = Settings()
     for f in fields(Settings):
@@ -30,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         elif isinstance(value, list):
             p.add_argument(f"--{f.name}", nargs="*", default=value)
         else:
-            kind = type(value) if value is not None else int if f.name == "min_length" else float
+            kind = type(value) if value is not None else {"min_length": int, "chrom_sizes_file": str}.get(f.name, float)
             p.add_argument(f"--{f.name}", type=kind, default=value)
     return p
 
@@ -56,7 +57,13 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     spark = ship(SparkSession.builder.appName("peakloom").getOrCreate())
-    text.write_regions(call(spark, args.input_files, settings(args)), args.output)
+    paths, s = input_paths(args.input_files), settings(args)
+    if not args.narrowPeak:
+        text.write_regions(call(spark, paths, s), args.output)
+        return 0
+    regions, scored = call_narrow(spark, paths, s)
+    text.write_regions(regions, args.output)
+    text.write_narrow_peaks(scored, f"{args.output}.narrowPeak")
     return 0
 
 

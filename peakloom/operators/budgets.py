@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import kernels
 from peakloom.operators import scoring, stats
+from peakloom.session import cut
 
 DRAWS, SEED, SHARDS = 25, 42, 5
 
@@ -77,13 +77,13 @@ def matrix_budget(
     All draws count; there is no early stop.
     """
     template = residuals(tracks.select("chrom", "sample_id", "start", "value"), scores)
-    template = template.select("chrom", "sample_id", "start", "value").persist(StorageLevel.DISK_ONLY)
+    template = cut(template.select("chrom", "sample_id", "start", "value"))
     fitted = stats.combine(scoring.moderated(template, prior_df, background=None), lower_z, min_effect)
     off = fitted.join(fitted.groupBy("chrom").agg(F.median("score").alias("centre")), "chrom").withColumn("_d", F.col("score") - F.col("centre"))
     # The mirrored values' median is 0, so their MAD is the median of the absolute ones.
     scale = F.greatest(1.4826 * F.median(F.when(F.col("_d") <= 0, -F.col("_d"))), F.lit(1e-6))
     limits = off.groupBy("chrom").agg(F.first("centre").alias("centre"), scale.alias("scale"))
-    limits = limits.withColumn("threshold", F.col("centre") + threshold_z * F.col("scale")).persist(StorageLevel.DISK_ONLY)
+    limits = cut(limits.withColumn("threshold", F.col("centre") + threshold_z * F.col("scale")))
     shards = max(1, min(SHARDS, draws))
 
     def bent(own: pd.DataFrame) -> Iterator[pd.DataFrame]:

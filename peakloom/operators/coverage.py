@@ -47,6 +47,33 @@ def scaled(signal: DataFrame, factors: DataFrame, digits: int = 5) -> DataFrame:
     return signal.join(factors, "sample_id").withColumn("value", F.bround(F.col("value") * F.col("factor"), digits)).drop("factor")
 
 
+def gridded(signal: DataFrame, const_scale: float = 1.0, digits: int = 5) -> DataFrame:
+    """Tracks given as (start, end, value) on the grid of their own bins, gaps being 0; scaled (unless below 0) and rounded half to even.
+
+    A track's bins must be finite, of one width, on one grid and unique; what isn't is an error.
+    """
+    width = F.col("end") - F.col("start")
+    bad_value = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    seen = signal.groupBy(*BY).agg(
+        F.min("start").alias("_a"), F.max("start").alias("_b"), F.min(width).alias("_w"), F.max(width).alias("_most"), F.count_if(bad_value).alias("_bad"),
+        F.count(F.lit(1)).alias("_n"), F.count_distinct("start").alias("_starts"),
+    )
+    wrong = (
+        F.when(F.col("_bad") > 0, "values are not finite").when(F.col("_w") <= 0, "bins have no width").when(F.col("_w") != F.col("_most"), "bins differ in width")
+        .when(F.col("_n") != F.col("_starts"), "bins overlap")
+    )
+    step = F.when(wrong.isNull(), F.col("_w")).otherwise(F.raise_error(F.concat(F.lit("a track's "), wrong)).cast("long"))
+    known = seen.select(*BY, "_a", "_b", step.alias("_w"))
+    grid = known.select(*BY, "_w", F.explode(F.sequence("_a", "_b", "_w")).alias("start"))
+    placed = signal.join(known, BY)
+    off = (F.col("start") - F.col("_a")) % F.col("_w") != 0
+    aligned = placed.withColumn("value", F.when(off, F.raise_error(F.lit("a track's bins are off its grid")).cast("double")).otherwise(F.col("value")))
+    filled = grid.join(aligned.select(*BY, "start", "value"), [*BY, "start"], "left")
+    scale = const_scale if const_scale >= 0 else 1.0
+    value = F.bround(F.coalesce("value", F.lit(0.0)) * scale, digits)
+    return filled.select(*BY, "start", (F.col("start") + F.col("_w")).alias("end"), value.alias("value"))
+
+
 def trimmed(signal: DataFrame) -> DataFrame:
     """Each track from its first to its last positive bin; zeros between stay."""
     ends = signal.where("value > 0").groupBy(*BY).agg(F.min("start").alias("_a"), F.max("start").alias("_b"))

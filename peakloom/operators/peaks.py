@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.operators import intervals, reads as reads_of, stats
+from peakloom.session import cut
 
 #: Contigs whose reads don't tell a sample's depth.
 SKIP = ("chrX", "chrY", "chrM")
@@ -56,25 +59,32 @@ def sample_scales(aligned: DataFrame, genome: float, skip: tuple[str, ...] = SKI
 
 def narrow_peaks(
     regions: DataFrame, reads: DataFrame, sizes: DataFrame, draws: int = 250, seed: int = 42, bins: int = 24,
-    aligned: DataFrame | None = None, genome: float | None = None, skip: tuple[str, ...] = SKIP,
+    aligned: DataFrame | None = None, genome: float | None = None, skip: tuple[str, ...] = SKIP, loci: DataFrame | None = None, step: int = 50,
+    statistic: Callable[[DataFrame], DataFrame] = stats.peak_signal,
 ) -> DataFrame:
-    """Regions with signal, p, q and display score, against random regions of about their length.
+    """Regions with signal, p, q, display score and summit, against random regions of about their length.
+
+    A region's summit is the offset of its best locus by the ``value`` of ``loci`` (-1 without). ``statistic`` makes one ``value`` of a region's
+    scaled counts over samples, for regions and random regions alike.
 
     Counts of regions and random regions are scaled by each sample's depth: that of ``aligned`` (all alignments; by default ``reads``)
     outside the contigs ``skip``, against ``genome`` (by default the other contigs' sizes). Each kind is counted by one tiled join.
     """
     spark = regions.sparkSession
-    regions = regions.select("chrom", "start", "end").distinct()
+    regions = cut(regions.select("chrom", "start", "end").distinct())
     known = {r["chrom"]: r["size"] for r in sizes.orderBy("ord").collect()}
     genome = sum(x for c, x in known.items() if c not in skip) if genome is None else genome
-    scales = sample_scales(reads if aligned is None else aligned, genome, skip)
+    scales = cut(sample_scales(reads if aligned is None else aligned, genome, skip))
     lengths = [r[0] for r in regions.select(F.col("end") - F.col("start")).distinct().collect()]
     stands = length_bins(lengths, bins)
     null = [(c, s, e, k) for k in sorted(set(stands.values())) for c, s, e in random_regions(known, k, draws, seed)]
     null = spark.createDataFrame(null, "chrom string, start long, end long, bin long")
     own = spark.createDataFrame(list(stands.items()), "length long, bin long")
-    stat = lambda x: stats.peak_signal(counted(x, reads, scales).withColumn("n", F.col("n") * F.col("scale")))
-    null_stat = stat(null.select("chrom", "start", "end").distinct()).join(null, ["chrom", "start", "end"]).select("bin", "value")
-    seen = stat(regions).withColumn("length", F.col("end") - F.col("start")).join(F.broadcast(own), "length")
+    stat = lambda x: statistic(counted(x, reads, scales).withColumn("n", F.col("n") * F.col("scale")))
+    null_stat = cut(stat(null.select("chrom", "start", "end").distinct()).join(null, ["chrom", "start", "end"]).select("bin", "value"))
+    seen = cut(stat(regions)).withColumn("length", F.col("end") - F.col("start")).join(F.broadcast(own), "length")
     scored = stats.q_values(stats.survival(seen, null_stat, "bin"))
-    return stats.display_score(scored).withColumns({"name": F.concat_ws("_", "chrom", "start", "end"), "strand": F.lit(".")})
+    shown = stats.display_score(scored).withColumns({"name": F.concat_ws("_", "chrom", "start", "end"), "strand": F.lit(".")})
+    if loci is None:
+        return shown.withColumn("offset", F.lit(-1).cast("long"))
+    return shown.join(intervals.summits(regions, loci, step), ["chrom", "start", "end"])

@@ -32,15 +32,46 @@ def proper_fragments(pairs: DataFrame, least: int | None = None, most: int = 100
     return pairs.where(fine & (F.col("tlen") != 0) & (size >= low) & (size <= most))
 
 
-def extended(reads: DataFrame, length: int, shift_forward: int = 0, shift_reverse: int = 0) -> DataFrame:
-    """Spans of ``length`` from the 5' end, shifted by strand; the read's own span for length 0."""
-    reverse = has(REVERSE)
+#: Names of what a span is counted by (fixed values).
+MODES = {
+    "coverage": "coverage", "cov": "coverage", "0": "coverage",
+    "cutsite": "cutsite", "cut": "cutsite", "cutsites": "cutsite", "1": "cutsite",
+    "fiveprime": "fiveprime", "five_prime": "fiveprime", "5p": "fiveprime", "2": "fiveprime",
+    "center": "center", "centre": "center", "midpoint": "center", "3": "center",
+}
+
+
+def counted_spans(spans: DataFrame, mode: str) -> DataFrame:
+    """What is counted of each span: all of it, both outermost bases, the 5' base by strand (``flag``, else the start), or the middle one."""
+    if mode not in MODES:
+        raise ValueError(f"unsupported count mode {mode}")
+    kind = MODES[mode]
+    if kind == "cutsite":
+        return cut_sites(spans)
+    if kind == "center":
+        return centres(spans)
+    if kind == "fiveprime":
+        first = F.when(has(REVERSE), F.col("end") - 1).otherwise(F.col("start")) if "flag" in spans.columns else F.col("start")
+        return spans.withColumn("start", first).withColumn("end", F.col("start") + 1)
+    return spans
+
+
+def extended(reads: DataFrame, length: int | Column, shift_forward: int = 0, shift_reverse: int = 0) -> DataFrame:
+    """Spans of ``length`` from the 5' end, shifted by strand; the read's own span for length 0 or less."""
+    size, reverse = F.lit(length) if isinstance(length, int) else length, has(REVERSE)
     s = F.col("start") + F.when(reverse, -shift_reverse).otherwise(shift_forward)
     e = F.col("end") + F.when(reverse, -shift_reverse).otherwise(shift_forward)
-    if length <= 0:
-        return reads.withColumns({"start": s, "end": e})
-    first = F.when(reverse, e - length).otherwise(s)
-    return reads.withColumns({"start": F.greatest(first, F.lit(0)), "end": first + length})
+    first = F.when(reverse, e - size).otherwise(s)
+    return reads.withColumns({"start": F.when(size > 0, F.greatest(first, F.lit(0))).otherwise(s), "end": F.when(size > 0, first + size).otherwise(e)})
+
+
+def read_lengths(reads: DataFrame, exclude: int = 0, first: int = 32, looked_at: int = 4096) -> DataFrame:
+    """(sample_id, length): integer median of the first fine reads' lengths among each sample's first records."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sample_id").orderBy("rec_no", "start", "end")
+    head = reads.select("sample_id", "rec_no", "start", "end", "flag", "qlen").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= looked_at)
+    return integer_median(head.where(~has(exclude | 4) & (F.col("qlen") > 0)), "qlen", ["sample_id"], ["rec_no", "start", "end"], first)
 
 
 def paired_samples(reads: DataFrame, first: int = 1000) -> DataFrame:
@@ -61,6 +92,13 @@ def fragment_spans(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"start": F.greatest(start, F.lit(0)), "end": end})
 
 
+def within_contigs(spans: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Spans cut to their contigs; those of unknown contigs, or outside, go. Contigs are few."""
+    known = spans.join(F.broadcast(sizes.select("chrom", F.col("size").alias("_size"))), "chrom")
+    cut = known.withColumns({"start": F.greatest("start", F.lit(0)), "end": F.least("end", "_size")})
+    return cut.where("start < `end`").drop("_size")
+
+
 def clipped(spans: DataFrame, low: int, high: int) -> DataFrame:
     """Spans that overlap [low, high), cut to it."""
     kept = spans.where((F.col("end") > low) & (F.col("start") < high))

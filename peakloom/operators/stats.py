@@ -194,4 +194,6 @@ def display_score(rows: DataFrame, base: int = 250) -> DataFrame:
     top = rows.agg(F.percentile("value", F.lit(0.99)).alias("_q"))
     score = F.least(base + F.col("value") / F.col("_q") * (1000 - base), F.lit(1000.0)).cast("int")
     logs = lambda c: F.round(-F.log10(F.col(c) + 1e-10), 4)
-    return rows.join(F.broadcast(top), how="cross").select("chrom", "start", "end", score.alias("score"), logs("p").alias("p_score"), logs("q").alias("q_score"))
+    return rows.join(F.broadcast(top), how="cross").select(
+        "chrom", "start", "end", score.alias("score"), F.round("value", 4).alias("signal"), logs("p").alias("p_score"), logs("q").alias("q_score")
+    )

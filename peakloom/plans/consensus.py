@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.functions.columns import clip
-from peakloom.operators import budgets, chain, coverage, intervals, peaks, reads as read_ops, scoring, stats
+from peakloom.operators import budgets, chain, coverage, fragments, intervals, peaks, reads as read_ops, scoring, stats
+from peakloom.session import cut
 from peakloom.sources import bam, bigwig, text
 
 #: Effective sizes of genomes (fixed values).
@@ -45,6 +46,25 @@ class Settings:
     null_draws: int = 25
     seed: int = 42
     min_length: int | None = None
+    const_scale: float = -1.0
+    scale_by_step: bool = False
+    chrom_sizes_file: str | None = None
+    null_regions: int = 250
+    null_seed: int = 42
+
+
+def input_paths(given: list[str]) -> list[str]:
+    """Paths given one by one or as .txt files that list them line by line; all must exist. Blank lines and comments count for nothing."""
+    out: list[str] = []
+    for path in given:
+        if path.endswith(".txt"):
+            with open(path) as f:
+                out += [x.strip() for x in f if x.strip() and not x.startswith("#")]
+        else:
+            out.append(path)
+    if absent := [x for x in out if "://" not in x and not os.path.exists(x)]:
+        raise FileNotFoundError(f"no such input: {', '.join(absent)}")
+    return out
 
 
 def input_kind(paths: list[str]) -> str:
@@ -56,49 +76,88 @@ def input_kind(paths: list[str]) -> str:
     return kinds.pop()
 
 
-def sample_signal(reads: DataFrame, s: Settings) -> DataFrame:
+def resolved(reads: DataFrame, s: Settings, sizes: DataFrame) -> DataFrame:
+    """(sample_id, whole, reach, length): whether a sample's pairs count as whole fragments, how far its reads are extended (-1: not), and the length that scales it.
+
+    An ``extend`` of 0 infers: pairs count by their templates, single ends reach as far as their strands agree best; where nothing can be
+    inferred, reads count as they are. One row per input file.
+    """
+    exclude = max(s.flag_exclude, 0)
+    known = read_ops.paired_samples(reads, 1024).join(read_ops.read_lengths(reads, exclude), "sample_id", "left")
+    length = F.coalesce("length", F.lit(1))
+    if s.extend != 0:
+        norm = F.lit(s.extend).cast("long") if s.extend > 0 else length.cast("long")
+        return known.select("sample_id", F.lit(False).alias("whole"), F.lit(s.extend).alias("reach"), norm.alias("length"))
+    pairs = reads.join(F.broadcast(known.where("paired").select("sample_id")), "sample_id", "left_semi")
+    single = reads.join(F.broadcast(known.where("not paired").select("sample_id")), "sample_id", "left_semi")
+    found = fragments.paired_end_lengths(pairs, sizes, exclude).unionByName(fragments.single_end_lengths(single, sizes, exclude))
+    both = known.join(found, "sample_id", "left")
+    whole = F.col("paired") & F.col("fragment").isNotNull()
+    longer = ~F.col("paired") & (F.coalesce("fragment", F.lit(0)) > length)
+    reach = F.when(longer, F.col("fragment")).otherwise(F.lit(-1))
+    norm = F.when(whole | longer, F.col("fragment")).otherwise(length).cast("long")
+    return both.select("sample_id", whole.alias("whole"), reach.cast("int").alias("reach"), norm.alias("length"))
+
+
+def sample_signal(reads: DataFrame, s: Settings, sizes: DataFrame | None = None) -> DataFrame:
     """Scaled coverage per sample; the mapped reads that scale it leave out some contigs and no flags.
 
-    An ``extend`` of 0 counts the whole fragments of paired ends; single ends, whose length isn't inferred yet, are refused.
+    ``sizes`` (chrom, size, ord) cuts spans at the contigs' ends; without it contigs are taken to end with their last read.
     """
-    if s.extend == 0:
-        single = [r["sample_id"] for r in read_ops.paired_samples(reads).where("not paired").collect()]  # one row per input file
-        if single:
-            raise ValueError(f"extend 0 needs paired ends; give a length for {', '.join(sorted(single))}")
+    ends = reads.groupBy("chrom").agg(F.max("end").alias("size")).where("chrom is not null").withColumn("ord", F.col("chrom")) if sizes is None else sizes
+    info = F.broadcast(cut(resolved(reads, s, ends)))  # one row per input file
     reads = read_ops.on_chromosomes(reads, s.chroms, s.skip_chroms)
-    kept = read_ops.keep(reads, max(s.flag_include, 0), s.flag_exclude, s.min_mapq)
+    kept = read_ops.keep(reads, max(s.flag_include, 0), s.flag_exclude, s.min_mapq).join(info.select("sample_id", "whole", "reach"), "sample_id")
+    spans = read_ops.extended(kept.where("not whole"), F.col("reach"))
     if s.extend == 0:
-        spans = read_ops.fragment_spans(read_ops.proper_fragments(kept))
-    else:
-        spans = read_ops.extended(kept, s.extend) if s.extend > 0 else kept
+        spans = spans.unionByName(read_ops.fragment_spans(read_ops.proper_fragments(kept.where("whole"))))
     spans = read_ops.centres(spans) if s.center_reads else spans
+    spans = spans if sizes is None else read_ops.within_contigs(spans, sizes)
     counts = coverage.binned(spans, s.step).select("chrom", "sample_id", "start", F.col("n").cast("double").alias("value"))
     used = read_ops.on_chromosomes(reads, skip=s.ignore_for_norm).where(~read_ops.has(4))
-    found = used.groupBy("sample_id").agg(F.count(F.lit(1)).alias("mapped"), F.median("qlen").alias("len"))
-    factor = coverage.scale_factor(s.norm_method, s.genome_size, s.step, F.col("mapped"), F.col("len"), s.scale_factor)
+    found = used.groupBy("sample_id").agg(F.count(F.lit(1)).alias("mapped")).join(info.select("sample_id", "length"), "sample_id")
+    scale = s.scale_factor / (s.step if s.scale_by_step else 1) * (s.const_scale if s.const_scale >= 0 else 1.0)
+    factor = coverage.scale_factor(s.norm_method, s.genome_size, s.step, F.col("mapped"), F.col("length"), scale)
     return coverage.trimmed(coverage.scaled(counts, found.select("sample_id", factor.alias("factor")), s.round_digits))
 
 
+def contig_sizes(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
+    """(chrom, size, ord) of the sizes file, or of the BAM files' headers."""
+    if s.chrom_sizes_file:
+        return text.read_sizes(spark, s.chrom_sizes_file)
+    return spark.createDataFrame(bam.contigs(paths), "chrom string, size long, ord int")
+
+
+def bam_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    spark.dataSource.register(bam.BamSource)
+    return spark.read.format("bam").load(",".join(paths))
+
+
 def scores(spark: SparkSession, paths: list[str], s: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """(chrom, start, score) and the tracks behind it: weighted means of BAM samples, or the median of given tracks, which needs none."""
+    """(chrom, start, score, mean) and the tracks behind it: weighted means of BAM samples, or the median of given tracks, which needs none."""
     kind = input_kind(paths)
     if kind == "bam":
-        spark.dataSource.register(bam.BamSource)
-        reads = spark.read.format("bam").load(",".join(paths))
-        tracks = scoring.moderated(stats.centred_log(coverage.matrix(sample_signal(reads, s), s.step)), s.prior_df).persist(StorageLevel.DISK_ONLY)
-        return stats.combine(tracks, s.lower_bound_z, s.min_effect), tracks
+        reads = bam_reads(spark, paths)
+        signal = sample_signal(reads, s, contig_sizes(spark, paths, s))
+        tracks = cut(scoring.moderated(stats.centred_log(coverage.matrix(cut(signal), s.step)), s.prior_df))
+        return cut(stats.combine(tracks, s.lower_bound_z, s.min_effect)), tracks
     if kind == "bigwig":
         spark.dataSource.register(bigwig.BigWigSource)
         both = spark.read.format("bigwig").load(",".join(paths))
     else:
         both = reduce(DataFrame.unionByName, [text.read_signal(spark, p, str(i)) for i, p in enumerate(paths)])
-    both = read_ops.on_chromosomes(both, s.chroms, s.skip_chroms)
-    return stats.central(coverage.matrix(both.drop("end")), "median").select("chrom", "start", F.col("value").alias("score")), None
+    both = coverage.gridded(read_ops.on_chromosomes(both, s.chroms, s.skip_chroms), s.const_scale, s.round_digits)
+    middle = stats.central(coverage.matrix(both.drop("end")), "median")
+    return cut(middle.select("chrom", "start", F.col("value").alias("score"), F.col("value").alias("mean"))), None
 
 
 def call(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
     """Selected regions, merged."""
-    found, tracks = scores(spark, paths, s)
+    return regions_of(*scores(spark, paths, s), s)
+
+
+def regions_of(found: DataFrame, tracks: DataFrame | None, s: Settings) -> DataFrame:
+    """Selected regions, merged, of scores and the tracks behind them."""
     found = coverage.check_finite(found, "score")
     shares = None
     if s.gamma is None or s.penalty is None:
@@ -106,7 +165,7 @@ def call(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
             shares = budgets.bootstrap_budget(found, s.null_draws, s.seed)
         else:
             shares = budgets.matrix_budget(tracks, found, s.null_draws, s.seed, lower_z=s.lower_bound_z, prior_df=s.prior_df, min_effect=s.min_effect)
-        shares = shares.persist(StorageLevel.DISK_ONLY)
+        shares = cut(shares)
     gamma = chain.gamma(found, shares) if s.gamma is None else s.gamma
     if s.penalty is not None:
         return intervals.selected_regions(chain.select(found, gamma, penalty=s.penalty), s.step, s.min_length)
@@ -119,5 +178,14 @@ def call(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
     return intervals.selected_regions(chain.select(found, gamma, budgets=final), s.step, s.min_length)
 
 
-def narrow(spark: SparkSession, regions: DataFrame, reads: DataFrame, sizes: DataFrame, seed: int = 42) -> DataFrame:
-    return peaks.narrow_peaks(regions, reads, sizes, seed=seed)
+def call_narrow(spark: SparkSession, paths: list[str], s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Regions, and the same with signal, p, q, display score and summit, which need reads: BAM files alone."""
+    if input_kind(paths) != "bam":
+        raise ValueError("narrow peaks are scored by reads; give BAM files")
+    found, tracks = scores(spark, paths, s)
+    regions = cut(regions_of(found, tracks, s))
+    reads = bam_reads(spark, paths)
+    kept = read_ops.keep(reads, max(s.flag_include, 0), s.flag_exclude, s.min_mapq)
+    loci = found.select("chrom", "start", F.col("mean").alias("value"))
+    skip = tuple(s.ignore_for_norm)
+    return regions, peaks.narrow_peaks(regions, kept, contig_sizes(spark, paths, s), s.null_regions, s.null_seed, aligned=reads, skip=skip, loci=loci, step=s.step)

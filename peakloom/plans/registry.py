@@ -5,12 +5,12 @@ Doubles are rounded to six digits on both sides, as sums may associate different
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.columns import clip
 from peakloom.operators import budgets, chain, coverage, intervals, peaks, reads as read_ops, scoring, stats
+from peakloom.session import cut
 from peakloom.sources import views
 
 QUERIES: dict = {}
@@ -526,9 +526,9 @@ def eb_budgets(spark, sf_dir):
 @query()
 def consensus_peaks(spark, sf_dir):
     """Reads to regions with estimated budgets: scoring, bootstrap, shrinkage, calibrated chain."""
-    tracks = scoring.moderated(_centred(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
-    s = stats.combine(tracks)
-    shares = budgets.matrix_budget(tracks, s).persist(StorageLevel.DISK_ONLY)
+    tracks = cut(scoring.moderated(_centred(spark, sf_dir)))
+    s = cut(stats.combine(tracks))
+    shares = cut(budgets.matrix_budget(tracks, s))
     found = budgets.shrunk_budgets(shares)
     found = found.withColumn("budget", clip(F.col("budget"), 0.005, 0.1))
     return intervals.selected_regions(chain.select(s, chain.gamma(s, shares), budgets=found), STEP)

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,3 +26,13 @@ def ship(spark: SparkSession) -> SparkSession:
                         out.write(full, os.path.join("peakloom", os.path.relpath(full, top)))
         context.addPyFile(path)
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the cluster's checkpoint folder, where its lineage ends; a folder of our own only where none is set and all is local."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-peakloom-"))
+    return df.checkpoint(eager=True)

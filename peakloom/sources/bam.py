@@ -35,36 +35,54 @@ def blocks(path: str) -> Iterator[bytes]:
             yield zlib.decompress(body[:-8], -15)
 
 
-def records(path: str) -> Iterator[tuple]:
-    source = blocks(path)
-    held = bytearray()
+class _Stream:
+    """A BAM file's decompressed bytes, taken piece by piece."""
+
+    def __init__(self, path: str):
+        self.path, self.source, self.held = path, blocks(path), bytearray()
 
-    def need(n: int) -> bool:
-        while len(held) < n:
-            block = next(source, None)
+    def need(self, n: int) -> bool:
+        while len(self.held) < n:
+            block = next(self.source, None)
             if block is None:
                 return False
-            held.extend(block)
+            self.held.extend(block)
         return True
 
-    def take(n: int) -> bytes:
-        if not need(n):
-            raise ValueError(f"{path} ends within a record")
-        out = bytes(held[:n])
-        del held[:n]
+    def take(self, n: int) -> bytes:
+        if not self.need(n):
+            raise ValueError(f"{self.path} ends within a record")
+        out = bytes(self.held[:n])
+        del self.held[:n]
         return out
 
-    if take(4) != b"BAM\x01":
-        raise ValueError(f"{path} is not a BAM file")
-    take(struct.unpack("<i", take(4))[0])
-    names = []
-    for _ in range(struct.unpack("<i", take(4))[0]):
-        names.append(take(struct.unpack("<i", take(4))[0])[:-1].decode())
-        take(4)
+    def number(self) -> int:
+        return struct.unpack("<i", self.take(4))[0]
+
+    def header(self) -> list[tuple[str, int]]:
+        """Contigs and their sizes."""
+        if self.take(4) != b"BAM\x01":
+            raise ValueError(f"{self.path} is not a BAM file")
+        self.take(self.number())
+        return [(self.take(self.number())[:-1].decode(), self.number()) for _ in range(self.number())]
+
+
+def contigs(paths: list[str]) -> list[tuple[str, int, int]]:
+    """(chrom, size, ord) of all files' headers; the first file that names a contig decides."""
+    out: dict[str, int] = {}
+    for path in paths:
+        for name, size in _Stream(path).header():
+            out.setdefault(name, size)
+    return [(name, size, i) for i, (name, size) in enumerate(out.items())]
+
+
+def records(path: str) -> Iterator[tuple]:
+    stream = _Stream(path)
+    names = [name for name, _ in stream.header()]
     sample = os.path.basename(path).removesuffix(".bam")
     number = 0
-    while need(4):
-        data = take(struct.unpack("<i", take(4))[0])
+    while stream.need(4):
+        data = stream.take(stream.number())
         ref, pos, name_size, mapq, _, n_cigar, flag, length, mate, _, tlen = struct.unpack_from("<iiBBHHHiiii", data)
         span, query = 0, 0
         for (op,) in struct.iter_unpack("<I", data[32 + name_size : 32 + name_size + 4 * n_cigar]):

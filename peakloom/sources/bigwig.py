@@ -107,7 +107,8 @@ class _Reader(DataSourceReader):
         return out
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        sample = os.path.basename(partition.path).partition(".")[0]
+        name = os.path.basename(partition.path)
+        sample = name.rpartition(".")[0] if name.lower().endswith((".bw", ".bigwig")) else name
         with open(partition.path, "rb") as f:
             contigs, _, buffer = _header(f)
             names = _contigs(f, contigs)

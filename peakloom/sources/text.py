@@ -84,6 +84,12 @@ def write_count_matrix(counts: DataFrame, path: str, samples: list[str]) -> None
 
 
 def write_narrow_peaks(scored: DataFrame, path: str) -> None:
-    """Ten columns: place, name, score, strand, signal, p, q, summit."""
-    names = ["chrom", "start", "end", "name", "score", "strand", "signalValue", "pValue", "qValue", "peak"]
+    """Ten columns without header: place, name, score, strand, signal, p, q (minus log10), summit's offset."""
+    names = ["chrom", "start", "end", "name", "score", "strand", "signal", "p_score", "q_score", "offset"]
     scored.select(*names).orderBy("chrom", "start", "end").write.mode("overwrite").options(sep="\t").csv(path)
+
+
+def write_summits(summits: DataFrame, path: str) -> None:
+    """(name, offset) lines of regions with an ``offset``."""
+    names = F.concat_ws("_", "chrom", "start", "end").alias("name")
+    summits.orderBy("chrom", "start", "end").select(names, "offset").write.mode("overwrite").options(sep="\t").csv(path)

@@ -38,3 +38,24 @@ def test_other_files_are_errors(spark, tmp_path):
     spark.dataSource.register(bigwig.BigWigSource)
     with pytest.raises(Exception):
         spark.read.format("bigwig").load(str(tmp_path / "no.bw")).collect()
+
+
+def test_tracks_on_their_grid(spark):
+    from peakloom.operators import coverage
+
+    schema = "sample_id string, chrom string, start long, end long, value double"
+    grid = lambda rows, *a: sorted(map(tuple, coverage.gridded(spark.createDataFrame([("a", "c", s, e, float(v)) for s, e, v in rows], schema), *a).select("start", "end", "value").collect()))
+    assert grid([(50, 100, 1.5), (150, 200, -0.5), (300, 350, 2)]) == [(50, 100, 1.5), (100, 150, 0.0), (150, 200, -0.5), (200, 250, 0.0), (250, 300, 0.0), (300, 350, 2.0)]
+    assert grid([(0, 10, 1.23456789)], 2.0, 3) == [(0, 10, 2.469)] and grid([(0, 10, 1.25)], -1.0) == [(0, 10, 1.25)] and grid([(0, 10, 1.25)], 0.0) == [(0, 10, 0.0)]
+    for rows, said in (([(0, 50, 1), (50, 120, 1)], "width"), ([(0, 50, 1), (60, 110, 1)], "grid"), ([(0, 50, 1), (0, 50, 2)], "overlap"), ([(0, 50, float("nan"))], "finite")):
+        with pytest.raises(Exception, match=said):
+            grid(rows)
+
+
+def test_sample_names_keep_their_dots(spark, tmp_path):
+    block = struct.pack("<IIIIIBBH", 0, 0, 500, 0, 0, 1, 0, 1) + struct.pack("<IIf", 0, 50, 1.0)
+    spark.dataSource.register(bigwig.BigWigSource)
+    for name in ("a.1.bw", "a.2.bw"):
+        write_bigwig(tmp_path / name, [block])
+    got = spark.read.format("bigwig").load(",".join(str(tmp_path / n) for n in ("a.1.bw", "a.2.bw"))).collect()
+    assert {r["sample_id"] for r in got} == {"a.1", "a.2"}

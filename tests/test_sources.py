@@ -19,8 +19,8 @@ def record(pos, flag=0, mapq=60, length=50):
     return struct.pack("<i", len(body)) + body
 
 
-def write_bam(path, reads):
-    head = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 500)
+def write_bam(path, reads, size=500):
+    head = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", size)
     data = head + b"".join(record(*r) for r in reads)
     path.write_bytes(b"".join(bgzf(data[i : i + 70]) for i in range(0, len(data), 70)) + bgzf(b""))
 
