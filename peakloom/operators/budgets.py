@@ -62,8 +62,10 @@ def bootstrap_budget(scores: DataFrame, draws: int = DRAWS, seed: int = SEED, la
     each = scores.select("chrom", "start", "score").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     out = each.groupBy("chrom", "shard").applyInPandas(own_draws, "chrom string, draw int, share double, ess double, tau double, n long")
     null, own = F.avg(F.when(F.col("draw") > 0, F.col("share"))), F.max(F.when(F.col("draw") == 0, F.col("share")))
+    drawn = F.when(F.col("draw") > 0, F.col("share"))
+    error = F.stddev_samp(drawn) / F.sqrt(F.count(drawn))
     fraction = F.least(F.greatest(own - null, F.lit(0.0)), F.lit(1.0))
-    return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max("ess").alias("ess"), F.max("tau").alias("tau"), own.alias("observed"), null.alias("null"), fraction.alias("fraction"))
+    return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max("ess").alias("ess"), F.max("tau").alias("tau"), own.alias("observed"), null.alias("null"), error.alias("null_error"), fraction.alias("fraction"))
 
 
 def matrix_budget(
@@ -117,11 +119,11 @@ def matrix_budget(
     mean, error = F.col("a") / F.col("w"), F.sqrt(1 / F.col("w"))
     drawn_score = mean / error - lower_z if min_effect is None else (mean - min_effect) / error
     drawn = sums.select("chrom", "draw", drawn_score.alias("score")).join(limits, "chrom")
-    null = drawn.groupBy("chrom", "draw").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("share")).groupBy("chrom").agg(F.avg("share").alias("null"))
+    null = drawn.groupBy("chrom", "draw").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("share")).groupBy("chrom").agg(F.avg("share").alias("null"), (F.stddev_samp("share") / F.sqrt(F.count(F.lit(1)))).alias("null_error"))
     seen = scores.select("chrom", "start", "score").join(limits, "chrom")
     own = seen.groupBy("chrom").applyInPandas(independent, "chrom string, ess double, tau double, n_loci long, observed double")
     beyond = F.least(F.greatest(F.col("observed") - F.col("null"), F.lit(0.0)), F.lit(1.0))
-    return own.join(null, "chrom").select("chrom", "n_loci", "ess", "tau", "observed", "null", beyond.alias("fraction"))
+    return own.join(null, "chrom").select("chrom", "n_loci", "ess", "tau", "observed", "null", "null_error", beyond.alias("fraction"))
 
 
 def fit_beta_prior(successes: np.ndarray, totals: np.ndarray, centre: float = 0.05, strength: float = 10.0) -> tuple[float, float]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions.columns import clip
-from peakloom.operators import budgets, chain, coverage, intervals, peaks, reads as read_ops, scoring, stats
+from peakloom.operators import budgets, chain, coverage, fragments, intervals, peaks, reads as read_ops, scoring, stats
 from peakloom.session import cut
 from peakloom.sources import views
 
@@ -120,6 +120,31 @@ def coverage_center(spark, sf_dir):
     return coverage.binned(read_ops.centres(read_ops.keep(views.reads(spark, sf_dir))), STEP)
 
 
+@query("""SELECT chrom, sample_id, (CASE WHEN (flag & 16)<>0 THEN "end"-1 ELSE "start" END)//50*50 AS "start", count(*) AS n FROM kept GROUP BY ALL""", "kept")
+def coverage_fiveprime(spark, sf_dir):
+    return coverage.binned(read_ops.counted_spans(read_ops.keep(views.reads(spark, sf_dir)), "5p"), STEP)
+
+
+@query("""SELECT * FROM (SELECT k.chrom, sample_id, greatest(CASE WHEN (flag & 16)<>0 THEN "end"-2000 ELSE "start" END,0) AS "start",
+    least(CASE WHEN (flag & 16)<>0 THEN "end" ELSE "start"+2000 END,size) AS "end" FROM kept k JOIN sizes z ON k.chrom=z.chrom) WHERE "start"<"end\"""", "kept sizes")
+def spans_within_contigs(spark, sf_dir):
+    spans = read_ops.extended(read_ops.keep(views.reads(spark, sf_dir)), 2000)
+    return read_ops.within_contigs(spans, views.chrom_sizes(spark, sf_dir)).select(*SPAN)
+
+
+@query("""+c AS (SELECT sample_id, chrom, "start"//250 AS own, count(*) AS n FROM reads GROUP BY ALL),
+w AS (SELECT chrom, m, chunk, greatest(least(chunk-10,m-21),0) AS lo FROM (SELECT chrom, m, unnest(range(0,m)) AS chunk FROM (SELECT chrom, ceil(size/250.0::DOUBLE)::BIGINT AS m FROM sizes)))
+SELECT c.sample_id, w.chrom, w.chunk, sum(n)::BIGINT AS n FROM w JOIN c ON c.chrom=w.chrom AND c.own>=w.lo AND c.own<w.lo+21 AND c.own<m GROUP BY ALL""", "reads sizes")
+def chunk_density(spark, sf_dir):
+    return fragments.densities(views.reads(spark, sf_dir), views.chrom_sizes(spark, sf_dir), 250, 21)
+
+
+@query()
+def fragment_length_se(spark, sf_dir):
+    """Strands of the given reads by position; tests hold the operator against brute force."""
+    return fragments.single_end_lengths(views.pairs(spark, sf_dir), views.chrom_sizes(spark, sf_dir))
+
+
 @query("""SELECT chrom, bin*3600 AS "start", sum(n)::BIGINT AS n FROM (SELECT chrom, n, unnest(generate_series("start"//3600,("end"-1)//3600)) AS bin FROM fragments) GROUP BY ALL""", "fragments")
 def fragment_coverage(spark, sf_dir):
     return coverage.binned(views.fragments(spark, sf_dir), 3600, ["chrom"], "n")
