@@ -11,7 +11,7 @@ by rank exactly. A piece that is itself a token is that token.
 
 Defined results: a null text counts as empty (no ids, no bytes); repeated rows and
 clashing columns are no matter, as ids and bytes come back beside the input's columns
-under the names given; an empty table gives an empty result. Memory is bounded by a
+under the names given; an empty table gives an empty result; a vocabulary that lacks any of the 256 bytes is refused. Memory is bounded by a
 batch of texts and a cache of pieces that is emptied when full.
 """
 
@@ -41,6 +41,8 @@ class BytePairEncoder:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if absent := [x for x in range(256) if bytes([x]) not in self.rank]:
+            raise ValueError(f"{path} lacks tokens for {len(absent)} of the 256 bytes")
         self.token = [b""] * (max(self.rank.values()) + 1)
         for t, r in self.rank.items():
             self.token[r] = t

@@ -201,6 +201,14 @@ def test_byte_bpe(spark, docs, rows, none):
     assert bpe.digests(none, path, p.PATTERN).count() == 0
 
 
+def test_byte_bpe_needs_every_byte(tmp_path):
+    import base64
+
+    (tmp_path / "few.tiktoken").write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % i for i in range(255)))
+    with pytest.raises(ValueError, match="1 of the 256"):
+        bpe.BytePairEncoder(str(tmp_path / "few.tiktoken"), ".")
+
+
 def test_byte_bpe_on_random_strings():
     import base64
 
