@@ -23,10 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before, e = e, materialize(large.where("a <> b").distinct(), "edges")
-        discard(before)
-        own = e.groupBy("a").agg(F.min("b").alias("m"))
-        small = e.join(own, "a")
+        large = large.where("a <> b").distinct()
+        own = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(own, "a")
         before, e = e, materialize(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).distinct(), "edges")
         discard(before)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -202,10 +202,8 @@ def _several(posts: DataFrame) -> DataFrame:
     A token's least and greatest class are taken before the shuffle, and the join's side of postings is one that Spark can split.
     """
     ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    shared = materialize(ends.where("lo <> hi").select("token"), "tokens")
-    out = materialize(posts.join(shared, "token", "left_semi").dropDuplicates(), "postings")
-    discard(shared)
-    return out
+    shared = ends.where("lo <> hi").select("token")
+    return materialize(posts.join(shared, "token", "left_semi").dropDuplicates(), "postings")
 
 
 def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -225,11 +223,10 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     classes = materialize(classes, "classes")
     tokens = known.where("size > 0").select("cls", F.explode("prefix").alias("token"))
     thin = _several(tokens)
-    for _ in range(2):
-        enough = materialize(_enough(thin, classes, percent), "postings")
-        discard(thin)
-        thin = _several(enough)
-        discard(enough)
+    enough = materialize(_enough(thin, classes, percent), "postings")
+    discard(thin)
+    thin = _several(enough)
+    discard(enough)
     posts = materialize(thin.join(classes.drop("doc_id"), "cls"), "postings-described")
     discard(thin)
     near = posts.alias("l").join(posts.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") != F.col("r.cls")) & _may_link(percent), "left_semi")
@@ -257,13 +254,13 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
         leader = p.groupBy("token").agg(one).select("token", *[F.col(f"one.{c}").alias(c) for c in [*info, "comp"]])
         pairs = p.alias("l").join(leader.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp")) & _may_link(percent))
         best = pairs.groupBy(F.col("l.cls").alias("a")).agg(F.min(F.struct(_distance().alias("d"), F.col("r.cls").alias("b"))).alias("one"))
-        links = materialize(links.union(_verified(best.select("a", "one.b"), of, percent)), "links")
+        links = links.union(_verified(best.select("a", "one.b"), of, percent))
         label = materialize(components(links), "labels")
         discard(p)
     p = active(labelled())
     rest = p.alias("l").join(p.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp")) & _may_link(percent))
     pairs = rest.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("l.least", "r.least")).alias("least"))
-    links = materialize(links.union(_verified(pairs.where("n >= least"), of, percent)), "links")
+    links = links.union(_verified(pairs.where("n >= least"), of, percent))
     label = materialize(components(links), "labels")
     discard(p, posts, of, wanted)
     joined = classes.join(label, classes["cls"] == label["node"], "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp"))
