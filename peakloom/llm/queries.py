@@ -15,6 +15,9 @@ _HOMES = {
     "op1_warc": "warc",
     "op9_secret_scan": "secret_scan",
     "op6_quality_rules": "quality_rules",
+    "op11_spelling_variants": "spelling",
+    "op12_personal_data": "personal_data",
+    "op13_whitening": "whitening",
 }
 
 
