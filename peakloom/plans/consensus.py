@@ -76,14 +76,23 @@ def input_kind(paths: list[str]) -> str:
     return kinds.pop()
 
 
-def resolved(reads: DataFrame, s: Settings, sizes: DataFrame) -> DataFrame:
+#: Records of each file's beginning that tell of pairs and read lengths.
+PROBE = 65_536
+
+
+def resolved(reads: DataFrame, s: Settings, sizes: DataFrame, probe: DataFrame | None = None) -> DataFrame:
     """(sample_id, whole, reach, length): whether a sample's pairs count as whole fragments, how far its reads are extended (-1: not), and the length that scales it.
 
     An ``extend`` of 0 infers: pairs count by their templates, single ends reach as far as their strands agree best; where nothing can be
-    inferred, reads count as they are. One row per input file.
+    inferred, reads count as they are. One row per input file. ``probe`` has the first records of each file, if they can be read alone; where one
+    has no usable read among them, all are looked through.
     """
     exclude = max(s.flag_exclude, 0)
-    known = read_ops.paired_samples(reads, 1024).join(read_ops.read_lengths(reads, exclude), "sample_id", "left")
+    known = read_ops.paired_samples(reads if probe is None else probe, 1024)
+    lengths = read_ops.read_lengths(reads if probe is None else probe, exclude)
+    if probe is not None and known.join(lengths, "sample_id", "left_anti").limit(1).count():
+        lengths = read_ops.read_lengths(reads, exclude)
+    known = known.join(lengths, "sample_id", "left")
     length = F.coalesce("length", F.lit(1))
     if s.extend != 0:
         norm = F.lit(s.extend).cast("long") if s.extend > 0 else length.cast("long")
@@ -99,13 +108,13 @@ def resolved(reads: DataFrame, s: Settings, sizes: DataFrame) -> DataFrame:
     return both.select("sample_id", whole.alias("whole"), reach.cast("int").alias("reach"), norm.alias("length"))
 
 
-def sample_signal(reads: DataFrame, s: Settings, sizes: DataFrame | None = None) -> DataFrame:
+def sample_signal(reads: DataFrame, s: Settings, sizes: DataFrame | None = None, probe: DataFrame | None = None) -> DataFrame:
     """Scaled coverage per sample; the mapped reads that scale it leave out some contigs and no flags.
 
     ``sizes`` (chrom, size, ord) cuts spans at the contigs' ends; without it contigs are taken to end with their last read.
     """
     ends = reads.groupBy("chrom").agg(F.max("end").alias("size")).where("chrom is not null").withColumn("ord", F.col("chrom")) if sizes is None else sizes
-    info = F.broadcast(cut(resolved(reads, s, ends)))  # one row per input file
+    info = F.broadcast(cut(resolved(reads, s, ends, probe)))  # one row per input file
     reads = read_ops.on_chromosomes(reads, s.chroms, s.skip_chroms)
     kept = read_ops.keep(reads, max(s.flag_include, 0), s.flag_exclude, s.min_mapq).join(info.select("sample_id", "whole", "reach"), "sample_id")
     spans = read_ops.extended(kept.where("not whole"), F.col("reach"))
@@ -128,9 +137,11 @@ def contig_sizes(spark: SparkSession, paths: list[str], s: Settings) -> DataFram
     return spark.createDataFrame(bam.contigs(paths), "chrom string, size long, ord int")
 
 
-def bam_reads(spark: SparkSession, paths: list[str]) -> DataFrame:
-    spark.dataSource.register(bam.BamSource)
-    return spark.read.format("bam").load(",".join(paths))
+def bam_reads(spark: SparkSession, paths: list[str], first: int | None = None) -> DataFrame:
+    """All records, or the first ones of each file."""
+    bam.register(spark)
+    reader = spark.read.format("bam")
+    return (reader if first is None else reader.option("first", str(first))).load(",".join(paths))
 
 
 def scores(spark: SparkSession, paths: list[str], s: Settings) -> tuple[DataFrame, DataFrame | None]:
@@ -138,7 +149,7 @@ def scores(spark: SparkSession, paths: list[str], s: Settings) -> tuple[DataFram
     kind = input_kind(paths)
     if kind == "bam":
         reads = bam_reads(spark, paths)
-        signal = sample_signal(reads, s, contig_sizes(spark, paths, s))
+        signal = sample_signal(reads, s, contig_sizes(spark, paths, s), bam_reads(spark, paths, PROBE))
         tracks = cut(scoring.moderated(stats.centred_log(coverage.matrix(cut(signal), s.step)), s.prior_df))
         return cut(stats.combine(tracks, s.lower_bound_z, s.min_effect)), tracks
     if kind == "bigwig":

@@ -31,7 +31,8 @@ def test_bam(spark, tmp_path):
     write_bam(tmp_path / "toy.bam", [(100,), (125,), (160,), (160, 1024)])
     spark.dataSource.register(bam.BamSource)
     df = spark.read.format("bam").load(str(tmp_path / "toy.bam"))
-    assert [(r["start"], r["end"], r["sample_id"], r["rec_no"]) for r in df.orderBy("rec_no").collect()] == [(100, 150, "toy", 0), (125, 175, "toy", 1), (160, 210, "toy", 2), (160, 210, "toy", 3)]
+    assert [(r["start"], r["end"], r["sample_id"], r["flag"]) for r in df.orderBy("rec_no").collect()] == [(100, 150, "toy", 0), (125, 175, "toy", 0), (160, 210, "toy", 0), (160, 210, "toy", 1024)]
+    assert df.select("rec_no").distinct().count() == 4
     got = coverage.binned(reads.keep(df), 50).orderBy("start").collect()
     assert [(r["start"], r["n"]) for r in got] == [(100, 2), (150, 2), (200, 1)]
     (tmp_path / "bad.bam").write_bytes(b"no")
