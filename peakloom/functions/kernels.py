@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 
+
 def _bands(n: int, lam: float, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Diagonal and two off-diagonals of W + lam D'D, D being second differences."""
     d = np.full(n, 6.0)
@@ -199,6 +201,94 @@ def solve_chain(scores: np.ndarray, costs: np.ndarray, penalty: float) -> np.nda
     return state[np.minimum.accumulate(known[::-1])[::-1]].astype(np.uint8)
 
 
+@dataclass
+class Links:
+    """Loci of one block of a contig's chain, cut into rows that are walked side by side.
+
+    ``first``: no locus lies before the block's; ``last``: none behind it. Pairs (gain, count) pass from locus to locus as in ``solve_chain``.
+    """
+
+    scores: np.ndarray
+    cost: float
+    first: bool
+    last: bool
+
+    def _laid_out(self, penalty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(self.scores)
+        width = math.isqrt(n - 1) + 1
+        rows = -(-n // width)
+        pad = rows * width - n
+        c = np.append(np.full(n, float(self.cost)), np.full(pad, np.inf)).reshape(rows, width)
+        if self.first:
+            c[0, 0] = np.inf
+        s = np.append(self.scores - penalty, np.zeros(pad)).reshape(rows, width)
+        step = np.append(np.full(n, -1), np.zeros(pad, int)).reshape(rows, width)
+        return c, s, step
+
+    @staticmethod
+    def _go(x, c, s, step):
+        zero = np.zeros_like(x[1])
+        x = _least(_most(x, (-c, zero)), (c, zero))
+        return x[0] + s, x[1] + step
+
+    def _rows(self, laid_out):
+        """What each row does to the pair that enters it: shifted by ``move``, then kept within ``low`` and ``high``."""
+        c, s, step = laid_out
+        rows, width = c.shape
+        zero = np.zeros(rows, int)
+        low, high = (np.full(rows, -np.inf), zero), (np.full(rows, np.inf), zero)
+        for k in range(width):
+            low, high = self._go(low, c[:, k], s[:, k], step[:, k]), self._go(high, c[:, k], s[:, k], step[:, k])
+        return (s.sum(1), step.sum(1)), low, high
+
+    def map(self, penalty: float) -> tuple[float, ...]:
+        """The block's own map, composed of its rows': move, low and high as pairs, one after another."""
+        move, low, high = self._rows(self._laid_out(penalty))
+        m, a, b = (0.0, 0), (-np.inf, 0), (np.inf, 0)
+        for r in range(len(move[0])):
+            here = [(float(x[0][r]), int(x[1][r])) for x in (move, low, high)]
+            m = (m[0] + here[0][0], m[1] + here[0][1])
+            a, b = (through(x, *here) for x in (a, b))
+        return (*m, *a, *b)
+
+    def states(self, penalty: float, entry: tuple[float, int]) -> np.ndarray:
+        """Per locus 1 or 0 where it is settled whatever follows, -1 where it goes as the next one does."""
+        laid_out = self._laid_out(penalty)
+        c, s, step = laid_out
+        rows, width = c.shape
+        move, low, high = self._rows(laid_out)
+        x, at = entry, []
+        for r in range(rows):
+            at.append(x)
+            x = through(x, *((float(y[0][r]), int(y[1][r])) for y in (move, low, high)))
+        x = (np.array([y[0] for y in at], float), np.array([y[1] for y in at], int))
+        d, e = np.empty((rows, width)), np.empty((rows, width), int)
+        for k in range(width):
+            x = self._go(x, c[:, k], s[:, k], step[:, k])
+            d[:, k], e[:, k] = x
+        n = len(self.scores)
+        d, e, limit = d.ravel()[:n], e.ravel()[:n], np.full(n, float(self.cost))
+        if self.last:
+            limit[-1] = 0.0
+        sure_1 = (d > limit) | ((d == limit) & (e > 0))
+        sure_0 = (d < -limit) | ((d == -limit) & (e < 0))
+        if self.last:
+            sure_0[-1] = ~sure_1[-1]
+        return np.where(sure_1, 1, np.where(sure_0, 0, -1)).astype(np.int8)
+
+
+def through(x: tuple[float, int], move: tuple[float, int], low: tuple[float, int], high: tuple[float, int]) -> tuple[float, int]:
+    """A pair that passes a row or a block."""
+    return min(max((x[0] + move[0], x[1] + move[1]), low), high)
+
+
+def filled(states: np.ndarray, behind: int) -> np.ndarray:
+    """States with each open one as the next settled one, or as what lies behind."""
+    n = len(states)
+    known = np.where(states >= 0, np.arange(n), n)
+    return np.append(states, behind)[np.minimum.accumulate(known[::-1])[::-1]]
+
+
 def calibrate(scores: np.ndarray, costs: np.ndarray, target: int, rounds: int = 60) -> float:
     """The least penalty found by bisection that selects at most ``target`` loci."""
     n = len(scores)
