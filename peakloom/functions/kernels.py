@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -316,13 +317,26 @@ def effective_size(x: np.ndarray, most: int) -> tuple[float, float, int]:
     if n < 4:
         return float(max(1, n)), 1.0, 0
     y = x - x.mean()
-    if y.var() <= 1e-12:
-        return float(n), 1.0, 0
-    size = 1 << (2 * n - 1).bit_length()
-    spectrum = np.fft.rfft(y, size)
     most = min(most, n - 1)
-    cov = np.fft.irfft(spectrum * np.conj(spectrum), size)[: most + 1] / (n - np.arange(most + 1))
-    rho = np.clip(cov / cov[0], -1, 1)
+    return size_from_products(lagged_products(y, most), n)
+
+
+def lagged_products(y: np.ndarray, most: int, own: int | None = None) -> np.ndarray:
+    """Sums of y[i] y[i + k] for lags k of 0..most over the first ``own`` places i (all by default), through spectra."""
+    own = len(y) if own is None else own
+    size = 1 << (len(y) + own).bit_length()
+    out = np.fft.irfft(np.conj(np.fft.rfft(y[:own], size)) * np.fft.rfft(y, size), size)[: most + 1]
+    return np.append(out, np.zeros(most + 1 - len(out)))
+
+
+def size_from_products(products: np.ndarray, n: int) -> tuple[float, float, int]:
+    """``effective_size`` of centred values from their lagged products, which add up over parts."""
+    if n < 4:
+        return float(max(1, n)), 1.0, 0
+    cov = products / (n - np.arange(len(products)))
+    if cov[0] <= 1e-12:
+        return float(n), 1.0, 0
+    rho, most = np.clip(cov / cov[0], -1, 1), len(products) - 1
     tau, used = 1.0, 0
     for k in range(1, most, 2):
         pair = rho[k] + rho[k + 1]
@@ -334,16 +348,50 @@ def effective_size(x: np.ndarray, most: int) -> tuple[float, float, int]:
     return float(min(max(n / tau, 1.0), n)), float(tau), used
 
 
-def wild_weights(n: int, bandwidth: int, rng: np.random.Generator) -> np.ndarray:
-    """Standardised dependent weights: white noise smoothed by a triangle of unit norm."""
+def stream_key(*parts) -> int:
+    """The number of a stream of noise, from whatever tells it apart from others."""
+    return int.from_bytes(hashlib.blake2b(":".join(map(str, parts)).encode(), digest_size=8).digest(), "little")
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def noise(key: int, start: int, stop: int) -> np.ndarray:
+    """Standard normal values of a stream's places start..stop, each worked out from its own number alone."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    i = np.arange(2 * start, 2 * stop, dtype=np.int64).astype(np.uint64) * step + np.uint64(key)
+    u = (_mixed(i) >> np.uint64(11)).astype(float).reshape(-1, 2)
+    return np.sqrt(-2 * np.log((u[:, 0] + 0.5) * 2.0**-53)) * np.cos(2 * np.pi * 2.0**-53 * u[:, 1])
+
+
+def smooth_noise(key: int, start: int, stop: int, bandwidth: int) -> np.ndarray:
+    """Dependent noise at a stream's places: white noise smoothed by a triangle of unit norm. A part equals that part of the whole."""
     k = 1 - np.abs(np.arange(-bandwidth, bandwidth + 1)) / (bandwidth + 1)
-    k /= np.sqrt((k**2).sum())
-    noise = rng.standard_normal(n + 2 * bandwidth)
-    w = np.convolve(noise, k, "valid")
+    return np.convolve(noise(key, start - bandwidth, stop + bandwidth), k / np.sqrt((k**2).sum()), "valid")
+
+
+def wild_weights(n: int, bandwidth: int, key: int) -> np.ndarray:
+    """Dependent weights of a whole track, of mean 0 and variance 1; 1 for a single locus."""
+    if n == 1:
+        return np.ones(1)
+    w = smooth_noise(key, 0, n, bandwidth)
     w -= w.mean()
     return w / max(w.std(), 1e-12)
 
 
+def bandwidth(n: int, lag: int | None) -> int:
+    """How far dependent weights reach: the hint, or the cube root of the number of loci, at least 8, within the track."""
+    return 1 if n <= 1 else int(min(n - 1, max(8, round(n ** (1 / 3)) if lag is None else lag)))
+
+
+def longest_lag(n: int, lag: int | None) -> int:
+    """The most lags that an autocorrelation time adds up."""
+    return min(n - 1, max(16, 4 * max(1, min(n, 101 if lag is None else lag))))
+
+
 def robust_scale(x: np.ndarray, floor: float = 1e-6) -> float:
     return max(1.4826 * float(np.median(np.abs(x - np.median(x)))), floor) if len(x) else floor
 

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions import kernels
-from peakloom.operators import scoring, stats
+from peakloom.operators import ranks, scoring, stats, tiles
 from peakloom.session import cut
 
-DRAWS, SEED, SHARDS = 25, 42, 5
+#: Draws at most, their seed, tasks that share a track's draws, draws of a batch after the first.
+DRAWS, SEED, SHARDS, MORE = 25, 42, 4, 4
 
 
 def residuals(tracks: DataFrame, means: DataFrame | None = None) -> DataFrame:
@@ -34,96 +35,187 @@ def occupancy(scores: DataFrame, threshold: float, scale: float = 1.0) -> DataFr
     )
 
 
-def bootstrap_budget(scores: DataFrame, draws: int = DRAWS, seed: int = SEED, lag: int = 101, threshold_z: float = 2.0) -> DataFrame:
+def settled(units: list[float], least: int, absolute: float = 5e-3, relative: float = 5e-2) -> int | None:
+    """After how many draws, taken one by one, the mean is known well enough; none if it is not yet. Moments are updated as values arrive."""
+    mean = m2 = 0.0
+    for n, x in enumerate(units, 1):
+        off = x - mean
+        mean += off / n
+        m2 += off * (x - mean)
+        if n >= max(2, least) and math.sqrt(max(m2 / (n - 1), 0.0) / n) <= max(absolute, relative * max(abs(mean), 1e-6)):
+            return n
+    return None
+
+
+def adaptive_null(run: Callable[[list[str], list[int]], DataFrame], chroms: list[str], draws: int) -> list[tuple[str, float | None, float | None, int]]:
+    """(chrom, mean share, its standard error, draws used) of contigs whose draws come in batches until each is settled.
+
+    ``run`` makes (chrom, draw, units, share) of some contigs and draws. Whether a contig goes on depends on its draws in order, not on batches:
+    those beyond where it settled are left out.
+    """
+    least, open_, seen, out = min(draws, 8), set(chroms), {c: [] for c in chroms}, {}
+    first = 1
+    while open_ and first <= draws:
+        last = min(draws, first + (least if first == 1 else MORE) - 1)
+        for r in run(sorted(open_), list(range(first, last + 1))).collect():  # one small row per contig and draw
+            seen[r["chrom"]].append((r["draw"], r["units"], r["share"]))
+        for c in list(open_):
+            seen[c].sort()
+            n = settled([x[1] for x in seen[c]], least)
+            if n is not None or last == draws:
+                out[c] = [x[2] for x in seen[c][:n]]
+                open_.discard(c)
+        first = last + 1
+    error = lambda x: float(np.std(x, ddof=1) / math.sqrt(len(x))) if len(x) > 1 else None
+    return [(c, float(np.mean(out[c])) if out.get(c) else None, error(out.get(c, [])), len(out.get(c, []))) for c in chroms]
+
+
+_NULL = "chrom string, null double, null_error double, n_draws int"
+
+
+def independence(scores: DataFrame, x: Column, lag: int | None = 101, tile: int = tiles.TILE) -> DataFrame:
+    """(chrom, n_loci, ess, tau) of a function of the scores: lagged products of tiles and what follows them, added up per contig."""
+    sizes = scores.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"))
+    rows = tiles.numbered(scores.select("chrom", "start", x.alias("x")).join(F.broadcast(sizes.select("chrom", "mean")), "chrom"), ["chrom"])  # a row per contig
+    halo = max(16, 4 * (101 if lag is None else lag))
+    tile = max(tile, halo)
+
+    def products(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
+        own = own[own["place"] >= own["tile"].iloc[0] * tile]
+        n, mine = int(own["total"].iloc[0]), int((own["place"] < (own["tile"].iloc[0] + 1) * tile).sum())
+        y = own["x"].to_numpy(float) - own["mean"].iloc[0]
+        return pd.DataFrame({"chrom": own["chrom"].iloc[:1], "n": [n], "sums": [kernels.lagged_products(y, kernels.longest_lag(n, lag), mine)]})
+
+    def size(own: pd.DataFrame) -> pd.DataFrame:
+        n = int(own["n"].iloc[0])
+        ess, tau, _ = kernels.size_from_products(np.sum(own["sums"].tolist(), axis=0), n)
+        return pd.DataFrame({"chrom": own["chrom"].iloc[:1], "n_loci": [n], "ess": [ess], "tau": [tau]})
+
+    sums = tiles.tiled(rows, halo, tile).groupBy("chrom", "tile").applyInPandas(products, "chrom string, n long, sums array<double>")
+    return sums.groupBy("chrom").applyInPandas(size, "chrom string, n_loci long, ess double, tau double")
+
+
+def bootstrap_budget(
+    scores: DataFrame, draws: int = DRAWS, seed: int = SEED, lag: int | None = 101, threshold_z: float = 2.0, tile: int = tiles.TILE
+) -> DataFrame:
     """Per contig: the share of loci above a threshold beyond what dependent wild-bootstrap draws of the null reach.
 
     The null's template is the score's non-positive part about its centre, mirrored by signed dependent
-    weights. A contig's track goes to ``SHARDS`` tasks at most, each of which makes its share of the draws; each draw has a generator of its
-    own. Without draws only sizes and autocorrelation times mean something.
+    weights. Tiles make their part of every draw, as noise at a locus depends on its number alone; weights are brought to mean 0 and variance 1 by
+    sums over a contig's tiles. Draws come in batches until a contig's mean is known (``adaptive_null``). Without draws only sizes and autocorrelation
+    times mean something.
     """
-    shards = max(1, min(SHARDS, draws))
-
-    def own_draws(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        s = own.sort_values("start")["score"].to_numpy(float)
-        n, centre = len(s), float(np.median(s))
-        low = np.minimum(s - centre, 0.0)
-        scale = kernels.robust_scale(np.concatenate([low[low < 0], -low[low < 0]]))
-        threshold = centre + threshold_z * scale
-        b = int(min(max(8, lag), max(1, n - 1)))
-        out = []
-        if key[1] == 0:
-            ess, tau, _ = kernels.effective_size(np.clip((s - threshold) / scale, 0, 1), min(n - 1, max(16, 4 * min(n, lag))))
-            out.append((key[0], 0, float((s > threshold).mean()), ess, tau, n))
-        for k in range(1 + int(key[1]), draws + 1, shards):
-            null = centre + low * kernels.wild_weights(n, b, np.random.default_rng([seed, k]))
-            out.append((key[0], k, float((null > threshold).mean()), None, None, n))
-        return pd.DataFrame(out, columns=["chrom", "draw", "share", "ess", "tau", "n"])
-
-    each = scores.select("chrom", "start", "score").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    out = each.groupBy("chrom", "shard").applyInPandas(own_draws, "chrom string, draw int, share double, ess double, tau double, n long")
-    null, own = F.avg(F.when(F.col("draw") > 0, F.col("share"))), F.max(F.when(F.col("draw") == 0, F.col("share")))
-    drawn = F.when(F.col("draw") > 0, F.col("share"))
-    error = F.stddev_samp(drawn) / F.sqrt(F.count(drawn))
-    fraction = F.least(F.greatest(own - null, F.lit(0.0)), F.lit(1.0))
-    return out.groupBy("chrom").agg(F.max("n").alias("n_loci"), F.max("ess").alias("ess"), F.max("tau").alias("tau"), own.alias("observed"), null.alias("null"), error.alias("null_error"), fraction.alias("fraction"))
+    own = scores.select("chrom", "start", "score")
+    off = own.join(ranks.percentiles(own, ["chrom"], "score", "centre"), "chrom").withColumn("_low", F.least(F.col("score") - F.col("centre"), F.lit(0.0)))
+    spread = ranks.percentiles(off.where("_low < 0"), ["chrom"], -F.col("_low"), "_s")
+    centres = off.groupBy("chrom").agg(F.first("centre").alias("centre"))
+    limits = centres.join(spread, "chrom", "left").select("chrom", "centre", F.greatest(1.4826 * F.coalesce("_s", F.lit(0.0)), F.lit(1e-6)).alias("scale"))
+    limits = cut(limits.withColumn("threshold", F.col("centre") + threshold_z * F.col("scale")))
+    near = own.join(F.broadcast(limits), "chrom")  # a row per contig
+    soft = F.least(F.greatest((F.col("score") - F.col("threshold")) / F.col("scale"), F.lit(0.0)), F.lit(1.0))
+    sizes = cut(independence(near, soft, lag, tile))
+    observed = near.groupBy("chrom").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("observed"))
+    placed = cut(tiles.tiled(tiles.numbered(near, ["chrom"]), 0, tile)) if draws else None
+
+    def run(chroms: list[str], numbers: list[int]) -> DataFrame:
+        def moments(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("place")
+            each = [(k, _noise(own, seed, k, lag)) for k in numbers]
+            return pd.DataFrame([(own["chrom"].iloc[0], k, len(w), float(w.sum()), float((w**2).sum())) for k, w in each], columns=["chrom", "draw", "n", "s", "q"])
+
+        mine = placed.where(F.col("chrom").isin(chroms))
+        found = mine.where(F.col("total") > tile).groupBy("chrom", "tile").applyInPandas(moments, "chrom string, draw int, n long, s double, q double")
+        parts = found.groupBy("chrom", "draw").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect() if long else []
+        known = {(r["chrom"], r["draw"]): (r["s"] / r["n"], math.sqrt(max(r["q"] / r["n"] - (r["s"] / r["n"]) ** 2, 0.0))) for r in parts}
+
+        def part(own: pd.DataFrame) -> pd.DataFrame:
+            own, chrom = own.sort_values("place"), own["chrom"].iloc[0]
+            low = np.minimum(own["score"].to_numpy(float) - own["centre"].iloc[0], 0.0)
+            above, scale, n = own["threshold"].iloc[0] - own["centre"].iloc[0], own["scale"].iloc[0], int(own["total"].iloc[0])
+            out = []
+            for k in numbers:
+                w = _noise(own, seed, k, lag)
+                mean, sd = known.get((chrom, k)) or (w.mean(), w.std())
+                x = low * ((w - mean) / max(sd, 1e-12) if n > 1 else w)
+                out.append((chrom, k, len(x), float(np.maximum(x, 0).sum() / scale), int((x > above).sum())))
+            return pd.DataFrame(out, columns=["chrom", "draw", "n", "units", "over"])
+
+        each = mine.groupBy("chrom", "tile").applyInPandas(part, "chrom string, draw int, n long, units double, over long")
+        return each.groupBy("chrom", "draw").agg((F.sum("units") / F.sum("n")).alias("units"), (F.sum("over") / F.sum("n")).alias("share"))
+
+    known = sizes.collect()  # a row per contig
+    long = any(r["n_loci"] > tile for r in known)
+    null = scores.sparkSession.createDataFrame(adaptive_null(run, [r["chrom"] for r in known], draws), _NULL)
+    beyond = F.least(F.greatest(F.col("observed") - F.col("null"), F.lit(0.0)), F.lit(1.0))
+    return sizes.join(observed, "chrom").join(F.broadcast(null), "chrom").select("chrom", "n_loci", "ess", "tau", "observed", "null", "null_error", beyond.alias("fraction"), "n_draws")
+
+
+def _noise(own: pd.DataFrame, seed: int, draw: int, lag: int | None, sample: str = "") -> np.ndarray:
+    """Dependent noise at a tile's loci, before it is standardised; 1 for a single locus."""
+    n, first = int(own["total"].iloc[0]), int(own["place"].iloc[0])
+    if n == 1:
+        return np.ones(1)
+    return kernels.smooth_noise(kernels.stream_key(seed, draw, own["chrom"].iloc[0], sample), first, first + len(own), kernels.bandwidth(n, lag))
 
 
 def matrix_budget(
-    tracks: DataFrame, scores: DataFrame, draws: int = DRAWS, seed: int = SEED, lag: int = 101, threshold_z: float = 2.0,
-    lower_z: float = 1.0, prior_df: float = scoring.PRIOR_DF, min_effect: float | None = None,
+    tracks: DataFrame, scores: DataFrame, draws: int = DRAWS, seed: int = SEED, lag: int | None = 101, threshold_z: float = 2.0,
+    lower_z: float = 1.0, prior_df: float = scoring.PRIOR_DF, min_effect: float | None = None, tile: int = tiles.TILE,
 ) -> DataFrame:
     """``bootstrap_budget`` for scores that are weighted means: every draw bends the samples' residual tracks and scores them anew.
 
     ``tracks`` are centred and without baseline (as of ``scoring.moderated``), ``scores`` has their mean and score per locus. (contig, sample,
-    shard of the draws) is the unit of work. A draw's generator is walked through its samples in order, so a group passes over the noise of those before its own.
-    All draws count; there is no early stop.
+    shard of the draws) is the unit of work, as a variance's trend is one of a whole track. What it makes leaves as one row of arrays per tile and draw, and the samples'
+    arrays of a tile are added up. Draws come in batches until a contig's mean is known.
     """
     template = residuals(tracks.select("chrom", "sample_id", "start", "value"), scores)
     template = cut(template.select("chrom", "sample_id", "start", "value"))
-    fitted = stats.combine(scoring.moderated(template, prior_df, background=None), lower_z, min_effect)
-    off = fitted.join(fitted.groupBy("chrom").agg(F.median("score").alias("centre")), "chrom").withColumn("_d", F.col("score") - F.col("centre"))
+    fitted = cut(stats.combine(scoring.moderated(template, prior_df, background=None), lower_z, min_effect).select("chrom", "score"))
+    off = fitted.join(ranks.percentiles(fitted, ["chrom"], "score", "centre"), "chrom").withColumn("_d", F.col("score") - F.col("centre"))
     # The mirrored values' median is 0, so their MAD is the median of the absolute ones.
-    scale = F.greatest(1.4826 * F.median(F.when(F.col("_d") <= 0, -F.col("_d"))), F.lit(1e-6))
-    limits = off.groupBy("chrom").agg(F.first("centre").alias("centre"), scale.alias("scale"))
+    spread = ranks.percentiles(off.where("_d <= 0"), ["chrom"], -F.col("_d"), "_s")
+    limits = off.groupBy("chrom").agg(F.first("centre").alias("centre")).join(spread, "chrom")
+    limits = limits.select("chrom", "centre", F.greatest(1.4826 * F.col("_s"), F.lit(1e-6)).alias("scale"))
     limits = cut(limits.withColumn("threshold", F.col("centre") + threshold_z * F.col("scale")))
-    shards = max(1, min(SHARDS, draws))
+    at = {r["chrom"]: (r["centre"], r["scale"], r["threshold"]) for r in limits.collect()}  # a row per contig
 
-    def bent(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def bent(numbers: list[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
         """A track's value over its moderated variance, and that variance's inverse, in each of a shard's draws."""
-        own = own.sort_values("start", ignore_index=True)
-        y, start, place = own["value"].to_numpy(float), own["start"].to_numpy(), int(own["place"].iloc[0])
-        n = len(y)
-        b = int(max(1, min(n - 1, max(8, lag))))
-        for k in range(1 + int(own["shard"].iloc[0]), draws + 1, shards):
-            rng = np.random.default_rng(seed + 104729 * k)
-            for _ in range(place):
-                rng.standard_normal(n + 2 * b)
-            x = y * (kernels.wild_weights(n, b, rng) if n > 1 else 1.0)
-            weight = 1 / scoring.track_variances(x, prior_df)[2]
-            yield pd.DataFrame({"chrom": own["chrom"], "draw": np.int32(k), "start": start, "weighted": x * weight, "weight": weight})
-
-    def independent(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("start", ignore_index=True)
-        n = len(own)
-        soft = np.maximum(own["score"].to_numpy(float) - own["centre"].iloc[0], 0.0) / own["scale"].iloc[0]
-        ess, tau, _ = kernels.effective_size(soft, min(n - 1, max(16, 4 * min(n, lag))))
-        return pd.DataFrame({"chrom": own["chrom"].iloc[:1], "ess": [ess], "tau": [tau], "n_loci": [n], "observed": [float((own["score"] > own["threshold"]).mean())]})
-
-    samples = template.select("chrom", "sample_id").distinct()
-    samples = samples.withColumn("place", F.row_number().over(Window.partitionBy("chrom").orderBy("sample_id")) - 1)
-    each = template.join(samples, ["chrom", "sample_id"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    rows = each.groupBy("chrom", "shard", "sample_id").applyInPandas(
-        lambda own: pd.concat(list(bent(own)), ignore_index=True), "chrom string, draw int, start long, weighted double, weight double"
-    )
-    sums = rows.groupBy("chrom", "draw", "start").agg(F.sum("weighted").alias("a"), F.sum("weight").alias("w"))
-    mean, error = F.col("a") / F.col("w"), F.sqrt(1 / F.col("w"))
-    drawn_score = mean / error - lower_z if min_effect is None else (mean - min_effect) / error
-    drawn = sums.select("chrom", "draw", drawn_score.alias("score")).join(limits, "chrom")
-    null = drawn.groupBy("chrom", "draw").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("share")).groupBy("chrom").agg(F.avg("share").alias("null"), (F.stddev_samp("share") / F.sqrt(F.count(F.lit(1)))).alias("null_error"))
-    seen = scores.select("chrom", "start", "score").join(limits, "chrom")
-    own = seen.groupBy("chrom").applyInPandas(independent, "chrom string, ess double, tau double, n_loci long, observed double")
+
+        def track(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("start", ignore_index=True)
+            y, chrom, sample = own["value"].to_numpy(float), own["chrom"].iloc[0], own["sample_id"].iloc[0]
+            n, out = len(y), []
+            for k in numbers[int(own["shard"].iloc[0]) :: SHARDS]:
+                x = y * kernels.wild_weights(n, kernels.bandwidth(n, lag), kernels.stream_key(seed, k, chrom, sample))
+                weight = 1 / scoring.track_variances(x, prior_df)[2]
+                out += [(chrom, k, t, (x * weight)[a : a + tile], weight[a : a + tile]) for t, a in enumerate(range(0, n, tile))]
+            return pd.DataFrame(out, columns=["chrom", "draw", "tile", "weighted", "weight"])
+
+        return track
+
+    def scored(own: pd.DataFrame) -> pd.DataFrame:
+        """A tile's scores in one draw, from its samples' arrays, against the contig's threshold."""
+        chrom, a, w = own["chrom"].iloc[0], np.sum(own["weighted"].tolist(), axis=0), np.sum(own["weight"].tolist(), axis=0)
+        centre, scale, threshold = at[chrom]
+        s = a / np.sqrt(w) - lower_z if min_effect is None else (a / w - min_effect) * np.sqrt(w)
+        row = (chrom, own["draw"].iloc[0], len(s), float(np.maximum(s - centre, 0).sum() / scale), int((s > threshold).sum()))
+        return pd.DataFrame([row], columns=["chrom", "draw", "n", "units", "over"])
+
+    def run(chroms: list[str], numbers: list[int]) -> DataFrame:
+        shards = F.sequence(F.lit(0), F.lit(min(SHARDS, len(numbers)) - 1))
+        each = template.where(F.col("chrom").isin(chroms)).withColumn("shard", F.explode(shards))
+        rows = each.groupBy("chrom", "sample_id", "shard").applyInPandas(bent(numbers), "chrom string, draw int, tile int, weighted array<double>, weight array<double>")
+        parts = rows.groupBy("chrom", "draw", "tile").applyInPandas(scored, "chrom string, draw int, n long, units double, over long")
+        return parts.groupBy("chrom", "draw").agg((F.sum("units") / F.sum("n")).alias("units"), (F.sum("over") / F.sum("n")).alias("share"))
+
+    null = scores.sparkSession.createDataFrame(adaptive_null(run, sorted(at), draws), _NULL)
+    seen = scores.select("chrom", "start", "score").join(F.broadcast(limits), "chrom")
+    sizes = independence(seen, F.greatest(F.col("score") - F.col("centre"), F.lit(0.0)) / F.col("scale"), lag, tile)
+    observed = seen.groupBy("chrom").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("observed"))
     beyond = F.least(F.greatest(F.col("observed") - F.col("null"), F.lit(0.0)), F.lit(1.0))
-    return own.join(null, "chrom").select("chrom", "n_loci", "ess", "tau", "observed", "null", "null_error", beyond.alias("fraction"))
+    return sizes.join(observed, "chrom").join(F.broadcast(null), "chrom").select("chrom", "n_loci", "ess", "tau", "observed", "null", "null_error", beyond.alias("fraction"), "n_draws")
 
 
 def fit_beta_prior(successes: np.ndarray, totals: np.ndarray, centre: float = 0.05, strength: float = 10.0) -> tuple[float, float]:

@@ -135,13 +135,18 @@ def test_bootstrap_query(spark, sf_dir):
         low = np.minimum(s - centre, 0)
         scale = max(1.4826 * np.median(np.abs(low[low < 0])) if (low < 0).any() else 0, 1e-6)
         threshold, b = centre + 2 * scale, int(min(max(8, 101), max(1, n - 1)))
-        shares = []
+        shares, units = [], []
         for k in range(1, budgets.DRAWS + 1):
-            noise = np.random.default_rng([budgets.SEED, k]).standard_normal(n + 2 * b)
+            noise = kernels.noise(kernels.stream_key(budgets.SEED, k, chrom, ""), -b, n + b)
             triangle = 1 - np.abs(np.arange(-b, b + 1)) / (b + 1)
             w = np.array([(noise[i : i + 2 * b + 1] * triangle).sum() for i in range(n)])
             w = (w - w.mean()) / max(w.std(), 1e-12)
             shares.append((centre + low * w > threshold).mean())
+            units.append(np.maximum(low * w, 0).mean() / scale)
+            # Draws end where the mean is known to 0.005, or to a twentieth of itself, but not before the eighth.
+            if k >= 8 and np.std(units, ddof=1) / np.sqrt(k) <= max(0.005, 0.05 * np.mean(units)):
+                break
+        assert got[chrom]["n_draws"] == len(shares)
         r = got[chrom]
         assert r["n_loci"] == n and r["observed"] == pytest.approx((s > threshold).mean()) and r["null"] == pytest.approx(np.mean(shares), abs=1e-9)
         assert r["fraction"] == pytest.approx(min(max((s > threshold).mean() - np.mean(shares), 0), 1), abs=1e-9)

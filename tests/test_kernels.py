@@ -67,7 +67,7 @@ def test_effective_size():
 
 
 def test_wild_weights_are_standard():
-    w = kernels.wild_weights(5000, 20, np.random.default_rng(5))
+    w = kernels.wild_weights(5000, 20, 5)
     assert abs(w.mean()) < 1e-9 and abs(w.std() - 1) < 1e-9
     assert np.corrcoef(w[1:], w[:-1])[0, 1] > 0.8
 

@@ -27,8 +27,7 @@ def test_matrix_budget_rescores_residual_tracks(spark):
     scale = 1.4826 * np.median(-low[low <= 0])
     shares = []
     for k in range(draws):
-        rng = np.random.default_rng(seed + 104729 * (k + 1))
-        bent = np.array([t * kernels.wild_weights(n, 101, rng) for t in template])
+        bent = np.array([t * kernels.wild_weights(n, 101, kernels.stream_key(seed, k + 1, "c", f"s{i}")) for i, t in enumerate(template)])
         shares.append((scored(bent)[0] > centre + 2 * scale).mean())
     rows = [("c", f"s{i}", 50 * j, float(y[i, j])) for i in range(3) for j in range(n)]
     tracks = scoring.moderated(spark.createDataFrame(rows, "chrom string, sample_id string, start long, value double"), background=None)
@@ -38,3 +37,7 @@ def test_matrix_budget_rescores_residual_tracks(spark):
     assert got["fraction"] == pytest.approx(max(observed - np.mean(shares), 0)) and got["fraction"] > 0
     ess, _, _ = kernels.effective_size(np.maximum(score - centre, 0) / scale, 299)
     assert got["ess"] == pytest.approx(ess)
+    # Tiles are worked out by themselves and added up.
+    tiled = budgets.matrix_budget(tracks, stats.combine(tracks), draws, seed, tile=64).first()
+    for name in ("n_loci", "observed", "null", "fraction", "ess", "tau", "n_draws"):
+        assert tiled[name] == pytest.approx(got[name], rel=1e-9)
