@@ -52,6 +52,11 @@ def halo(lam: float) -> int:
     return max(64, math.ceil(26 * math.sqrt(2) * (2 * lam) ** 0.25))
 
 
+def smoothness(window: int) -> float:
+    """How strongly a fit of a window's width is smoothed."""
+    return 7.0 * ((window - 1 + window % 2) * 0.15915494) ** 4
+
+
 def baseline(y: np.ndarray, window: int = 101, tile: int = 4096) -> np.ndarray:
     """Smooth baseline: mean of two Whittaker fits, each of which sees every other locus.
 
@@ -60,9 +65,7 @@ def baseline(y: np.ndarray, window: int = 101, tile: int = 4096) -> np.ndarray:
     n = len(y)
     if n < 25:
         return np.zeros(n)
-    window = min(window, n)
-    window -= 1 - window % 2
-    lam = 7.0 * (window * 0.15915494) ** 4
+    lam = smoothness(min(window, n))
     edge = halo(lam)
     tile = max(tile, edge)
     if n <= tile + 2 * edge:

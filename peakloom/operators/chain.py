@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import kernels
 from peakloom.functions.columns import clip
+from peakloom.operators import ranks
 from peakloom.session import cut
 
 #: Bases of a block; bisections that a pass looks ahead, at 2**AHEAD - 1 penalties.
@@ -23,9 +24,9 @@ WIDTH, AHEAD = 1 << 23, 3
 
 def gamma(scores: DataFrame, times: DataFrame) -> DataFrame:
     """Per contig: half its autocorrelation time (``tau`` of ``times``), in whole loci, times its median positive score (1 without any), within 0.5 and 10."""
-    median = F.coalesce(F.median(F.when(F.col("score") > 0, F.col("score"))), F.lit(1.0))
-    found = scores.groupBy("chrom").agg(median.alias("_scale"), F.count_if(F.col("score") > 0).alias("n_positive"))
-    raw = 0.5 * F.ceil(F.greatest(F.coalesce("tau", F.lit(1.0)), F.lit(1.0))) * F.col("_scale")
+    medians = ranks.percentiles(scores.where("score > 0"), ["chrom"], "score", "_scale")
+    found = scores.groupBy("chrom").agg(F.count_if(F.col("score") > 0).alias("n_positive")).join(medians, "chrom", "left")
+    raw = 0.5 * F.ceil(F.greatest(F.coalesce("tau", F.lit(1.0)), F.lit(1.0))) * F.coalesce("_scale", F.lit(1.0))
     return found.join(times.select("chrom", "tau"), "chrom", "left").select("chrom", clip(raw, 0.5, 10.0).alias("gamma"), "n_positive")
 
 

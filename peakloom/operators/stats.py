@@ -63,35 +63,10 @@ def higher_quantiles(scores: DataFrame, quantiles: list[float], column: str = "v
 def centred_log(matrix: DataFrame) -> DataFrame:
     """log2(1 + x) less each track's median."""
     logs = matrix.withColumn("value", log2_plus(F.col("value")))
-    medians = logs.groupBy("chrom", "sample_id").agg(F.median("value").alias("_m"))
+    medians = ranks.percentiles(logs, ["chrom", "sample_id"], "value", "_m")
     return logs.join(medians, ["chrom", "sample_id"]).withColumn("value", F.col("value") - F.col("_m")).drop("_m")
 
 
-def local_variance(tracks: DataFrame, window: int = 31) -> DataFrame:
-    """Autoregressive innovation variance about each locus, from window sums; edges take the first or last whole window."""
-    w = Window.partitionBy("chrom", "sample_id").orderBy("start")
-    whole, pairs = w.rowsBetween(0, window - 1), w.rowsBetween(0, window - 2)
-    y = F.col("value")
-    rows = tracks.withColumns({"_i": F.row_number().over(w) - 1, "_next": F.lead("value").over(w)})
-    sums = rows.withColumns(
-        {"_s": F.sum(y).over(whole), "_q": F.sum(y * y).over(whole), "_c": F.sum(y * F.col("_next")).over(pairs), "_l": F.last(y).over(whole), "_n": F.count(F.lit(1)).over(Window.partitionBy("chrom", "sample_id"))}
-    )
-    m = F.col("_s") / window
-    g0 = F.greatest(F.col("_q") - window * m * m, F.lit(0.0))
-    g1 = F.col("_c") - m * (F.col("_s") - F.col("_l")) - m * (F.col("_s") - y) + (window - 1) * m * m
-    beta = F.least(F.greatest(g1 / (g0 * (1 + 1 / (window + 1)) + 1e-4 * (g0 + 1)), F.lit(0.0)), F.lit(0.99))
-    v = F.greatest(g0 / window * (1 - beta * beta), F.lit(0.0))
-    half = window // 2
-    found = sums.withColumn("_v", v)
-    # A locus takes the window that begins half a window before it, within the track.
-    back = F.col("_n") - window
-    here = F.lag("_v", half).over(w)
-    first = F.first("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    last = F.max(F.when(F.col("_i") == back, F.col("_v"))).over(Window.partitionBy("chrom", "sample_id"))
-    pick = F.when(F.col("_i") - half < 0, first).when(F.col("_i") - half > back, last).otherwise(here)
-    return found.withColumn("variance", F.greatest(pick, F.lit(1e-8))).where(F.col("_n") >= window).select("chrom", "sample_id", "start", "value", "variance")
-
-
 def variance_bins(tracks: DataFrame) -> DataFrame:
     """Equal-count bins of loci by |value|: medians of |value| and variance, and the bin's size."""
     # Rounded, so that sums that associate differently rank alike.
@@ -133,10 +108,11 @@ def combine(tracks: DataFrame, lower_z: float = 1.0, min_effect: float | None =
 
 def standardised(scores: DataFrame, column: str = "value") -> DataFrame:
     """Scores less their contig's median, over the robust scale of the mirrored non-positive half."""
-    medians = scores.groupBy("chrom").agg(F.median(column).alias("_m"))
+    medians = ranks.percentiles(scores, ["chrom"], column, "_m")
     off = scores.join(medians, "chrom").withColumn("_d", F.col(column) - F.col("_m"))
     # The mirrored values' median is 0, so their MAD is the median of the absolute ones.
-    scale = off.where("_d <= 0").groupBy("chrom").agg(F.greatest(1.4826 * F.median(F.abs("_d")), F.lit(1e-6)).alias("_s"))
+    spread = ranks.percentiles(off.where("_d <= 0"), ["chrom"], F.abs("_d"), "_s")
+    scale = spread.select("chrom", F.greatest(1.4826 * F.col("_s"), F.lit(1e-6)).alias("_s"))
     return off.join(scale, "chrom").withColumn("z", F.col("_d") / F.col("_s")).drop("_d", "_m", "_s")
 
 
@@ -191,7 +167,7 @@ def peak_signal(counts: DataFrame, row_scale: float = 1000.0, pseudo: float = 1.
 
 def display_score(rows: DataFrame, base: int = 250) -> DataFrame:
     """Browser score of at most 1000 from the signal over its 99th percentile; minus log10 of p and q to 4 digits."""
-    top = rows.agg(F.percentile("value", F.lit(0.99)).alias("_q"))
+    top = ranks.percentiles(rows, [], "value", "_q", 0.99)
     score = F.least(base + F.col("value") / F.col("_q") * (1000 - base), F.lit(1000.0)).cast("int")
     logs = lambda c: F.round(-F.log10(F.col(c) + 1e-10), 4)
     return rows.join(F.broadcast(top), how="cross").select(

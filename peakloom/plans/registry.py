@@ -311,36 +311,46 @@ def log2_center(spark, sf_dir):
     return _centred(spark, sf_dir).select("chrom", "sample_id", "start", _r("value", "value"))
 
 
-VIEWS["variances"] = """variances AS (SELECT a.chrom, a.sample_id, a."start", a.value, greatest(b.v,1e-8::DOUBLE) AS variance FROM (SELECT *, row_number() OVER t - 1 AS i, count(*) OVER (PARTITION BY chrom,sample_id) AS n FROM centred WINDOW t AS (PARTITION BY chrom,sample_id ORDER BY "start")) a
-    JOIN (SELECT chrom, sample_id, i, greatest(g0/31*(1-beta*beta),0) AS v FROM (SELECT *, least(greatest(g1/(g0*(1+1/32.0::DOUBLE)+1e-4::DOUBLE*(g0+1)),0),0.99::DOUBLE) AS beta FROM (SELECT *, greatest(q-31*m*m,0) AS g0, c-m*(s-l)-m*(s-value)+30*m*m AS g1 FROM (SELECT *, s/31 AS m FROM
-    (SELECT chrom, sample_id, value, i, sum(value) OVER w AS s, sum(value*value) OVER w AS q, sum(value*nx) OVER p AS c, last_value(value) OVER w AS l FROM (SELECT *, row_number() OVER t - 1 AS i, lead(value) OVER t AS nx FROM centred WINDOW t AS (PARTITION BY chrom,sample_id ORDER BY "start"))
-    WINDOW w AS (PARTITION BY chrom,sample_id ORDER BY "start" ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING), p AS (PARTITION BY chrom,sample_id ORDER BY "start" ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)))))) b
-    ON a.chrom=b.chrom AND a.sample_id=b.sample_id AND b.i=least(greatest(a.i-15,0),a.n-31) WHERE a.n>=31)"""
-VIEWS["bins"] = """bins AS (SELECT chrom, sample_id, (r*b-1)//n AS bin, median(abs(value)) AS x, median(variance) AS v, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY chrom,sample_id ORDER BY round(abs(value),9), round(variance,9), "start") AS r, greatest(4,floor(1+log2(n+1)))::BIGINT AS b FROM (SELECT *, count(*) OVER (PARTITION BY chrom,sample_id) AS n FROM variances)) GROUP BY ALL)"""
+#: Windows of 31 loci, or of a short track's odd length; below five loci the spread about the median stands in.
+VIEWS["variances"] = """numbered AS (
+    SELECT *, CASE WHEN n>=31 THEN 31 ELSE n-1+n%2 END AS w FROM (SELECT *, row_number() OVER t - 1 AS i, count(*) OVER (PARTITION BY chrom,sample_id) AS n, lead(value) OVER t AS nx
+    FROM centred WINDOW t AS (PARTITION BY chrom,sample_id ORDER BY "start"))),
+mads AS (SELECT chrom, sample_id, median(d) AS mad FROM (SELECT chrom, sample_id, abs(value-median(value) OVER (PARTITION BY chrom,sample_id)) AS d FROM numbered WHERE n<5) GROUP BY 1,2),
+sums AS (SELECT *, sum(value) OVER whole AS s, sum(value*value) OVER whole AS q, sum(value*nx) OVER pairs AS c, last_value(value) OVER whole AS l FROM numbered
+    WINDOW whole AS (PARTITION BY chrom,sample_id ORDER BY "start" ROWS BETWEEN CURRENT ROW AND w-1 FOLLOWING), pairs AS (PARTITION BY chrom,sample_id ORDER BY "start" ROWS BETWEEN CURRENT ROW AND greatest(w-2,0) FOLLOWING)),
+moments AS (SELECT *, greatest(q-w*m*m,0) AS g0, c-m*(s-l)-m*(s-value)+(w-1)*m*m AS g1 FROM (SELECT *, s/w AS m FROM sums)),
+innovations AS (SELECT chrom, sample_id, i, greatest(g0/w*(1-beta*beta),0) AS v FROM (SELECT *, least(greatest(g1/(g0*(1+1.0::DOUBLE/(w+1))+1e-4::DOUBLE*(g0+1)),0),0.99::DOUBLE) AS beta FROM moments)),
+variances AS (SELECT a.chrom, a.sample_id, a."start", a.value, CASE WHEN n<5 THEN greatest(pow(greatest(1.4826::DOUBLE*mad,1e-6::DOUBLE),2),1e-8::DOUBLE) ELSE greatest(b.v,1e-8::DOUBLE) END AS variance
+    FROM numbered a LEFT JOIN mads ON a.chrom=mads.chrom AND a.sample_id=mads.sample_id
+    JOIN innovations b ON a.chrom=b.chrom AND a.sample_id=b.sample_id AND b.i=least(greatest(a.i-w//2,0),a.n-w))"""
+VIEWS["bins"] = """bins AS (
+    SELECT chrom, sample_id, (r*b-1)//n AS bin, median(abs(value)) AS x, median(variance) AS v, count(*) AS n
+    FROM (SELECT *, row_number() OVER (PARTITION BY chrom,sample_id ORDER BY round(abs(value),9), round(variance,9), "start") AS r, greatest(4,floor(1+log2(n+1)))::BIGINT AS b
+        FROM (SELECT *, count(*) OVER (PARTITION BY chrom,sample_id) AS n FROM variances)) GROUP BY ALL)"""
 _NEEDS |= {"variances": ["centred"], "bins": ["variances"]}
 
 
 @query("""SELECT chrom, sample_id, "start", round(variance,6) AS variance FROM variances""", "variances")
 def ar1_variance(spark, sf_dir):
-    return stats.local_variance(_centred(spark, sf_dir)).select("chrom", "sample_id", "start", _r("variance", "variance"))
+    return scoring.local_variances(_centred(spark, sf_dir)).select("chrom", "sample_id", "start", _r("variance", "variance"))
 
 
 @query("SELECT chrom, sample_id, bin, round(x,4) AS x, round(v,4) AS v, n FROM bins", "bins")
 def variance_bins(spark, sf_dir):
-    found = stats.variance_bins(stats.local_variance(_centred(spark, sf_dir)))
+    found = stats.variance_bins(scoring.local_variances(_centred(spark, sf_dir)))
     return found.select("chrom", "sample_id", "bin", F.round("x", 4).alias("x"), F.round("v", 4).alias("v"), "n")
 
 
 @query("""+c AS (SELECT *, sum(n) OVER w AS w1, sum(n*v) OVER w AS s1 FROM bins WINDOW w AS (PARTITION BY chrom,sample_id ORDER BY bin)), pr AS (SELECT a.chrom, a.sample_id, a.bin AS a, b.bin AS b, (b.s1-(a.s1-a.n*a.v))/(b.w1-(a.w1-a.n)) AS mean FROM c a JOIN c b ON a.chrom=b.chrom AND a.sample_id=b.sample_id AND a.bin<=b.bin),
     tails AS (SELECT chrom, sample_id, a, b, min(mean) OVER (PARTITION BY chrom,sample_id,a ORDER BY b DESC) AS t FROM pr) SELECT chrom, sample_id, b AS bin, round(max(t),4) AS fit FROM tails GROUP BY 1,2,3""", "bins")
 def variance_trend_pava(spark, sf_dir):
-    found = stats.isotonic_trend(stats.variance_bins(stats.local_variance(_centred(spark, sf_dir))))
+    found = stats.isotonic_trend(stats.variance_bins(scoring.local_variances(_centred(spark, sf_dir))))
     return found.select("chrom", "sample_id", "bin", F.round("fit", 4).alias("fit"))
 
 
 @query("""SELECT chrom, "start", round(sum(value/m)/sum(1/m),6) AS mean, round(sqrt(1/sum(1/m)),6) AS standard_error, round(sum(value/m)/sum(1/m)/sqrt(1/sum(1/m))-1,6) AS score FROM (SELECT *, greatest((28*variance+5*0.1::DOUBLE)/33,1e-3::DOUBLE) AS m FROM variances) GROUP BY 1,2""", "variances")
 def wls_combine(spark, sf_dir):
-    v = stats.local_variance(_centred(spark, sf_dir)).withColumns({"raw": F.col("variance"), "prior": F.lit(0.1)})
+    v = scoring.local_variances(_centred(spark, sf_dir)).withColumns({"raw": F.col("variance"), "prior": F.lit(0.1)})
     v = v.withColumn("moderated", F.greatest((28 * F.col("raw") + 5 * F.col("prior")) / 33, F.lit(1e-3)))
     return stats.combine(v).select("chrom", "start", _r("mean", "mean"), _r("standard_error", "standard_error"), _r("score", "score"))
 
@@ -500,12 +510,17 @@ def ecdf_survival(spark, sf_dir):
     return found.select("chrom", "start", _r("p", "p"))
 
 
-_STAT = """c AS (SELECT p.chrom, p."start", p."end", r.sample_id, count(*) AS n FROM regions p JOIN kept r ON p.chrom=r.chrom AND p."start"<r."end" AND r."start"<p."end" GROUP BY ALL), st AS (SELECT chrom, "start", "end", quantile_cont(log2(greatest(n*1000.0::DOUBLE/("end"-"start")+1,1)),0.75) AS value FROM c GROUP BY 1,2,3)"""
+_STAT = """x AS (SELECT DISTINCT chrom, "start", "end" FROM regions),
+hits AS (SELECT x.*, r.sample_id, count(*) AS n FROM x JOIN kept r ON x.chrom=r.chrom AND x."start"<r."end" AND r."start"<x."end" GROUP BY ALL),
+c AS (SELECT x.*, s.sample_id, coalesce(n,0) AS n FROM x CROSS JOIN (SELECT DISTINCT sample_id FROM kept) s
+    LEFT JOIN hits h ON h.chrom=x.chrom AND h."start"=x."start" AND h."end"=x."end" AND h.sample_id=s.sample_id),
+st AS (SELECT chrom, "start", "end", quantile_cont(log2(greatest(n*1000.0::DOUBLE/("end"-"start")+1,1)),0.75) AS value FROM c GROUP BY 1,2,3)"""
 
 
 def _stat(spark, sf_dir) -> DataFrame:
-    """Raw counts of the samples that overlap, as the SQL has it; ``peaks.narrow_peaks`` scales counts and has zeros."""
-    return stats.peak_signal(intervals.overlap_counts(views.regions(spark, sf_dir), read_ops.keep(views.reads(spark, sf_dir))))
+    """Raw counts of every region and sample, zeros included; ``peaks.narrow_peaks`` scales counts."""
+    kept = read_ops.keep(views.reads(spark, sf_dir))
+    return stats.peak_signal(peaks.counted(views.regions(spark, sf_dir).distinct(), kept, kept.select("sample_id").distinct()))
 
 
 @query(f"""+{_STAT} SELECT chrom, "start", "end", round(value,6) AS value FROM st""", "regions kept")

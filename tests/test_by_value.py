@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from peakloom.functions import kernels
-from peakloom.operators import budgets, peaks, stats
+from peakloom.operators import budgets, peaks, scoring, stats
 from peakloom.plans import registry
 from peakloom.sources import views
 
@@ -105,7 +105,7 @@ def test_score_query(spark, sf_dir, tracks):
 
 def test_kernels_equal_the_operators_with_sql(spark, sf_dir, tracks):
     """What the plan runs in numpy is what the queries with SQL compute."""
-    variances = stats.local_variance(registry._centred(spark, sf_dir)).cache()
+    variances = scoring.local_variances(registry._centred(spark, sf_dir)).cache()
     seen = {(r["chrom"], r["sample_id"], r["start"]): r["variance"] for r in variances.collect()}
     trend = {}
     for r in stats.isotonic_trend(stats.variance_bins(variances)).collect():
