@@ -21,6 +21,6 @@ def log2_plus(c: Column) -> Column:
     return F.log2(F.greatest(c, F.lit(0.0)) + 1)
 
 
-def normalised(c: Column) -> Column:
-    """Lower-cased and without spaces."""
-    return F.replace(F.lower(c), F.lit(" "), F.lit(""))
+def normalised_name(name: str) -> str:
+    """A given name, lower-cased and without spaces."""
+    return name.lower().replace(" ", "")

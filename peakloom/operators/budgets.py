@@ -161,7 +161,7 @@ def _noise(own: pd.DataFrame, seed: int, draw: int, lag: int | None, sample: str
 
 def matrix_budget(
     tracks: DataFrame, scores: DataFrame, draws: int = DRAWS, seed: int = SEED, lag: int | None = 101, threshold_z: float = 2.0,
-    lower_z: float = 1.0, prior_df: float = scoring.PRIOR_DF, min_effect: float | None = None, tile: int = tiles.TILE,
+    lower_z: float = 1.0, prior_df: float = scoring.PRIOR_DF, min_effect: float | None = None, tile: int = tiles.TILE, floor: float = scoring.FLOOR,
 ) -> DataFrame:
     """``bootstrap_budget`` for scores that are weighted means: every draw bends the samples' residual tracks and scores them anew.
 
@@ -171,7 +171,7 @@ def matrix_budget(
     """
     template = residuals(tracks.select("chrom", "sample_id", "start", "value"), scores)
     template = cut(template.select("chrom", "sample_id", "start", "value"))
-    fitted = cut(stats.combine(scoring.moderated(template, prior_df, background=None), lower_z, min_effect).select("chrom", "score"))
+    fitted = cut(stats.combine(scoring.moderated(template, prior_df, background=None, floor=floor), lower_z, min_effect).select("chrom", "score"))
     off = fitted.join(ranks.percentiles(fitted, ["chrom"], "score", "centre"), "chrom").withColumn("_d", F.col("score") - F.col("centre"))
     # The mirrored values' median is 0, so their MAD is the median of the absolute ones.
     spread = ranks.percentiles(off.where("_d <= 0"), ["chrom"], -F.col("_d"), "_s")
@@ -189,7 +189,7 @@ def matrix_budget(
             n, out = len(y), []
             for k in numbers[int(own["shard"].iloc[0]) :: SHARDS]:
                 x = y * kernels.wild_weights(n, kernels.bandwidth(n, lag), kernels.stream_key(seed, k, chrom, sample))
-                weight = 1 / scoring.track_variances(x, prior_df)[2]
+                weight = 1 / scoring.track_variances(x, prior_df, floor=floor)[2]
                 out += [(chrom, k, t, (x * weight)[a : a + tile], weight[a : a + tile]) for t, a in enumerate(range(0, n, tile))]
             return pd.DataFrame(out, columns=["chrom", "draw", "tile", "weighted", "weight"])
 

@@ -96,12 +96,17 @@ def matrix(signal: DataFrame, step: int | None = None) -> DataFrame:
     return cells.join(signal, ["chrom", "sample_id", "start"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def covered_range(reads: DataFrame, tail: int = 2_000_000) -> DataFrame:
-    """Per contig: start of the first record, end of the last record (by order) in the final ``tail`` bases."""
-    near = reads.groupBy("chrom").agg(F.max("end").alias("_size"), F.min("start").alias("first_start"))
-    return (
-        reads.join(near, "chrom").where(F.col("end") > F.col("_size") - tail).groupBy("chrom").agg(F.min("first_start").alias("range_start"), F.max_by("end", F.struct("start", "rec_no", "end")).alias("range_end"))
-    )
+def covered_range(reads: DataFrame, sizes: DataFrame | None = None, tail: int = 2_000_000) -> DataFrame:
+    """Per contig: start of the first record, end of the last record (by order) in the contig's final ``tail`` bases.
+
+    ``sizes`` has the contigs' sizes; without it they are taken to end with their last record. A contig without records there ends with its first.
+    """
+    ends = F.max("end").alias("_last")
+    near = reads.groupBy("chrom").agg(F.min("start").alias("range_start"), ends)
+    known = near.withColumn("_size", F.col("_last")) if sizes is None else near.join(F.broadcast(sizes.select("chrom", F.col("size").alias("_size"))), "chrom")  # a row per contig
+    late = F.max_by("end", F.struct("start", "rec_no", "end"))
+    found = reads.join(F.broadcast(known.select("chrom", "_size")), "chrom").where(F.col("end") > F.col("_size") - tail).groupBy("chrom").agg(late.alias("_end"))
+    return known.join(found, "chrom", "left").select("chrom", "range_start", F.coalesce("_end", "_last").alias("range_end"))
 
 
 def check_finite(df: DataFrame, column: str) -> DataFrame:

@@ -34,13 +34,15 @@ def length_bins(lengths: list[int], most: int = 24, least_width: int = 100) -> d
 
 
 def random_regions(sizes: dict[str, int], length: int, n: int, seed: int) -> list[tuple[str, int, int]]:
-    """Regions of one length, contigs drawn by the room they have, starts uniform."""
+    """Regions of one length, contigs drawn by the room they have, then each one's start among the places where it fits."""
     rng = np.random.default_rng(seed)
-    names = [c for c, s in sizes.items() if s >= length]
-    room = np.array([sizes[c] - length + 1 for c in names], float)
-    chosen = rng.choice(len(names), n, p=room / room.sum())
-    starts = (rng.random(n) * room[chosen]).astype(int)
-    return [(names[c], int(s), int(s) + length) for c, s in zip(chosen, starts)]
+    room = {c: s - length + 1 for c, s in sizes.items() if s >= length}
+    if not room:
+        raise ValueError(f"no contig holds a region of {length} bases")
+    names = list(room)
+    weight = np.array(list(room.values()), float)
+    chosen = [names[i] for i in rng.choice(len(names), size=max(1, n), replace=True, p=weight / weight.sum())]
+    return [(c, start, start + length) for c, start in ((c, int(rng.integers(0, room[c]))) for c in chosen)]
 
 
 def counted(regions: DataFrame, reads: DataFrame, samples: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges at most: as many numbers are gathered on the driver and compared with each value.
-RANGES = 128
+#: Ranges at most: as many numbers are gathered on the driver; a value is compared with the logarithm of so many.
+RANGES = 512
 #: A sketch's ranks are off by at most one in so many.
 ERROR = 1000
 
@@ -37,7 +37,8 @@ def percentiles(df: DataFrame, by: list[str], value: str | Column, out: str = "p
     return both.select(*by, (F.col("_a") * (1 - F.col("_part")) + F.col("_b") * F.col("_part")).alias(out))
 
 
-def _bounds(df: DataFrame, value: str) -> list[float]:
+def bounds_of(df: DataFrame, value: str) -> list[float]:
+    """Approximate quantiles of a column: as many ranges as shuffles have partitions."""
     n = min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n < 2:
         return []
@@ -46,15 +47,23 @@ def _bounds(df: DataFrame, value: str) -> list[float]:
 
 
 def _range(value: str, bounds: list[float]) -> Column:
-    """Which range a value falls in."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(value)))
+    """Which range a value falls in: the number of bounds below it, found by halves."""
 
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(value) > bounds[middle], among(middle + 1, high)).otherwise(among(low, middle))
 
-def sums_upto(counts: DataFrame, value: str, n: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """``counts`` with the sum of ``n`` over all rows of the same ``by`` whose value is not larger. Values are distinct within ``by``."""
-    ranged = counts.withColumn("_range", _range(value, _bounds(counts, value)))
+    return among(0, len(bounds))
+
+
+def sums_upto(counts: DataFrame, value: str, n: str, out: str, by: tuple[str, ...] = (), bounds: list[float] | None = None) -> DataFrame:
+    """``counts`` with the sum of ``n`` over all rows of the same ``by`` whose value is not larger. Values are distinct within ``by``.
+
+    ``bounds`` of ranges can be given, where another pass over the same values has asked for them.
+    """
+    ranged = counts.withColumn("_range", _range(value, bounds_of(counts, value) if bounds is None else bounds))
     sums = ranged.groupBy(*by, "_range").agg(F.sum(n).alias("_n"))
     lower = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*by, "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_base"))
@@ -62,9 +71,9 @@ def sums_upto(counts: DataFrame, value: str, n: str, out: str, by: tuple[str, ..
     return ranged.join(base, [*by, "_range"]).withColumn(out, F.col("_base") + F.sum(n).over(within)).drop("_range", "_base")
 
 
-def least_from(rows: DataFrame, value: str, x: str, out: str) -> DataFrame:
+def least_from(rows: DataFrame, value: str, x: str, out: str, bounds: list[float] | None = None) -> DataFrame:
     """``rows`` with the least ``x`` of all rows whose value is not smaller. Values are distinct."""
-    ranged = rows.withColumn("_range", _range(value, _bounds(rows, value)))
+    ranged = rows.withColumn("_range", _range(value, bounds_of(rows, value) if bounds is None else bounds))
     least = ranged.groupBy("_range").agg(F.min(x).alias("_x"))
     higher = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     base = least.select("_range", F.min("_x").over(higher).alias("_floor"))

@@ -78,18 +78,28 @@ def paired_samples(reads: DataFrame, first: int = 1000) -> DataFrame:
     """(sample_id, paired): whether any of each sample's first reads by ``rec_no`` is of a pair."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("sample_id").orderBy("rec_no")
-    head = reads.select("sample_id", "rec_no", "flag").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
+    w = Window.partitionBy("sample_id").orderBy("rec_no", "start", "end")
+    head = reads.select("sample_id", "rec_no", "start", "end", "flag").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
     return head.groupBy("sample_id").agg(F.bool_or(has(PAIRED)).alias("paired"))
 
 
-def fragment_spans(pairs: DataFrame) -> DataFrame:
-    """Whole templates: rightwards of the start for lengths above 0, leftwards of the end below."""
+def fragment_spans(pairs: DataFrame, shift_forward: int = 0, shift_reverse: int = 0) -> DataFrame:
+    """Whole templates: rightwards of the start for lengths above 0, leftwards of the end below; then shifted by the read's strand."""
     size = F.abs("tlen")
     up = F.col("tlen") >= 0
-    start = F.when(up, F.col("start")).otherwise(F.col("end") - size)
-    end = F.when(up, F.col("start") + size).otherwise(F.col("end"))
-    return pairs.withColumns({"start": F.greatest(start, F.lit(0)), "end": end})
+    shift = F.when(has(REVERSE), -shift_reverse).otherwise(shift_forward)
+    start = F.when(up, F.col("start")).otherwise(F.col("end") - size) + shift
+    end = F.when(up, F.col("start") + size).otherwise(F.col("end")) + shift
+    return pairs.withColumns({"start": F.greatest(start, F.lit(0)), "end": end}).where("`end` > start")
+
+
+def fragment_totals(fragments: DataFrame, mode: str = "coverage", by: tuple[str, ...] = (), skip: list[str] | None = None, barcodes: DataFrame | None = None) -> DataFrame:
+    """(by, mapped): fragments by their counts (at least 1 each) outside of the contigs to skip; twice where both ends or 5' ends count."""
+    if mode not in MODES:
+        raise ValueError(f"unsupported count mode {mode}")
+    used = on_chromosomes(allowed(fragments, barcodes), skip=skip or [])
+    times = 2 if MODES[mode] in ("cutsite", "fiveprime") else 1
+    return used.groupBy(*by).agg((F.coalesce(F.sum(F.greatest("n", F.lit(1))), F.lit(0)) * times).cast("long").alias("mapped"))
 
 
 def within_contigs(spans: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -12,15 +12,17 @@ from peakloom.operators import ranks, stats, tiles
 from peakloom.session import cut
 
 PRIOR_DF, WINDOW, BACKGROUND = 5.0, 31, 101
+#: Least moderated variance, as a share of the trend's.
+FLOOR = 0.01
 #: Ranges of |value| in which a long track is ordered.
 RANGES = 64
 
 
-def track_variances(y: np.ndarray, prior_df: float = PRIOR_DF, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def track_variances(y: np.ndarray, prior_df: float = PRIOR_DF, window: int = WINDOW, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A track's local variance, the variance's trend, and both moderated into one."""
     raw = kernels.local_variance(y, window)
     prior = raw.copy() if len(y) < 5 else kernels.variance_trend(y, raw)
-    return raw, prior, kernels.shrunk(raw, prior, prior_df, window)
+    return raw, prior, kernels.shrunk(raw, prior, prior_df, window, floor)
 
 
 def local_variances(tracks: DataFrame, window: int = WINDOW, background: int | None = None, by: tuple[str, ...] = (), tile: int = tiles.TILE) -> DataFrame:
@@ -85,7 +87,7 @@ def interpolated(x: Column, knots: Column, heights: Column) -> Column:
 
 
 def moderated(
-    tracks: DataFrame, prior_df: float = PRIOR_DF, window: int = WINDOW, background: int | None = BACKGROUND, by: tuple[str, ...] = (), tile: int = tiles.TILE
+    tracks: DataFrame, prior_df: float = PRIOR_DF, window: int = WINDOW, background: int | None = BACKGROUND, by: tuple[str, ...] = (), tile: int = tiles.TILE, floor: float = FLOOR
 ) -> DataFrame:
     """Per track: value less its baseline, its local variance, the variance's trend, and both moderated into one.
 
@@ -103,7 +105,7 @@ def moderated(
             raise ValueError("tracks must be finite")
         if background:
             y = y - kernels.baseline(y, background)
-        raw, prior, both = track_variances(y, prior_df, window)
+        raw, prior, both = track_variances(y, prior_df, window, floor)
         return own.assign(value=y, raw=raw, prior=prior, moderated=both)[[*keys, "start", "value", "raw", "prior", "moderated"]]
 
     schema = f"chrom string, {''.join(f'{k} int, ' for k in by)}sample_id string, start long, value double, raw double, prior double, moderated double"
@@ -117,7 +119,7 @@ def moderated(
     df = float(max(4, max(window, 5) - (1 - max(window, 5) % 2) - 3))
     both = (df * F.col("raw") + prior_df * F.col("prior")) / max(df + prior_df, 1.0)
     fine = rows.join(knots, keys).select(*keys, "start", "value", v.alias("raw"), prior.alias("prior"))
-    return short.unionByName(fine.withColumn("moderated", F.greatest(both, 0.01 * F.col("prior"), F.lit(1e-8))))
+    return short.unionByName(fine.withColumn("moderated", F.greatest(both, floor * F.col("prior"), F.lit(1e-8))))
 
 
 def score_loci(matrix: DataFrame, lower_z: float = 1.0, prior_df: float = PRIOR_DF, min_effect: float | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pprint import pformat
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +49,34 @@ def dispersion(matrix: DataFrame, method: str = "mad", low: float = 25, high: fl
     return matrix.groupBy("chrom", "start").agg(F.pow(x, F.lit(power)).alias("value"))
 
 
-def higher_quantiles(scores: DataFrame, quantiles: list[float], column: str = "value") -> DataFrame:
-    """(q, value): for each q the least value that at least that share of the others does not exceed.
+#: Quantiles of scores that a log shows (fixed values).
+LOGGED = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.975, 0.99, 1.0)
+
+
+def higher_quantiles(scores: DataFrame, quantiles: list[float], column: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, q, value): for each q the least value that at least that share of the others does not exceed.
 
     Ranks come from counts per distinct value, so equal values cost one row.
     """
-    counts = scores.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = ranks.sums_upto(counts, "v", "n", "upto")
-    total = counts.agg(F.sum("n").alias("total"))
+    counts = scores.groupBy(*by, F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = ranks.sums_upto(counts, "v", "n", "upto", by)
+    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     asked = scores.sparkSession.createDataFrame([(q,) for q in quantiles], "q double")
-    place = upto.join(F.broadcast(total), how="cross").join(F.broadcast(asked), F.col("upto") > F.ceil((F.col("total") - 1) * F.col("q")))
-    return place.groupBy("q").agg(F.round(F.min("v"), 4).alias("value"))
+    both = upto.join(total, list(by)) if by else upto.join(F.broadcast(total), how="cross")
+    place = both.join(F.broadcast(asked), F.col("upto") > F.ceil((F.col("total") - 1) * F.col("q")))
+    return place.groupBy(*by, "q").agg(F.round(F.min("v"), 4).alias("value"))
+
+
+def quantile_text(values: dict[float, float], lines: bool = True) -> str:
+    """Quantiles as a log shows them, on lines of their own if asked for."""
+    said = pformat({f"Quantile={q}": v for q, v in values.items()})
+    return f"\n{said}\n" if lines else said
+
+
+def exceeding(scores: DataFrame, tail: float = 2.0, least: float = 0.0, z: str = "z", signal: str = "score") -> DataFrame:
+    """``scores`` with ``candidate``: whether a locus lies further than that above its contig's centre, with a signal above ``least`` where that is above 0."""
+    far = F.col(z) > tail
+    return scores.withColumn("candidate", far & (F.col(signal) > least) if least > 0 else far)
 
 
 def centred_log(matrix: DataFrame) -> DataFrame:
@@ -123,9 +142,10 @@ def q_values(rows: DataFrame, p: str = "p") -> DataFrame:
     """
     counts = rows.groupBy(p).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    upto = ranks.sums_upto(counts, p, "_n", "_upto").join(F.broadcast(total), how="cross")  # a single row
+    bounds = ranks.bounds_of(rows, p)
+    upto = ranks.sums_upto(counts, p, "_n", "_upto", bounds=bounds).join(F.broadcast(total), how="cross")  # a single row
     raw = upto.withColumn("_raw", F.col(p) * F.col("_total") / F.col("_upto"))
-    found = ranks.least_from(raw, p, "_raw", "_least").select(p, F.least(F.lit(1.0), "_least").alias("q"))
+    found = ranks.least_from(raw, p, "_raw", "_least", bounds).select(p, F.least(F.lit(1.0), "_least").alias("q"))
     return rows.join(found, p)
 
 

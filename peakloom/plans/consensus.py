@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.columns import clip
 from peakloom.operators import budgets, chain, coverage, fragments, intervals, peaks, reads as read_ops, scoring, stats
+from peakloom.plans import genomes
 from peakloom.session import cut
 from peakloom.sources import bam, bigwig, text
 
-#: Effective sizes of genomes (fixed values).
-GENOMES = {"hg38": 2.7e9, "hg19": 2.7e9, "mm10": 1.87e9, "mm39": 1.87e9, "dm6": 1.45e8}
+GENOMES = genomes.EFFECTIVE
 
 
 @dataclass
@@ -49,6 +49,8 @@ class Settings:
     const_scale: float = -1.0
     scale_by_step: bool = False
     chrom_sizes_file: str | None = None
+    genome: str | None = None
+    precision_floor: float = 0.01
     null_regions: int = 250
     null_seed: int = 42
 
@@ -120,8 +122,8 @@ def sample_signal(reads: DataFrame, s: Settings, sizes: DataFrame | None = None,
     spans = read_ops.extended(kept.where("not whole"), F.col("reach"))
     if s.extend == 0:
         spans = spans.unionByName(read_ops.fragment_spans(read_ops.proper_fragments(kept.where("whole"))))
-    spans = read_ops.centres(spans) if s.center_reads else spans
     spans = spans if sizes is None else read_ops.within_contigs(spans, sizes)
+    spans = read_ops.centres(spans) if s.center_reads else spans  # of what lies within the contig
     counts = coverage.binned(spans, s.step).select("chrom", "sample_id", "start", F.col("n").cast("double").alias("value"))
     used = read_ops.on_chromosomes(reads, skip=s.ignore_for_norm).where(~read_ops.has(4))
     found = used.groupBy("sample_id").agg(F.count(F.lit(1)).alias("mapped")).join(info.select("sample_id", "length"), "sample_id")
@@ -131,9 +133,12 @@ def sample_signal(reads: DataFrame, s: Settings, sizes: DataFrame | None = None,
 
 
 def contig_sizes(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
-    """(chrom, size, ord) of the sizes file, or of the BAM files' headers."""
+    """(chrom, size, ord) of the sizes file, the genome, or the BAM files' headers."""
     if s.chrom_sizes_file:
         return text.read_sizes(spark, s.chrom_sizes_file)
+    if s.genome:
+        known = genomes.CONTIGS[s.genome].items()
+        return spark.createDataFrame([(name, size, i) for i, (name, size) in enumerate(known)], "chrom string, size long, ord int")
     return spark.createDataFrame(bam.contigs(paths), "chrom string, size long, ord int")
 
 
@@ -150,18 +155,31 @@ def scores(spark: SparkSession, paths: list[str], s: Settings) -> tuple[DataFram
     if kind == "bam":
         reads = bam_reads(spark, paths)
         signal = sample_signal(reads, s, contig_sizes(spark, paths, s), bam_reads(spark, paths, PROBE))
-        tracks = cut(scoring.moderated(stats.centred_log(coverage.matrix(cut(signal), s.step)), s.prior_df))
+        tracks = cut(scoring.moderated(stats.centred_log(coverage.matrix(cut(signal), s.step)), s.prior_df, floor=s.precision_floor))
         return cut(stats.combine(tracks, s.lower_bound_z, s.min_effect)), tracks
     if kind == "bigwig":
         spark.dataSource.register(bigwig.BigWigSource)
         both = spark.read.format("bigwig").load(",".join(paths))
     else:
         both = reduce(DataFrame.unionByName, [text.read_signal(spark, p, str(i)) for i, p in enumerate(paths)])
-    both = coverage.gridded(read_ops.on_chromosomes(both, s.chroms, s.skip_chroms), s.const_scale, s.round_digits)
+    both = read_ops.on_chromosomes(both, s.chroms, s.skip_chroms)
+    if s.genome or s.chrom_sizes_file:
+        ends = F.broadcast(contig_sizes(spark, paths, s).select("chrom", "size"))  # a row per contig
+        both = both.join(ends, "chrom").where("start < size").drop("size")
+    both = coverage.gridded(both, s.const_scale, s.round_digits)
     middle = stats.central(coverage.matrix(both.drop("end")), "median")
     return cut(middle.select("chrom", "start", F.col("value").alias("score"), F.col("value").alias("mean"))), None
 
 
+def quantile_texts(found: DataFrame) -> dict[str, str]:
+    """By contig: its score quantiles as text, for a log. Contigs are few."""
+    rows = stats.higher_quantiles(found, list(stats.LOGGED), "score", ("chrom",)).collect()
+    by: dict[str, dict[float, float]] = {}
+    for r in rows:
+        by.setdefault(r["chrom"], {})[r["q"]] = r["value"]
+    return {c: stats.quantile_text(v) for c, v in sorted(by.items())}
+
+
 def call(spark: SparkSession, paths: list[str], s: Settings) -> DataFrame:
     """Selected regions, merged."""
     return regions_of(*scores(spark, paths, s), s)
@@ -175,7 +193,7 @@ def regions_of(found: DataFrame, tracks: DataFrame | None, s: Settings) -> DataF
         if tracks is None:
             shares = budgets.bootstrap_budget(found, s.null_draws, s.seed)
         else:
-            shares = budgets.matrix_budget(tracks, found, s.null_draws, s.seed, lower_z=s.lower_bound_z, prior_df=s.prior_df, min_effect=s.min_effect)
+            shares = budgets.matrix_budget(tracks, found, s.null_draws, s.seed, lower_z=s.lower_bound_z, prior_df=s.prior_df, min_effect=s.min_effect, floor=s.precision_floor)
         shares = cut(shares)
     gamma = chain.gamma(found, shares) if s.gamma is None else s.gamma
     if s.penalty is not None:

@@ -172,36 +172,52 @@ def mapped_counts(spark, sf_dir):
     return kept.groupBy("sample_id").agg(F.count_if(~read_ops.has(4)).alias("mapped"), F.count_if(read_ops.has(4)).alias("unmapped"))
 
 
-@query("""SELECT sample_id, floor(median(qlen))::BIGINT AS length FROM (SELECT sample_id, qlen, row_number() OVER (PARTITION BY sample_id ORDER BY rec_no, "start", "end") AS k FROM pairs) WHERE k<=32 GROUP BY 1""", "pairs")
+#: Records of a sample in order, as operators that look at the first ones see them.
+_FIRST = """ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rec_no, "start", "end") AS k FROM pairs{0}) """
+
+
+@query(
+    "+" + _FIRST.format("") + """, fine AS (SELECT sample_id, qlen, row_number() OVER (PARTITION BY sample_id ORDER BY k) AS j FROM ranked WHERE k<=4096 AND (flag & 4)=0 AND qlen>0)
+    SELECT sample_id, floor(median(qlen))::BIGINT AS length FROM fine WHERE j<=32 GROUP BY 1""", "pairs",
+)
 def read_length_median(spark, sf_dir):
-    return read_ops.integer_median(views.pairs(spark, sf_dir), "qlen", ["sample_id"], ORDER, 32)
+    return read_ops.read_lengths(views.pairs(spark, sf_dir))
 
 
-@query("""SELECT sample_id, floor(quantile_cont(qlen,0.75))::BIGINT AS length FROM (SELECT sample_id, qlen, row_number() OVER (PARTITION BY sample_id ORDER BY rec_no, "start", "end") AS k FROM pairs WHERE mapq>=10 AND (flag & 2308)=0) WHERE k<=1000 GROUP BY 1""", "pairs")
+@query("+" + _FIRST.format(" WHERE mapq>=10 AND (flag & 2308)=0") + "SELECT sample_id, floor(quantile_cont(qlen,0.75))::BIGINT AS length FROM ranked WHERE k<=1000 GROUP BY 1", "pairs")
 def read_length_p75(spark, sf_dir):
-    fine = views.pairs(spark, sf_dir).where(~read_ops.has(2308) & (F.col("mapq") >= 10))
-    w = Window.partitionBy("sample_id").orderBy(*ORDER)
-    head = fine.withColumn("_k", F.row_number().over(w)).where("_k <= 1000")
-    return head.groupBy("sample_id").agg(F.floor(F.percentile("qlen", F.lit(0.75))).alias("length"))
+    return read_ops.mapped_lengths(views.pairs(spark, sf_dir))
 
 
-@query("""+top AS (SELECT chrom FROM sizes ORDER BY size DESC, ord LIMIT 3) SELECT sample_id, floor(median(size))::BIGINT AS length FROM (SELECT sample_id, abs(tlen) AS size, row_number() OVER (PARTITION BY sample_id ORDER BY rec_no, "start", "end") AS k FROM proper WHERE chrom IN (SELECT chrom FROM top)) WHERE k<=2000 GROUP BY 1""", "proper sizes")
+@query(
+    "+" + _FIRST.format(" WHERE (flag & 4)=0") + """, top AS (SELECT chrom FROM sizes ORDER BY size DESC, ord LIMIT 3),
+    least AS (SELECT sample_id, least(greatest(floor(avg(qlen)),1),1000) AS low FROM ranked WHERE qlen>0 AND k<=4096 GROUP BY 1),
+    mates AS (SELECT r.sample_id, low, abs(tlen) AS size, row_number() OVER (PARTITION BY r.sample_id ORDER BY k) AS j FROM ranked r JOIN least l ON r.sample_id=l.sample_id
+        WHERE (flag & 1)<>0 AND (flag & 2)<>0 AND (flag & 128)=0 AND (flag & 8)=0 AND mate_chrom=chrom AND chrom IN (SELECT chrom FROM top) AND abs(tlen) BETWEEN low AND 1000)
+    SELECT sample_id, least(greatest(floor(median(size)),max(low)),1000)::BIGINT AS length FROM mates WHERE j<=4096 GROUP BY 1""", "pairs sizes",
+)
 def fragment_length_pe(spark, sf_dir):
-    top = views.chrom_sizes(spark, sf_dir).orderBy(F.desc("size"), "ord").limit(3)
-    proper = read_ops.proper_fragments(views.pairs(spark, sf_dir)).join(F.broadcast(top.select("chrom")), "chrom", "left_semi")
-    return read_ops.integer_median(proper.withColumn("size", F.abs("tlen")), "size", ["sample_id"], ORDER, 2000)
+    found = fragments.paired_end_lengths(views.pairs(spark, sf_dir), views.chrom_sizes(spark, sf_dir))
+    return found.select("sample_id", F.col("fragment").cast("long").alias("length"))
 
 
-@query("""SELECT sample_id, bool_or((flag & 1)<>0) AS paired FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY rec_no, "start", "end") AS k FROM pairs) WHERE k<=1000 GROUP BY 1""", "pairs")
+@query("+" + _FIRST.format("") + "SELECT sample_id, bool_or((flag & 1)<>0) AS paired FROM ranked WHERE k<=1000 GROUP BY 1", "pairs")
 def paired_end(spark, sf_dir):
-    w = Window.partitionBy("sample_id").orderBy(*ORDER)
-    head = views.pairs(spark, sf_dir).withColumn("_k", F.row_number().over(w)).where("_k <= 1000")
-    return head.groupBy("sample_id").agg(F.bool_or(read_ops.has(read_ops.PAIRED)).alias("paired"))
+    return read_ops.paired_samples(views.pairs(spark, sf_dir))
 
 
-@query("""SELECT r.chrom, min(f) AS range_start, max_by("end", ("start"*1000000000+rec_no)*100+"end"-"start") AS range_end FROM kept r JOIN (SELECT chrom, min("start") AS f, max("end") AS size FROM kept GROUP BY 1) s ON r.chrom=s.chrom WHERE "end">size-2000000 GROUP BY 1""", "kept")
+@query(
+    """+late AS (SELECT r.chrom, max_by("end", ("start"*1000000000+rec_no)*100+"end"-"start") AS e FROM kept r JOIN sizes z ON r.chrom=z.chrom WHERE "end">size-2000000 GROUP BY 1)
+    SELECT r.chrom, min("start") AS range_start, coalesce(max(e),max("end")) AS range_end FROM kept r JOIN sizes z ON r.chrom=z.chrom LEFT JOIN late ON late.chrom=r.chrom GROUP BY 1""", "kept sizes",
+)
 def chrom_range(spark, sf_dir):
-    return coverage.covered_range(read_ops.keep(views.reads(spark, sf_dir)))
+    return coverage.covered_range(read_ops.keep(views.reads(spark, sf_dir)), views.chrom_sizes(spark, sf_dir))
+
+
+@query("""SELECT chrom, (sum(greatest(n,1))*2)::BIGINT AS mapped FROM fragments WHERE chrom<>'view' AND barcode IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey%3=0) GROUP BY 1""", "fragments")
+def fragment_totals(spark, sf_dir):
+    listed = views.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("barcode"))
+    return read_ops.fragment_totals(views.fragments(spark, sf_dir), "cutsite", ("chrom",), ["view"], listed)
 
 
 @query("SELECT chrom, size, ord FROM sizes ORDER BY size DESC, ord LIMIT 3", "sizes")
@@ -364,10 +380,13 @@ def z_standardize(spark, sf_dir):
     return stats.standardised(_scores(spark, sf_dir), "score").select("chrom", "start", _r("z", "z"))
 
 
-@query("""SELECT chrom, count(*) FILTER (WHERE z>=2) AS candidates, count(*) AS loci FROM zs GROUP BY 1""", "zs")
+@query(
+    """SELECT zs.chrom, count(*) FILTER (WHERE z>2 AND score>1.5::DOUBLE) AS candidates, count(*) AS loci
+    FROM zs JOIN scores ON scores.chrom=zs.chrom AND scores."start"=zs."start" GROUP BY 1""", "zs",
+)
 def candidate_mask(spark, sf_dir):
-    z = stats.standardised(_scores(spark, sf_dir), "score")
-    return z.groupBy("chrom").agg(F.count_if(F.col("z") >= 2).alias("candidates"), F.count(F.lit(1)).alias("loci"))
+    z = stats.exceeding(stats.standardised(_scores(spark, sf_dir), "score"), 2.0, 1.5)
+    return z.groupBy("chrom").agg(F.count_if("candidate").alias("candidates"), F.count(F.lit(1)).alias("loci"))
 
 
 _P = "orders_p AS (SELECT o_orderkey AS k, ((o_orderkey*7919)%100003)*((o_orderkey*7919)%100003)/10000600009.0::DOUBLE AS p FROM orders)"

@@ -296,6 +296,8 @@ def wanted_by(filters: Iterable[Filter]) -> dict[str, tuple[int, int]] | None:
 
 
 class BamSource(DataSource):
+    """All records, whatever filters follow; ``register`` puts a form in its place that reads what filters leave."""
+
     @classmethod
     def name(cls) -> str:
         return "bam"
@@ -307,17 +309,17 @@ class BamSource(DataSource):
         return _Reader(self.options)
 
 
+class FilteredBamSource(BamSource):
+    def reader(self, schema) -> DataSourceReader:
+        return _FilteredReader(self.options)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
         self.first = int(options["first"]) if "first" in options else None
         self.wanted: dict[str, tuple[int, int]] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Filters choose what is read; all are left to Spark as well, as blocks hold other reads too."""
-        self.wanted = wanted_by(filters)
-        return filters
-
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.path):
             paths = [os.path.join(self.path, x) for x in sorted(os.listdir(self.path)) if x.endswith(".bam")]
@@ -329,7 +331,14 @@ class _Reader(DataSourceReader):
         return iter(()) if partition is None else partition.read(self.first)  # Spark reads once where there is no part at all
 
 
+class _FilteredReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters choose what is read; all are left to Spark as well, as blocks hold other reads too."""
+        self.wanted = wanted_by(filters)
+        return filters
+
+
 def register(spark: SparkSession) -> None:
     """Makes the format known, and lets filters reach it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(BamSource)
+    spark.dataSource.register(FilteredBamSource)

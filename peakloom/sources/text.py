@@ -18,7 +18,9 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """Regions of a BED file: its first three columns; lines without whole coordinates are errors."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     parts = F.split("value", "\t")
-    return lines.select(F.get(parts, F.lit(0)).alias("chrom"), F.get(parts, F.lit(1)).cast("long").alias("start"), F.get(parts, F.lit(2)).cast("long").alias("end"))
+    short = F.raise_error(F.concat(F.lit("a region needs contig, start and end: "), F.col("value")))
+    place = lambda i: F.when(F.size(parts) >= 3, F.get(parts, F.lit(i)).cast("long")).otherwise(short.cast("long"))
+    return lines.select(F.get(parts, F.lit(0)).alias("chrom"), place(1).alias("start"), place(2).alias("end"))
 
 
 def read_named_regions(spark: SparkSession, path: str) -> DataFrame:
