@@ -268,3 +268,34 @@ def decode(parent: list[int], p) -> list[bool]:
     for i in range(1, n):
         out[i] = out[parent[i]] and keep[i] >= drop[i]
     return out
+
+
+def descend(parent: list[int], p, text: list[bool]) -> list[bool]:
+    """The most likely choice where ``p`` is each node's probability of holding main text given that its parent does.
+
+    Under a dropped node nothing is asked. A kept node has text of its own or keeps a child: where all its children had rather go, the
+    one that loses least stays. From the leaves up, a kept node adds to its own likelihood what its children make of theirs.
+    """
+    n = len(parent)
+    keep = [math.log(max(x, 1e-9)) for x in p]
+    drop = [math.log(max(1 - x, 1e-9)) for x in p]
+    inner, best = [0.0] * n, [-math.inf] * n  # of the children: their sum, and the most that one of them gains by being kept
+    stays = [-1] * n
+    for i in range(n - 1, 0, -1):
+        own = _value(i, keep, inner, best, text)
+        up = parent[i]
+        inner[up] += max(own, drop[i])
+        if own - drop[i] >= best[up]:
+            best[up], stays[up] = own - drop[i], i
+        keep[i] = own
+    keep[0] = _value(0, keep, inner, best, text)
+    out = [keep[0] >= drop[0]] + [False] * (n - 1)
+    for i in range(1, n):
+        up = parent[i]
+        out[i] = out[up] and (keep[i] >= drop[i] or i == stays[up] and best[up] < 0 and not text[up] and keep[i] > -math.inf)
+    return out
+
+
+def _value(i: int, keep: list[float], inner: list[float], best: list[float], text: list[bool]) -> float:
+    """What keeping a node is worth: with no text and no child that could be kept, nothing."""
+    return keep[i] + inner[i] + (0.0 if text[i] else min(0.0, best[i]))

@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.llm.common import table
-from peakloom.llm.dom import FEATURES, Page, decode, features
+from peakloom.llm.dom import FEATURES, Page, decode, descend, features
 
-#: Pages learnt from, the longest of them in characters, layouts made of each, trees and their depth.
-SAMPLE, LONGEST, LAYOUTS, TREES, DEPTH = 160, 100_000, 4, 40, 5
+#: Pages learnt from, the longest of them in characters, layouts made of each (more of each where there are fewer), trees and their depth, the layouts' seed.
+SAMPLE, LONGEST, LAYOUTS, TREES, DEPTH, SEED = 160, 100_000, 6, 50, 5, 11
 _DROPPED = {"nav", "header", "footer", "aside", "form"}
 #: Words and links of a paragraph that stands in for semantic markup.
 LEAST_WORDS, MOST_LINKED = 12, 0.25
@@ -95,7 +95,7 @@ def _escape(text: str) -> str:
 def _layout(main: list[tuple[str, str]], other: list[str], r: random.Random) -> str:
     """A page with ``main`` as its main text, marked by data-main, and ``other`` around it."""
 
-    nameless, plain = r.random() < 0.2, "div" if r.random() < 0.2 else "p"
+    nameless, plain = r.random() < 0.3, "div" if r.random() < 0.3 else "p"
 
     def some(least: int, most: int) -> str:
         words = r.choice(other).split() or ["-"]
@@ -162,33 +162,44 @@ def _layout(main: list[tuple[str, str]], other: list[str], r: random.Random) ->
 
 
 def _rows(page: Page, truth: list[bool]) -> list[tuple[list[float], float]]:
-    """Features and labels; an element holds main text if anything in it does."""
-    holds = truth[:]
+    """Features and labels of elements whose parent holds main text; an element holds it if anything in it does."""
+    text = owns_text(page)
+    holds = [t and x for t, x in zip(truth, text)]
     for i in range(len(holds) - 1, 0, -1):
         holds[page.parent[i]] |= holds[i]
-    return [(list(map(float, f)), float(h)) for f, h in zip(features(page), holds)]
+    return [(list(map(float, f)), float(h)) for i, (f, h) in enumerate(zip(features(page), holds)) if not i or holds[page.parent[i]]]
 
 
-def training_rows(pages: list[str], seed: int = 11) -> list[tuple[list[float], float]]:
-    """Labelled elements of the sampled pages and of their new layouts."""
+def owns_text(page: Page) -> list[bool]:
+    """Which elements have text of their own, outside of the elements in them."""
+    out = [False] * len(page.tag)
+    for x in page.flow:
+        if x is not None and not out[x[0]] and not x[1].isspace():
+            out[x[0]] = True
+    return out
+
+
+def training_rows(pages: list[str], seed: int = SEED) -> list[tuple[list[float], float]]:
+    """Labelled elements of the sampled pages and of their new layouts, of which fewer pages get more."""
     r = random.Random(seed)
     read = [Page(h) for h in pages]
     within = [_inside(p) for p in read]
     mains = [_paragraphs(p, w) for p, w in zip(read, within)]
     other = [s for m in mains for _, s in m] or ["text"]
+    each = max(LAYOUTS, -(-LAYOUTS * SAMPLE // max(1, sum(map(bool, mains)))))
     out = []
     for page, inside, main in zip(read, within, mains):
         if not main:
             continue
         if any(inside):
-            out += LAYOUTS * _rows(page, inside)  # as much weight as the layouts made of it
-        for _ in range(LAYOUTS):
+            out += max(1, each // 4) * _rows(page, inside)  # a quarter of the weight of the layouts made of it
+        for _ in range(each):
             new = Page(_layout(main[: r.randint(1, max(1, len(main)))], other, r))
             out += _rows(new, [t is not None for t in new.truth])
     return out
 
 
-def fit(pages: DataFrame) -> Trees:
+def fit(pages: DataFrame, seed: int = SEED) -> Trees:
     """Boosted trees learnt from a bounded sample of pages."""
     spark = pages.sparkSession
     short = pages.where(F.length("html") <= LONGEST).select("html", F.xxhash64("html").alias("h"))
@@ -196,11 +207,11 @@ def fit(pages: DataFrame) -> Trees:
     n = short.agg(F.approx_count_distinct("h")).first()[0]
     below = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.5 * SAMPLE / max(n, 1)))
     some = short.where(below).distinct().orderBy("h", "html").limit(SAMPLE)
-    rows = training_rows([x["html"] for x in some.collect()])
+    rows = training_rows([x["html"] for x in some.collect()], seed)
     if len({y for _, y in rows}) < 2:
         return []
     data = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").coalesce(2)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.3, seed=5).fit(data.cache())
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=64, stepSize=0.25, subsamplingRate=0.6, featureSubsetStrategy="onethird", seed=5).fit(data.cache())
     data.unpersist()
     return _trees(model.toDebugString, list(model.treeWeights))
 
@@ -269,7 +280,8 @@ def extract(pages: DataFrame, trees: Trees) -> DataFrame:
                 p = probabilities(x, trees).tolist() if trees else [0.1 if away else 0.6 for q in read for away in _elsewhere(q)]
                 at = 0
                 for page in read:
-                    texts.append(page.text(decode(page.parent, p[at : at + len(page.tag)])))
+                    own = p[at : at + len(page.tag)]
+                    texts.append(page.text(descend(page.parent, own, owns_text(page)) if trees else decode(page.parent, own)))
                     at += len(page.tag)
             columns = [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
