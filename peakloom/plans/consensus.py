@@ -158,7 +158,7 @@ def scores(spark: SparkSession, paths: list[str], s: Settings) -> tuple[DataFram
         tracks = cut(scoring.moderated(stats.centred_log(coverage.matrix(cut(signal), s.step)), s.prior_df, floor=s.precision_floor))
         return cut(stats.combine(tracks, s.lower_bound_z, s.min_effect)), tracks
     if kind == "bigwig":
-        spark.dataSource.register(bigwig.BigWigSource)
+        bigwig.register(spark)
         both = spark.read.format("bigwig").load(",".join(paths))
     else:
         both = reduce(DataFrame.unionByName, [text.read_signal(spark, p, str(i)) for i, p in enumerate(paths)])

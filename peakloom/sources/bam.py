@@ -19,9 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from peakloom.sources.bgzf import Blocks, Stream
+from peakloom.sources.filters import wanted_by
 
 SCHEMA = "sample_id string, rec_no long, chrom string, start long, end long, flag int, mapq int, tlen long, mate_chrom string, qlen int"
 #: Compressed bytes of a split; decompressed bytes of a batch; records in a row that must be plausible at a split.
@@ -105,6 +106,7 @@ def bins_of(start: int, end: int) -> set[int]:
 
 def chunks_of(known: Contig, start: int, end: int) -> list[tuple[int, int]]:
     """Ranges of virtual places, joined where they touch, that hold all reads over [start, end)."""
+    end = min(end, 1 << 29)  # as far as bins reach
     place = min(start >> 14, len(known.linear) - 1)
     least = known.linear[place] if place >= 0 else 0
     wanted = bins_of(start, end)
@@ -271,30 +273,6 @@ def parts(path: str, wanted: dict[str, tuple[int, int]] | None = None, split: in
     return out
 
 
-def wanted_by(filters: Iterable[Filter]) -> dict[str, tuple[int, int]] | None:
-    """The contigs, with ranges of bases that reads overlap, which filters on chrom, start and end leave; none where all contigs stay."""
-    names: set[str] | None = None
-    low, high = 0, 1 << 29
-    for f in filters:
-        if not isinstance(f, EqualTo | In | LessThan | LessThanOrEqual | GreaterThan | GreaterThanOrEqual):
-            continue
-        column = f.attribute[0] if len(f.attribute) == 1 else ""
-        if column == "chrom" and isinstance(f, EqualTo | In):
-            own = {f.value} if isinstance(f, EqualTo) else set(f.value)
-            names = own if names is None else names & own
-        elif column == "start" and isinstance(f, LessThan | LessThanOrEqual):
-            high = min(high, f.value + isinstance(f, LessThanOrEqual))
-        elif column == "start" and isinstance(f, GreaterThan | GreaterThanOrEqual):
-            low = max(low, f.value)
-        elif column == "end" and isinstance(f, GreaterThan | GreaterThanOrEqual):
-            low = max(low, f.value - isinstance(f, GreaterThanOrEqual))
-        elif column in ("start", "end") and isinstance(f, EqualTo):
-            low, high = max(low, f.value - (column == "end")), min(high, f.value + 1)
-    if names is None:
-        return None
-    return {n: (max(low, 0), high) for n in names if n is not None and low < high}
-
-
 class BamSource(DataSource):
     """All records, whatever filters follow; ``register`` puts a form in its place that reads what filters leave."""
 
