@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.operators.reads import REVERSE, has
+from peakloom.session import cut
 
 UNMAPPED = 4
 
@@ -37,26 +38,51 @@ def densities(reads: DataFrame, sizes: DataFrame, chunk: int, width: int) -> Dat
     return held.groupBy("sample_id", "chrom", "chunk").agg(F.sum("n").alias("n"))
 
 
-def dense_centres(density: DataFrame, width: int, most: int) -> DataFrame:
+def dense_centres(density: DataFrame, width: int, most: int, tile: int = 1 << 16, rounds: int = 6) -> DataFrame:
     """(sample_id, chrom, place, chunk): chunks by falling density, none within half a width of one taken before, at most ``most``.
 
-    Each choice depends on those before it, so a contig of a sample is one group: one small row per chunk of its length.
+    A chunk that beats all others within half a width is taken whatever happens elsewhere, and its neighbours go; what is left is looked at anew. This comes to the
+    same as taking chunks one by one. Rounds run in tiles of the contig; what few rounds leave open, along slopes, falls into runs far apart, which are
+    walked one by one.
     """
-    half = width // 2
+    half, key = width // 2, ["sample_id", "chrom"]
+    worth = F.struct(F.col("n"), -F.col("chunk"))
+    left, taken = density.select(*key, "chunk", "n"), None
+    for _ in range(rounds):
+        low, high = F.expr(f"(chunk - {2 * half}) div {tile}"), F.expr(f"(chunk + {2 * half}) div {tile}")
+        near = Window.partitionBy(*key, "_tile").orderBy("chunk").rangeBetween(-half, half)
+        own = left.withColumn("_tile", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
+        seen = own.withColumn("_take", F.max(worth).over(near) == worth).withColumn("_gone", F.bool_or("_take").over(near))
+        seen = cut(seen.where(F.expr(f"chunk div {tile}") == F.col("_tile")).drop("_tile"))
+        picked = seen.where("_take").select(*key, "chunk", "n")
+        taken = picked if taken is None else taken.unionByName(picked)
+        left = seen.where("not _gone").select(*key, "chunk", "n")
+        if not left.limit(1).count():
+            break
+    else:
+        taken = taken.unionByName(_walked(left, half))
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "chunk"))
+    return taken.withColumn("place", best).where(F.col("place") <= most).select(*key, (F.col("place") - 1).cast("int").alias("place"), "chunk")
+
+
+def _walked(left: DataFrame, half: int) -> DataFrame:
+    """The chunks taken one by one from runs of chunks whose gaps are at most ``half``."""
+    key = ["sample_id", "chrom"]
+    order = Window.partitionBy(*key).orderBy("chunk")
+    far = F.coalesce(F.col("chunk") - F.lag("chunk").over(order) > half, F.lit(True))
+    runs = left.withColumn("_new", far.cast("long")).withColumn("_run", F.sum("_new").over(order))
 
     def pick(own: pd.DataFrame) -> pd.DataFrame:
-        chunk = own["chunk"].to_numpy()
-        order = np.lexsort((chunk, -own["n"].to_numpy()))
-        taken, out = np.zeros(int(chunk.max()) + width + 1, bool), []
-        for c in chunk[order]:
-            if not taken[c]:
-                out.append(int(c))
-                taken[max(c - half, 0) : c - half + width] = True
-                if len(out) == most:
-                    break
-        return pd.DataFrame({"sample_id": own["sample_id"].iloc[0], "chrom": own["chrom"].iloc[0], "place": range(len(out)), "chunk": out})
-
-    return density.groupBy("sample_id", "chrom").applyInPandas(pick, "sample_id string, chrom string, place int, chunk long")
+        chunk, first = own["chunk"].to_numpy(), int(own["chunk"].min())
+        gone, out = np.zeros(int(chunk.max()) - first + half + 1, bool), []
+        for i in np.lexsort((chunk, -own["n"].to_numpy())):
+            at = int(chunk[i]) - first
+            if not gone[at]:
+                out.append(i)
+                gone[max(at - half, 0) : at + half + 1] = True
+        return own.iloc[out][[*key, "chunk", "n"]]
+
+    return runs.groupBy(*key, "_run").applyInPandas(pick, "sample_id string, chrom string, chunk long, n long")
 
 
 def strand_lag(forward: np.ndarray, reverse: np.ndarray, low: int, high: int, step: int) -> int | None:
