@@ -38,8 +38,8 @@ def select(scores: DataFrame, gamma: float | DataFrame = 1.0, penalty: float | N
     """
     if (penalty is None) == (budgets is None):
         raise ValueError("give a penalty or budgets")
-    rows = scores.select("chrom", "start", "score")
-    rows = rows.withColumn("budget", F.lit(None).cast("double")) if budgets is None else rows.join(budgets.select("chrom", "budget"), "chrom")
+    scores = cut(scores.select("chrom", "start", "score"))  # read twice
+    rows = scores.withColumn("budget", F.lit(None).cast("double")) if budgets is None else scores.join(budgets.select("chrom", "budget"), "chrom")
     rows = rows.join(gamma.select("chrom", "gamma"), "chrom") if isinstance(gamma, DataFrame) else rows.withColumn("gamma", F.lit(float(gamma)))
     extent = scores.groupBy("chrom").agg(F.min(F.expr(f"start div {width}")).alias("a"), F.max(F.expr(f"start div {width}")).alias("b")).collect()  # a row per contig
     long = [r["chrom"] for r in extent if r["a"] != r["b"]]

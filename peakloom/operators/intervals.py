@@ -11,8 +11,8 @@ TILE, WIDE = 1024, 1 << 17
 def merged(regions: DataFrame, tile: int = WIDE) -> DataFrame:
     """Overlapping or touching regions of a contig as one.
 
-    Regions are merged within the wide tile of the contig that they begin in; what is left meets its neighbours through
-    each tile's furthest end and last first region, so a contig spreads over many tasks and only tiles are ordered as a whole.
+    Regions are merged within the wide tile of the contig that they begin in, which leaves one row of islands per tile. A scan over a contig's tile rows tells how far
+    all before have reached and where the island under way began; what it swallows is its continuation. A contig spreads over many tasks, and nothing is joined back.
     """
     near = Window.partitionBy("chrom", "_tile").orderBy("start", "end")
     earlier = near.rowsBetween(Window.unboundedPreceding, -1)
@@ -21,15 +21,15 @@ def merged(regions: DataFrame, tile: int = WIDE) -> DataFrame:
     own = regions.select("chrom", "start", "end", F.expr(f"start div {tile}").alias("_tile"))
     first = F.when(F.col("start") <= F.max("end").over(earlier), None).otherwise(F.col("start"))
     local = own.withColumn("_first", first).withColumn("_first", F.max("_first").over(upto))
-    local = local.groupBy("chrom", "_tile", F.col("_first").alias("start")).agg(F.max("end").alias("end"))
-    ends = local.groupBy("chrom", "_tile").agg(F.max("end").alias("_end"))
-    reached = ends.select("chrom", "_tile", F.max("_end").over(tiles).alias("_reach"))
-    marked = local.join(reached, ["chrom", "_tile"]).withColumn("_first", F.when(F.col("start") <= F.col("_reach"), None).otherwise(F.col("start")))
-    firsts = marked.groupBy("chrom", "_tile").agg(F.max("_first").alias("_last"))
-    before = firsts.select("chrom", "_tile", F.max("_last").over(tiles).alias("_before"))
-    island = F.coalesce(F.max("_first").over(upto), F.col("_before"))
-    joined = marked.join(before, ["chrom", "_tile"]).select("chrom", "end", island.alias("start"))
-    return joined.groupBy("chrom", "start").agg(F.max("end").alias("end"))
+    islands = local.groupBy("chrom", "_tile", F.col("_first").alias("start")).agg(F.max("end").alias("end"))
+    rows = islands.groupBy("chrom", "_tile").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_all"), F.max("end").alias("_end"))
+    rows = rows.withColumn("_reach", F.coalesce(F.max("_end").over(tiles), F.lit(-(1 << 62))))
+    rows = rows.withColumns({"_new": F.filter("_all", lambda x: x["start"] > F.col("_reach")), "_held": F.filter("_all", lambda x: x["start"] <= F.col("_reach"))})
+    rows = rows.withColumn("_before", F.max(F.array_max(F.transform("_new", lambda x: x["start"]))).over(tiles))
+    rest = F.struct(F.col("_before").alias("start"), F.array_max(F.transform("_held", lambda x: x["end"])).alias("end"))
+    pieces = F.concat("_new", F.when(F.size("_held") > 0, F.array(rest)).otherwise(F.slice("_new", 1, 0)))
+    found = rows.select("chrom", F.explode(pieces).alias("_x")).select("chrom", "_x.start", "_x.end")
+    return found.groupBy("chrom", "start").agg(F.max("end").alias("end"))
 
 
 def long_enough(regions: DataFrame, least: int) -> DataFrame:

@@ -96,3 +96,23 @@ def test_selection_meets_budgets(spark):
 def test_q_values_with_ties(spark):
     df = spark.createDataFrame([(1, 0.01), (2, 0.01), (3, 0.5), (4, 1.0)], "k int, p double")
     assert [round(x["q"], 6) for x in stats.q_values(df).orderBy("k").collect()] == [0.02, 0.02, 0.666667, 1.0]
+
+
+def test_merging_across_tiles(spark):
+    import random
+
+    from peakloom.operators import intervals
+
+    r = random.Random(4)
+    rows = [(c, s, s + r.choice([1, 5, 40, 400, 3000])) for c in "ab" for s in (r.randrange(40_000) for _ in range(150))]
+    rows += [("c", 0, 10_000), ("c", 10_000, 10_001), ("c", 10_002, 10_003), ("d", 5, 5), ("d", 5, 5)]
+    want = []
+    for c, s, e in sorted(rows):
+        if want and want[-1][0] == c and s <= want[-1][2]:
+            want[-1] = (c, want[-1][1], max(e, want[-1][2]))
+        else:
+            want.append((c, s, e))
+    df = spark.createDataFrame(rows, "chrom string, start long, end long").repartition(3)
+    for tile in (50, 1000, 1 << 17):
+        assert sorted(tuple(x) for x in intervals.merged(df, tile).select("chrom", "start", "end").collect()) == want
+    assert intervals.merged(df.limit(0)).count() == 0
