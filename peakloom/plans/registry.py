@@ -25,18 +25,25 @@ VIEWS = {
         (CASE WHEN l_returnflag='R' THEN 16 ELSE 0 END + CASE WHEN l_linestatus='F' AND l_tax>0.06::DOUBLE THEN 1024 ELSE 0 END)::INT AS flag,
         round(l_discount*600)::INT AS mapq, l_orderkey*8+l_linenumber AS rec_no FROM lineitem)""",
     "kept": """kept AS (SELECT * FROM reads WHERE (flag & 3844)=0 AND mapq>=10)""",
-    "pairs": """pairs AS (SELECT chrom, sample_id, "start", "end", mapq, rec_no, flag + 1 + CASE WHEN (rec_no//8)%4<>0 THEN 2 ELSE 0 END + CASE WHEN (rec_no%8)%2=0 THEN 128 ELSE 64 END
+    "pairs": """pairs AS (SELECT chrom, sample_id, "start", "end", mapq, rec_no, flag + 1 + CASE WHEN (rec_no//8)%4<>0 THEN 2 ELSE 0 END + CASE
+    WHEN (rec_no%8)%2=0 THEN 128 ELSE 64 END
         + CASE WHEN (rec_no//8)%7=0 THEN 8 ELSE 0 END AS flag, CASE WHEN (flag & 16)<>0 THEN -(("start"*13)%1300) ELSE ("start"*13)%1300 END AS tlen,
         CASE WHEN (rec_no//8)%11=0 THEN 'chr0' ELSE chrom END AS mate_chrom, "end"-"start" AS qlen FROM reads)""",
-    "proper": """proper AS (SELECT * FROM pairs WHERE (flag & 1)<>0 AND (flag & 2)<>0 AND (flag & 128)=0 AND (flag & 8)=0 AND mate_chrom=chrom AND tlen<>0 AND abs(tlen)>=qlen AND abs(tlen)<=1000)""",
+    "proper": """proper AS (SELECT * FROM pairs
+    WHERE (flag & 1)<>0 AND (flag & 2)<>0 AND (flag & 128)=0 AND (flag & 8)=0 AND mate_chrom=chrom AND tlen<>0 AND abs(tlen)>=qlen AND abs(tlen)<=1000)""",
     "fragments": """fragments AS (SELECT event_type AS chrom, epoch_us(ts::TIMESTAMP)//1000000 AS "start", epoch_us(ts::TIMESTAMP)//1000000+1+floor(value)::BIGINT AS "end", user_id::VARCHAR AS barcode, 1::BIGINT AS n FROM events)""",
-    "regions": """regions AS (SELECT 'chr'||(o_custkey%5+1) AS chrom, (o_orderkey*37)%500000 AS "start", (o_orderkey*37)%500000+100+(o_orderkey%7)*50 AS "end" FROM orders)""",
+    "regions": """regions AS (SELECT 'chr'||(o_custkey%5+1) AS chrom, (o_orderkey*37)%500000 AS "start", (o_orderkey*37)%500000+100+(o_orderkey%7)*50 AS "end"
+    FROM orders)""",
     "sizes": """sizes AS (SELECT chrom, (ceil(max("end")/50.0::DOUBLE)*50)::BIGINT AS size, substr(chrom,4)::INT AS ord FROM reads GROUP BY 1)""",
-    "signal": """signal AS (SELECT chrom, sample_id, bin*50 AS "start", count(*)::DOUBLE AS value FROM (SELECT chrom, sample_id, unnest(generate_series("start"//50,("end"-1)//50)) AS bin FROM kept) GROUP BY ALL)""",
-    "matrix": """matrix AS (SELECT g.chrom, g.sample_id, g."start", coalesce(s.value,0.0::DOUBLE) AS value FROM (SELECT * FROM (SELECT DISTINCT chrom,"start" FROM signal) JOIN (SELECT DISTINCT chrom,sample_id FROM signal) USING (chrom)) g
+    "signal": """signal AS (SELECT chrom, sample_id, bin*50 AS "start", count(*)::DOUBLE AS value
+    FROM (SELECT chrom, sample_id, unnest(generate_series("start"//50,("end"-1)//50)) AS bin FROM kept) GROUP BY ALL)""",
+    "matrix": """matrix AS (SELECT g.chrom, g.sample_id, g."start", coalesce(s.value,0.0::DOUBLE) AS value FROM (SELECT * FROM (SELECT DISTINCT chrom,"start"
+    FROM signal) JOIN (SELECT DISTINCT chrom,sample_id FROM signal) USING (chrom)) g
         LEFT JOIN signal s ON g.chrom=s.chrom AND g.sample_id=s.sample_id AND g."start"=s."start")""",
-    "scores": """scores AS (SELECT chrom, "start", m - median(m) OVER (PARTITION BY chrom) AS score FROM (SELECT chrom, "start", median(value) AS m FROM matrix GROUP BY 1,2))""",
-    "centred": """centred AS (SELECT chrom, sample_id, "start", v - median(v) OVER (PARTITION BY chrom, sample_id) AS value FROM (SELECT *, log2(greatest(value,0)+1) AS v FROM matrix))""",
+    "scores": """scores AS (SELECT chrom, "start", m - median(m) OVER (PARTITION BY chrom) AS score FROM (SELECT chrom, "start", median(value) AS m FROM matrix
+    GROUP BY 1,2))""",
+    "centred": """centred AS (SELECT chrom, sample_id, "start", v - median(v) OVER (PARTITION BY chrom, sample_id) AS value
+    FROM (SELECT *, log2(greatest(value,0)+1) AS v FROM matrix))""",
 }
 _NEEDS = {
     "kept": ["reads"], "pairs": ["reads"], "proper": ["pairs"], "sizes": ["reads"], "signal": ["kept"], "matrix": ["signal"], "scores": ["matrix"], "centred": ["matrix"],
@@ -87,12 +94,14 @@ def read_filter_include(spark, sf_dir):
     return read_ops.keep(views.reads(spark, sf_dir), include=16).select(*SPAN)
 
 
-@query("""SELECT chrom, sample_id, greatest(CASE WHEN tlen>=0 THEN "start" ELSE "end"-abs(tlen) END,0) AS "start", CASE WHEN tlen>=0 THEN "start"+abs(tlen) ELSE "end" END AS "end" FROM proper""", "proper")
+@query("""SELECT chrom, sample_id, greatest(CASE WHEN tlen>=0 THEN "start" ELSE "end"-abs(tlen) END,0) AS "start", CASE
+    WHEN tlen>=0 THEN "start"+abs(tlen) ELSE "end" END AS "end" FROM proper""", "proper")
 def fragment_span(spark, sf_dir):
     return read_ops.fragment_spans(read_ops.proper_fragments(views.pairs(spark, sf_dir))).select(*SPAN)
 
 
-@query("""SELECT chrom, sample_id, greatest(CASE WHEN (flag & 16)<>0 THEN "end"-3-150 ELSE "start"+2 END,0) AS "start", CASE WHEN (flag & 16)<>0 THEN "end"-3 ELSE "start"+2+150 END AS "end" FROM kept""", "kept")
+@query("""SELECT chrom, sample_id, greatest(CASE WHEN (flag & 16)<>0 THEN "end"-3-150 ELSE "start"+2 END,0) AS "start", CASE
+    WHEN (flag & 16)<>0 THEN "end"-3 ELSE "start"+2+150 END AS "end" FROM kept""", "kept")
 def read_span_extended(spark, sf_dir):
     return read_ops.extended(read_ops.keep(views.reads(spark, sf_dir)), 150, 2, 3).select(*SPAN)
 
@@ -133,7 +142,8 @@ def spans_within_contigs(spark, sf_dir):
 
 
 @query("""+c AS (SELECT sample_id, chrom, "start"//250 AS own, count(*) AS n FROM reads GROUP BY ALL),
-w AS (SELECT chrom, m, chunk, greatest(least(chunk-10,m-21),0) AS lo FROM (SELECT chrom, m, unnest(range(0,m)) AS chunk FROM (SELECT chrom, ceil(size/250.0::DOUBLE)::BIGINT AS m FROM sizes)))
+w AS (SELECT chrom, m, chunk, greatest(least(chunk-10,m-21),0) AS lo FROM (SELECT chrom, m, unnest(range(0,m)) AS chunk
+    FROM (SELECT chrom, ceil(size/250.0::DOUBLE)::BIGINT AS m FROM sizes)))
 SELECT c.sample_id, w.chrom, w.chunk, sum(n)::BIGINT AS n FROM w JOIN c ON c.chrom=w.chrom AND c.own>=w.lo AND c.own<w.lo+21 AND c.own<m GROUP BY ALL""", "reads sizes")
 def chunk_density(spark, sf_dir):
     return fragments.densities(views.reads(spark, sf_dir), views.chrom_sizes(spark, sf_dir), 250, 21)
@@ -145,12 +155,14 @@ def fragment_length_se(spark, sf_dir):
     return fragments.single_end_lengths(views.pairs(spark, sf_dir), views.chrom_sizes(spark, sf_dir))
 
 
-@query("""SELECT chrom, bin*3600 AS "start", sum(n)::BIGINT AS n FROM (SELECT chrom, n, unnest(generate_series("start"//3600,("end"-1)//3600)) AS bin FROM fragments) GROUP BY ALL""", "fragments")
+@query("""SELECT chrom, bin*3600 AS "start", sum(n)::BIGINT AS n FROM (SELECT chrom, n, unnest(generate_series("start"//3600,("end"-1)//3600)) AS bin FROM fragments)
+    GROUP BY ALL""", "fragments")
 def fragment_coverage(spark, sf_dir):
     return coverage.binned(views.fragments(spark, sf_dir), 3600, ["chrom"], "n")
 
 
-@query("""SELECT chrom, p//3600*3600 AS "start", sum(n)::BIGINT AS n FROM (SELECT chrom, n, unnest([ "start", "end"-1 ]) AS p FROM fragments) GROUP BY ALL""", "fragments")
+@query("""SELECT chrom, p//3600*3600 AS "start", sum(n)::BIGINT AS n FROM (SELECT chrom, n, unnest([ "start", "end"-1 ]) AS p FROM fragments)
+    GROUP BY ALL""", "fragments")
 def fragment_cutsites(spark, sf_dir):
     return coverage.binned(read_ops.cut_sites(views.fragments(spark, sf_dir)), 3600, ["chrom"], "n")
 
@@ -166,7 +178,8 @@ def barcode_allow(spark, sf_dir):
     return read_ops.allowed(views.fragments(spark, sf_dir), listed).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT sample_id, count(*) FILTER (WHERE (flag & 4)=0) AS mapped, count(*) FILTER (WHERE (flag & 4)<>0) AS unmapped FROM reads WHERE chrom NOT IN ('chrX','chrY','chrM','chr5') GROUP BY 1""", "reads")
+@query("""SELECT sample_id, count(*) FILTER (WHERE (flag & 4)=0) AS mapped, count(*) FILTER (WHERE (flag & 4)<>0) AS unmapped FROM reads
+    WHERE chrom NOT IN ('chrX','chrY','chrM','chr5') GROUP BY 1""", "reads")
 def mapped_counts(spark, sf_dir):
     kept = read_ops.on_chromosomes(views.reads(spark, sf_dir), skip=["chrX", "chrY", "chrM", "chr5"])
     return kept.groupBy("sample_id").agg(F.count_if(~read_ops.has(4)).alias("mapped"), F.count_if(read_ops.has(4)).alias("unmapped"))
@@ -177,7 +190,8 @@ _FIRST = """ranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER
 
 
 @query(
-    "+" + _FIRST.format("") + """, fine AS (SELECT sample_id, qlen, row_number() OVER (PARTITION BY sample_id ORDER BY k) AS j FROM ranked WHERE k<=4096 AND (flag & 4)=0 AND qlen>0)
+    "+" + _FIRST.format("") + """, fine AS (SELECT sample_id, qlen, row_number() OVER (PARTITION BY sample_id ORDER BY k) AS j FROM ranked
+    WHERE k<=4096 AND (flag & 4)=0 AND qlen>0)
     SELECT sample_id, floor(median(qlen))::BIGINT AS length FROM fine WHERE j<=32 GROUP BY 1""", "pairs",
 )
 def read_length_median(spark, sf_dir):
@@ -192,8 +206,10 @@ def read_length_p75(spark, sf_dir):
 @query(
     "+" + _FIRST.format(" WHERE (flag & 4)=0") + """, top AS (SELECT chrom FROM sizes ORDER BY size DESC, ord LIMIT 3),
     least AS (SELECT sample_id, least(greatest(floor(avg(qlen)),1),1000) AS low FROM ranked WHERE qlen>0 AND k<=4096 GROUP BY 1),
-    mates AS (SELECT r.sample_id, low, abs(tlen) AS size, row_number() OVER (PARTITION BY r.sample_id ORDER BY k) AS j FROM ranked r JOIN least l ON r.sample_id=l.sample_id
-        WHERE (flag & 1)<>0 AND (flag & 2)<>0 AND (flag & 128)=0 AND (flag & 8)=0 AND mate_chrom=chrom AND chrom IN (SELECT chrom FROM top) AND abs(tlen) BETWEEN low AND 1000)
+    mates AS (SELECT r.sample_id, low, abs(tlen) AS size, row_number() OVER (PARTITION BY r.sample_id ORDER BY k) AS j FROM ranked r
+    JOIN least l ON r.sample_id=l.sample_id
+        WHERE (flag & 1)<>0 AND (flag & 2)<>0 AND (flag & 128)=0 AND (flag & 8)=0 AND mate_chrom=chrom AND chrom IN (SELECT chrom
+    FROM top) AND abs(tlen) BETWEEN low AND 1000)
     SELECT sample_id, least(greatest(floor(median(size)),max(low)),1000)::BIGINT AS length FROM mates WHERE j<=4096 GROUP BY 1""", "pairs sizes",
 )
 def fragment_length_pe(spark, sf_dir):
@@ -207,14 +223,17 @@ def paired_end(spark, sf_dir):
 
 
 @query(
-    """+late AS (SELECT r.chrom, max_by("end", ("start"*1000000000+rec_no)*100+"end"-"start") AS e FROM kept r JOIN sizes z ON r.chrom=z.chrom WHERE "end">size-2000000 GROUP BY 1)
-    SELECT r.chrom, min("start") AS range_start, coalesce(max(e),max("end")) AS range_end FROM kept r JOIN sizes z ON r.chrom=z.chrom LEFT JOIN late ON late.chrom=r.chrom GROUP BY 1""", "kept sizes",
+    """+late AS (SELECT r.chrom, max_by("end", ("start"*1000000000+rec_no)*100+"end"-"start") AS e FROM kept r JOIN sizes z ON r.chrom=z.chrom WHERE "end">size-2000000
+    GROUP BY 1)
+    SELECT r.chrom, min("start") AS range_start, coalesce(max(e),max("end")) AS range_end FROM kept r JOIN sizes z ON r.chrom=z.chrom LEFT
+    JOIN late ON late.chrom=r.chrom GROUP BY 1""", "kept sizes",
 )
 def chrom_range(spark, sf_dir):
     return coverage.covered_range(read_ops.keep(views.reads(spark, sf_dir)), views.chrom_sizes(spark, sf_dir))
 
 
-@query("""SELECT chrom, (sum(greatest(n,1))*2)::BIGINT AS mapped FROM fragments WHERE chrom<>'view' AND barcode IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_custkey%3=0) GROUP BY 1""", "fragments")
+@query("""SELECT chrom, (sum(greatest(n,1))*2)::BIGINT AS mapped FROM fragments WHERE chrom<>'view' AND barcode IN (SELECT c_custkey::VARCHAR FROM customer
+    WHERE c_custkey%3=0) GROUP BY 1""", "fragments")
 def fragment_totals(spark, sf_dir):
     listed = views.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("barcode"))
     return read_ops.fragment_totals(views.fragments(spark, sf_dir), "cutsite", ("chrom",), ["view"], listed)
@@ -225,7 +244,8 @@ def top_contigs(spark, sf_dir):
     return views.chrom_sizes(spark, sf_dir).orderBy(F.desc("size"), "ord").limit(3)
 
 
-_NORM = """SELECT s.chrom, s.sample_id, s."start", round(s.value*({0}),5) AS value FROM signal s JOIN (SELECT sample_id, count(*)::DOUBLE AS mapped, avg("end"-"start") AS len FROM reads GROUP BY 1) m ON s.sample_id=m.sample_id"""
+_NORM = """SELECT s.chrom, s.sample_id, s."start", round(s.value*({0}),5) AS value FROM signal s
+    JOIN (SELECT sample_id, count(*)::DOUBLE AS mapped, avg("end"-"start") AS len FROM reads GROUP BY 1) m ON s.sample_id=m.sample_id"""
 
 
 def _normalised(spark, sf_dir, method: str) -> DataFrame:
@@ -249,7 +269,9 @@ def norm_cpm(spark, sf_dir):
     return _normalised(spark, sf_dir, " CPM").select("chrom", "sample_id", "start", "value")
 
 
-@query("""+z AS (SELECT chrom, sample_id, "start", CASE WHEN value>3 THEN value ELSE 0 END AS value FROM signal) SELECT z.* FROM z JOIN (SELECT chrom, sample_id, min("start") AS a, max("start") AS b FROM z WHERE value>0 GROUP BY 1,2) e ON z.chrom=e.chrom AND z.sample_id=e.sample_id WHERE z."start" BETWEEN a AND b""", "signal")
+@query("""+z AS (SELECT chrom, sample_id, "start", CASE WHEN value>3 THEN value ELSE 0 END AS value FROM signal) SELECT z.* FROM z
+    JOIN (SELECT chrom, sample_id, min("start") AS a, max("start") AS b FROM z WHERE value>0 GROUP BY 1,2) e ON z.chrom=e.chrom AND z.sample_id=e.sample_id
+    WHERE z."start" BETWEEN a AND b""", "signal")
 def track_trim(spark, sf_dir):
     track = views.signal(spark, sf_dir).withColumn("value", F.when(F.col("value") > 3, F.col("value")).otherwise(0.0))
     return coverage.trimmed(track).select("chrom", "sample_id", "start", "value")
@@ -285,7 +307,8 @@ def central_quantile_nearest(spark, sf_dir):
     return stats.central(_matrix(spark, sf_dir), "quantile", q=0.25).select("chrom", "start", _r("value", "value"))
 
 
-_TRIM = """+lists AS (SELECT chrom, "start", list_sort(list(value)) AS l FROM matrix GROUP BY 1,2), inside AS (SELECT chrom, "start", list_filter(l, lambda x: x>=l[1+round_even((len(l)-1)*0.05::DOUBLE,0)::BIGINT] AND x<=l[1+round_even((len(l)-1)*0.95::DOUBLE,0)::BIGINT]) AS l FROM lists) """
+_TRIM = """+lists AS (SELECT chrom, "start", list_sort(list(value)) AS l FROM matrix GROUP BY 1,2),
+    inside AS (SELECT chrom, "start", list_filter(l, lambda x: x>=l[1+round_even((len(l)-1)*0.05::DOUBLE,0)::BIGINT] AND x<=l[1+round_even((len(l)-1)*0.95::DOUBLE,0)::BIGINT]) AS l FROM lists) """
 
 
 @query(_TRIM + """SELECT chrom, "start", round(list_avg(l),6) AS value FROM inside""", "matrix")
@@ -293,7 +316,8 @@ def central_tmean(spark, sf_dir):
     return stats.central(_matrix(spark, sf_dir), "tmean").select("chrom", "start", _r("value", "value"))
 
 
-@query("""SELECT chrom, "start", round(median(d),6) AS value FROM (SELECT *, abs(value-median(value) OVER (PARTITION BY chrom,"start")) AS d FROM matrix) GROUP BY 1,2""", "matrix")
+@query("""SELECT chrom, "start", round(median(d),6) AS value FROM (SELECT *, abs(value-median(value) OVER (PARTITION BY chrom,"start")) AS d FROM matrix)
+    GROUP BY 1,2""", "matrix")
 def dispersion_mad(spark, sf_dir):
     return stats.dispersion(_matrix(spark, sf_dir), "mad").select("chrom", "start", _r("value", "value"))
 
@@ -313,7 +337,8 @@ def dispersion_tstd(spark, sf_dir):
     return stats.dispersion(_matrix(spark, sf_dir), "tstd").select("chrom", "start", _r("value", "value"))
 
 
-@query("""+l AS (SELECT list_sort(list(score)) AS l FROM scores) SELECT q, round(l[1+ceil((len(l)-1)*q)::BIGINT],4) AS value FROM l, (SELECT unnest([0.01::DOUBLE,0.25::DOUBLE,0.5::DOUBLE,0.75::DOUBLE,0.99::DOUBLE]) AS q)""", "scores")
+@query("""+l AS (SELECT list_sort(list(score)) AS l FROM scores) SELECT q, round(l[1+ceil((len(l)-1)*q)::BIGINT],4) AS value
+    FROM l, (SELECT unnest([0.01::DOUBLE,0.25::DOUBLE,0.5::DOUBLE,0.75::DOUBLE,0.99::DOUBLE]) AS q)""", "scores")
 def score_quantiles_higher(spark, sf_dir):
     return stats.higher_quantiles(_scores(spark, sf_dir), [0.01, 0.25, 0.5, 0.75, 0.99], "score")
 
@@ -329,19 +354,25 @@ def log2_center(spark, sf_dir):
 
 #: Windows of 31 loci, or of a short track's odd length; below five loci the spread about the median stands in.
 VIEWS["variances"] = """numbered AS (
-    SELECT *, CASE WHEN n>=31 THEN 31 ELSE n-1+n%2 END AS w FROM (SELECT *, row_number() OVER t - 1 AS i, count(*) OVER (PARTITION BY chrom,sample_id) AS n, lead(value) OVER t AS nx
+    SELECT *, CASE WHEN n>=31 THEN 31 ELSE n-1+n%2 END AS w FROM (SELECT *, row_number() OVER t - 1 AS i, count(*) OVER (PARTITION BY chrom,sample_id) AS n, lead(value)
+    OVER t AS nx
     FROM centred WINDOW t AS (PARTITION BY chrom,sample_id ORDER BY "start"))),
-mads AS (SELECT chrom, sample_id, median(d) AS mad FROM (SELECT chrom, sample_id, abs(value-median(value) OVER (PARTITION BY chrom,sample_id)) AS d FROM numbered WHERE n<5) GROUP BY 1,2),
+mads AS (SELECT chrom, sample_id, median(d) AS mad FROM (SELECT chrom, sample_id, abs(value-median(value) OVER (PARTITION BY chrom,sample_id)) AS d FROM numbered
+    WHERE n<5) GROUP BY 1,2),
 sums AS (SELECT *, sum(value) OVER whole AS s, sum(value*value) OVER whole AS q, sum(value*nx) OVER pairs AS c, last_value(value) OVER whole AS l FROM numbered
-    WINDOW whole AS (PARTITION BY chrom,sample_id ORDER BY "start" ROWS BETWEEN CURRENT ROW AND w-1 FOLLOWING), pairs AS (PARTITION BY chrom,sample_id ORDER BY "start" ROWS BETWEEN CURRENT ROW AND greatest(w-2,0) FOLLOWING)),
+    WINDOW whole AS (PARTITION BY chrom,sample_id ORDER BY "start" ROWS BETWEEN CURRENT ROW AND w-1 FOLLOWING), pairs AS (PARTITION BY chrom,sample_id
+    ORDER BY "start" ROWS BETWEEN CURRENT ROW AND greatest(w-2,0) FOLLOWING)),
 moments AS (SELECT *, greatest(q-w*m*m,0) AS g0, c-m*(s-l)-m*(s-value)+(w-1)*m*m AS g1 FROM (SELECT *, s/w AS m FROM sums)),
-innovations AS (SELECT chrom, sample_id, i, greatest(g0/w*(1-beta*beta),0) AS v FROM (SELECT *, least(greatest(g1/(g0*(1+1.0::DOUBLE/(w+1))+1e-4::DOUBLE*(g0+1)),0),0.99::DOUBLE) AS beta FROM moments)),
-variances AS (SELECT a.chrom, a.sample_id, a."start", a.value, CASE WHEN n<5 THEN greatest(pow(greatest(1.4826::DOUBLE*mad,1e-6::DOUBLE),2),1e-8::DOUBLE) ELSE greatest(b.v,1e-8::DOUBLE) END AS variance
+innovations AS (SELECT chrom, sample_id, i, greatest(g0/w*(1-beta*beta),0) AS v
+    FROM (SELECT *, least(greatest(g1/(g0*(1+1.0::DOUBLE/(w+1))+1e-4::DOUBLE*(g0+1)),0),0.99::DOUBLE) AS beta FROM moments)),
+variances AS (SELECT a.chrom, a.sample_id, a."start", a.value, CASE
+    WHEN n<5 THEN greatest(pow(greatest(1.4826::DOUBLE*mad,1e-6::DOUBLE),2),1e-8::DOUBLE) ELSE greatest(b.v,1e-8::DOUBLE) END AS variance
     FROM numbered a LEFT JOIN mads ON a.chrom=mads.chrom AND a.sample_id=mads.sample_id
     JOIN innovations b ON a.chrom=b.chrom AND a.sample_id=b.sample_id AND b.i=least(greatest(a.i-w//2,0),a.n-w))"""
 VIEWS["bins"] = """bins AS (
     SELECT chrom, sample_id, (r*b-1)//n AS bin, median(abs(value)) AS x, median(variance) AS v, count(*) AS n
-    FROM (SELECT *, row_number() OVER (PARTITION BY chrom,sample_id ORDER BY round(abs(value),9), round(variance,9), "start") AS r, greatest(4,floor(1+log2(n+1)))::BIGINT AS b
+    FROM (SELECT *, row_number() OVER (PARTITION BY chrom,sample_id ORDER BY round(abs(value),9),
+    round(variance,9), "start") AS r, greatest(4,floor(1+log2(n+1)))::BIGINT AS b
         FROM (SELECT *, count(*) OVER (PARTITION BY chrom,sample_id) AS n FROM variances)) GROUP BY ALL)"""
 _NEEDS |= {"variances": ["centred"], "bins": ["variances"]}
 
@@ -357,8 +388,11 @@ def variance_bins(spark, sf_dir):
     return found.select("chrom", "sample_id", "bin", F.round("x", 4).alias("x"), F.round("v", 4).alias("v"), "n")
 
 
-@query("""+c AS (SELECT *, sum(n) OVER w AS w1, sum(n*v) OVER w AS s1 FROM bins WINDOW w AS (PARTITION BY chrom,sample_id ORDER BY bin)), pr AS (SELECT a.chrom, a.sample_id, a.bin AS a, b.bin AS b, (b.s1-(a.s1-a.n*a.v))/(b.w1-(a.w1-a.n)) AS mean FROM c a JOIN c b ON a.chrom=b.chrom AND a.sample_id=b.sample_id AND a.bin<=b.bin),
-    tails AS (SELECT chrom, sample_id, a, b, min(mean) OVER (PARTITION BY chrom,sample_id,a ORDER BY b DESC) AS t FROM pr) SELECT chrom, sample_id, b AS bin, round(max(t),4) AS fit FROM tails GROUP BY 1,2,3""", "bins")
+@query("""+c AS (SELECT *, sum(n) OVER w AS w1, sum(n*v) OVER w AS s1 FROM bins WINDOW w AS (PARTITION BY chrom,sample_id ORDER BY bin)),
+    pr AS (SELECT a.chrom, a.sample_id, a.bin AS a, b.bin AS b, (b.s1-(a.s1-a.n*a.v))/(b.w1-(a.w1-a.n)) AS mean FROM c a
+    JOIN c b ON a.chrom=b.chrom AND a.sample_id=b.sample_id AND a.bin<=b.bin),
+    tails AS (SELECT chrom, sample_id, a, b, min(mean) OVER (PARTITION BY chrom,sample_id,a ORDER BY b DESC) AS t FROM pr)
+    SELECT chrom, sample_id, b AS bin, round(max(t),4) AS fit FROM tails GROUP BY 1,2,3""", "bins")
 def variance_trend_pava(spark, sf_dir):
     found = stats.isotonic_trend(stats.variance_bins(scoring.local_variances(_centred(spark, sf_dir))))
     return found.select("chrom", "sample_id", "bin", F.round("fit", 4).alias("fit"))
@@ -371,7 +405,9 @@ def wls_combine(spark, sf_dir):
     return stats.combine(v).select("chrom", "start", _r("mean", "mean"), _r("standard_error", "standard_error"), _r("score", "score"))
 
 
-VIEWS["zs"] = """zs AS (SELECT a.chrom, a."start", a.d/s.sc AS z FROM (SELECT chrom, "start", score - median(score) OVER (PARTITION BY chrom) AS d FROM scores) a JOIN (SELECT chrom, greatest(1.4826::DOUBLE*median(abs(d)),1e-6::DOUBLE) AS sc FROM (SELECT chrom, score - median(score) OVER (PARTITION BY chrom) AS d FROM scores) WHERE d<=0 GROUP BY 1) s ON a.chrom=s.chrom)"""
+VIEWS["zs"] = """zs AS (SELECT a.chrom, a."start", a.d/s.sc AS z FROM (SELECT chrom, "start", score - median(score) OVER (PARTITION BY chrom) AS d FROM scores) a
+    JOIN (SELECT chrom, greatest(1.4826::DOUBLE*median(abs(d)),1e-6::DOUBLE) AS sc FROM (SELECT chrom, score - median(score) OVER (PARTITION BY chrom) AS d FROM scores)
+    WHERE d<=0 GROUP BY 1) s ON a.chrom=s.chrom)"""
 _NEEDS["zs"] = ["scores"]
 
 
@@ -397,12 +433,14 @@ def _p_values(spark, sf_dir) -> DataFrame:
     return views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (x * x / F.lit(10000600009.0)).alias("p"))
 
 
-@query(f"""WITH {_P}, r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS m FROM orders_p) SELECT k, round(p,6) AS p, round(least(1,min(p*m/r) OVER (ORDER BY p DESC)),6) AS q FROM r""")
+@query(f"""WITH {_P}, r AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS r, count(*) OVER () AS m FROM orders_p)
+    SELECT k, round(p,6) AS p, round(least(1,min(p*m/r) OVER (ORDER BY p DESC)),6) AS q FROM r""")
 def bh_qvalues(spark, sf_dir):
     return stats.q_values(_p_values(spark, sf_dir)).select("k", _r("p", "p"), _r("q", "q"))
 
 
-@query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM orders_p) SELECT k FROM r WHERE p<=coalesce((SELECT max(p) FROM r WHERE p<=0.01::DOUBLE*r/m),-1)""")
+@query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM orders_p) SELECT k FROM r WHERE p<=coalesce((SELECT max(p) FROM r
+    WHERE p<=0.01::DOUBLE*r/m),-1)""")
 def bh_mask(spark, sf_dir):
     return stats.q_values(_p_values(spark, sf_dir)).where("q <= 0.01").select("k")
 
@@ -412,18 +450,22 @@ def residual_template(spark, sf_dir):
     return budgets.residuals(_centred(spark, sf_dir)).select("chrom", "sample_id", "start", _r("value", "value"))
 
 
-@query("""SELECT chrom, round(avg(CASE WHEN score>1.5 THEN 1.0::DOUBLE ELSE 0 END),6) AS tail_share, round(avg(CASE WHEN score>0 THEN 1.0::DOUBLE ELSE 0 END),6) AS positive_share, round(avg(greatest(score-1.5::DOUBLE,0))/2,6) AS excess FROM scores GROUP BY 1""", "scores")
+@query("""SELECT chrom, round(avg(CASE WHEN score>1.5 THEN 1.0::DOUBLE ELSE 0 END),6) AS tail_share, round(avg(CASE
+    WHEN score>0 THEN 1.0::DOUBLE ELSE 0 END),6) AS positive_share, round(avg(greatest(score-1.5::DOUBLE,0))/2,6) AS excess FROM scores GROUP BY 1""", "scores")
 def tail_occupancy(spark, sf_dir):
     return budgets.occupancy(_scores(spark, sf_dir), 1.5, 2.0).select("chrom", _r("tail_share", "tail_share"), _r("positive_share", "positive_share"), _r("excess", "excess"))
 
 
-@query("""+y AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY "start") AS i, score-avg(score) OVER (PARTITION BY chrom) AS y, count(*) OVER (PARTITION BY chrom) AS n FROM scores) SELECT a.chrom, k::INT AS lag, round(sum(a.y*b.y)/(max(a.n)-k),6) AS autocovariance FROM y a, (SELECT unnest(range(6)) AS k), y b WHERE a.chrom=b.chrom AND b.i=a.i+k GROUP BY 1,2,k""", "scores")
+@query("""+y AS (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY "start") AS i, score-avg(score) OVER (PARTITION BY chrom) AS y, count(*)
+    OVER (PARTITION BY chrom) AS n FROM scores) SELECT a.chrom, k::INT AS lag, round(sum(a.y*b.y)/(max(a.n)-k),6) AS autocovariance
+    FROM y a, (SELECT unnest(range(6)) AS k), y b WHERE a.chrom=b.chrom AND b.i=a.i+k GROUP BY 1,2,k""", "scores")
 def autocov_lags(spark, sf_dir):
     return stats.autocovariance(_scores(spark, sf_dir), 5, "score").select("chrom", "lag", _r("autocovariance", "autocovariance"))
 
 
 #: Autocorrelation time of the scores' soft exceedance: pairs of lags are added up as long as they are positive.
-_GAMMA = """+s AS (SELECT chrom, score, row_number() OVER (PARTITION BY chrom ORDER BY "start") AS i, count(*) OVER (PARTITION BY chrom) AS n, median(score) OVER (PARTITION BY chrom) AS m FROM scores),
+_GAMMA = """+s AS (SELECT chrom, score, row_number() OVER (PARTITION BY chrom ORDER BY "start") AS i, count(*) OVER (PARTITION BY chrom) AS n, median(score)
+    OVER (PARTITION BY chrom) AS m FROM scores),
 sc AS (SELECT chrom, greatest(1.4826::DOUBLE*median(m-score),1e-6::DOUBLE) AS sc FROM s WHERE score<m GROUP BY 1),
 x AS (SELECT s.chrom, i, n, least(greatest((score-m)/coalesce(sc,1e-6::DOUBLE)-2,0),1) AS x FROM s LEFT JOIN sc ON s.chrom=sc.chrom),
 y AS (SELECT *, x-avg(x) OVER (PARTITION BY chrom) AS y FROM x),
@@ -442,7 +484,8 @@ def gamma_auto(spark, sf_dir):
     return chain.gamma(s, budgets.bootstrap_budget(s, draws=0)).select("chrom", _r("gamma", "gamma"), "n_positive")
 
 
-@query("""SELECT chrom, round(least(greatest((count(*) FILTER (WHERE score>1))/count(*)::DOUBLE*2,0.005::DOUBLE),0.1::DOUBLE),6) AS budget FROM scores GROUP BY 1""", "scores")
+@query("""SELECT chrom, round(least(greatest((count(*) FILTER (WHERE score>1))/count(*)::DOUBLE*2,0.005::DOUBLE),0.1::DOUBLE),6) AS budget FROM scores
+    GROUP BY 1""", "scores")
 def budget_clip(spark, sf_dir):
     raw = _scores(spark, sf_dir).groupBy("chrom").agg((F.count_if(F.col("score") > 1) / F.count(F.lit(1))).alias("raw"))
     return raw.select("chrom", _r(chain.final_budget(F.col("raw"), 2.0), "budget"))
@@ -450,9 +493,13 @@ def budget_clip(spark, sf_dir):
 
 #: Forward pass of the chain as a recursion, then the fill from the right, at penalty 1 and switch cost 1.
 _CHAIN = """+s AS (SELECT chrom, "start", score, row_number() OVER (PARTITION BY chrom ORDER BY "start") AS i, count(*) OVER (PARTITION BY chrom) AS n FROM scores),
-f AS (SELECT chrom, i, n, score-1 AS d, -1 AS e FROM s WHERE i=1 UNION ALL SELECT s.chrom, s.i, s.n, (CASE WHEN f.d<-1 OR (f.d=-1 AND f.e<0) THEN -1 WHEN f.d>1 OR (f.d=1 AND f.e>0) THEN 1 ELSE f.d END)+s.score-1, (CASE WHEN f.d<-1 OR (f.d=-1 AND f.e<0) THEN 0 WHEN f.d>1 OR (f.d=1 AND f.e>0) THEN 0 ELSE f.e END)-1 FROM f JOIN s ON s.chrom=f.chrom AND s.i=f.i+1),
-v AS (SELECT chrom, i, CASE WHEN i=n THEN CASE WHEN d>0 OR (d=0 AND e>0) THEN 1 ELSE 0 END WHEN d>1 OR (d=1 AND e>0) THEN 1 WHEN d<-1 OR (d=-1 AND e<0) THEN 0 END AS z FROM f),
-zz AS (SELECT s.chrom, s."start", s.score, s.i, s.n, first_value(v.z IGNORE NULLS) OVER (PARTITION BY s.chrom ORDER BY s.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM s JOIN v ON s.chrom=v.chrom AND s.i=v.i) """
+f AS (SELECT chrom, i, n, score-1 AS d, -1 AS e FROM s WHERE i=1 UNION ALL SELECT s.chrom, s.i, s.n, (CASE WHEN f.d<-1 OR (f.d=-1 AND f.e<0) THEN -1
+    WHEN f.d>1 OR (f.d=1 AND f.e>0) THEN 1 ELSE f.d END)+s.score-1, (CASE WHEN f.d<-1 OR (f.d=-1 AND f.e<0) THEN 0 WHEN f.d>1 OR (f.d=1 AND f.e>0) THEN 0 ELSE f.e END)-1
+    FROM f JOIN s ON s.chrom=f.chrom AND s.i=f.i+1),
+v AS (SELECT chrom, i, CASE WHEN i=n THEN CASE WHEN d>0 OR (d=0 AND e>0) THEN 1 ELSE 0 END WHEN d>1 OR (d=1 AND e>0) THEN 1 WHEN d<-1 OR (d=-1 AND e<0) THEN 0 END AS z
+    FROM f),
+zz AS (SELECT s.chrom, s."start", s.score, s.i, s.n, first_value(v.z IGNORE NULLS) OVER (PARTITION BY s.chrom
+    ORDER BY s.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM s JOIN v ON s.chrom=v.chrom AND s.i=v.i) """
 
 
 @query(_CHAIN + """SELECT chrom, "start", z::SMALLINT AS z FROM zz""", "scores")
@@ -460,14 +507,18 @@ def chain_solve(spark, sf_dir):
     return chain.select(_scores(spark, sf_dir), 1.0, penalty=1.0).select("chrom", "start", "z")
 
 
-@query(_CHAIN + """SELECT chrom, round(sum(-score*z)+sum(coalesce(abs(z-lz),0)),6) AS objective FROM (SELECT *, lag(z) OVER (PARTITION BY chrom ORDER BY i) AS lz FROM zz) GROUP BY 1""", "scores")
+@query(_CHAIN + """SELECT chrom, round(sum(-score*z)+sum(coalesce(abs(z-lz),0)),6) AS objective FROM (SELECT *, lag(z) OVER (PARTITION BY chrom ORDER BY i) AS lz
+    FROM zz) GROUP BY 1""", "scores")
 def objective_value(spark, sf_dir):
     found = chain.select(_scores(spark, sf_dir), 1.0, penalty=1.0).withColumn("cost", F.lit(1.0))
     return stats.objective(found).select("chrom", _r("objective", "objective"))
 
 
-_MERGE = """SELECT chrom, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(nw) OVER (PARTITION BY chrom ORDER BY "start","end" ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN "start"<=max("end") OVER (PARTITION BY chrom ORDER BY "start","end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM {0})) GROUP BY chrom, g"""
-_BINS = """, sel AS (SELECT chrom, "start", nx AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY chrom ORDER BY i) AS nx FROM zz) WHERE z=1 AND nx IS NOT NULL) """
+_MERGE = """SELECT chrom, min("start") AS "start", max("end") AS "end" FROM (SELECT *, sum(nw) OVER (PARTITION BY chrom
+    ORDER BY "start","end" ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN "start"<=max("end") OVER (PARTITION BY chrom
+    ORDER BY "start","end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM {0})) GROUP BY chrom, g"""
+_BINS = """, sel AS (SELECT chrom, "start", nx AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY chrom ORDER BY i) AS nx FROM zz)
+    WHERE z=1 AND nx IS NOT NULL) """
 
 
 def _peaks(spark, sf_dir) -> DataFrame:
@@ -495,12 +546,14 @@ def peaks_combine(spark, sf_dir):
     return intervals.combined(views.regions(spark, sf_dir), _peaks(spark, sf_dir))
 
 
-@query("""SELECT p.chrom, p."start", p."end", r.sample_id, count(*) AS n FROM regions p JOIN kept r ON p.chrom=r.chrom AND p."start"<r."end" AND r."start"<p."end" GROUP BY ALL""", "regions kept")
+@query("""SELECT p.chrom, p."start", p."end", r.sample_id, count(*) AS n FROM regions p JOIN kept r ON p.chrom=r.chrom AND p."start"<r."end" AND r."start"<p."end"
+    GROUP BY ALL""", "regions kept")
 def interval_counts(spark, sf_dir):
     return intervals.overlap_counts(views.regions(spark, sf_dir), read_ops.keep(views.reads(spark, sf_dir)))
 
 
-@query("""+x AS (SELECT DISTINCT chrom, "start", "end" FROM regions), c AS (SELECT x.*, s.sample_id, (SELECT count(*) FROM kept r WHERE r.chrom=x.chrom AND r.sample_id=s.sample_id AND r."start"<x."end" AND x."start"<r."end") AS n FROM x, (SELECT DISTINCT sample_id FROM kept) s)
+@query("""+x AS (SELECT DISTINCT chrom, "start", "end" FROM regions), c AS (SELECT x.*, s.sample_id, (SELECT count(*) FROM kept r
+    WHERE r.chrom=x.chrom AND r.sample_id=s.sample_id AND r."start"<x."end" AND x."start"<r."end") AS n FROM x, (SELECT DISTINCT sample_id FROM kept) s)
 SELECT chrom, "start", "end", coalesce(sum(n) FILTER (WHERE sample_id='s0'),0)::BIGINT AS s0, coalesce(sum(n) FILTER (WHERE sample_id='s1'),0)::BIGINT AS s1, coalesce(sum(n) FILTER (WHERE sample_id='s2'),0)::BIGINT AS s2 FROM c GROUP BY 1,2,3""", "regions kept")
 def count_matrix(spark, sf_dir):
     kept = read_ops.keep(views.reads(spark, sf_dir))
@@ -508,21 +561,29 @@ def count_matrix(spark, sf_dir):
     return cells.groupBy("chrom", "start", "end").pivot("sample_id", ["s0", "s1", "s2"]).agg(F.sum("n")).na.fill(0)
 
 
-@query(f"""+a AS ({_MERGE.format("(SELECT * FROM regions WHERE (\"start\"//37)%2=0)")}), b AS ({_MERGE.format("(SELECT * FROM regions WHERE (\"start\"//37)%3=0)")}), i AS (SELECT coalesce(sum(least(a."end",b."end")-greatest(a."start",b."start")),0)::BIGINT AS x FROM a JOIN b ON a.chrom=b.chrom AND a."start"<b."end" AND b."start"<a."end")
-SELECT x AS "both", ((SELECT sum("end"-"start") FROM a)+(SELECT sum("end"-"start") FROM b)-x)::BIGINT AS either, round(x/((SELECT sum("end"-"start") FROM a)+(SELECT sum("end"-"start") FROM b)-x)::DOUBLE,6) AS jaccard FROM i""", "regions")
+@query(f"""+a AS ({_MERGE.format("(SELECT * FROM regions WHERE (\"start\"//37)%2=0)")}), b AS ({_MERGE.format("(SELECT * FROM regions WHERE (\"start\"//37)%3=0)")}),
+    i AS (SELECT coalesce(sum(least(a."end",b."end")-greatest(a."start",b."start")),0)::BIGINT AS x FROM a
+    JOIN b ON a.chrom=b.chrom AND a."start"<b."end" AND b."start"<a."end")
+SELECT x AS "both", ((SELECT sum("end"-"start") FROM a)+(SELECT sum("end"-"start") FROM b)-x)::BIGINT AS either, round(x/((SELECT sum("end"-"start")
+    FROM a)+(SELECT sum("end"-"start") FROM b)-x)::DOUBLE,6) AS jaccard FROM i""", "regions")
 def interval_jaccard(spark, sf_dir):
     r = views.regions(spark, sf_dir)
     found = intervals.jaccard(r.where("(start div 37) % 2 = 0"), r.where("(start div 37) % 3 = 0"))
     return found.select("both", "either", _r("jaccard", "jaccard"))
 
 
-@query("""+x AS (SELECT DISTINCT chrom, "start", "end" FROM regions), t AS (SELECT x.chrom, x."start", x."end", max_by(s."start", s.score*1e9::DOUBLE - s."start") AS best FROM x LEFT JOIN scores s ON s.chrom=x.chrom AND s."start">=x."start" AND s."start"<x."end" GROUP BY 1,2,3) SELECT chrom, "start", "end", CASE WHEN best IS NULL THEN -1 ELSE greatest(least(best+25-"start","end"-"start"-1),0) END AS "offset" FROM t""", "regions scores")
+@query("""+x AS (SELECT DISTINCT chrom, "start", "end" FROM regions),
+    t AS (SELECT x.chrom, x."start", x."end", max_by(s."start", s.score*1e9::DOUBLE - s."start") AS best FROM x LEFT
+    JOIN scores s ON s.chrom=x.chrom AND s."start">=x."start" AND s."start"<x."end" GROUP BY 1,2,3) SELECT chrom, "start", "end", CASE
+    WHEN best IS NULL THEN -1 ELSE greatest(least(best+25-"start","end"-"start"-1),0) END AS "offset" FROM t""", "regions scores")
 def summit_offsets(spark, sf_dir):
     loci = _scores(spark, sf_dir).withColumnRenamed("score", "value")
     return intervals.summits(views.regions(spark, sf_dir), loci, STEP)
 
 
-@query("""+obs AS (SELECT "start", chrom, score AS value FROM scores WHERE chrom<>'chr1'), nul AS (SELECT list_sort(list(score)) AS l FROM scores WHERE chrom='chr1'), d AS (SELECT DISTINCT value FROM obs), pp AS (SELECT value, (len(l)-len(list_filter(l, lambda x: x<value))+1)/(len(l)+1)::DOUBLE AS p FROM d, nul) SELECT obs.chrom, obs."start", round(p,6) AS p FROM obs JOIN pp USING (value)""", "scores")
+@query("""+obs AS (SELECT "start", chrom, score AS value FROM scores WHERE chrom<>'chr1'), nul AS (SELECT list_sort(list(score)) AS l FROM scores WHERE chrom='chr1'),
+    d AS (SELECT DISTINCT value FROM obs), pp AS (SELECT value, (len(l)-len(list_filter(l, lambda x: x<value))+1)/(len(l)+1)::DOUBLE AS p FROM d, nul)
+    SELECT obs.chrom, obs."start", round(p,6) AS p FROM obs JOIN pp USING (value)""", "scores")
 def ecdf_survival(spark, sf_dir):
     s = _scores(spark, sf_dir).select("chrom", "start", F.col("score").alias("value"), F.lit(0).alias("g"))
     found = stats.survival(s.where("chrom <> 'chr1'"), s.where("chrom = 'chr1'"), "g")
@@ -547,14 +608,17 @@ def peak_signal_stat(spark, sf_dir):
     return _stat(spark, sf_dir).select("chrom", "start", "end", _r("value", "value"))
 
 
-@query(f"""+{_STAT}, top AS (SELECT quantile_cont(value,0.99) AS q FROM st) SELECT chrom, "start", "end", floor(least(250+value/q*750,1000)+1e-9::DOUBLE)::INT AS score, round(-log10(("start"%997+1)/1000.0::DOUBLE+1e-10::DOUBLE),4) AS p_score FROM st, top""", "regions kept")
+@query(f"""+{_STAT}, top AS (SELECT quantile_cont(value,0.99) AS q FROM st)
+    SELECT chrom, "start", "end", floor(least(250+value/q*750,1000)+1e-9::DOUBLE)::INT AS score, round(-log10(("start"%997+1)/1000.0::DOUBLE+1e-10::DOUBLE),4) AS p_score
+    FROM st, top""", "regions kept")
 def narrowpeak_score(spark, sf_dir):
     rows = _stat(spark, sf_dir).withColumn("p", (F.col("start") % 997 + 1) / 1000.0)
     rows = rows.withColumn("q", F.col("p")).withColumn("value", F.col("value") + 1e-12)
     return stats.display_score(rows).select("chrom", "start", "end", "score", "p_score")
 
 
-@query("""SELECT chrom, count(DISTINCT d) AS steps FROM (SELECT chrom, lead("start") OVER (PARTITION BY chrom ORDER BY "start")-"start" AS d FROM scores) GROUP BY 1""", "scores")
+@query("""SELECT chrom, count(DISTINCT d) AS steps FROM (SELECT chrom, lead("start") OVER (PARTITION BY chrom ORDER BY "start")-"start" AS d FROM scores)
+    GROUP BY 1""", "scores")
 def fixed_step_check(spark, sf_dir):
     w = Window.partitionBy("chrom").orderBy("start")
     gaps = _scores(spark, sf_dir).withColumn("d", F.lead("start").over(w) - F.col("start"))
