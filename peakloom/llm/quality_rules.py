@@ -3,12 +3,13 @@
 Every text gets counts over its whole length. A fixed base rule rejects the
 obviously broken. Beyond it, a ladder of levels tightens a cutoff of every feature
 step by step, and a level counts only if labelled documents prove it harmless: over the
-good labelled documents of a stratum, the exact binomial test of "this level's
+good labelled documents of a stratum that the base rule keeps, the exact binomial test of "this level's
 cutoffs together reject more than ``alpha`` of the good ones" must have a p-value of at
 most ``delta`` over the number of strata. A stratum's levels are tested in a fixed order, loosest
 first, up to the first that is not proven, so they need no further correction, and strata are
 corrected for by Bonferroni: the chance that any stratum loses more than ``alpha``
-of its good documents is at most ``delta``. The strictest proven level is used; a stratum
+of the good documents that its base rule keeps is at most ``delta``; what the fixed base rule itself rejects is not
+part of the guarantee. The strictest proven level is used; a stratum
 with too few labels (fewer than ln(delta / strata) / ln(1 - alpha), 144 for four strata) keeps
 everything that the base rule keeps.
 
