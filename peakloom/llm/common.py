@@ -19,6 +19,8 @@ from peakloom.session import ship
 SPACE = r"[\x20\x09-\x0D]"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FALLBACK: dict[str, str] = {}
+#: Least rows of a file of a table of links, labels or postings, about.
+ROWS_A_FILE = 25_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +59,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most ``rows`` small rows, in no more partitions than give each ``ROWS_A_FILE``.
+
+    It never has more partitions than before, so tables too large for that stay as they are. Without it a table of a
+    few thousand rows is written as one file for each shuffle partition.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for df in tables:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import discard, materialize, table
+from peakloom.llm.common import discard, materialize, narrowed, table
 from peakloom.llm.graphs import components
 from peakloom.llm.word_hash import chunks, mix, window_hashes
 
@@ -196,14 +196,15 @@ def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return materialize(found.dropDuplicates(["cls"]), "sets")
 
 
-def _several(posts: DataFrame) -> DataFrame:
-    """Distinct postings of the tokens that more than one class has, written.
+def _several(posts: DataFrame, most: int | None = None) -> DataFrame:
+    """Distinct postings (``most`` at most, if that is known) of the tokens that more than one class has, written.
 
     A token's least and greatest class are taken before the shuffle, and the join's side of postings is one that Spark can split.
     """
     ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     shared = ends.where("lo <> hi").select("token")
-    return materialize(posts.join(shared, "token", "left_semi").dropDuplicates(), "postings")
+    found = posts.join(shared, "token", "left_semi").dropDuplicates()
+    return materialize(found if most is None else narrowed(found, most), "postings")
 
 
 def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -223,19 +224,22 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     classes = materialize(classes, "classes")
     tokens = known.where("size > 0").select("cls", F.explode("prefix").alias("token"))
     thin = _several(tokens)
-    enough = materialize(_enough(thin, classes, percent), "postings")
+    # From here on no table of postings has more rows than the one before, none of classes more than there are classes.
+    n_posts, n_classes = thin.count(), classes.count()
+    enough = materialize(narrowed(_enough(thin, classes, percent), n_posts), "postings")
     discard(thin)
-    thin = _several(enough)
+    thin = _several(enough, n_posts)
     discard(enough)
-    posts = materialize(thin.join(classes.drop("doc_id"), "cls"), "postings-described")
+    n_posts = thin.count()
+    posts = materialize(narrowed(thin.join(classes.drop("doc_id"), "cls"), n_posts), "postings-described")
     discard(thin)
     near = posts.alias("l").join(posts.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") != F.col("r.cls")) & _may_link(percent), "left_semi")
-    live = materialize(near.select("cls").distinct(), "near")
-    before, posts = posts, materialize(posts.join(live, "cls"), "postings-near")
-    wanted = materialize(live.join(classes.select("cls", "doc_id"), "cls"), "wanted")
+    live = materialize(narrowed(near.select("cls").distinct(), n_classes), "near")
+    before, posts = posts, materialize(narrowed(posts.join(live, "cls"), n_posts), "postings-near")
+    n_posts = posts.count()
+    wanted = materialize(narrowed(live.join(classes.select("cls", "doc_id"), "cls"), n_classes), "wanted")
     discard(before, live)
     of = _sets_of(docs, wanted, n)
-    links = classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
     label = None
 
     def labelled() -> DataFrame:
@@ -243,10 +247,16 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
             return posts.withColumn("comp", F.col("cls"))
         return posts.join(label.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
 
+    def joined_up(links: DataFrame) -> DataFrame:
+        """Labels after new links: those so far are links to the least class of each component."""
+        if label is not None:
+            links = links.union(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return materialize(components(links), "labels")
+
     def active(p: DataFrame) -> DataFrame:
         """Postings of tokens that more than one component has."""
         mixed = p.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        return materialize(p.join(mixed, "token", "left_semi"), "postings-active")
+        return materialize(narrowed(p.join(mixed, "token", "left_semi"), n_posts), "postings-active")
 
     for k in range(ROUNDS):
         p = active(labelled())
@@ -254,17 +264,15 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
         leader = p.groupBy("token").agg(one).select("token", *[F.col(f"one.{c}").alias(c) for c in [*info, "comp"]])
         pairs = p.alias("l").join(leader.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp")) & _may_link(percent))
         best = pairs.groupBy(F.col("l.cls").alias("a")).agg(F.min(F.struct(_distance().alias("d"), F.col("r.cls").alias("b"))).alias("one"))
-        links = links.union(_verified(best.select("a", "one.b"), of, percent))
-        label = materialize(components(links), "labels")
+        label = joined_up(_verified(best.select("a", "one.b"), of, percent))
         discard(p)
     p = active(labelled())
     rest = p.alias("l").join(p.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp")) & _may_link(percent))
     pairs = rest.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("l.least", "r.least")).alias("least"))
-    links = links.union(_verified(pairs.where("n >= least"), of, percent))
-    label = materialize(components(links), "labels")
+    label = joined_up(_verified(pairs.where("n >= least"), of, percent))
     discard(p, posts, of, wanted)
     joined = classes.join(label, classes["cls"] == label["node"], "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp"))
-    least = materialize(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "components")
+    least = materialize(narrowed(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id")), n_classes), "components")
     named = joined.join(least, "comp").select("cls", "component_id")
     out = known.select("doc_id", "size", "cls").join(named, "cls", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), "cls", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
