@@ -6,11 +6,15 @@ are fitted to residuals one after another, then refitted together by least squar
 beam search picks the codes: after each codebook the ``BEAM`` best partial sums go on. A
 query's inner products with all codewords make a lookup table, and a candidate's estimate is
 its norm times the sum of its table entries. The share ``RERANK`` of a query's candidates with the best estimates, counted
-block by block and at least ``LEAST`` of a block, are scored again on the original vectors, in double precision.
+block by block and at least ``LEAST`` of a block, are scored again on the original vectors, in double precision. The
+length of what the codes leave of each direction is stored too: it bounds the error of any estimate, and whatever could still
+reach the ``k`` best found in the block is scored as well. So no neighbour is lost where codes are coarse, as for many
+dimensions or close copies; there more is scored, up to all candidates.
 
-Vectors also fall into coarse lists by their direction, and a query visits only the lists nearest to its own. How many is
-measured: the fewest that hold ``COVER`` of the true neighbours within the sample. Where directions
-have no clusters that means nearly all lists, and the work is queries times candidates.
+Vectors also fall into coarse lists by their direction, and a query first visits only the lists nearest to its own. How many is
+measured: the fewest that hold ``COVER`` of the true neighbours within the sample (all, if that is more than half of them).
+Of the others it then visits those that could hold a better vector than its ``k``th, by the widest angle to the list's centre and the
+largest norm in it. Where directions have no clusters that means nearly all lists, and the work is queries times candidates.
 
 Codebooks and lists are fitted on about ``SAMPLE`` vectors at most (those below a threshold of the hash of vec_id, so that
 no task sends more than its share of them to the driver); every vector is encoded. Vectors are laid
@@ -119,10 +123,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, width)
 
 
-def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scale = np.abs(x).max(axis=1, keepdims=True)
-    norm = np.linalg.norm(x / scale, axis=1) * scale[:, 0]
-    return (x / scale / np.linalg.norm(x / scale, axis=1, keepdims=True)).astype(np.float32), norm
+    norm = np.linalg.norm(x / scale, axis=1)
+    return x / scale / norm[:, None], norm * scale[:, 0]
+
+
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unit, norm = _directions(x)
+    return unit.astype(np.float32), norm
 
 
 @dataclass(frozen=True)
@@ -137,6 +146,12 @@ class Index:
         """Lists by nearness to each direction."""
         return np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")
 
+    def angles(self, unit: np.ndarray) -> np.ndarray:
+        """Angles between directions and the lists' centres; half a turn for a centre at the origin's place."""
+        size = np.linalg.norm(self.centres.astype(np.float64), axis=1)
+        along = unit @ np.divide(self.centres, size[:, None], out=np.zeros(self.centres.shape), where=size[:, None] > 0).T
+        return np.where(size > 0, np.arccos(np.clip(along, -1, 1)), np.pi)
+
 
 def learn(x: np.ndarray, rows: int, k: int, seed: int = 7) -> Index:
     """Fits an index for ``rows`` vectors on some of them; lists to visit are counted on a few hundred that ask for their ``k`` nearest."""
@@ -161,7 +176,10 @@ def _bytes(x: np.ndarray) -> pa.Array:
 
 
 def encoded(vectors: DataFrame, index: Index) -> DataFrame:
-    """(vec_id, list, code, norm, vector) of every vector, and a row number. Written once."""
+    """(vec_id, list, code, norm, gap, angle, vector) of every vector, and a row number. Written once.
+
+    ``gap``: length of what the codes leave of the direction; ``angle``: between it and its list's centre.
+    """
     width = index.books.shape[2]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,19 +187,22 @@ def encoded(vectors: DataFrame, index: Index) -> DataFrame:
             if not len(b):
                 continue
             x = _matrix(b.column("embedding"), width)
-            unit, norm = _units(x)
+            exact, norm = _directions(x)
+            unit = exact.astype(np.float32)
             own = _nearest(unit, index.centres)
             code, raw = beam_encode(unit, index.books), x.astype("<f8")
+            gap = np.linalg.norm(exact - reduce(np.add, (words.astype(np.float64)[c] for words, c in zip(index.books, code.T))), axis=1)
+            angle = np.take_along_axis(index.angles(exact), own[:, None], axis=1)[:, 0]
             columns = [b.column("vec_id"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm)]
-            columns.append(pa.array([v.tobytes() for v in raw], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "list", "code", "norm", "vector"])
+            columns += [pa.array(gap), pa.array(angle), pa.array([v.tobytes() for v in raw], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "list", "code", "norm", "gap", "angle", "vector"])
 
-    found = vectors.mapInArrow(each, "vec_id long, list int, code binary, norm double, vector binary")
+    found = vectors.mapInArrow(each, "vec_id long, list int, code binary, norm double, gap double, angle double, vector binary")
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "codes")
 
 
 def blocks(codes: DataFrame, spans: list[tuple[int, int, int]], width: int, k: int, block: int) -> DataFrame:
-    """One row per block: its vectors' lists, ids, codes, norms and originals as one value each, ordered by list and vec_id.
+    """One row per block: its vectors' lists, ids, codes, norms, gaps and originals as one value each, ordered by list and vec_id.
 
     ``spans`` has each list's number, first place and size in the layout.
     """
@@ -194,36 +215,52 @@ def blocks(codes: DataFrame, spans: list[tuple[int, int, int]], width: int, k: i
         ids, own = t["vec_id"].to_numpy(), t["list"].to_numpy()
         order = np.lexsort((ids, own))
         join = lambda name, kind, n: np.frombuffer(b"".join(t[name].to_pylist()), kind).reshape(-1, n)[order]
-        ids, own, norm, x = ids[order], own[order], t["norm"].to_numpy()[order], join("vector", "<f8", width)
+        ids, own, x = ids[order], own[order], join("vector", "<f8", width)
+        norm, gap = (t[c].to_numpy()[order][:, None] for c in ("norm", "gap"))
         same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * width))).ravel(), return_inverse=True)[1].ravel()
         by = np.lexsort((ids, same))
         rank = np.empty(len(ids), np.int64)
         rank[by] = np.arange(len(ids)) - np.searchsorted(same[by], same[by])
         live = rank <= k
-        parts = [own[live].astype("<i4"), ids[live].astype("<i8"), join("code", np.uint8, len(t["code"][0].as_py()))[live], norm[live].astype("<f4"), x[live]]
-        return pa.table([pa.array([t["block"][0].as_py()], pa.int32()), *map(_bytes, parts)], names=["block", "lists", "ids", "codes", "norms", "vectors"])
+        parts = [own[live].astype("<i4"), ids[live].astype("<i8"), join("code", np.uint8, len(t["code"][0].as_py()))[live]]
+        parts += [v[live].astype("<f8") for v in (norm, gap, x)]
+        return pa.table([pa.array([t["block"][0].as_py()], pa.int32()), *map(_bytes, parts)], names=["block", "lists", "ids", "codes", "norms", "gaps", "vectors"])
+
+    schema = "block int, lists binary, ids binary, codes binary, norms binary, gaps binary, vectors binary"
+    return materialize(placed.drop("row", "angle").groupBy("block").applyInArrow(build, schema), "blocks")
 
-    schema = "block int, lists binary, ids binary, codes binary, norms binary, vectors binary"
-    return materialize(placed.drop("row").groupBy("block").applyInArrow(build, schema), "blocks")
 
+def visits(asked: DataFrame, index: Index, spans: list[tuple[int, int, int]], block: int, probes: int, reaches: dict[int, tuple[float, float, float]] | None = None) -> DataFrame:
+    """(query_id, embedding, floor, lists, block): each query with the lists that it visits, once per block that holds any of them.
 
-def visits(asked: DataFrame, index: Index, spans: list[tuple[int, int, int]], block: int) -> DataFrame:
-    """(query_id, embedding, lists, block): each query with the lists that it visits, once per block that holds any of them."""
+    Without ``reaches`` these are the nearest ``probes`` lists. With them (widest angle, least and largest norm of each list) they are
+    the lists behind those that could hold a vector whose inner product with the query is ``floor`` or more.
+    """
     width = index.books.shape[2]
-    reach = {l: (at // block, (at + n - 1) // block) for l, at, n in spans}
+    places = {l: (at // block, (at + n - 1) // block) for l, at, n in spans}
+    bounds = np.array([(reaches or {}).get(l, (0.0, 0.0, 0.0)) for l in range(len(index.centres))])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            chosen = index.order(_units(_matrix(b.column("embedding"), width))[0])[:, : index.probes]
-            wanted = [sorted({x for l in own if l in reach for x in range(reach[l][0], reach[l][1] + 1)}) for own in chosen.tolist()]
-            columns = [b.column("query_id"), b.column("embedding"), pa.array(chosen.tolist(), pa.list_(pa.int32())), pa.array(wanted, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "lists", "blocks"])
+            unit, norm = _directions(_matrix(b.column("embedding"), width))
+            order = index.order(unit.astype(np.float32))
+            chosen = [own.tolist() for own in order[:, :probes]]
+            if reaches is not None:
+                wide, least, most = bounds.T
+                along = np.cos(np.maximum(index.angles(unit) - wide - 1e-6, 0)) + 1e-9
+                best = np.where(along > 0, along * most, along * least) * norm[:, None]
+                floor = b.column("floor").to_numpy(zero_copy_only=False)[:, None]
+                could = ~(best < floor - 1e-9 * np.abs(floor))
+                chosen = [[l for l in own if fit[l]] for own, fit in zip(order[:, probes:].tolist(), could)]
+            wanted = [sorted({x for l in own if l in places for x in range(places[l][0], places[l][1] + 1)}) for own in chosen]
+            columns = [b.column("query_id"), b.column("embedding"), b.column("floor"), pa.array(chosen, pa.list_(pa.int32())), pa.array(wanted, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "embedding", "floor", "lists", "blocks"])
 
     kind = asked.schema["embedding"].dataType.simpleString()
-    found = asked.mapInArrow(each, f"query_id long, embedding {kind}, lists array<int>, blocks array<int>")
-    return found.select("query_id", "embedding", "lists", F.explode("blocks").alias("block"))
+    found = asked.mapInArrow(each, f"query_id long, embedding {kind}, floor double, lists array<int>, blocks array<int>")
+    return found.select("query_id", "embedding", "floor", "lists", F.explode("blocks").alias("block"))
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, rerank: float = RERANK, block: int = BLOCK) -> DataFrame:
@@ -245,51 +282,70 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, rerank: float = RER
     index = learn(np.array([r["embedding"] for r in sample], np.float64), rows, k)
     codes = encoded(valid, index)
     spans, at = [], 0
-    for r in codes.groupBy("list").count().orderBy("list").collect():  # at most LISTS rows
-        spans.append((r["list"], at, r["count"]))
-        at += r["count"]
+    ends = (F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.min("norm").alias("least"), F.max("norm").alias("most"))
+    reaches = {}
+    for r in codes.groupBy("list").agg(*ends).orderBy("list").collect():  # at most LISTS rows
+        spans.append((r["list"], at, r["n"]))
+        reaches[r["list"]] = (r["angle"], r["least"], r["most"])
+        at += r["n"]
     laid = blocks(codes, spans, width, k, block)
     discard(codes)
     asked = valid.where(queries).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     copies = max(1, -(-asked.count() // QUERIES))
-    pairs = visits(asked, index, spans, block).withColumn("copy", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
-    spread = laid.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    books = index.books
+    books = index.books.astype(np.float64)
     m, words, _ = books.shape
+    n_lists = len(index.centres)
 
     def scored(own: pa.Table, held: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if len(own) and len(held):
-            lists, ids, codes, norm, x = (np.frombuffer(held[c][0].as_py(), t) for c, t in (("lists", "<i4"), ("ids", "<i8"), ("codes", np.uint8), ("norms", "<f4"), ("vectors", "<f8")))
+            kinds = (("lists", "<i4"), ("ids", "<i8"), ("codes", np.uint8), ("norms", "<f8"), ("gaps", "<f8"), ("vectors", "<f8"))
+            lists, ids, codes, norm, gap, x = (np.frombuffer(held[c][0].as_py(), t) for c, t in kinds)
             codes, x = codes.reshape(-1, m).T.copy(), x.reshape(-1, width)
             q = _matrix(own["embedding"].combine_chunks(), width)
-            unit = _units(q)[0]
-            probes = np.zeros((len(index.centres),), bool)
-            for i, (query, visited) in enumerate(zip(own["query_id"].to_pylist(), own["lists"])):
+            unit, length = _directions(q)
+            probes = np.zeros((n_lists,), bool)
+            for i, (query, floor, visited) in enumerate(zip(own["query_id"].to_pylist(), own["floor"].to_pylist(), own["lists"])):
                 tables = books.reshape(m * words, width) @ unit[i]
                 probes[:] = False
                 probes[visited.values.to_numpy()] = True
                 rows = np.flatnonzero(probes[lists] & (ids != query))
                 part = codes if len(rows) > 0.7 * len(ids) else codes[:, rows]
                 near = reduce(np.add, (tables[j * words : (j + 1) * words][part[j]] for j in range(m)))
-                near = (near[rows] if part is codes else near) * norm[rows]
+                near = near[rows] if part is codes else near
+                bound, near = (near + gap[rows] + 1e-9) * norm[rows] * length[i], near * norm[rows]
                 depth = max(LEAST, k, math.ceil(rerank * len(rows)))
                 if len(rows) > depth:
-                    # By estimate, then by vec_id, so that equal estimates are cut alike everywhere.
-                    least = np.partition(near, len(near) - depth)[len(near) - depth]
-                    above, ties = np.flatnonzero(near > least), np.flatnonzero(near == least)
-                    ties = ties[np.argsort(ids[rows[ties]], kind="stable")][: depth - len(above)]
-                    rows = rows[np.concatenate([above, ties])]
-                exact = np.einsum("ij,j->i", x[rows], q[i])
+                    # The best estimates first; then whatever could reach the k best of those, or of what the query has found before.
+                    first = np.argpartition(near, len(near) - depth)[len(near) - depth :]
+                    exact = np.einsum("ij,j->i", x[rows[first]], q[i])
+                    least = max(floor, np.partition(exact, depth - k)[depth - k])
+                    left = ~(bound < least - 1e-12 * abs(least))
+                    left[first] = True
+                    rows = rows[left]
+                few = len(rows) < 0.2 * len(ids)
+                exact = np.einsum("ij,j->i", x[rows], q[i]) if few else np.einsum("ij,j->i", x, q[i])[rows]
                 best = np.lexsort((ids[rows], -exact))[:k]
                 for column, v in zip(out, (np.full(len(best), query), ids[rows][best], exact[best])):
                     column.append(v)
         return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
-    met = pairs.groupBy("block", "copy").cogroup(spread.groupBy("block", "copy"))
-    hits = met.applyInArrow(scored, "query_id long, vec_id long, score double")
+    def met(pairs: DataFrame, held: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("copy", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
+        spread = held.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+        return pairs.groupBy("block", "copy").cogroup(spread.groupBy("block", "copy")).applyInArrow(scored, "query_id long, vec_id long, score double")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda hits: hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    unfound = F.lit(float("-inf"))
+    if index.probes > 0.5 * n_lists:
+        return ranked(met(visits(asked.withColumn("floor", unfound), index, spans, block, n_lists), laid))
+    hits = materialize(ranked(met(visits(asked.withColumn("floor", unfound), index, spans, block, index.probes), laid)), "hits")
+    reached = hits.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    again = asked.join(reached, "query_id", "left").withColumn("floor", F.coalesce("floor", unfound))
+    again = visits(again, index, spans, block, index.probes, reaches)
+    more = met(again, laid.join(again.select("block").distinct(), "block", "left_semi"))
+    return ranked(hits.drop("rank").unionByName(more))
 
 
 def op2_additive_quantisation(spark, sf_dir: str) -> DataFrame:

@@ -230,3 +230,31 @@ def test_beam_search_beats_greedy():
     books = aq.fit(x)
     error = lambda beam: ((x - sum(books[j][c] for j, c in enumerate(aq.beam_encode(x, books, beam).T))) ** 2).sum(1).mean()
     assert error(8) < error(1)
+
+
+def test_neighbours_where_codes_are_coarse(spark):
+    """Directions of many dimensions, of which 16 bytes of codes keep little."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 384))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for q in aq.search(df, F.col("vec_id") % 200 == 0).collect():
+        got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"], q["score"]))
+    assert recall(got, np.arange(6000), x, range(0, 6000, 200)) == 1
+
+
+def test_neighbours_in_lists_that_are_far(spark):
+    """A few very long vectors, too few for the sample to tell of them, in lists that no query's direction is near to."""
+    r = np.random.default_rng(6)
+    centre = np.repeat(np.eye(30), 2, axis=1)
+    x = centre[np.arange(6000) % 30] + 0.02 * r.normal(size=(6000, 60))
+    far = np.arange(1, 240, 10)
+    x[far] = 1000 * (centre[far % 30] + 0.001)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "vec_id long, embedding array<double>").repartition(5)
+    kept = aq.SAMPLE
+    aq.SAMPLE = 1500
+    try:
+        got = neighbours(df, block=1500)
+    finally:
+        aq.SAMPLE = kept
+    assert recall(got, np.arange(6000), x, range(0, 6000, 20)) == 1
