@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm.common import materialize, plain_text, table
+from peakloom.llm.common import by_texts, materialize, narrowed, plain_text, table
 from peakloom.llm.recompression import segments
 from peakloom.llm.word_hash import chunks, window_hashes
 
@@ -119,28 +119,29 @@ def _windows(texts: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(each, "symbol long, words long, k1 long, k2 long, first long, open boolean")
 
 
-def covered(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(k1, k2, spans): for each text that loses words, the spans [from, to) of words that go."""
+def covered(docs: DataFrame, window: int = WINDOW, n: int | None = None) -> DataFrame:
+    """(k1, k2, spans): for each of the ``n`` texts that loses words, the spans [from, to) of words that go."""
     if not 1 <= window <= WIDEST:
         raise ValueError(f"a window has 1 to {WIDEST} words")
     texts = _keyed(docs)
-    shared = materialize(_symbol_counts(texts, window).where("total > 1"), "symbols")
-    places = materialize(_occurrences(texts, window).join(shared, "symbol"), "places")
+    n = docs.count() if n is None else n
+    shared = materialize(by_texts(_symbol_counts(texts, window).where("total > 1"), n), "symbols")
+    places = materialize(by_texts(_occurrences(texts, window).join(shared, "symbol"), n), "places")
     counted = places.groupBy("symbol", "words").agg(
         F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.min(F.struct("k1", "place")).alias("one")
     )
-    counted = materialize(counted, "segments")
+    counted = materialize(by_texts(counted, n), "segments")
     k2, first = F.shiftrightunsigned("place", _P), F.shiftrightunsigned("place", _N).bitwiseAND((1 << (_P - _N)) - 1)
     last = first + F.col("place").bitwiseAND((1 << _N) - 1)
     proven = places.join(counted.where("n > 1").select("symbol", "words"), ["symbol", "words"])
     proven = proven.select("k1", k2.alias("k2"), first.alias("a"), (last + window).alias("b"))
     asked = counted.where("total > n").select("symbol", "one.k1", "one.place", (F.col("n") == 1).alias("open"))
     asked = asked.groupBy("k1", F.shiftrightunsigned("place", _P).alias("k2")).agg(F.collect_list(F.struct("symbol", "place", "open")).alias("asked"))
-    tried = materialize(_windows(texts, asked, window), "windows")
+    tried = materialize(by_texts(_windows(texts, asked, window), n), "windows")
     twice = tried.groupBy("symbol", "words").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("symbol", "words")
     found = tried.where("open").join(twice, ["symbol", "words"]).select("k1", "k2", F.col("first").alias("a"), (F.col("first") + window).alias("b"))
     spans = proven.unionByName(found).groupBy("k1", "k2", "a").agg(F.max("b").alias("b"))
-    return materialize(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    return materialize(narrowed(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), n), "spans")
 
 
 def _merged(spans) -> list[tuple[int, int]]:
@@ -166,7 +167,8 @@ def _runs(n: int, gone: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeats cut out of ``text``; what stays keeps its own white space."""
-    spans = covered(docs, window)
+    n = docs.count()
+    spans = covered(docs, window, n)
     names = docs.columns
     schema = T.StructType(docs.schema.fields)
 
@@ -184,7 +186,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     kept = [F.col(f"`{n}`").alias(f"_c{i}") for i, n in enumerate(names) if n != "text"]
     keyed = docs.select(*kept, F.col("text").alias("_text"), *_keys())
-    return keyed.join(spans.withColumnRenamed("spans", "_spans"), ["k1", "k2"], "left").mapInArrow(each, schema)
+    return by_texts(keyed.join(spans.withColumnRenamed("spans", "_spans"), ["k1", "k2"], "left").mapInArrow(each, schema), n)
 
 
 def _keys() -> list[Column]:
@@ -208,8 +210,9 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _keyed(docs, "doc_id").join(covered(docs, window), ["k1", "k2"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(each, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    n = docs.count()
+    joined = _keyed(docs, "doc_id").join(covered(docs, window, n), ["k1", "k2"], "left")
+    return by_texts(joined.select("doc_id", "text", "spans").mapInArrow(each, "doc_id long, n_words long, n_removed long, kept_sha256 string"), n)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:

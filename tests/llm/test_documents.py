@@ -422,3 +422,32 @@ def test_quality_classifier_on_held_out_labels(spark):
     assert sum(p == q for _, p, q in pairs) >= 0.95 * len(pairs)
     good, bad = [s for s, _, q in pairs if q], [s for s, _, q in pairs if not q]
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) >= 0.98 * len(good) * len(bad)
+
+
+def test_small_tables_have_few_files(spark, monkeypatch):
+    """A few hundred texts over many partitions are not written as a file for each partition, and lose nothing."""
+    import pyarrow.dataset as ds
+
+    from peakloom.llm import substring_dedup as sd
+
+    written, real = [], sd.materialize
+
+    def kept(df, tag):
+        out = real(df, tag)
+        written.append(len(ds.dataset(out.scratch_path.removeprefix("file://")).files))
+        return out
+
+    monkeypatch.setattr(sd, "materialize", kept)
+    rows = [(i, " ".join([f"a{i}", *(f"w{k}" for k in range(40)), f"b{i}"]), "en", "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(60)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = sd.digests(docs)
+        assert {(r["n_words"], r["n_removed"]) for r in out.collect()} == {(42, 40)} and out.count() == 300
+        assert out.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(written) == 5 and max(written) <= 2 * spark.sparkContext.defaultParallelism
