@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import ngram_join, packing, quality_rules, secret_scan, substring_dedup
-from peakloom.llm.common import materialize, table
+from peakloom.llm.common import by_texts, materialize, table
 from peakloom.session import ship
 
 SHINGLE, PERCENT = 5, 80
@@ -26,10 +26,10 @@ _READ = ("doc_id", "text", "lang", "source")
 
 
 def _kept_aside(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``change`` of ``docs``, whose other columns go through it under names that no operator uses."""
+    """``change`` of ``docs``, whose other columns go through it under names that no operator uses; in partitions by the number of ``docs``."""
     names = {c: c if c in _READ else f"_column_{i}" for i, c in enumerate(docs.columns)}
     changed = change(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]))
-    return changed.select(*[F.col(n).alias(c) for c, n in names.items()])
+    return by_texts(changed.select(*[F.col(n).alias(c) for c, n in names.items()]), docs.count())
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return by_texts(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")), docs.count())
 
 
 STAGES = [

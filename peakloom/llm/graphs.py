@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     one before, so its table has files by their number; stars are left as they are, so they end after one round.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = materialize(e, "edges")
+    e = materialize(narrowed(e, edges.count()), "edges")
     state = _state(e)
     while True:
         both = e.union(e.select("b", "a"))

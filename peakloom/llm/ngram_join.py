@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import discard, materialize, narrowed, table
+from peakloom.llm.common import by_texts, discard, materialize, narrowed, table
 from peakloom.llm.graphs import components
 from peakloom.llm.word_hash import chunks, mix, window_hashes
 
@@ -101,7 +101,7 @@ def bucket_loads(docs: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def described(docs: DataFrame, loads: np.ndarray, n: int, percent: int) -> DataFrame:
+def described(docs: DataFrame, loads: np.ndarray, n: int, percent: int, n_docs: int) -> DataFrame:
     """Per document: its class, size, l, sketch and prefix. Written once."""
     mean = float(loads.sum()) / len(loads)
     shared = docs.sparkSession.sparkContext.broadcast(loads)
@@ -141,7 +141,7 @@ def described(docs: DataFrame, loads: np.ndarray, n: int, percent: int) -> DataF
 
     names = ["doc_id", "cls", "size", "least", *_SKETCH]
     schema = ", ".join(f"{x} long" for x in names) + ", prefix array<long>"
-    return materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, schema), "described")
+    return materialize(by_texts(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, schema), n_docs), "described")
 
 
 _SKETCH = [f"q{i}" for i in range(SKETCH)]
@@ -158,7 +158,7 @@ def _may_link(percent: int) -> Column:
     return sizes & ((100 + percent) * _distance() <= (100 - percent) * (F.col("l.size") + F.col("r.size")))
 
 
-def _verified(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, of: DataFrame, percent: int, n_docs: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose sets overlap enough."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +172,11 @@ def _verified(pairs: DataFrame, of: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     one, two = of.select(F.col("cls").alias("a"), F.col("set").alias("sa")), of.select(F.col("cls").alias("b"), F.col("set").alias("sb"))
-    return materialize(pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(each, "a long, b long"), "links")
+    kept = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(each, "a long, b long")
+    return materialize(by_texts(kept, n_docs), "links")
 
 
-def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+def _sets_of(docs: DataFrame, needed: DataFrame, n: int, n_docs: int) -> DataFrame:
     """(cls, set) of the classes needed, from one document of each."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +194,10 @@ def _sets_of(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     # ``needed`` names one document per class, so only its text is moved on.
     one = docs.select("doc_id", "text").join(needed.select("doc_id").distinct(), "doc_id")
     found = one.select("text").mapInArrow(name, "cls long, set array<long>").join(needed.select("cls"), "cls")
-    return materialize(found.dropDuplicates(["cls"]), "sets")
+    return materialize(by_texts(found.dropDuplicates(["cls"]), n_docs), "sets")
 
 
-def _several(posts: DataFrame, most: int | None = None) -> DataFrame:
+def _several(posts: DataFrame, n_docs: int, most: int | None = None) -> DataFrame:
     """Distinct postings (``most`` at most, if that is known) of the tokens that more than one class has, written.
 
     A token's least and greatest class are taken before the shuffle, and the join's side of postings is one that Spark can split.
@@ -204,7 +205,7 @@ def _several(posts: DataFrame, most: int | None = None) -> DataFrame:
     ends = posts.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     shared = ends.where("lo <> hi").select("token")
     found = posts.join(shared, "token", "left_semi").dropDuplicates()
-    return materialize(found if most is None else narrowed(found, most), "postings")
+    return materialize(by_texts(found, n_docs) if most is None else narrowed(found, most), "postings")
 
 
 def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -218,17 +219,18 @@ def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id) of every document."""
-    known = described(docs, bucket_loads(docs, n), n, percent)
+    n_docs = docs.count()
+    known = described(docs, bucket_loads(docs, n), n, percent, n_docs)
     info = ["cls", "size", "least", *_SKETCH]
     classes = known.where("size > 0").groupBy(*info).agg(F.min("doc_id").alias("doc_id"))
-    classes = materialize(classes, "classes")
+    classes = materialize(by_texts(classes, n_docs), "classes")
     tokens = known.where("size > 0").select("cls", F.explode("prefix").alias("token"))
-    thin = _several(tokens)
+    thin = _several(tokens, n_docs)
     # From here on no table of postings has more rows than the one before, none of classes more than there are classes.
     n_posts, n_classes = thin.count(), classes.count()
     enough = materialize(narrowed(_enough(thin, classes, percent), n_posts), "postings")
     discard(thin)
-    thin = _several(enough, n_posts)
+    thin = _several(enough, n_docs, n_posts)
     discard(enough)
     n_posts = thin.count()
     posts = materialize(narrowed(thin.join(classes.drop("doc_id"), "cls"), n_posts), "postings-described")
@@ -239,7 +241,7 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
     n_posts = posts.count()
     wanted = materialize(narrowed(live.join(classes.select("cls", "doc_id"), "cls"), n_classes), "wanted")
     discard(before, live)
-    of = _sets_of(docs, wanted, n)
+    of = _sets_of(docs, wanted, n, n_docs)
     label = None
 
     def labelled() -> DataFrame:
@@ -264,12 +266,12 @@ def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFra
         leader = p.groupBy("token").agg(one).select("token", *[F.col(f"one.{c}").alias(c) for c in [*info, "comp"]])
         pairs = p.alias("l").join(leader.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.comp") != F.col("r.comp")) & _may_link(percent))
         best = pairs.groupBy(F.col("l.cls").alias("a")).agg(F.min(F.struct(_distance().alias("d"), F.col("r.cls").alias("b"))).alias("one"))
-        label = joined_up(_verified(best.select("a", "one.b"), of, percent))
+        label = joined_up(_verified(best.select("a", "one.b"), of, percent, n_docs))
         discard(p)
     p = active(labelled())
     rest = p.alias("l").join(p.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") < F.col("r.cls")) & (F.col("l.comp") != F.col("r.comp")) & _may_link(percent))
     pairs = rest.groupBy(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(F.least("l.least", "r.least")).alias("least"))
-    label = joined_up(_verified(pairs.where("n >= least"), of, percent))
+    label = joined_up(_verified(pairs.where("n >= least"), of, percent, n_docs))
     discard(p, posts, of, wanted)
     joined = classes.join(label, classes["cls"] == label["node"], "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp"))
     least = materialize(narrowed(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id")), n_classes), "components")

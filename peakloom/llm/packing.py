@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import materialize, prefix_sums, table
+from peakloom.llm.common import by_texts, materialize, prefix_sums, table
 from peakloom.llm.word_tokens import word_tokenizer
 
 WINDOW, SLOT, END = 4096, 256, 2
@@ -58,7 +58,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     whole = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     found = whole.mapInArrow(each, "doc_id long, source string, n long, ids binary")
-    return materialize(found.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    return materialize(by_texts(found, docs.count()).withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
 def plan(sizes: DataFrame, window: int = WINDOW, slot: int = SLOT, weights: dict[str, float] | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def plan(sizes: DataFrame, window: int = WINDOW, slot: int = SLOT, weights: dict
         .join(sums, ["queue", "bucket"])
         .select("row", "n", "queue", "total", (F.col("base") + F.col("inner")).alias("at"))
     )
-    placed = materialize(placed, "queues")
+    placed = materialize(by_texts(placed, known["rows"]), "queues")
     # Credit per round: the source's share of a window.
     if weights:
         named = F.create_map(*[F.lit(x) for k, v in weights.items() for x in ("s" + k, float(v))])
@@ -100,7 +100,7 @@ def plan(sizes: DataFrame, window: int = WINDOW, slot: int = SLOT, weights: dict
     # Slots of a source that one round serves are one run.
     runs = parts.groupBy("row", "queue", "at", "round").agg(F.min("low").alias("low"), F.sum("length").alias("length"))
     order = Window.partitionBy("round").orderBy("queue", "low").rowsBetween(Window.unboundedPreceding, -1)
-    runs = materialize(runs.withColumn("inner", F.coalesce(F.sum("length").over(order), F.lit(0))), "runs")
+    runs = materialize(by_texts(runs.withColumn("inner", F.coalesce(F.sum("length").over(order), F.lit(0))), known["rows"]), "runs")
     rounds = prefix_sums(runs.groupBy("round").agg(F.sum("length").alias("tokens")), "round", "tokens", "base")
     laid = runs.join(rounds.select("round", "base"), "round").withColumn("g", F.col("base") + F.col("inner"))
     cut = laid.withColumn("sequence_id", F.explode(F.sequence(F.expr(f"g div {window}"), F.expr(f"(g + length - 1) div {window}"))))

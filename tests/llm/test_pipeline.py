@@ -140,3 +140,44 @@ def test_run_against_brute_force(spark, tmp_path):
     left = [(i, _hidden(" ".join(w))) for i, w in _without_repeats(left)]
     assert {50, 51, 52, 54}.isdisjoint(i for i, _ in left) and any("[assign]" in t for _, t in left)
     check_pieces(corpus_pipeline.run(spark, str(tmp_path)).collect(), left, 4096)
+
+
+def test_stages_over_many_partitions_write_few_files(spark, monkeypatch):
+    """A small table dealt over many partitions isn't written as a file for each of them, by no stage and no operator; no row is lost."""
+    import sys
+
+    import pyarrow.dataset as ds
+
+    from peakloom.llm import common
+
+    written, real = {}, common.materialize
+
+    def kept(df, tag):
+        out = real(df, tag)
+        written[tag] = max(written.get(tag, 0), len(ds.dataset(out.scratch_path.removeprefix("file://")).files))
+        return out
+
+    for name, module in list(sys.modules.items()):
+        if getattr(module, "materialize", None) is real and name.startswith(("peakloom.llm", "corpus_pipeline")):
+            monkeypatch.setattr(module, "materialize", kept)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(40)
+    docs = kept(docs, "given")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    few = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "16k"}
+    for k, v in few.items():
+        spark.conf.set(k, v)
+    try:
+        given, most = docs, 2 * spark.sparkContext.defaultParallelism
+        assert written.pop("given") == 40
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "near duplicates":
+                n_kept = given.count()
+            out = stage(spark, given, "/root/testdata/sf0.001")
+            assert out.rdd.getNumPartitions() <= most
+            given = kept(out, name)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert n_kept and given.agg(F.sum("length")).first()[0] == given.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+    assert {"described", "links", "sets", "edges", "tokens", "runs"} <= set(written)
+    assert max(written.values()) <= most, written
