@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_texts, discard, materialize, narrowed, table
+from peakloom.llm.common import by_texts, discard, in_small_batches, materialize, narrowed, table
 from peakloom.llm.graphs import components
 from peakloom.llm.word_hash import chunks, mix, window_hashes
 
@@ -77,8 +77,9 @@ def bucket_loads(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
-            for _, h, counts in chunks(b.column("text"), lower=True):
-                loads += np.bincount(_bucket(shingles(h, counts, n)[1]), minlength=len(loads))
+            own = [_bucket(shingles(h, counts, n)[1]) for _, h, counts in chunks(b.column("text"), lower=True)]
+            if own:
+                loads += np.bincount(np.concatenate(own), minlength=len(loads))
         yield from rows(loads.reshape(-1, part))
 
     def rows(loads: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -219,6 +220,7 @@ def _enough(posts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def linked(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id) of every document."""
+    in_small_batches(docs.sparkSession)
     n_docs = docs.count()
     known = described(docs, bucket_loads(docs, n), n, percent, n_docs)
     info = ["cls", "size", "least", *_SKETCH]

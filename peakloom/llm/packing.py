@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import by_texts, materialize, prefix_sums, table
+from peakloom.llm.common import by_texts, in_small_batches, materialize, prefix_sums, table
 from peakloom.llm.word_tokens import word_tokenizer
 
 WINDOW, SLOT, END = 4096, 256, 2
@@ -56,6 +56,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             sizes = pa.array([len(x) // 2 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "source", "n", "ids"])
 
+    in_small_batches(docs.sparkSession)
     whole = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     found = whole.mapInArrow(each, "doc_id long, source string, n long, ids binary")
     return materialize(by_texts(found, docs.count()).withColumn("row", F.monotonically_increasing_id()), "tokens")

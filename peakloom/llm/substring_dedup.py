@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.llm.common import by_texts, materialize, narrowed, plain_text, table
+from peakloom.llm.common import by_texts, in_small_batches, materialize, narrowed, plain_text, table
 from peakloom.llm.recompression import segments
 from peakloom.llm.word_hash import chunks, window_hashes
 
@@ -123,6 +123,7 @@ def covered(docs: DataFrame, window: int = WINDOW, n: int | None = None) -> Data
     """(k1, k2, spans): for each of the ``n`` texts that loses words, the spans [from, to) of words that go."""
     if not 1 <= window <= WIDEST:
         raise ValueError(f"a window has 1 to {WIDEST} words")
+    in_small_batches(docs.sparkSession)
     texts = _keyed(docs)
     n = docs.count() if n is None else n
     shared = materialize(by_texts(_symbol_counts(texts, window).where("total > 1"), n), "symbols")

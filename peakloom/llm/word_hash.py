@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Longest word hashed as a polynomial; bytes and number of texts worked on at once.
-LONGEST, CHUNK, TEXTS = 64, 2_000_000, 4096
+LONGEST, CHUNK, TEXTS = 64, 250_000, 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACES = np.zeros(256, bool)

@@ -18,7 +18,7 @@ import numpy as np
 
 SPACE, LETTER, NUMBER, OTHER, RARE = range(5)
 #: Longer words aren't hashed; distinct words kept per worker; code points worked on at once.
-LONGEST, KEPT, CHUNK = 48, 600_000, 1_500_000
+LONGEST, KEPT, CHUNK = 48, 600_000, 400_000
 _CONTRACTIONS = {"s": 1, "t": 1, "m": 1, "d": 1, "re": 2, "ve": 2, "ll": 2}
 _WHITE = {*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
@@ -70,7 +70,8 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
+        # Hashes of the words known, in order, and the place of each in first and count.
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.first, self.count = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> np.ndarray:
@@ -121,14 +122,14 @@ class WordTokenizer:
         digest ^= digest >> np.uint64(29)
         unique, where, inverse = np.unique(digest, return_index=True, return_inverse=True)
         long = (stop - at)[where] > LONGEST
-        if len(self.index) + len(unique) > KEPT:
+        if len(self.known) + len(unique) > KEPT:
             self._clear()
-        keys = unique.tolist()
-        index = self.index
-        fresh = [k for k in range(len(keys)) if keys[k] not in index and not long[k]]
-        if fresh:
-            self._learn([joined[at[where[k]] : stop[where[k]]] for k in fresh], [keys[k] for k in fresh])
-        slot = np.array([index.get(k, 0) for k in keys], np.int64)
+        fresh = np.flatnonzero(~self._find(unique)[0] & ~long)
+        if len(fresh):
+            self._learn([joined[a:b] for a, b in zip(at[where[fresh]].tolist(), stop[where[fresh]].tolist())], unique[fresh])
+        found, place = self._find(unique)
+        slot = np.zeros(len(unique), np.int64)
+        slot[found] = self.slot[place[found]]
         word = slot[inverse]
         text_of = np.searchsorted(ends, at, side="right")
         plain = ~rare
@@ -151,7 +152,15 @@ class WordTokenizer:
             self.power, self.inverse = _powers(_BASE, n), _powers(_INVERSE, n)
         return self.power[:n]
 
-    def _learn(self, fresh: list[str], keys: list[int]) -> None:
+    def _find(self, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each digest is known, and where among the known ones it stands or would stand."""
+        place = np.searchsorted(self.known, digest)
+        found = np.zeros(len(digest), bool)
+        inside = place < len(self.known)
+        found[inside] = self.known[place[inside]] == digest[inside]
+        return found, place
+
+    def _learn(self, fresh: list[str], keys: np.ndarray) -> None:
         """Ids of distinct words, told apart in one stream by the tokens that end a word."""
         step = 512
         streams = [" ".join(fresh[i : i + step]) for i in range(0, len(fresh), step)]
@@ -165,7 +174,8 @@ class WordTokenizer:
         self.flat = np.concatenate([self.flat, ids])
         self.first = np.concatenate([self.first, first + base])
         self.count = np.concatenate([self.count, ends - first])
-        self.index.update(zip(keys, range(n, n + len(keys))))
+        place = np.searchsorted(self.known, keys)
+        self.known, self.slot = np.insert(self.known, place, keys), np.insert(self.slot, place, np.arange(n, n + len(keys)))
 
 
 @cache
