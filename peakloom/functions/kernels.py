@@ -123,14 +123,64 @@ def variance_trend(y: np.ndarray, v: np.ndarray) -> np.ndarray:
         return np.full(n, max(np.median(v), 1e-8) if n else 0.0)
     order = np.lexsort((v, x))
     xs, vs = x[order], v[order]
-    bins = max(4, int(math.floor(1 + math.log2(n + 1))))
-    edges = np.arange(bins + 1) * n // bins
+    edges = trend_edges(n)
     use = [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
-    kx = np.array([np.median(xs[a:b]) for a, b in use])
-    kv = isotonic(np.array([np.median(vs[a:b]) for a, b in use]), np.array([float(b - a) for a, b in use]))
-    knots, first = np.unique(kx, return_index=True)
-    top = np.maximum.reduceat(kv, first)
-    return np.maximum(np.interp(x, knots, top), 1e-8)
+    kx, kv = np.array([np.median(xs[a:b]) for a, b in use]), np.array([np.median(vs[a:b]) for a, b in use])
+    return np.maximum(np.interp(x, *trend_knots(kx, kv, np.array([float(b - a) for a, b in use]))), 1e-8)
+
+
+def trend_knots(x: np.ndarray, v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a variance's trend bends and its values there, from bins' medians of |y| and variance and their sizes."""
+    knots, first = np.unique(x, return_index=True)
+    return knots, np.maximum.reduceat(isotonic(v, n), first)
+
+
+def trend_edges(n: int) -> np.ndarray:
+    """The ranks by |y| and variance at which the bins of a track of n loci begin, and n."""
+    bins = max(4, int(math.floor(1 + math.log2(n + 1))))
+    return np.arange(bins + 1) * n // bins
+
+
+def sketch(ordered: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Some values of an ordered array, the last among them, and how many places each stands for: those up to it from the one before."""
+    step = -(-len(ordered) // most)
+    at = np.append(np.arange(step - 1, len(ordered) - 1, step), len(ordered) - 1)
+    return ordered[at], np.diff(at, prepend=-1)
+
+
+def brackets(x: np.ndarray, weight: np.ndarray, slack: int, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each rank between the first and the last place two values: no more values than the rank lie below the one, no fewer up to the other.
+
+    ``x`` and ``weight`` are the sketches of all parts; ``slack`` is the sum over parts of the most places that a value stands for besides its own.
+    """
+    order = np.argsort(x, kind="stable")
+    x, upto = x[order], np.cumsum(weight[order])
+    low = np.searchsorted(upto - weight[order] + slack, ranks, "right") - 1
+    return np.where(low < 0, -np.inf, x[np.maximum(low, 0)]), x[np.searchsorted(upto, ranks)]
+
+
+def run_lengths(x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in order of x, then v, each once, and the place that each first has."""
+    order = np.lexsort((v, x))
+    x, v = x[order], v[order]
+    first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (v[1:] != v[:-1])))
+    return x[first], v[first], first
+
+
+def bin_medians(x: np.ndarray, v: np.ndarray, n: np.ndarray, a: int, b: int) -> tuple[float, float]:
+    """Medians of x and of v over places a to b of pairs in order of x, then v; ``n`` tells how often each pair is there."""
+    order = np.lexsort((v, x))
+    mine = np.diff(np.clip(np.cumsum(n[order]), a, b), prepend=a)
+    if mine.sum() != b - a or a < 0:
+        raise ValueError("a bin's places lie outside its bracket")
+    some = mine > 0
+    return tuple(_counted_median(y[order][some], mine[some]) for y in (x, v))
+
+
+def _counted_median(x: np.ndarray, n: np.ndarray) -> float:
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(n[order])
+    return float(x[order][np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")].mean())
 
 
 def shrunk(v: np.ndarray, prior: np.ndarray, prior_df: float, window: int = 31, floor: float = 0.01) -> np.ndarray:

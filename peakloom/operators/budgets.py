@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from peakloom.session import cut
 
 #: Draws at most, their seed, tasks that share a track's draws, draws of a batch after the first.
 DRAWS, SEED, SHARDS, MORE = 25, 42, 4, 4
+#: Tiles of tracks in a partition, which Python gets as one batch.
+PACKED = 8
 
 
 def residuals(tracks: DataFrame, means: DataFrame | None = None) -> DataFrame:
@@ -71,6 +74,7 @@ def adaptive_null(run: Callable[[list[str], list[int]], DataFrame], chroms: list
 
 
 _NULL = "chrom string, null double, null_error double, n_draws int"
+_TOLD = "chrom string, draw int, n long, units double, over long"
 
 
 def independence(scores: DataFrame, x: Column, lag: int | None = 101, tile: int = tiles.TILE) -> DataFrame:
@@ -159,15 +163,122 @@ def _noise(own: pd.DataFrame, seed: int, draw: int, lag: int | None, sample: str
     return kernels.smooth_noise(kernels.stream_key(seed, draw, own["chrom"].iloc[0], sample), first, first + len(own), kernels.bandwidth(n, lag))
 
 
+def packed(tracks: DataFrame, tile: int, n: int) -> DataFrame:
+    """A row per tile of a track: its values as an array, with halos that a window about its loci reaches. ``n``, how many there are, tells how many partitions they get."""
+    placed = tiles.tiled(tiles.numbered(tracks, ["chrom", "sample_id"]), scoring.WINDOW + 1, tile)
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("place")
+        return own[["chrom", "sample_id", "tile", "place", "total"]].iloc[:1].assign(values=[own["value"].to_numpy(float)])
+
+    keys = ["chrom", "sample_id", "tile"]
+    dealt = placed.select(*keys, "place", "total", "value").repartition(-(-n // PACKED), *keys)
+    return cut(dealt.groupBy(*keys).applyInPandas(pack, "chrom string, sample_id string, tile long, place long, total long, values array<double>"))
+
+
+def tiled_null(
+    pieces: DataFrame, numbers: list[int], told: Callable[..., tuple], seed: int, lag: int | None, prior_df: float, tile: int, floor: float
+) -> DataFrame:
+    """(chrom, draw, n, units, over) of each tile of some contigs in some draws; ``told`` makes such a row from the samples' sums.
+
+    Noise depends on a locus's number alone, so each pass works a tile's draws out anew and keeps none. Passes: sums of a track's weights; brackets, from sketches of
+    the tiles, of the ranks at which the bins of its variance's trend begin; the bins' medians, from what lies between the brackets; the scores.
+    """
+    track = ["chrom", "sample_id"]
+
+    def noise(r, k: int) -> np.ndarray:
+        return kernels.smooth_noise(kernels.stream_key(seed, k, r.chrom, r.sample_id), r.place, r.place + len(r.values), kernels.bandwidth(r.total, lag))
+
+    def own(r) -> slice:
+        return slice(r.tile * tile - r.place, (r.tile + 1) * tile - r.place)
+
+    def bent(r, i: int) -> np.ndarray:
+        return r.values * ((noise(r, numbers[i]) - r.mean[i]) / max(r.sd[i], 1e-12))
+
+    def rows_of(make: Callable[..., tuple], names: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b.itertuples():
+                    for i in range(len(numbers)):  # a tile and draw at a time
+                        yield pd.DataFrame(make(r, i), columns=[*track, "draw", *names])
+
+        return each
+
+    def by_track(found: DataFrame, *names: str) -> DataFrame:
+        """A row per track with what was found in its draws, in their order."""
+        every = found.groupBy(*track).agg(F.array_sort(F.collect_list(F.struct("draw", *names))).alias("_d"))
+        return cut(every.select(*track, *[F.col(f"_d.{c}").alias(c) for c in names]))
+
+    def sums(r, i: int) -> list[tuple]:
+        w = noise(r, numbers[i])[own(r)]
+        return [(r.chrom, r.sample_id, i, r.tile, len(w), float(w.sum()), float((w**2).sum()))]
+
+    def moments(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("tile")
+        n = x["n"].sum()
+        mean = x["s"].sum() / n
+        return x[[*track, "draw"]].iloc[:1].assign(mean=mean, sd=math.sqrt(max(x["q"].sum() / n - mean**2, 0.0)))
+
+    def sketched(r, i: int) -> list[tuple]:
+        return [(r.chrom, r.sample_id, i, r.total, *kernels.sketch(np.sort(np.abs(bent(r, i)[own(r)]))))]
+
+    def bracketed(x: pd.DataFrame) -> pd.DataFrame:
+        slack = sum(int(w.max()) - 1 for w in x["weight"])
+        low, high = kernels.brackets(np.concatenate(x["x"].tolist()), np.concatenate(x["weight"].tolist()), slack, kernels.trend_edges(int(x["total"].iloc[0]))[1:-1])
+        return x[[*track, "draw"]].iloc[:1].assign(low=[np.append(-np.inf, low)], high=[np.append(high, np.inf)])
+
+    def binned(r, i: int) -> list[tuple]:
+        y = bent(r, i)
+        x, v, first = kernels.run_lengths(np.abs(y[own(r)]), np.maximum(kernels.local_variance(y, scoring.WINDOW)[own(r)], 1e-8))
+        ends = np.append(first, len(r.values[own(r)]))
+        n = np.diff(ends) if len(x) < ends[-1] else np.zeros(0, int)  # none: each once
+        at = zip(np.searchsorted(x, r.low[i]), np.searchsorted(x, r.high[i], "right"))
+        return [(r.chrom, r.sample_id, i, k, r.total, ends[a], x[a:b], v[a:b], n[a:b]) for k, (a, b) in enumerate(at)]
+
+    def middles(x: pd.DataFrame) -> pd.DataFrame:
+        k, below, edges = int(x["bin"].iloc[0]), int(x["below"].sum()), kernels.trend_edges(int(x["total"].iloc[0]))
+        n = np.concatenate([c if len(c) else np.ones(len(y), int) for c, y in zip(x["n"], x["x"])])
+        kx, kv = kernels.bin_medians(np.concatenate(x["x"].tolist()), np.concatenate(x["v"].tolist()), n, edges[k] - below, edges[k + 1] - below)
+        return x[[*track, "draw", "bin"]].iloc[:1].assign(x=kx, v=kv, n=float(edges[k + 1] - edges[k]))
+
+    def fitted(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("bin")
+        knots, heights = kernels.trend_knots(*(x[c].to_numpy(float) for c in "xvn"))
+        return x[[*track, "draw"]].iloc[:1].assign(knots=[knots], heights=[heights])
+
+    def scored(x: pd.DataFrame) -> pd.DataFrame:
+        x, out = x.sort_values("sample_id"), []
+        for i, k in enumerate(numbers):
+            a = w = 0.0
+            for r in x.itertuples():
+                y = bent(r, i)
+                prior = np.maximum(np.interp(np.abs(y), r.knots[i], r.heights[i]), 1e-8)
+                weight = 1 / kernels.shrunk(kernels.local_variance(y, scoring.WINDOW), prior, prior_df, scoring.WINDOW, floor)[own(r)]
+                a, w = a + y[own(r)] * weight, w + weight
+            out.append(told(r.chrom, k, a, w))
+        return pd.DataFrame(out, columns=["chrom", "draw", "n", "units", "over"])
+
+    key = "chrom string, sample_id string, draw int"
+    found = pieces.mapInPandas(rows_of(sums, ["tile", "n", "s", "q"]), f"{key}, tile long, n long, s double, q double")
+    pieces = pieces.join(F.broadcast(by_track(found.groupBy(*track, "draw").applyInPandas(moments, f"{key}, mean double, sd double"), "mean", "sd")), track)  # a row per track
+    found = pieces.mapInPandas(rows_of(sketched, ["total", "x", "weight"]), f"{key}, total long, x array<double>, weight array<int>")
+    ends = by_track(found.groupBy(*track, "draw").applyInPandas(bracketed, f"{key}, low array<double>, high array<double>"), "low", "high")
+    names = ["bin", "total", "below", "x", "v", "n"]
+    found = pieces.join(F.broadcast(ends), track).mapInPandas(rows_of(binned, names), f"{key}, bin int, total long, below long, x array<double>, v array<double>, n array<int>")
+    medians = found.groupBy(*track, "draw", "bin").applyInPandas(middles, f"{key}, bin int, x double, v double, n double")
+    knots = by_track(medians.groupBy(*track, "draw").applyInPandas(fitted, f"{key}, knots array<double>, heights array<double>"), "knots", "heights")
+    return pieces.join(F.broadcast(knots), track).groupBy("chrom", "tile").applyInPandas(scored, _TOLD)
+
+
 def matrix_budget(
     tracks: DataFrame, scores: DataFrame, draws: int = DRAWS, seed: int = SEED, lag: int | None = 101, threshold_z: float = 2.0,
     lower_z: float = 1.0, prior_df: float = scoring.PRIOR_DF, min_effect: float | None = None, tile: int = tiles.TILE, floor: float = scoring.FLOOR,
 ) -> DataFrame:
     """``bootstrap_budget`` for scores that are weighted means: every draw bends the samples' residual tracks and scores them anew.
 
-    ``tracks`` are centred and without baseline (as of ``scoring.moderated``), ``scores`` has their mean and score per locus. (contig, sample,
-    shard of the draws) is the unit of work, as a variance's trend is one of a whole track. What it makes leaves as one row of arrays per tile and draw, and the samples'
-    arrays of a tile are added up. Draws come in batches until a contig's mean is known.
+    ``tracks`` are centred and without baseline (as of ``scoring.moderated``), ``scores`` has their mean and score per locus. Draws come in batches until a
+    contig's mean is known. Tracks of at most ``tile`` loci are groups, one for each shard of the draws; longer ones go through tiles (``tiled_null``), so that no group
+    grows with a contig.
     """
     template = residuals(tracks.select("chrom", "sample_id", "start", "value"), scores)
     template = cut(template.select("chrom", "sample_id", "start", "value"))
@@ -180,6 +291,16 @@ def matrix_budget(
     limits = cut(limits.withColumn("threshold", F.col("centre") + threshold_z * F.col("scale")))
     at = {r["chrom"]: (r["centre"], r["scale"], r["threshold"]) for r in limits.collect()}  # a row per contig
 
+    sizes = template.groupBy("chrom", "sample_id").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per track
+    tile = max(tile, scoring.WINDOW + 1)
+    long = {r["chrom"] for r in sizes if r["n"] > tile}
+
+    def told(chrom: str, draw: int, weighted: np.ndarray, weight: np.ndarray) -> tuple[str, int, int, float, int]:
+        """What a draw's scores, from samples' sums of values over variances and of these' inverses, come to against the contig's threshold."""
+        centre, scale, threshold = at[chrom]
+        s = weighted / np.sqrt(weight) - lower_z if min_effect is None else (weighted / weight - min_effect) * np.sqrt(weight)
+        return chrom, draw, len(s), float(np.maximum(s - centre, 0).sum() / scale), int((s > threshold).sum())
+
     def bent(numbers: list[int]) -> Callable[[pd.DataFrame], pd.DataFrame]:
         """A track's value over its moderated variance, and that variance's inverse, in each of a shard's draws."""
 
@@ -190,25 +311,29 @@ def matrix_budget(
             for k in numbers[int(own["shard"].iloc[0]) :: SHARDS]:
                 x = y * kernels.wild_weights(n, kernels.bandwidth(n, lag), kernels.stream_key(seed, k, chrom, sample))
                 weight = 1 / scoring.track_variances(x, prior_df, floor=floor)[2]
-                out += [(chrom, k, t, (x * weight)[a : a + tile], weight[a : a + tile]) for t, a in enumerate(range(0, n, tile))]
-            return pd.DataFrame(out, columns=["chrom", "draw", "tile", "weighted", "weight"])
+                out.append((chrom, k, x * weight, weight))
+            return pd.DataFrame(out, columns=["chrom", "draw", "weighted", "weight"])
 
         return track
 
     def scored(own: pd.DataFrame) -> pd.DataFrame:
-        """A tile's scores in one draw, from its samples' arrays, against the contig's threshold."""
-        chrom, a, w = own["chrom"].iloc[0], np.sum(own["weighted"].tolist(), axis=0), np.sum(own["weight"].tolist(), axis=0)
-        centre, scale, threshold = at[chrom]
-        s = a / np.sqrt(w) - lower_z if min_effect is None else (a / w - min_effect) * np.sqrt(w)
-        row = (chrom, own["draw"].iloc[0], len(s), float(np.maximum(s - centre, 0).sum() / scale), int((s > threshold).sum()))
-        return pd.DataFrame([row], columns=["chrom", "draw", "n", "units", "over"])
+        sums = (np.sum(own[c].tolist(), axis=0) for c in ("weighted", "weight"))
+        return pd.DataFrame([told(own["chrom"].iloc[0], own["draw"].iloc[0], *sums)], columns=["chrom", "draw", "n", "units", "over"])
+
+    whole, pieces = template.where(~F.col("chrom").isin(list(long))), None
+    if draws and long:
+        pieces = packed(template.where(F.col("chrom").isin(list(long))), tile, sum(-(-r["n"] // tile) for r in sizes if r["chrom"] in long))
 
     def run(chroms: list[str], numbers: list[int]) -> DataFrame:
-        shards = F.sequence(F.lit(0), F.lit(min(SHARDS, len(numbers)) - 1))
-        each = template.where(F.col("chrom").isin(chroms)).withColumn("shard", F.explode(shards))
-        rows = each.groupBy("chrom", "sample_id", "shard").applyInPandas(bent(numbers), "chrom string, draw int, tile int, weighted array<double>, weight array<double>")
-        parts = rows.groupBy("chrom", "draw", "tile").applyInPandas(scored, "chrom string, draw int, n long, units double, over long")
-        return parts.groupBy("chrom", "draw").agg((F.sum("units") / F.sum("n")).alias("units"), (F.sum("over") / F.sum("n")).alias("share"))
+        out = []
+        if long.intersection(chroms):
+            out.append(tiled_null(pieces.where(F.col("chrom").isin(chroms)), numbers, told, seed, lag, prior_df, tile, floor))
+        if not long.issuperset(chroms):
+            shards = F.sequence(F.lit(0), F.lit(min(SHARDS, len(numbers)) - 1))
+            each = whole.where(F.col("chrom").isin(chroms)).withColumn("shard", F.explode(shards))
+            rows = each.groupBy("chrom", "sample_id", "shard").applyInPandas(bent(numbers), "chrom string, draw int, weighted array<double>, weight array<double>")
+            out.append(rows.groupBy("chrom", "draw").applyInPandas(scored, _TOLD))
+        return reduce(DataFrame.unionByName, out).groupBy("chrom", "draw").agg((F.sum("units") / F.sum("n")).alias("units"), (F.sum("over") / F.sum("n")).alias("share"))
 
     null = scores.sparkSession.createDataFrame(adaptive_null(run, sorted(at), draws), _NULL)
     seen = scores.select("chrom", "start", "score").join(F.broadcast(limits), "chrom")
