@@ -39,8 +39,9 @@ def select(scores: DataFrame, gamma: float | DataFrame = 1.0, penalty: float | N
     if (penalty is None) == (budgets is None):
         raise ValueError("give a penalty or budgets")
     scores = cut(scores.select("chrom", "start", "score"))  # read twice
-    rows = scores.withColumn("budget", F.lit(None).cast("double")) if budgets is None else scores.join(budgets.select("chrom", "budget"), "chrom")
-    rows = rows.join(gamma.select("chrom", "gamma"), "chrom") if isinstance(gamma, DataFrame) else rows.withColumn("gamma", F.lit(float(gamma)))
+    # Rows per contig are broadcast: a join by contig would leave each contig, and all that is grouped within it, to one task.
+    rows = scores.withColumn("budget", F.lit(None).cast("double")) if budgets is None else scores.join(F.broadcast(budgets.select("chrom", "budget")), "chrom")
+    rows = rows.join(F.broadcast(gamma.select("chrom", "gamma")), "chrom") if isinstance(gamma, DataFrame) else rows.withColumn("gamma", F.lit(float(gamma)))
     extent = scores.groupBy("chrom").agg(F.min(F.expr(f"start div {width}")).alias("a"), F.max(F.expr(f"start div {width}")).alias("b")).collect()  # a row per contig
     long = [r["chrom"] for r in extent if r["a"] != r["b"]]
 
@@ -68,10 +69,17 @@ def _finite(scores: np.ndarray) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, width: int) -> DataFrame:
-    """A row per block of a contig: its loci in order as arrays, and whether it is the contig's first or last."""
-    loci = F.array_sort(F.collect_list(F.struct("start", "score")))
-    blocks = rows.groupBy("chrom", F.expr(f"start div {width}").alias("block")).agg(loci.alias("loci"), F.first("gamma").alias("gamma"), F.first("budget").alias("budget"))
-    blocks = blocks.select("chrom", "block", F.col("loci.start").alias("starts"), F.col("loci.score").alias("scores"), "gamma", "budget")
+    """A row per block of a contig: its loci in order as arrays, and whether it is the contig's first or last.
+
+    Loci are sorted by the shuffle, which can spill, and put together in Python a block at a time; lists of a contig's loci would fill an executor's heap.
+    """
+
+    def gather(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("start")
+        return own[["chrom", "block", "gamma", "budget"]].iloc[:1].assign(starts=[own["start"].to_numpy()], scores=[_finite(own["score"].to_numpy(float))])
+
+    loci = rows.select("chrom", F.expr(f"start div {width}").alias("block"), "start", "score", "gamma", "budget")
+    blocks = loci.groupBy("chrom", "block").applyInPandas(gather, "chrom string, block long, starts array<long>, scores array<double>, gamma double, budget double")
     ends = rows.groupBy("chrom").agg(F.min(F.expr(f"start div {width}")).alias("_a"), F.max(F.expr(f"start div {width}")).alias("_b"))
     marked = blocks.join(F.broadcast(ends), "chrom")  # a row per contig
     return cut(marked.select("chrom", "block", "starts", "scores", "gamma", "budget", (F.col("block") == F.col("_a")).alias("first"), (F.col("block") == F.col("_b")).alias("last")))

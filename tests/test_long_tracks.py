@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.group import GroupedData
 
 from peakloom.functions import kernels
-from peakloom.operators import budgets, scoring, stats
+from peakloom.operators import budgets, chain, scoring, stats
 
 
 def by_parts(x, v, tile):
@@ -87,3 +88,25 @@ def test_no_group_of_a_draw_holds_a_track(spark, monkeypatch):
     for c in found:
         for name in ("n_loci", "observed", "null", "fraction", "ess", "tau", "n_draws"):
             assert found[c][name] == pytest.approx(whole[c][name], rel=1e-9)
+
+
+def test_blocks_of_a_contig_are_dealt_over_tasks(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    scores = spark.createDataFrame([("c", 50 * j, float(x)) for j, x in enumerate(r.normal(size=2000))], "chrom string, start long, score double")
+    gamma = spark.createDataFrame([("c", 0.5)], "chrom string, gamma double")
+    budgets_of = spark.createDataFrame([("c", 0.1)], "chrom string, budget double")
+    whole = {x["start"]: x["z"] for x in chain.select(scores, gamma, budgets=budgets_of).collect()}
+    seen, plain = [], chain._blocks
+    monkeypatch.setattr(chain, "_blocks", lambda *a: seen.append(plain(*a)) or seen[0])
+    old = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in old}
+    for k, x in old.items():
+        spark.conf.set(k, x)
+    try:
+        found = {x["start"]: x["z"] for x in chain.select(scores, gamma, budgets=budgets_of, width=5000).collect()}
+        blocks = seen[0].select("block", F.spark_partition_id().alias("at"), F.size("starts").alias("n")).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert found == whole and sum(whole.values()) > 0
+    assert len(blocks) == 20 and sum(x["n"] for x in blocks) == 2000 and len({x["at"] for x in blocks}) > 1
